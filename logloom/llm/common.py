@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -52,29 +52,31 @@ def with_group_totals(rows: DataFrame, keys: list[str], spread_by: str, **totals
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest id reachable from each node of an undirected graph: ``edges(u, v)`` to ``(id, component)``.
 
-    Alternating large-star and small-star contraction. Every round is a few salted aggregations over narrow
-    rows and ends in a checkpoint; only a sum of the links comes to the driver, to see that nothing moved.
+    Alternating large-star and small-star contraction, with links kept as (larger, smaller). The least neighbour of a
+    node is an aggregation that combines on the map side; it is checkpointed before the large star's join, so that
+    adaptive execution can split the rows of a hub. The small star groups by the larger end, which has few smaller
+    neighbours. Only a count and a sum of the links come to the driver, to see that nothing moved. Few links are
+    read back in few partitions.
     """
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = with_group_totals(e, ["u"], "v", _m=("min", "v"))
-        low = F.least("u", "_m")
-        out = near.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), low.alias("v")) if large else (
-            near.select(F.col("v").alias("u"), low.alias("v")).unionByName(near.select("u", low.alias("v"))))
-        return out.filter("u <> v").distinct()
-
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    mark = None
+    parts = shuffle_parts(edges)
+
+    def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
+        df = cut(df)
+        seen = df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
+        return df.coalesce(max(1, min(parts, -(-seen[0] // 100_000)))), seen
+
+    now, mark = kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     for _ in range(max_rounds):
-        now = cut(star(star(now, True), False))
-        seen = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
+        least = cut(now.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("least"))).coalesce(now.rdd.getNumPartitions())
+        large = now.join(least, now["v"] == least["at"], "left").select("u", F.coalesce("least", "v").alias("v"))
+        order = Window.partitionBy("u").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        small = large.withColumn("low", F.first("v").over(order)).select(F.explode(F.array(
+            F.struct(F.col("u").alias("u"), F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e")).select("e.*")
+        now, seen = kept(small.filter("u <> v").distinct())
         if seen == mark:
-            break
+            return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
         mark = seen
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -9,9 +9,8 @@
 3. In every table, rows of a key are linked to the smallest id of their salted part, and the parts to each other:
    stars, never all pairs. Connected candidates form candidate groups, a superset of the tables' pairs.
 4. Within a candidate group all members are compared on full sets, in blocks of about ``BLOCK`` members; a block pair
-   is one unit of work and returns a spanning forest of its links. Groups of more than one block first lose members
-   that cannot link to anything, by an exact bound: shingles that no other member has can't be shared. This
-   comparison is quadratic in a group's surviving members in arithmetic only; rows grow with its square over BLOCK.
+   is one unit of work and returns a spanning forest of its links. Comparisons are quadratic in a candidate group as
+   arithmetic on small matrices; the rows that are dealt out grow with its square over BLOCK, and no pair is a row.
 5. Components of the confirmed links, by star contraction; each class takes the component of its representative.
 
 Edge cases: null or empty texts and texts without words have an empty set and stay alone; with fewer words than a
@@ -123,7 +122,7 @@ def plain(docs: DataFrame) -> DataFrame:
 
 
 def sets(rows: DataFrame, width: int) -> DataFrame:
-    """``doc_id, grp, text`` to ``id, grp, s``, the sorted shingle set."""
+    """``doc_id, grp, blocks, text`` to ``id, grp, blocks, s``, the sorted shingle set."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 512):
@@ -131,9 +130,9 @@ def sets(rows: DataFrame, width: int) -> DataFrame:
                 own = [shingle_set(data, width).view(np.int64) for data in _texts(part)]
                 ends = np.cumsum([0] + [len(k) for k in own]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("grp"),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *own])))], ["id", "grp", "s"])
-    return rows.select("doc_id", "grp", "text").mapInArrow(work, "id long, grp long, s array<long>")
+                    part.column("doc_id"), part.column("grp"), part.column("blocks"),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *own])))], ["id", "grp", "blocks", "s"])
+    return rows.select("doc_id", "grp", "blocks", "text").mapInArrow(work, "id long, grp long, blocks int, s array<long>")
 
 
 def star_edges(rows: DataFrame, key: str) -> DataFrame:
@@ -223,16 +222,6 @@ def links(members: DataFrame, threshold: int) -> DataFrame:
     return dealt.repartition(parts, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj").mapInArrow(work, "u long, v long")
 
 
-def able(members: DataFrame, threshold: int, rounds: int = 2) -> DataFrame:
-    """Members without those that no member of their group can match: too many shingles of theirs are theirs alone."""
-    for _ in range(rounds):
-        alone = members.select("grp", "id", F.explode("s").alias("x")).groupBy("grp", "x").agg(
-            F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
-        members = cut(members.join(alone, "id", "left").filter(
-            (F.size("s") - F.coalesce("alone", F.lit(0))) * 100 >= F.size("s") * threshold).drop("alone"))
-    return members
-
-
 def near_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id, kept``; linked if 100 * shared >= threshold * union."""
     m = tables_for(threshold)
@@ -245,17 +234,9 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFram
     rows = classes.filter("doc_id = rep").select("doc_id", F.explode(pairs).alias("key"))
     group = components(star_edges(rows, "key")).select("id", F.col("component").alias("grp"))
     group = cut(group.unionByName(group.select(F.col("grp").alias("id"), "grp")).distinct())
-
+    group = with_group_totals(group, ["grp"], "id", n=("count", "id")).select("id", "grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = plain(docs).join(group, F.col("doc_id") == F.col("id")).drop("id")
-    members = cut(sets(members, width))
-    sized = with_group_totals(group, ["grp"], "id", n=("count", "id")).filter(F.col("n") > BLOCK).select("grp").distinct()
-    small, large = members.join(sized, "grp", "left_anti"), members.join(sized, "grp", "left_semi")
-    found = links(small.withColumn("blocks", F.lit(1)), threshold)
-    if not sized.isEmpty():
-        large = able(large, threshold)
-        count = with_group_totals(large.select("id", "grp"), ["grp"], "id", n=("count", "id"))
-        large = large.join(count.select("id", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).distinct(), "id")
-        found = found.unionByName(links(large, threshold))
+    found = links(sets(members, width), threshold)
     linked = cut(components(found))
     known = classes.select("doc_id", "n_shingles", "rep").join(
         linked, F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
