@@ -127,7 +127,7 @@ def targets(sized: DataFrame, share: float, cap: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, block: int = BLOCK) -> DataFrame:
-    """Per document ``doc_id, size, source_size, target, taken``."""
+    """Per document ``doc_id, size, source_size, target, taken`` and ``copies``, how often the mix takes it."""
     sized = cut(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.col("source").cast("string").alias("source"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("skey")))
@@ -149,4 +149,5 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, block: int = BLOC
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("p"))).cast("long").alias("taken"))
+    copies = (F.col("whole") + F.col("p")).cast("int")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, mixing, near_dedup, pii, sharding
+from . import decontamination, exact_dedup, html_text, language_id, license_scan, mixing, near_dedup, pii, sharding, toxicity
 from .common import docs_of
 
 #: The key of the query; a job passes its own secret.
@@ -37,16 +38,45 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs_of(spark, sf_dir))
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_of(spark, sf_dir)
+    model = language_id.fit(docs, ~language_id.held_out(F.col("doc_id")))
+    return language_id.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each benchmark item found in a document."""
+    found = decontamination.scan(docs_of(spark, sf_dir).select("doc_id", "text"), docs_of(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("hits") > 0).select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
 @query
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(docs_of(spark, sf_dir)))
 
 
+@query
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(docs_of(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(docs_of(spark, sf_dir), width=3, threshold=85)
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = docs_of(spark, sf_dir), language_id.held_out(F.col("doc_id"))
+    model = toxicity.fit(docs, docs_of(spark, sf_dir, "labels"), ~held)
+    return toxicity.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held.alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
 @query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs_of(spark, sf_dir))
