@@ -1,14 +1,220 @@
-"""Named queries over the driver's tables, each with DuckDB SQL where SQL can express it."""
+"""Named queries over the driver's tables, each with DuckDB SQL where SQL can express it.
+
+``events`` become log events: source ``app``, the event type as action, its status, the user as principal.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import fields
+from .operators import evaluate, retrieval, tables, windows
+from .plans.ingest import retrieve
+from .sources.logs import detect_source, is_log_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+WEIGHTS = {"signup": 20, "purchase": 10, "error": 15}
+QUESTION = "the License version 2.0 idiot thntion-over"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def app_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    none = F.lit("")
+    return e.select(
+        F.concat(F.lit("ev-"), F.col("event_id")).alias("event_id"), fields.iso_utc(F.col("ts").cast("timestamp")).alias("ts"), F.lit("app").alias("source"),
+        F.col("event_type").alias("action"), fields.normalize_status(F.col("event_type")).alias("status"), F.concat(F.lit("user-"), F.col("user_id")).alias("principal"),
+        none.alias("src_ip"), none.alias("region"), none.alias("account_id"), none.alias("resource"), none.alias("user_agent"), none.alias("raw"), none.alias("raw_ref"), F.col("props").alias("extra"))
+
+
+def app_windows(spark: SparkSession, sf_dir: str, gap: int = 720, most: int = 10) -> DataFrame:
+    return windows.build_windows(app_events(spark, sf_dir), gap, max_events=most, weights=WEIGHTS)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return app_windows(spark, sf_dir).select("chunk_id", "ts_start", "ts_end", "principal", "n_events", "n_failures", "risk_score")
+
+
+EV = """ev AS (SELECT 'ev-' || event_id AS event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, 'app' AS source, event_type AS action,
+  CASE WHEN lower(event_type) IN ('success','succeeded','ok','accepted') THEN 'success'
+       WHEN regexp_matches(lower(event_type), 'fail|denied|deny|error|invalid|unauthorized|refused|timeout|locked|no such|killed|segfault|panic|critical|unable to') THEN 'failure'
+       ELSE 'info' END AS status, 'user-' || user_id AS principal FROM events)"""
+WIN = """, lagged AS (SELECT *, epoch(CAST(replace(replace(ts, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS s, row_number() OVER k AS rn0,
+    lag(epoch(CAST(replace(replace(ts, 'T', ' '), 'Z', '') AS TIMESTAMP))) OVER k AS prev FROM ev WINDOW k AS (PARTITION BY principal ORDER BY ts, event_id)),
+  grp AS (SELECT *, sum(CASE WHEN s - prev > {gap} * 60 THEN 1 ELSE 0 END) OVER (PARTITION BY principal ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM lagged),
+  cut AS (SELECT *, (row_number() OVER (PARTITION BY principal, g ORDER BY ts, event_id) - 1) // {most} AS p, min(ts) OVER (PARTITION BY principal, g) AS first FROM grp),
+  num AS (SELECT principal, g, p, row_number() OVER (ORDER BY first, principal, g, p) AS n FROM (SELECT DISTINCT principal, g, p, first FROM cut)),
+  win AS (SELECT 'w-' || lpad(CAST(n AS VARCHAR), CAST(greatest(5, length(CAST(n AS VARCHAR))) AS INTEGER), '0') AS chunk_id, cut.* FROM cut JOIN num USING (principal, g, p)),
+  agg AS (SELECT chunk_id, min(ts) AS ts_start, max(ts) AS ts_end, any_value(principal) AS principal, CAST(count(*) AS INTEGER) AS n_events,
+    CAST(count(*) FILTER (status = 'failure') AS INTEGER) AS n_failures, CAST(least(100, 20 * max(CAST(action = 'signup' AS INTEGER)) + 10 * max(CAST(action = 'purchase' AS INTEGER))
+    + 15 * max(CAST(action = 'error' AS INTEGER)) + least(30, 2 * count(*) FILTER (status = 'failure'))) AS INTEGER) AS risk_score,
+    string_agg(DISTINCT action, ',' ORDER BY action) AS event_names FROM win GROUP BY chunk_id)"""
+W720, W15 = WIN.format(gap=720, most=10), WIN.format(gap=15, most=120)
+TOK = r"""tok AS (SELECT doc_id, list_slice(flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9][A-Za-z0-9_.:\-/@+]*'), lambda r: list_concat([lower(r)],
+    CASE WHEN regexp_full_match(r, '[0-9]{1,3}(\.[0-9]{1,3}){3}') OR NOT regexp_matches(r, '[A-Z]') THEN [] ELSE list_filter(list_transform(
+      regexp_extract_all(regexp_replace(r, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda p: lower(p)), lambda p: length(p) >= 2 AND p <> lower(r)) END,
+    CASE WHEN regexp_full_match(r, '[0-9]{1,3}(\.[0-9]{1,3}){3}') OR NOT regexp_matches(r, '[._:\-/@+]') THEN [] ELSE list_filter(list_transform(
+      regexp_split_to_array(r, '[._:\-/@+]+'), lambda p: lower(p)), lambda p: length(p) >= 2 AND p <> lower(r)) END))), 1, 512) AS t FROM documents)"""
+POST = """, post AS (SELECT doc_id, len(t) AS dl, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM tok) GROUP BY ALL),
+  raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY term),
+  idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+BM = """, q AS (SELECT * FROM (VALUES ('the', 1), ('license', 1), ('version', 1), ('2.0', 1), ('idiot', 1), ('thntion-over', 1), ('thntion', 1), ('over', 1)) q(term, times)),
+  scored AS (SELECT doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(len(t)) FROM tok)))), 6) AS score
+    FROM post JOIN q USING (term) JOIN idf USING (term) GROUP BY doc_id),
+  bm AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored ORDER BY score DESC, doc_id LIMIT 50)"""
+DENSE = """den AS (SELECT vec_id AS doc_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]),
+    (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings {where}) ORDER BY score DESC, vec_id LIMIT 50)"""
+FUSE = """, fused AS (SELECT doc_id, round(sum(w / (60 + rank)), 9) AS score, string_agg(DISTINCT r, ',' ORDER BY r) AS sources FROM (
+    SELECT doc_id, rank, 'bm25' AS r, {b} AS w FROM bm UNION ALL SELECT doc_id, rank, 'dense', {d} FROM den) GROUP BY doc_id)"""
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+    return put
+
+
+def on_events(name: str, sql: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    query(name, f"WITH {EV} {sql}")(lambda spark, d: f(app_events(spark, d)))
+
+
+def on_windows(name: str, sql: str, f: Callable[[DataFrame], DataFrame], ctes: str = W720, gap: int = 720, most: int = 10) -> None:
+    query(name, f"WITH {EV}{ctes} {sql}")(lambda spark, d: f(app_windows(spark, d, gap, most)))
+
+
+on_events("events_by_source", "SELECT source, count(*) AS n FROM ev GROUP BY 1", lambda e: tables.count_by(e, "source"))
+on_events("events_by_status", "SELECT status, count(*) AS n FROM ev GROUP BY 1", lambda e: tables.count_by(e, "status"))
+on_events("events_by_action", "SELECT action, count(*) AS n FROM ev GROUP BY 1", lambda e: tables.count_by(e, "action"))
+on_events("time_range", "SELECT coalesce(min(ts), '') AS ts_min, coalesce(max(ts), '') AS ts_max FROM ev", tables.time_range)
+for _name, _col, _status in (("top_actions", "action", None), ("top_actions_failure", "action", "failure"), ("top_principals", "principal", None), ("top_src_ips", "src_ip", None)):
+    _where = (["status = 'failure'"] if _status else []) + ([f"{_col} <> ''"] if _col != "action" else [])
+    _from = "ev" if _col != "src_ip" else "(SELECT *, '' AS src_ip FROM ev)"
+    on_events(_name, f"SELECT {_col}, count(*) AS n, count(*) FILTER (status = 'failure') AS failures FROM {_from} {'WHERE ' + ' AND '.join(_where) if _where else ''} GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10",
+              lambda e, c=_col, s=_status: tables.top(e, c, 10, s))
+on_events("events_between", "SELECT event_id, ts, action, principal FROM ev WHERE ts BETWEEN '2024-01-05' AND '2024-01-06' AND status = 'failure' ORDER BY ts, event_id LIMIT 500",
+          lambda e: tables.between(e, "2024-01-05", "2024-01-06", status="failure").select("event_id", "ts", "action", "principal"))
+on_events("get_event", "SELECT event_id, ts, action, principal, status FROM ev WHERE event_id = 'ev-7'", lambda e: tables.by_ids(e, "event_id", ["ev-7"]).select("event_id", "ts", "action", "principal", "status"))
+on_events("failure_pct", "SELECT round(100.0 * count(*) FILTER (status = 'failure') / greatest(count(*), 1), 6) AS failure_pct FROM ev", tables.failure_pct)
+on_events("normalize_status", "SELECT DISTINCT action, status FROM ev", lambda e: e.select("action", "status").distinct())
+on_events("stable_ids", "SELECT event_id, 'sl-' || substr(sha1(ts || '|' || action || '|' || principal), 1, 12) AS stable_id FROM ev",
+          lambda e: e.select("event_id", fields.stable_id("sl", F.col("ts"), F.col("action"), F.col("principal")).alias("stable_id")))
+on_events("rendered_lines", "SELECT event_id, ts || ' | app | ' || action || ' | ' || CASE status WHEN 'success' THEN 'OK' WHEN 'failure' THEN 'FAIL' ELSE 'INFO' END || ' | ' || principal || ' | - | -' AS line FROM ev",
+          lambda e: e.select("event_id", fields.render_line({c: F.col(c) for c in e.columns}).alias("line")))
+on_events("valid_events", "SELECT count(*) AS n_valid FROM ev", lambda e: e.agg(F.count_if(fields.valid_event(["app"])).alias("n_valid")))
+on_events("upsert_dedup", "SELECT principal AS event_id, max_by(action, event_id) AS action FROM ev GROUP BY 1",
+          lambda e: tables.upsert(e.select(F.col("principal").alias("event_id"), "action", F.col("event_id").alias("_seq")), "event_id", "_seq"))
+on_events("resume_antijoin", "SELECT event_id FROM ev WHERE action <> 'click'", lambda e: tables.missing(e.select("event_id"), e.filter("action = 'click'"), "event_id"))
+on_events("bursts", """, t AS (SELECT principal, epoch(CAST(replace(replace(ts, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS s FROM ev),
+  c AS (SELECT principal, count(*) OVER (PARTITION BY principal ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM t) SELECT principal, max(n) AS burst FROM c GROUP BY 1 HAVING max(n) >= 3""",
+          lambda e: evaluate.bursts(e, 60, 3))
+on_events("failure_then_success", """, t AS (SELECT *, epoch(CAST(replace(replace(ts, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS s FROM ev),
+  l AS (SELECT *, max(CASE WHEN status = 'failure' THEN s END) OVER (PARTITION BY principal ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM t)
+  SELECT event_id, principal, ts FROM l WHERE action = 'purchase' AND s - f <= 3600""", lambda e: evaluate.failure_then_success(e, "purchase", 60))
+
+_W = ["chunk_id", "ts_start", "ts_end", "principal", "n_events", "n_failures", "risk_score"]
+_named = lambda w: w.select(*_W, F.array_join("event_names", ",").alias("event_names"))
+_sql = f"SELECT {', '.join(_W)}, event_names FROM agg"
+on_windows("windows_720m_capped", _sql, _named)
+on_windows("windows_15m", _sql, _named, W15, 15, 120)
+on_windows("window_membership", "SELECT chunk_id, event_id, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY ts, event_id) - 1 AS INTEGER) AS position FROM win", windows.membership)
+on_windows("top_risk_windows", f"SELECT {', '.join(_W)} FROM agg ORDER BY risk_score DESC, n_events DESC, chunk_id LIMIT 10",
+           lambda w: w.orderBy(F.desc("risk_score"), F.desc("n_events"), "chunk_id").limit(10).select(*_W))
+on_windows("summarize_windows", """SELECT count(*) AS windows, coalesce(sum(n_events), 0) AS events, coalesce(sum(n_failures), 0) AS failures, count(*) FILTER (risk_score >= 50) AS high_risk,
+  coalesce(max(risk_score), 0) AS max_risk, coalesce(max(n_events), 0) AS max_events FROM agg""", windows.summarize)
+on_windows("percentiles_window_size", "SELECT quantile_cont(n_events, 0.5) AS p50, quantile_cont(n_events, 0.9) AS p90 FROM agg", windows.sizes)
+on_windows("windows_by_ids", f"SELECT {', '.join(_W)} FROM agg WHERE chunk_id IN ('w-00001', 'w-00005')", lambda w: tables.by_ids(w, "chunk_id", ["w-00005", "w-00001", "", "w-00001"]).select(*_W))
+on_windows("window_text", """SELECT chunk_id, '[WINDOW ' || chunk_id || '] ' || any_value(a.ts_start) || ' -> ' || any_value(a.ts_end) || ' | source=app | principal=' || any_value(a.principal) || ' | src_ip=- | events='
+  || any_value(n_events) || ' | failures=' || any_value(n_failures) || ' | risk=' || any_value(risk_score) || chr(10) || string_agg('- ' || w.ts || ' | app | ' || action || ' | '
+  || CASE status WHEN 'success' THEN 'OK' WHEN 'failure' THEN 'FAIL' ELSE 'INFO' END || ' | ' || w.principal || ' | - | -', chr(10) ORDER BY w.ts, event_id) AS text FROM win w JOIN agg a USING (chunk_id) GROUP BY chunk_id""",
+           lambda w: w.select("chunk_id", "text"))
+
+
+@query("events_of_window", f"WITH {EV}{W720} SELECT event_id, ts, action, CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS INTEGER) AS position FROM win WHERE chunk_id = 'w-00003'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return windows.events_of_window(app_windows(spark, d), app_events(spark, d), "w-00003").select("event_id", "ts", "action", "position")
+
+
+@query("table_counts", f"""WITH {EV}{W720} SELECT 'events' AS name, count(*) AS n FROM ev UNION ALL SELECT 'windows', count(*) FROM agg UNION ALL SELECT 'window_events', count(*) FROM win""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    w = app_windows(spark, d)
+    one = lambda df, name: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    return one(app_events(spark, d), "events").unionByName(one(w, "windows")).unionByName(one(windows.membership(w), "window_events"))
+
+
+@query("detect_source", r"""SELECT page_id, CASE WHEN regexp_matches(name, '\.(json|jsonl|ndjson)$') THEN 'cloudtrail' WHEN regexp_matches(name, '\.(log|txt|out)$') OR regexp_matches(name, '^(auth|syslog|ssh)') THEN 'syslog'
+  ELSE 'cloudtrail' END AS family, NOT starts_with(name, '.') AND regexp_matches(name, '\.(json|jsonl|ndjson|log|txt|out)$') AND name <> 'manifest.json' AS is_log
+  FROM (SELECT page_id, (['auth-1.log', 'day.jsonl', 'manifest.json', 'sshd_old', '.hidden.log', 'notes.md'])[page_id % 6 + 1] AS name FROM pages)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*map(F.lit, ["auth-1.log", "day.jsonl", "manifest.json", "sshd_old", ".hidden.log", "notes.md"]))
+    name = F.get(names, (F.col("page_id") % 6).cast("int"))
+    return table(spark, d, "pages").select("page_id", detect_source(name).alias("family"), is_log_file(name).alias("is_log"))
+
+
+@query("tokenize", f"WITH {TOK} SELECT doc_id, len(t) AS n_terms, md5(array_to_string(t, ' ')) AS terms_md5 FROM tok")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = F.slice(fields.tokenize(F.col("text")), 1, retrieval.MAX_TOKENS)
+    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_terms"), F.md5(F.array_join(t, " ")).alias("terms_md5"))
+
+
+@query("postings", f"WITH {TOK}{POST} SELECT doc_id, CAST(dl AS INTEGER) AS dl, term, tf FROM post")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.postings(table(spark, d, "documents"), "doc_id").filter("term is not null").select("doc_id", "dl", "term", "tf")
+
+
+@query("bm25_idf", f"WITH {TOK}{POST} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.idf(retrieval.postings(table(spark, d, "documents"), "doc_id"), "doc_id").withColumn("idf", F.round("idf", 6))
+
+
+def _bm25(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(table(spark, d, "documents"), "doc_id", QUESTION)
+
+
+def _vector(spark: SparkSession, d: str) -> list[float]:
+    return list(table(spark, d, "embeddings").filter("vec_id = 0").first()["embedding"])
+
+
+def _dense(spark: SparkSession, d: str, where=None) -> DataFrame:
+    return retrieval.dense(table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", _vector(spark, d), where=where)
+
+
+query("bm25_topk", f"WITH {TOK}{POST}{BM} SELECT doc_id, score, CAST(rank AS INTEGER) AS rank FROM bm")(_bm25)
+query("dense_topk", f"WITH {DENSE.format(where='')} SELECT doc_id, score, CAST(rank AS INTEGER) AS rank FROM den")(_dense)
+query("dense_topk_filtered", f"WITH {DENSE.format(where='WHERE label = 3')} SELECT doc_id, score, CAST(rank AS INTEGER) AS rank FROM den")(lambda spark, d: _dense(spark, d, F.col("label") == 3))
+_fused = "SELECT doc_id, score, sources, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM fused ORDER BY score DESC, doc_id LIMIT 50"
+for _name, _b, _d in (("rrf_fusion", 1.0, 1.0), ("rrf_weighted", 0.3, 0.7)):
+    query(_name, f"WITH {TOK}{POST}{BM}, {DENSE.format(where='')}{FUSE.format(b=_b, d=_d)} {_fused}")(
+        lambda spark, d, b=_b, v=_d: retrieval.fuse({"bm25": _bm25(spark, d), "dense": _dense(spark, d)}, "doc_id", weights={"bm25": b, "dense": v}))
+
+
+@query("hybrid_retrieve", f"""WITH {TOK}{POST}{BM}, {DENSE.format(where='')}{FUSE.format(b=1.0, d=1.0)}, top AS ({_fused})
+  SELECT top.doc_id, top.score, sources, top.rank, CAST(den.rank AS INTEGER) AS dense_rank, CAST(bm.rank AS INTEGER) AS bm25_rank, 0.0::DOUBLE AS rerank_score
+  FROM top JOIN documents USING (doc_id) LEFT JOIN den USING (doc_id) LEFT JOIN bm USING (doc_id) WHERE top.rank <= 10""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    return retrieve(table(spark, d, "documents"), vectors, "doc_id", QUESTION, _vector(spark, d), k=10).select("doc_id", "score", "sources", "rank", "dense_rank", "bm25_rank", "rerank_score")
+
+
+@query("recall_mrr", f"""WITH {TOK}{POST}{BM}, truth AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), hit AS (SELECT rank FROM bm JOIN truth USING (doc_id)),
+  n AS (SELECT greatest(count(*), 1) AS n FROM truth) SELECT round(count(*) FILTER (rank <= 1) / any_value(n), 6) AS recall_1, round(count(*) FILTER (rank <= 3) / any_value(n), 6) AS recall_3,
+  round(count(*) FILTER (rank <= 5) / any_value(n), 6) AS recall_5, round(coalesce(1.0 / min(rank), 0), 6)::DOUBLE AS mrr FROM n LEFT JOIN hit ON true""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.recall_mrr(_bm25(spark, d), table(spark, d, "labels").filter("quality = 1"), "doc_id")
+
+
+@query("redaction", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(AKIA|ASIA)[0-9A-Z]{16}', '[ACCESS_KEY]', 'g'), '(?i)bearer +[a-z0-9._-]{8,}', '[BEARER]', 'g'),
+  '(?i)password=[^ ]+', 'password=[REDACTED]', 'g') AS line FROM (SELECT doc_id, 'k AKIA' || upper(substr(md5(CAST(doc_id AS VARCHAR)), 1, 16)) || ' Bearer ' || md5('b' || doc_id) || ' password=x' || doc_id || ' end' AS t FROM documents)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    line = F.concat(F.lit("k AKIA"), F.upper(F.substring(F.md5(n), 1, 16)), F.lit(" Bearer "), F.md5(F.concat(F.lit("b"), n)), F.lit(" password=x"), n, F.lit(" end"))
+    return table(spark, d, "documents").select("doc_id", evaluate.redact(line).alias("line"))

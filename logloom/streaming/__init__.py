@@ -1 +1 @@
-
+"""The engine is a batch engine: window numbers are global and chronological, which a stream cannot assign."""
