@@ -138,7 +138,9 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, block: int = BLOC
     done = []
     for round_ in range(20):
         h = F.xxhash64(F.lit(round_), "doc_id")
-        now = cut(state.withColumn("h", h).withColumn("block", F.pmod(F.col("h"), F.col("blocks")).cast("int")).groupBy("skey", "block").applyInPandas(_settle, STATE))
+        # One key for source and block: rows dealt by source alone, for the join above, must be dealt anew.
+        dealt = state.withColumn("h", h).withColumn("block", F.pmod(F.col("h"), F.col("blocks")).cast("int")).withColumn("cell", F.concat_ws("|", "block", "skey"))
+        now = cut(dealt.groupBy("cell").applyInPandas(_settle, STATE))
         done.append(now.filter("p = 0 or p = 1"))
         left = now.filter("p > 0 and p < 1")
         if left.isEmpty():
