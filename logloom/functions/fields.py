@@ -65,17 +65,21 @@ def valid_event(source_names: list[str]) -> Column:
     return (F.col("event_id") != "") & F.col("source").isin(source_names) & F.col("status").isin("success", "failure", "info") & parse_iso(F.col("ts")).isNotNull()
 
 
-def tokenize(text: Column) -> Column:
-    """Terms of a log line: each token in lower case, then its camel-case parts and its parts between separators."""
+def tokenize(text: Column, most: int | None = None) -> Column:
+    """Terms of a log line: each token in lower case, then its camel-case parts and its parts between separators.
+
+    ``most`` keeps the first terms; as each token gives at least one, no more tokens than that are taken apart.
+    """
     def terms(raw: Column) -> Column:
         low = F.lower(raw)
         parts = lambda a: F.filter(F.transform(a, F.lower), lambda p: (F.length(p) >= 2) & (p != low))
-        none = F.array().cast("array<string>")
-        address = raw.rlike(IPV4)
-        camel = F.when(~address & raw.rlike("[A-Z]"), parts(F.regexp_extract_all(raw, F.lit(CAMEL), F.lit(0)))).otherwise(none)
-        split = F.when(~address & raw.rlike(SEPARATORS), parts(F.split(raw, SEPARATORS))).otherwise(none)
-        return F.concat(F.array(low), camel, split)
-    return F.flatten(F.transform(F.regexp_extract_all(blank(text), F.lit(TOKEN), F.lit(0)), terms))
+        camel, split = parts(F.regexp_extract_all(raw, F.lit(CAMEL), F.lit(0))), parts(F.split(raw, SEPARATORS))
+        return F.when(raw.rlike("^[a-z0-9]+$"), F.array(raw)).when(raw.rlike(IPV4), F.array(low)).otherwise(F.concat(
+            F.array(low), F.when(raw.rlike("[A-Z]"), camel).otherwise(F.array().cast("array<string>")), split))
+    raw = F.regexp_extract_all(blank(text), F.lit(TOKEN), F.lit(0))
+    if most is None:
+        return F.flatten(F.transform(raw, terms))
+    return F.slice(F.flatten(F.transform(F.slice(raw, 1, most), terms)), 1, most)
 
 
 def truncate(text: Column, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import tokenize
@@ -15,7 +15,7 @@ K1, B, MAX_TOKENS, EPSILON = 1.5, 0.75, 512, 0.25
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, dl`` and for each term ``term, tf``; a document without terms has one row with a null term."""
-    tokens = docs.select(key, F.slice(tokenize(F.col(text)), 1, MAX_TOKENS).alias("t")).select(key, F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
+    tokens = docs.select(key, tokenize(F.col(text), MAX_TOKENS).alias("t")).select(key, F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
     return tokens.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
@@ -32,18 +32,48 @@ def ranked(rows: DataFrame, key: str, k: int) -> DataFrame:
     return rows.orderBy(F.desc("score"), key).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
-def bm25(docs: DataFrame, key: str, query: str, k: int = 50, text: str = "text") -> DataFrame:
-    """``key, score, rank`` of the documents that share a term with the query."""
+def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``term, df, dl`` in one aggregation that combines on the map side: in how many documents a term is.
+
+    The row with a null term counts all documents; its ``dl`` is the sum of their lengths.
+    """
+    terms = docs.select(tokenize(F.col(text), MAX_TOKENS).alias("t")).select(F.size("t").alias("dl"), F.explode(
+        F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("t"))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
+
+
+def query_stats(counts: DataFrame, terms: list[str]) -> DataFrame:
+    """One row: ``avgdl`` and ``idf``, a map of the terms that some document holds."""
+    whole = counts.filter("term is null").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    raw = counts.filter("term is not null").crossJoin(F.broadcast(whole)).select(
+        "term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    asked = F.when(F.col("term").isin(terms), F.struct("term", "raw"))
+    one = raw.agg(F.avg("raw").alias("mean"), F.max("avgdl").alias("avgdl"), F.collect_list(asked).alias("asked"))
+    return one.select("avgdl", F.map_from_entries(F.transform("asked", lambda x: F.struct(
+        x["term"], F.when(x["raw"] < 0, EPSILON * F.col("mean")).otherwise(x["raw"])))).alias("idf"))
+
+
+def bm25(docs: DataFrame, key: str, query: str, k: int = 50, text: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """``key, score, rank`` of the documents that share a term with the query.
+
+    Documents are scored where they are read, without a shuffle: only the query's idf values (one row) go to them.
+    ``counts`` is a stored ``term_counts``; without one it is counted in a pass of its own.
+    """
     spark = docs.sparkSession
     terms = Counter(spark.range(1).select(tokenize(F.lit(query)).alias("t")).first()["t"])
     if not terms or k <= 0:
         return docs.select(key).limit(0).selectExpr(key, "0d as score", "0 as rank")
-    index = postings(docs, key)
-    length = index.select(key, "dl").distinct().agg(F.avg("dl").alias("avgdl"))
-    wanted = index.filter(F.col("term").isin(list(terms))).join(F.broadcast(idf(index, key).filter(F.col("term").isin(list(terms)))), "term").crossJoin(F.broadcast(length))
-    times = F.create_map(*(F.lit(x) for kv in terms.items() for x in kv))[F.col("term")]
-    part = times * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return ranked(wanted.groupBy(key).agg(F.round(F.sum(part), 6).alias("score")), key, k)
+    stats = query_stats(term_counts(docs, text) if counts is None else counts, list(terms))
+    rows = docs.select(key, tokenize(F.col(text), MAX_TOKENS).alias("t")).select(key, F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(list(terms))).alias("t"))
+    scored = rows.filter(F.size("t") > 0).crossJoin(F.broadcast(stats))
+    times = F.create_map(*(F.lit(x) for kv in terms.items() for x in kv))
+    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+
+    def part(term: Column) -> Column:
+        tf = F.size(F.filter("t", lambda x: x == term))
+        return F.element_at(times, term) * F.element_at("idf", term) * tf * (K1 + 1) / (tf + norm)
+    score = F.aggregate(F.array_distinct("t"), F.lit(0.0), lambda s, term: s + part(term))
+    return ranked(scored.select(key, F.round(score, 6).alias("score")), key, k)
 
 
 def dense(vectors: DataFrame, key: str, query: list[float], k: int = 50, column: str = "embedding", where=None) -> DataFrame:
@@ -56,17 +86,22 @@ def dense(vectors: DataFrame, key: str, query: list[float], k: int = 50, column:
     return ranked(rows.select(key, F.round(dot(v, q) / F.nullif(F.sqrt(dot(v, v)) * norm, F.lit(0.0)), 6).alias("score")), key, k)
 
 
-def fuse(rankings: dict[str, DataFrame], key: str, k: int = 60, weights: dict[str, float] | None = None, limit: int = 50) -> DataFrame:
-    """Reciprocal rank fusion: ``key, score, sources, rank``. A weight of 0 drops a retriever."""
+def fuse(rankings: dict[str, DataFrame], key: str, k: int = 60, weights: dict[str, float] | None = None, limit: int = 50, ranks: bool = False) -> DataFrame:
+    """Reciprocal rank fusion: ``key, score, sources, rank``, with ``ranks`` also ``<retriever>_rank``. A weight of 0
+    drops a retriever's part of the score."""
     if k <= 0:
         raise ValueError("k must be positive")
     rows = None
     for name, df in rankings.items():
         w = (weights or {}).get(name, 1.0)
-        if w:
-            one = df.groupBy(key).agg(F.min("rank").alias("rank")).select(key, F.lit(name).alias("retriever"), (F.lit(float(w)) / (k + F.col("rank"))).alias("part"))
+        if w or ranks:
+            one = df.groupBy(key).agg(F.min("rank").alias("rank")).select(key, F.lit(name).alias("retriever"), "rank", F.lit(float(w)).alias("w"))
             rows = one if rows is None else rows.unionByName(one)
-    return ranked(rows.groupBy(key).agg(F.round(F.sum("part"), 9).alias("score"), F.array_join(F.array_sort(F.collect_set("retriever")), ",").alias("sources")), key, limit)
+    counts = F.col("w") != 0
+    both = rows.groupBy(key).agg(
+        F.round(F.sum(F.when(counts, F.col("w") / (k + F.col("rank")))), 9).alias("score"), F.array_join(F.array_sort(F.collect_set(F.when(counts, F.col("retriever")))), ",").alias("sources"),
+        *(F.min(F.when(F.col("retriever") == name, F.col("rank"))).alias(f"{name}_rank") for name in rankings if ranks))
+    return ranked(both.filter("score is not null"), key, limit)
 
 
 def rerank(hits: DataFrame, key: str, scorer: Callable[[DataFrame], DataFrame] | None = None, top_n: int = 50) -> DataFrame:

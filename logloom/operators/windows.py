@@ -25,7 +25,7 @@ def pieces(lines: Column, max_chars: int, max_events: int) -> Column:
         new = (a["n"] > 0) & ((a["chars"] + size > max_chars) | (a["n"] >= max_events))
         piece = a["piece"] + F.when(new, 1).otherwise(0)
         return F.struct(F.when(new, size).otherwise(a["chars"] + size).alias("chars"), F.when(new, 1).otherwise(a["n"] + 1).alias("n"), piece.alias("piece"), F.array_append(a["out"], piece).alias("out"))
-    return F.aggregate(lines, start, step, lambda a: a["out"])
+    return F.when(F.size(lines) == 1, F.array(F.lit(0))).otherwise(F.aggregate(lines, start, step, lambda a: a["out"]))
 
 
 def build_windows(events: DataFrame, gap_minutes: int = 15, max_chars: int = 4800, max_events: int = 120, weights: dict[str, int] | None = None, preserve_case: bool = False) -> DataFrame:
@@ -39,7 +39,7 @@ def build_windows(events: DataFrame, gap_minutes: int = 15, max_chars: int = 480
     groups = session.groupBy(*KEY, "_group").agg(F.array_sort(F.collect_list(F.struct(*fields, line.alias("line")))).alias("e"))
     cut = groups.withColumn("_first", F.get("e", F.lit(0))["ts"]).withColumn("_piece", pieces(F.transform("e", lambda x: x["line"]), max_chars, max_events))
     cut = cut.withColumn("p", F.explode(F.sequence(F.lit(0), F.array_max("_piece")))).withColumn(
-        "e", F.transform(F.filter(F.arrays_zip("e", "_piece"), lambda z: z["_piece"] == F.col("p")), lambda z: z["e"])).drop("_piece")
+        "e", F.when(F.array_max("_piece") == 0, F.col("e")).otherwise(F.transform(F.filter(F.arrays_zip("e", "_piece"), lambda z: z["_piece"] == F.col("p")), lambda z: z["e"]))).drop("_piece")
 
     cut = cut.withColumn("_day", F.substring("_first", 1, 10))
     per_day = cut.groupBy("_day").count()

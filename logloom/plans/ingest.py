@@ -55,6 +55,5 @@ def hashed_embedding(rows: DataFrame, dim: int = 64) -> DataFrame:
 def retrieve(docs: DataFrame, vectors: DataFrame, key: str, question: str, vector: list[float], k: int = 5, pool: int = 50, where=None, scorer=None) -> DataFrame:
     """Dense and BM25 candidates, fused, joined to their rows and reranked; the k best."""
     both = {"dense": retrieval.dense(vectors, key, vector, pool, where=where), "bm25": retrieval.bm25(docs, key, question, pool)}
-    fused = retrieval.fuse(both, key, limit=pool)
-    named = fused.join(both["dense"].select(key, F.col("rank").alias("dense_rank")), key, "left").join(both["bm25"].select(key, F.col("rank").alias("bm25_rank")), key, "left")
+    named = retrieval.fuse(both, key, limit=pool, ranks=True)
     return retrieval.rerank(named.join(docs.select(key, "text"), key), key, scorer).filter(F.col("rank") <= (k or 5)).orderBy("rank")

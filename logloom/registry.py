@@ -162,7 +162,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tokenize", f"WITH {TOK} SELECT doc_id, len(t) AS n_terms, md5(array_to_string(t, ' ')) AS terms_md5 FROM tok")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    t = F.slice(fields.tokenize(F.col("text")), 1, retrieval.MAX_TOKENS)
+    t = fields.tokenize(F.col("text"), retrieval.MAX_TOKENS)
     return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_terms"), F.md5(F.array_join(t, " ")).alias("terms_md5"))
 
 
