@@ -8,9 +8,12 @@
    collections together with a chance below 1e-4.
 3. In every table, rows of a key are linked to the smallest id of their salted part, and the parts to each other:
    stars, never all pairs. Connected candidates form candidate groups, a superset of the tables' pairs.
-4. Within a candidate group all members are compared on full sets, in blocks of about ``BLOCK`` members; a block pair
-   is one unit of work and returns a spanning forest of its links. Comparisons are quadratic in a candidate group as
-   arithmetic on small matrices; the rows that are dealt out grow with its square over BLOCK, and no pair is a row.
+4. Within a candidate group members are compared on full sets, in blocks of about ``BLOCK`` members; a block pair is
+   one unit of work and returns a spanning forest of its links. First each block is compared with itself and with
+   block 0, which is linear in the group. What that connects needs no further comparison inside. Only groups of
+   several blocks that are not one component yet go on: all members outside the group's largest component are
+   compared with each other and with the members inside. So near copies of one text cost linear work however many
+   they are, no pair is a row, and every pair of different components is still compared.
 5. Components of the confirmed links, by star contraction; each class takes the component of its representative.
 
 Edge cases: null or empty texts and texts without words have an empty set and stay alone; with fewer words than a
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, shuffle_parts, with_group_totals
@@ -122,7 +125,7 @@ def plain(docs: DataFrame) -> DataFrame:
 
 
 def sets(rows: DataFrame, width: int) -> DataFrame:
-    """``doc_id, grp, blocks, text`` to ``id, grp, blocks, s``, the sorted shingle set."""
+    """``doc_id, grp, b, partners, text`` to ``id, grp, b, partners, s``, the sorted shingle set."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 512):
@@ -130,9 +133,9 @@ def sets(rows: DataFrame, width: int) -> DataFrame:
                 own = [shingle_set(data, width).view(np.int64) for data in _texts(part)]
                 ends = np.cumsum([0] + [len(k) for k in own]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("grp"), part.column("blocks"),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *own])))], ["id", "grp", "blocks", "s"])
-    return rows.select("doc_id", "grp", "blocks", "text").mapInArrow(work, "id long, grp long, blocks int, s array<long>")
+                    *(part.column(c) for c in ("doc_id", "grp", "b", "partners")),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *own])))], ["id", "grp", "b", "partners", "s"])
+    return rows.select("doc_id", "grp", "b", "partners", "text").mapInArrow(work, "id long, grp long, b int, partners array<int>, s array<long>")
 
 
 def star_edges(rows: DataFrame, key: str) -> DataFrame:
@@ -193,9 +196,8 @@ def forest(ids: np.ndarray, side: np.ndarray, own: list[np.ndarray], threshold:
 
 
 def links(members: DataFrame, threshold: int) -> DataFrame:
-    """Confirmed links ``(u, v)`` within candidate groups; ``members``: ``id, grp, s, blocks``."""
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("b", block).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    """Confirmed links ``(u, v)`` of each member's block ``b`` with its blocks ``partners``; also ``id, grp, s``."""
+    dealt = members.withColumn("c", F.explode("partners")).select(
         "id", "grp", F.least("b", "c").alias("bi"), F.greatest("b", "c").alias("bj"), (F.col("b") > F.col("c")).cast("int").alias("side"), "s")
     parts = shuffle_parts(members)
 
@@ -222,6 +224,31 @@ def links(members: DataFrame, threshold: int) -> DataFrame:
     return dealt.repartition(parts, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj").mapInArrow(work, "u long, v long")
 
 
+def block_of(column: str) -> Column:
+    return F.pmod(F.xxhash64("id"), F.col(column)).cast("int")
+
+
+def first_round(group: DataFrame) -> DataFrame:
+    """Blocks of each group, to be compared with themselves and with block 0: ``id, grp, b, partners``."""
+    b = F.col("b")
+    return group.withColumn("b", block_of("blocks")).select("id", "grp", "b", F.when(b == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), b)).alias("partners"))
+
+
+def second_round(group: DataFrame, known: DataFrame) -> DataFrame:
+    """The comparisons still open in groups of several blocks: ``id, grp, b, partners``.
+
+    Members outside the largest component of ``known`` (``id, component``) fill the first blocks, to be compared with
+    all; those inside fill the others, to be compared with the first blocks only.
+    """
+    rows = cut(group.filter("blocks > 1").join(known, "id", "left").select("id", "grp", F.coalesce("component", "id").alias("comp")))
+    rows = cut(with_group_totals(rows, ["grp", "comp"], "id", n=("count", "id")).withColumn("rank", F.struct("n", "comp")))
+    rows = with_group_totals(rows, ["grp"], "id", top=("max", "rank"), total=("count", "id")).filter("total > top.n").select(
+        "id", "grp", (F.col("comp") == F.col("top.comp")).alias("inside"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("n_in"),
+        F.ceil((F.col("total") - F.col("top.n")) / BLOCK).cast("int").alias("n_out"))
+    last = F.when(F.col("inside"), F.col("n_out")).otherwise(F.col("n_in") + F.col("n_out")) - 1
+    return rows.select("id", "grp", F.when(F.col("inside"), F.col("n_out") + block_of("n_in")).otherwise(block_of("n_out")).alias("b"), F.sequence(F.lit(0), last).alias("partners"))
+
+
 def near_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id, kept``; linked if 100 * shared >= threshold * union."""
     m = tables_for(threshold)
@@ -235,9 +262,14 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFram
     group = components(star_edges(rows, "key")).select("id", F.col("component").alias("grp"))
     group = cut(group.unionByName(group.select(F.col("grp").alias("id"), "grp")).distinct())
     group = with_group_totals(group, ["grp"], "id", n=("count", "id")).select("id", "grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = plain(docs).join(group, F.col("doc_id") == F.col("id")).drop("id")
-    found = links(sets(members, width), threshold)
-    linked = cut(components(found))
+    group = cut(group)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return links(sets(plain(docs).join(pairs, F.col("doc_id") == F.col("id")).drop("id"), width), threshold)
+    linked = cut(components(compared(first_round(group))))
+    if not group.filter("blocks > 1").isEmpty():
+        more = compared(second_round(group, linked))
+        linked = cut(components(linked.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)))
     known = classes.select("doc_id", "n_shingles", "rep").join(
         linked, F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     empty = base.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

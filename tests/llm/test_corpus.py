@@ -183,6 +183,36 @@ def test_near(docs, none):
     assert near_dedup.near_dedup(none).count() == 0
 
 
+def test_near_dedup_in_many_blocks(spark, monkeypatch):
+    """Groups far larger than a block, some of several components, against brute force."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    texts, draw = [], random.Random(11)
+    for _ in range(3):
+        base = words(60).split()
+        for _ in range(45):
+            w = list(base)
+            for i in draw.sample(range(2, 58), draw.choice([0, 1, 1, 2, 2, 3])):
+                w[i] = "new%d" % draw.randrange(10**6)
+            texts.append(" ".join(w))
+    own = [set(zip(t.split(), t.split()[1:], t.split()[2:])) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(own[i] & own[j]) >= 85 * len(own[i] | own[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(rows, 3, 85).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert len(set(got.values())) > 5
+
+
+
 def test_blocks_find_the_same_links():
     import numpy as np
     own = [near_dedup.shingle_set((" ".join(["x%d" % (i // 4)] * 1 + ["w%d" % k for k in range(40)] + ["y%d" % (i % 7)])).encode(), 3) for i in range(30)]
