@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions.fields import render_line
 from .operators import tables, windows
 from .plans import ingest as plans
 
@@ -31,13 +32,19 @@ def stats(spark: SparkSession, out: str, top: int) -> dict:
         "failure_pct": tables.failure_pct(events).first()[0], "windows": rows(windows.summarize(built))[0], "sizes": rows(windows.sizes(built))[0]}
 
 
-def search(spark: SparkSession, out: str, question: str, k: int) -> list[dict]:
-    """The k best windows with their event ids."""
+def search(spark: SparkSession, out: str, question: str, k: int, show_events: bool = False) -> list[dict]:
+    """The k best windows with their event ids, with ``show_events`` also the lines of the events in order."""
     built = spark.read.parquet(f"{out}/windows")
     vector = plans.hashed_embedding(spark.range(1).select(F.lit(question).alias("text"))).first()["embedding"]
-    docs = built.withColumn("text", F.coalesce(F.nullif("search_text", F.lit("")), "text"))
-    hits = plans.retrieve(docs, spark.read.parquet(f"{out}/vectors"), "chunk_id", question, list(vector), k=k).drop("text")
-    return [r.asDict() for r in hits.join(built.select("chunk_id", "event_ids", "text"), "chunk_id").orderBy("rank").collect()]
+    hits = plans.retrieve(plans.searched(built), spark.read.parquet(f"{out}/vectors"), "chunk_id", question, list(vector), k=k,
+                          counts=plans.stored(spark, f"{out}/terms")).drop("text").join(built.select("chunk_id", "event_ids", "text"), "chunk_id")
+    if show_events:
+        events = spark.read.parquet(f"{out}/events")
+        lines = hits.select("chunk_id", F.posexplode("event_ids").alias("i", "event_id")).join(
+            events.select("event_id", render_line({c: F.col(c) for c in events.columns}).alias("line")), "event_id").groupBy("chunk_id").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]).alias("events"))
+        hits = hits.join(lines, "chunk_id", "left")
+    return [r.asDict() for r in hits.orderBy("rank").collect()]
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -49,13 +56,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if name == "ingest":
             c.add_argument("--raw", required=True)
             c.add_argument("--year", type=int, default=datetime.now(timezone.utc).year)
+            c.add_argument("--limit", type=int)
+            c.add_argument("--rebuild", action="store_true", help="drop the events stored before")
         if name == "stats":
             c.add_argument("--top", type=int, default=5)
         if name == "index":
-            c.add_argument("--reset", action="store_true")
+            c.add_argument("--reset", "--no-resume", action="store_true", help="embed all windows anew")
+            c.add_argument("--limit", type=int)
+            c.add_argument("--check", action="store_true", help="only compare the index with the windows; exit code 1 if they differ")
         if name == "search":
             c.add_argument("query")
             c.add_argument("-k", type=int, default=5)
+            c.add_argument("--no-rerank", action="store_true", help="no effect: there is no reranking model here")
+            c.add_argument("--show-events", action="store_true")
         if name != "version":
             c.add_argument("--out", required=True)
     a = p.parse_args(argv)
@@ -68,13 +81,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 2
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "ingest":
-        say(plans.ingest(spark, a.raw, a.out, a.year), a.json)
+        say(plans.ingest(spark, a.raw, a.out, a.year, limit=a.limit, rebuild=a.rebuild), a.json)
     elif a.command == "stats":
         say(stats(spark, a.out, a.top), a.json)
+    elif a.command == "index" and a.check:
+        health = plans.index_health(spark, a.out)
+        say(health, a.json)
+        return 0 if health["healthy"] else 1
     elif a.command == "index":
-        say({"embedded": plans.index(spark, a.out, plans.hashed_embedding, a.reset)}, a.json)
+        say({"embedded": plans.index(spark, a.out, plans.hashed_embedding, a.reset, a.limit)}, a.json)
     else:
-        for hit in search(spark, a.out, a.query, a.k):
+        for hit in search(spark, a.out, a.query, a.k, a.show_events):
             say(hit, a.json)
     return 0
 

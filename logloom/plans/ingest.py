@@ -4,56 +4,119 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fields
 from ..operators import retrieval, tables, windows
 from ..sources.logs import load_events
 
 
-def ingest(spark: SparkSession, raw: str, out: str, year: int, gap_minutes: int = 15) -> dict:
-    """Parse, keep one row per event_id, window, and write ``events``, ``windows`` and ``window_events`` as Parquet."""
+#: What a vector's window must still agree on: ids are places in time, which an ingest of more events moves.
+SAME = ["chunk_id", "source", "principal", "src_ip", "ts_start", "ts_end", "n_events"]
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table, or None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as none:
+        if "PATH_NOT_FOUND" not in str(none):
+            raise
+    return None
+
+
+def ingest(spark: SparkSession, raw: str, out: str, year: int, gap_minutes: int = 15, limit: int | None = None, rebuild: bool = False) -> dict:
+    """Parse, keep one row per event_id, window, and write ``events``, ``windows`` and ``window_events`` as Parquet.
+
+    Events stored before stay unless ``rebuild``; of equal ids the new one wins. All windows are built anew, so none
+    is stale. ``limit`` takes the first events by file and place.
+    """
     events, counters = load_events(spark, raw, year)
-    events.withColumn("_seq", F.col("raw_ref")).transform(lambda d: tables.upsert(d, "event_id", "_seq")).write.mode("overwrite").parquet(f"{out}/events")
-    stored = spark.read.parquet(f"{out}/events")
-    windows.build_windows(stored, gap_minutes).write.mode("overwrite").parquet(f"{out}/windows")
+    if limit is not None:
+        place = F.regexp_extract("raw_ref", "([0-9]+)$", 1).cast("long")
+        events = events.orderBy(F.regexp_replace("raw_ref", ":[0-9]+$", ""), place).limit(limit)
+    rows = events.withColumn("_seq", F.struct(F.lit(1), "raw_ref"))
+    before = None if rebuild else stored(spark, f"{out}/events")
+    if before is not None:
+        rows = rows.unionByName(before.withColumn("_seq", F.struct(F.lit(0), "raw_ref")))
+    kept = tables.upsert(rows, "event_id", "_seq")
+    if before is not None:  # a table can't be overwritten while it is read
+        kept.write.mode("overwrite").parquet(f"{out}/_merged")
+        kept = spark.read.parquet(f"{out}/_merged")
+    kept.write.mode("overwrite").parquet(f"{out}/events")
+    now = spark.read.parquet(f"{out}/events")
+    windows.build_windows(now, gap_minutes).write.mode("overwrite").parquet(f"{out}/windows")
     built = spark.read.parquet(f"{out}/windows")
     windows.membership(built).write.mode("overwrite").parquet(f"{out}/window_events")
-    return counters.first().asDict() | {"events": stored.count()} | windows.summarize(built).first().asDict()
+    return counters.first().asDict() | {"events": now.count()} | windows.summarize(built).first().asDict()
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def index(spark: SparkSession, out: str, embed: Callable[[DataFrame], DataFrame], reset: bool = False) -> int:
-    """Embed the windows that the index lacks and append them; returns how many. ``embed`` adds ``embedding``."""
-    rows, path = spark.read.parquet(f"{out}/windows").select("chunk_id", "source", "principal", "src_ip", "ts_start", "ts_end", "n_events", "n_failures", "risk_score", "text"), f"{out}/vectors"
-    if not reset:
-        try:
-            rows = tables.missing(rows, spark.read.parquet(path), "chunk_id")
-        except Exception as none:  # no index yet
-            if "PATH_NOT_FOUND" not in str(none):
-                raise
-    todo = embed(rows).drop("text").cache()
+def searched(built: DataFrame) -> DataFrame:
+    """Windows with the text that BM25 sees as ``text``."""
+    return built.withColumn("text", F.coalesce(F.nullif("search_text", F.lit("")), "text"))
+
+
+def index(spark: SparkSession, out: str, embed: Callable[[DataFrame], DataFrame], reset: bool = False, limit: int | None = None) -> int:
+    """Embed the windows that the index lacks and append them; returns how many. ``embed`` adds ``embedding``.
+
+    Term counts for BM25 are stored beside the vectors, and the facts of the build in ``index_meta``. ``limit`` takes
+    the first windows by id.
+    """
+    built, path = spark.read.parquet(f"{out}/windows"), f"{out}/vectors"
+    rows = built.select("chunk_id", "source", "principal", "src_ip", "ts_start", "ts_end", "n_events", "n_failures", "risk_score", "text")
+    rows = rows if limit is None else rows.orderBy("chunk_id").limit(limit)
+    done = None if reset else stored(spark, path)
+    todo = embed(rows if done is None else tables.missing(rows, done, "chunk_id")).drop("text").cache()
     todo.write.mode("overwrite" if reset else "append").parquet(path)
     n = todo.count()
     todo.unpersist()
+    retrieval.term_counts(searched(built)).write.mode("overwrite").parquet(f"{out}/terms")
+    total = spark.read.parquet(path).agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dim"))
+    total.withColumn("built_at", F.lit(fields.utc_now())).coalesce(1).write.mode("overwrite").json(f"{out}/index_meta")
     return n
 
 
+def index_meta(spark: SparkSession, out: str) -> dict:
+    """Facts of the last build; empty if there are none."""
+    try:
+        row = spark.read.schema("vectors long, dim int, built_at string").json(f"{out}/index_meta").first()
+    except AnalysisException as none:
+        if "PATH_NOT_FOUND" not in str(none):
+            raise
+        return {}
+    return row.asDict() if row and row["vectors"] is not None else {}
+
+
+def index_health(spark: SparkSession, out: str) -> dict:
+    """What the build says against what is stored: missing windows, vectors of windows that are gone, repeated ones."""
+    built, vectors = spark.read.parquet(f"{out}/windows"), stored(spark, f"{out}/vectors")
+    meta = index_meta(spark, out)
+    if vectors is None:
+        return {"windows": built.count(), "vectors": 0, "missing": built.count(), "stale": 0, "repeated": 0, "dim": None, "healthy": False}
+    seen = vectors.agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("ids"), F.max(F.size("embedding")).alias("dim")).first()
+    facts = {"windows": built.count(), "vectors": seen["n"], "missing": tables.missing(built, vectors, "chunk_id").count(),
+             "stale": vectors.join(built.select(*SAME), SAME, "left_anti").count(), "repeated": seen["n"] - seen["ids"], "dim": seen["dim"]}
+    good = meta.get("vectors") == seen["n"] and meta.get("dim") == seen["dim"] and not (facts["missing"] or facts["stale"] or facts["repeated"])
+    return facts | {"healthy": good}
+
+
 def hashed_embedding(rows: DataFrame, dim: int = 64) -> DataFrame:
     """Deterministic stand-in for a model: signed hashed term counts of ``text``, of length 1."""
-    from ..functions.fields import tokenize
-    spot = F.transform(tokenize(F.col("text")), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+    spot = F.transform(fields.tokenize(F.col("text")), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter("_spot", lambda s: s == i)).cast("double"))
     norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda s, x: s + x * x))
     return rows.withColumn("_spot", spot).withColumn("_counts", counts).withColumn(
         "embedding", F.transform("_counts", lambda x: (x / F.greatest(norm, F.lit(1e-12))).cast("float"))).drop("_spot", "_counts")
 
 
-def retrieve(docs: DataFrame, vectors: DataFrame, key: str, question: str, vector: list[float], k: int = 5, pool: int = 50, where=None, scorer=None) -> DataFrame:
+def retrieve(docs: DataFrame, vectors: DataFrame, key: str, question: str, vector: list[float], k: int = 5, pool: int = 50, where=None, scorer=None, counts: DataFrame | None = None) -> DataFrame:
     """Dense and BM25 candidates, fused, joined to their rows and reranked; the k best."""
-    both = {"dense": retrieval.dense(vectors, key, vector, pool, where=where), "bm25": retrieval.bm25(docs, key, question, pool)}
+    both = {"dense": retrieval.dense(vectors, key, vector, pool, where=where), "bm25": retrieval.bm25(docs, key, question, pool, counts=counts)}
     named = retrieval.fuse(both, key, limit=pool, ranks=True)
     return retrieval.rerank(named.join(docs.select(key, "text"), key), key, scorer).filter(F.col("rank") <= (k or 5)).orderBy("rank")
