@@ -1,14 +1,16 @@
 """Toxic passages by maximum-scoring segments of token log-odds, with extreme-value calibration.
 
 Fit, on a bounded sample of labelled documents (``per_class`` toxic ones, twice as many others, by a hash of doc_id):
-log-odds between the classes of each word and of each word beginning (3 to 6 letters), by the documents that hold it,
-smoothed by an informative Dirichlet prior (``PRIOR`` times the pooled counts). A token takes the log-odds of its
-form that is surest to be far from 0, if they are ``Z`` standard errors from it; all others cost ``DRIFT``. All maximal
-scoring segments of a text are found in one linear scan (Ruzzo and Tompa). Under the clean token frequencies a best
-segment follows an extreme-value law: the chance to see score S among n tokens is 1 - exp(-K n exp(-lambda S)), with
-lambda the root of the moment equation and K matched to the clean sample. Segments with log E below 0 are
-significant; a logistic curve over the best segment's log E, the number of significant segments and their excess
-gives the score, corrected for the rates of the sample.
+log-odds between the classes of each word and of each word beginning (3 to 8 letters), by the documents that hold it,
+under nested Dirichlet priors: a form's prior counts (``PRIOR`` documents) are split as its next shorter form's, the
+shortest form's as all documents. A token takes the log-odds of its longest form that departs from the base rate
+(signed root of the likelihood ratio at least ``Z``); all others, and a token seen ``NEAR`` tokens ago or less, which
+is no new evidence, cost ``DRIFT``. All maximal scoring segments of a text are found in one linear scan (Ruzzo and
+Tompa). Under the clean token frequencies a best segment follows an extreme-value law: the chance to see score S among
+n tokens is 1 - exp(-K n exp(-lambda S)), with lambda the root of the moment equation and K matched to the clean
+sample. Segments with log E below 0 are significant; a logistic curve over the best segment's log E, the number of
+significant segments and their excess gives the score, corrected for the rates of the sample. The curve and K are
+fitted on segments of documents whose own words were left out (``FOLDS`` parts, copies of a text in the same one).
 
 Edge cases: null and empty texts have no tokens and get the score of no evidence; without labels of both classes all
 scores are the rate of toxic labels, or 0; repeated rows score alike. Only text is an input of a score.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_CLASS, PRIOR, Z, DRIFT = 2000, 0.02, 3.0, -0.08
+PER_CLASS, PRIOR, Z, DRIFT, NEAR, FOLDS = 2000, 2.0, 3.0, -0.08, 50, 4
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -55,74 +58,100 @@ def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[float,
 
 
 def forms(word: str) -> list[str]:
-    """The word and its beginnings as keys of the model."""
-    return [word, *(word[:k] + "*" for k in range(3, min(7, len(word) + 1)))]
+    """The beginnings of a word and the word itself as keys of the model, shortest first."""
+    return [*(word[:k] + "*" for k in range(3, min(9, len(word) + 1))), word]
 
 
 class Odds(dict):
     """Log-odds of each word seen so far, None for a word that only costs the drift."""
 
-    def __init__(self, known: dict[str, tuple[float, float]]):
+    def __init__(self, known: dict[str, float]):
         super().__init__()
         self.known = known
 
     def __missing__(self, word: str) -> float | None:
         if len(self) > 500_000:
             self.clear()
-        best = max((self.known[f] for f in forms(word) if f in self.known), key=lambda x: x[0], default=(0.0, None))
-        self[word] = best[1]
-        return best[1]
+        self[word] = next((self.known[f] for f in reversed(forms(word)) if f in self.known), None)
+        return self[word]
 
     def __reduce__(self):
         return Odds, (self.known,)
 
 
-def evidence(text: str | None, model: dict) -> tuple[list[float], list[tuple[float, int, int]]]:
+def tokens_of(text: str | None) -> list[str]:
+    return TOKEN.findall((text or "").lower())
+
+
+def marked(tokens: list[str], odds: Odds) -> list[tuple[int, float]]:
+    """Places and log-odds of the tokens that do not cost the drift."""
+    out, last = [], {}
+    for i, t in enumerate(tokens):
+        s = odds[t]
+        if s is not None:
+            if i - last.get(t, -NEAR - 1) > NEAR:
+                out.append((i, s))
+            last[t] = i
+    return out
+
+
+def evidence(tokens: list[str], model: dict) -> tuple[list[float], list[tuple[float, int, int]]]:
     """Features of a text, and its significant segments."""
-    tokens = TOKEN.findall((text or "").lower())
-    n = max(1, len(tokens))
-    hits = [(i, s) for i, s in enumerate(map(model["odds"].__getitem__, tokens)) if s is not None]
-    found = segments(hits, DRIFT) if hits else []
-    level = math.log(model["k"] * n)
+    found = segments(marked(tokens, model["odds"]), DRIFT)
+    level = math.log(model["k"] * max(1, len(tokens)))
     sure = [x for x in found if model["lambda"] * x[0] > level]
     best = max((x[0] for x in found), default=0.0)
     excess = sum(model["lambda"] * x[0] - level for x in sure)
-    return [min(30.0, max(-30.0, model["lambda"] * best - level)), math.log1p(len(sure)), math.log1p(excess), float(best > 0)], sure
-
-
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = PER_CLASS) -> dict:
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    empty = {"odds": Odds({}), "lambda": 1.0, "k": 1.0, "w": [0.0] * 5, "rate": float(not n.get(0) and bool(n.get(1)))}
-    if not n.get(0) or not n.get(1):
-        return empty
-    part = {y: min(1.0, per_class * (2 - y) / n[y]) for y in (0, 1)}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000))
-    ids = known.filter(draw < F.when(F.col("toxic") == 1, math.ceil(1e6 * part[1])).otherwise(math.ceil(1e6 * part[0])))
-    # The sample is bounded by per_class, whatever the tables hold, so its ids may be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "doc_id", "text").collect()
-    rows = sorted((r["doc_id"], r["toxic"], r["text"] or "") for r in rows)
-    y = np.array([r[1] for r in rows], float)
-    if not 0 < y.sum() < len(y):
-        return empty
-    counts, words, size = [Counter(), Counter()], Counter(), [1, 1]
-    for _, label, text in rows:
-        own = set(TOKEN.findall(text.lower()))
-        counts[label].update({f for w in own for f in forms(w)})
-        size[label] += len(own)
-        if not label:
-            words.update(own)
-    known = {}
-    for w, total in (counts[0] + counts[1]).items():
-        a = PRIOR * total + 0.01
-        y1, y0 = counts[1][w] + a, counts[0][w] + a
-        d = math.log(y1 / (size[1] + a)) - math.log(y0 / (size[0] + a))
-        error = math.sqrt(1 / y1 + 1 / y0)
-        if abs(d) >= Z * error:
-            known[w] = (abs(d) - 2 * error, d)
-    odds = Odds(known)
-    model = {"odds": odds, "lambda": 1.0, "k": 1.0}
-    freq = [(c / size[0], odds[w]) for w, c in words.items() if odds[w] is not None]
+    return [min(30.0, max(-30.0, model["lambda"] * best - level)), math.log1p(len(sure)), math.log1p(excess)], sure
+
+
+def form_counts(rows: list[tuple[int, list[str]]], fold: list[int]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Forms, shorter ones first along a word, each one's next shorter form (a place in the list), and the counts of
+    documents that hold it by fold and class. At place 0, the empty form, the distinct words of documents are counted."""
+    place, above, chain = {"": 0}, [0], {}
+    held = []
+    for _, tokens in rows:
+        own = set(tokens)
+        for w in own:
+            if w in chain:
+                continue
+            last, ids = 0, []
+            for f in forms(w):
+                if f not in place:
+                    place[f] = len(above)
+                    above.append(last)
+                last = place[f]
+                ids.append(last)
+            chain[w] = np.array(ids, np.int32)
+        held.append((len(own), np.unique(np.concatenate([np.empty(0, np.int32), *(chain[w] for w in own)]))))
+    counts = np.zeros((FOLDS, 2, len(above)), np.int64)
+    for (label, _), f, (n, ids) in zip(rows, fold, held):
+        counts[f, label, ids] += 1
+        counts[f, label, 0] += n
+    return list(place), np.array(above), counts
+
+
+def learn_odds(names: list[str], above: np.ndarray, counts: np.ndarray) -> Odds:
+    """From ``counts`` by class; forms of one document say no more than shorter ones and are left out."""
+    n0, n1 = counts[:, 0] + 1.0
+    base = n1 / (n0 + n1)
+    share, total = np.full(len(names), base), counts.sum(axis=0)
+    level = np.array([0] + [len(f) if f[-1] == "*" else 99 for f in names[1:]])
+    for size in np.unique(level[1:]):
+        at = np.flatnonzero((level == size) & (total > 1))
+        share[at] = (counts[1, at] + PRIOR * share[above[at]]) / (total[at] + PRIOR)
+    at = np.flatnonzero((level > 0) & (total > 1))
+    p, n = share[at], total[at] + PRIOR
+    sure = 2 * n * (p * np.log(p / base) + (1 - p) * np.log((1 - p) / (1 - base))) >= Z * Z
+    odds = np.log(p / (1 - p)) - math.log(base / (1 - base))
+    return Odds({names[i]: s for i, s in zip(at[sure].tolist(), odds[sure].tolist())})
+
+
+def law(odds: Odds, clean: list[list[str]]) -> float:
+    """Lambda: the root of the moment equation under the clean documents' words."""
+    words = Counter(w for tokens in clean for w in set(tokens))
+    size = 1 + words.total()
+    freq = [(c / size, odds[w]) for w, c in words.items() if odds[w] is not None]
     rest = 1 - sum(p for p, _ in freq)
     moment = lambda t: rest * math.exp(t * DRIFT) + sum(p * math.exp(min(50.0, t * s)) for p, s in freq) - 1
     lo, hi = 1e-3, 1.0
@@ -131,22 +160,48 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = PE
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if moment(mid) < 0 else (lo, mid)
-    model["lambda"] = hi
-    best = [(max((s for s, _, _ in segments([(i, odds[t]) for i, t in enumerate(ts) if odds[t] is not None], DRIFT)), default=0.0), len(ts))
-            for ts in (TOKEN.findall(r[2].lower()) for r in rows if r[1] == 0)]
+    return hi
+
+
+def learn(rows: list[tuple[int, list[str]]], offset: float = 0.0) -> dict:
+    """The model of (label, tokens) of documents of both classes; ``offset`` is added to the curve."""
+    fold = [zlib.crc32(" ".join(t).encode()) % FOLDS for _, t in rows]
+    names, above, counts = form_counts(rows, fold)
+    odds = learn_odds(names, above, counts.sum(axis=0))
+    apart = [learn_odds(names, above, counts.sum(axis=0) - counts[i]) for i in range(FOLDS)]
+    model = {"odds": odds, "lambda": law(odds, [t for y, t in rows if not y]), "k": 1.0}
+    best = [(max((s for s, _, _ in segments(marked(t, apart[f]), DRIFT)), default=0.0), len(t)) for (y, t), f in zip(rows, fold) if not y]
     if tops := sorted(s for s, _ in best if s > 0):
         x = tops[len(tops) // 2]
         share = min(0.99, sum(s >= x for s, _ in best) / len(best))
         model["k"] = max(1e-6, -math.log(1 - share) / (np.mean([max(1, k) for _, k in best]) * math.exp(-model["lambda"] * x)))
-    x = np.array([[1.0, *evidence(r[2], model)[0]] for r in rows])
+    y = np.array([r[0] for r in rows], float)
+    x = np.array([[1.0, *evidence(t, model | {"odds": apart[f]})[0]] for (_, t), f in zip(rows, fold)])
     w, ridge = np.zeros(x.shape[1]), np.diag([0.0] + [1e-2] * (x.shape[1] - 1))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w += np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
-    w[0] += math.log(part[0] / part[1])
+    w[0] += offset
     return model | {"w": w.tolist(), "rate": None}
 
 
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = PER_CLASS) -> dict:
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    empty = {"odds": Odds({}), "lambda": 1.0, "k": 1.0, "w": [0.0] * 4, "rate": float(not n.get(0) and bool(n.get(1)))}
+    if not n.get(0) or not n.get(1):
+        return empty
+    part = {y: min(1.0, per_class * (2 - y) / n[y]) for y in (0, 1)}
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000))
+    ids = known.filter(draw < F.when(F.col("toxic") == 1, math.ceil(1e6 * part[1])).otherwise(math.ceil(1e6 * part[0])))
+    # The sample is bounded by per_class, whatever the tables hold, so its ids may be broadcast.
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "doc_id", "text").collect()
+    rows = [(r["toxic"], tokens_of(r["text"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))]
+    if not 0 < sum(y for y, _ in rows) < len(rows):
+        return empty
+    return learn(rows, math.log(part[0] / part[1]))
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with ``score``, ``predicted`` and ``passages`` (score, first and last token); these names replace columns."""
     w = model["w"]
@@ -155,7 +210,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             score, passages = [], []
             for text in batch:
-                x, sure = evidence(text.as_py(), model)
+                x, sure = evidence(tokens_of(text.as_py()), model)
                 z = w[0] + sum(a * b for a, b in zip(w[1:], x))
                 score.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if model["rate"] is None else model["rate"])
                 passages.append([{"s": s, "first": a, "last": b} for s, a, b in sure])
