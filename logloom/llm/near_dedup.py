@@ -8,11 +8,11 @@
    collections together with a chance below 1e-4.
 3. In every table, rows of a key are linked to the smallest id of their salted part, and the parts to each other:
    stars, never all pairs. Connected candidates form candidate groups, a superset of the tables' pairs.
-4. Within a candidate group members are compared on full sets, in blocks of about ``BLOCK`` members; a block pair is
-   one unit of work and returns a spanning forest of its links. First each block is compared with itself and with
+4. Within a candidate group members are compared on full sets, in blocks; a block pair is one unit of work and returns
+   a spanning forest of its links. First each block of about ``FIRST`` members is compared with itself and with
    block 0, which is linear in the group. What that connects needs no further comparison inside. Only groups of
    several blocks that are not one component yet go on: all members outside the group's largest component are
-   compared with each other and with the members inside. So near copies of one text cost linear work however many
+   compared with each other and with the members inside, in blocks of about ``BLOCK``. So near copies of one text cost linear work however many
    they are, no pair is a row, and every pair of different components is still compared.
 5. Components of the confirmed links, by star contraction; each class takes the component of its representative.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, shuffle_parts, with_group_totals
 
-HALF, BLOCK = 2, 512
+HALF, FIRST, BLOCK = 2, 128, 512
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _rng = np.random.default_rng(20240601)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -261,7 +261,7 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFram
     rows = classes.filter("doc_id = rep").select("doc_id", F.explode(pairs).alias("key"))
     group = components(star_edges(rows, "key")).select("id", F.col("component").alias("grp"))
     group = cut(group.unionByName(group.select(F.col("grp").alias("id"), "grp")).distinct())
-    group = with_group_totals(group, ["grp"], "id", n=("count", "id")).select("id", "grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    group = with_group_totals(group, ["grp"], "id", n=("count", "id")).select("id", "grp", F.ceil(F.col("n") / FIRST).cast("int").alias("blocks"))
     group = cut(group)
 
     def compared(pairs: DataFrame) -> DataFrame:
