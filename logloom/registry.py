@@ -138,6 +138,13 @@ on_windows("window_text", """SELECT chunk_id, '[WINDOW ' || chunk_id || '] ' ||
   || CASE status WHEN 'success' THEN 'OK' WHEN 'failure' THEN 'FAIL' ELSE 'INFO' END || ' | ' || w.principal || ' | - | -', chr(10) ORDER BY w.ts, event_id) AS text FROM win w JOIN agg a USING (chunk_id) GROUP BY chunk_id""",
            lambda w: w.select("chunk_id", "text"))
 
+on_windows("windows_by_source", "SELECT 'app' AS source, count(*) AS n FROM agg GROUP BY 1", lambda w: tables.count_by(w, "source"))
+on_windows("window_risk", "SELECT chunk_id, risk_score FROM agg", lambda w: w.select("chunk_id", "risk_score"))
+on_windows("high_risk_windows", f"SELECT {', '.join(_W)} FROM agg WHERE risk_score >= 50", lambda w: w.filter("risk_score >= 50").select(*_W))
+on_windows("window_search_text", """SELECT chunk_id, lower('app ' || any_value(w.principal) || ' ' || replace(any_value(event_names), ',', ' ') || ' ' || string_agg(action || ' ' || w.principal || '    ' || event_id
+  || CASE status WHEN 'failure' THEN ' failure failed error denied' ELSE '' END, ' ' ORDER BY w.ts, event_id)) AS search_text FROM win w JOIN agg USING (chunk_id) GROUP BY chunk_id""",
+           lambda w: w.select("chunk_id", "search_text"))
+
 
 @query("events_of_window", f"WITH {EV}{W720} SELECT event_id, ts, action, CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS INTEGER) AS position FROM win WHERE chunk_id = 'w-00003'")
 def _(spark: SparkSession, d: str) -> DataFrame:
@@ -205,6 +212,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return retrieve(table(spark, d, "documents"), vectors, "doc_id", QUESTION, _vector(spark, d), k=10).select("doc_id", "score", "sources", "rank", "dense_rank", "bm25_rank", "rerank_score")
 
 
+@query("rerank_null", f"WITH {DENSE.format(where='')} SELECT doc_id, score, CAST(rank AS INTEGER) AS rank, 0.0::DOUBLE AS rerank_score FROM den")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.rerank(_dense(spark, d), "doc_id")
+
+
+@query("rerank_head", f"""WITH {DENSE.format(where='')} SELECT doc_id, score, CAST(row_number() OVER (ORDER BY rank > 10, CASE WHEN rank <= 10 THEN doc_id % 7 END DESC NULLS LAST, rank) AS INTEGER) AS rank,
+  CASE WHEN rank <= 10 THEN CAST(doc_id % 7 AS DOUBLE) END AS rerank_score FROM den""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The first 10 of the dense list by a stand-in for a model's score."""
+    return retrieval.rerank(_dense(spark, d), "doc_id", lambda hits: hits.withColumn("rerank_score", (F.col("doc_id") % 7).cast("double")), top_n=10)
+
+
+@query("vocabulary_size", f"WITH {TOK}{POST} SELECT count(DISTINCT term) AS n_terms FROM post")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.postings(table(spark, d, "documents"), "doc_id").agg(F.countDistinct("term").alias("n_terms"))
+
+
 @query("recall_mrr", f"""WITH {TOK}{POST}{BM}, truth AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), hit AS (SELECT rank FROM bm JOIN truth USING (doc_id)),
   n AS (SELECT greatest(count(*), 1) AS n FROM truth) SELECT round(count(*) FILTER (rank <= 1) / any_value(n), 6) AS recall_1, round(count(*) FILTER (rank <= 3) / any_value(n), 6) AS recall_3,
   round(count(*) FILTER (rank <= 5) / any_value(n), 6) AS recall_5, round(coalesce(1.0 / min(rank), 0), 6)::DOUBLE AS mrr FROM n LEFT JOIN hit ON true""")
