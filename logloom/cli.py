@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.fields import render_line
-from .operators import tables, windows
+from .operators import retrieval, tables, windows
 from .plans import ingest as plans
 
 VERSION = "0.1.0"
@@ -37,7 +37,7 @@ def search(spark: SparkSession, out: str, question: str, k: int, show_events: bo
     built = spark.read.parquet(f"{out}/windows")
     vector = plans.hashed_embedding(spark.range(1).select(F.lit(question).alias("text"))).first()["embedding"]
     hits = plans.retrieve(plans.searched(built), spark.read.parquet(f"{out}/vectors"), "chunk_id", question, list(vector), k=k,
-                          counts=plans.stored(spark, f"{out}/terms")).drop("text").join(built.select("chunk_id", "event_ids", "text"), "chunk_id")
+                          counts=plans.stored(spark, f"{out}/terms"), max_tokens=retrieval.MAX_TOKENS).drop("text").join(built.select("chunk_id", "event_ids", "text"), "chunk_id")
     if show_events:
         events = spark.read.parquet(f"{out}/events")
         lines = hits.select("chunk_id", F.posexplode("event_ids").alias("i", "event_id")).join(

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import tokenize
 
-K1, B, MAX_TOKENS, EPSILON = 1.5, 0.75, 512, 0.25
+K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Terms of a log window that its index reads. Operators take ``max_tokens``; None or 0 reads the whole text.
+MAX_TOKENS = 512
 
 
-def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+def postings(docs: DataFrame, key: str, text: str = "text", max_tokens: int | None = None) -> DataFrame:
     """``key, dl`` and for each term ``term, tf``; a document without terms has one row with a null term."""
-    tokens = docs.select(key, tokenize(F.col(text), MAX_TOKENS).alias("t")).select(key, F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
+    tokens = docs.select(key, tokenize(F.col(text), max_tokens or None).alias("t")).select(key, F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
     return tokens.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
@@ -32,12 +34,12 @@ def ranked(rows: DataFrame, key: str, k: int) -> DataFrame:
     return rows.orderBy(F.desc("score"), key).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
-def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+def term_counts(docs: DataFrame, text: str = "text", max_tokens: int | None = None) -> DataFrame:
     """``term, df, dl`` in one aggregation that combines on the map side: in how many documents a term is.
 
     The row with a null term counts all documents; its ``dl`` is the sum of their lengths.
     """
-    terms = docs.select(tokenize(F.col(text), MAX_TOKENS).alias("t")).select(F.size("t").alias("dl"), F.explode(
+    terms = docs.select(tokenize(F.col(text), max_tokens or None).alias("t")).select(F.size("t").alias("dl"), F.explode(
         F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("t"))).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
 
@@ -53,18 +55,18 @@ def query_stats(counts: DataFrame, terms: list[str]) -> DataFrame:
         x["term"], F.when(x["raw"] < 0, EPSILON * F.col("mean")).otherwise(x["raw"])))).alias("idf"))
 
 
-def bm25(docs: DataFrame, key: str, query: str, k: int = 50, text: str = "text", counts: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, key: str, query: str, k: int = 50, text: str = "text", counts: DataFrame | None = None, max_tokens: int | None = None) -> DataFrame:
     """``key, score, rank`` of the documents that share a term with the query.
 
     Documents are scored where they are read, without a shuffle: only the query's idf values (one row) go to them.
-    ``counts`` is a stored ``term_counts``; without one it is counted in a pass of its own.
+    ``counts`` is a stored ``term_counts`` of the same ``max_tokens``; without one it is counted in a pass of its own.
     """
     spark = docs.sparkSession
     terms = Counter(spark.range(1).select(tokenize(F.lit(query)).alias("t")).first()["t"])
     if not terms or k <= 0:
         return docs.select(key).limit(0).selectExpr(key, "0d as score", "0 as rank")
-    stats = query_stats(term_counts(docs, text) if counts is None else counts, list(terms))
-    rows = docs.select(key, tokenize(F.col(text), MAX_TOKENS).alias("t")).select(key, F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(list(terms))).alias("t"))
+    stats = query_stats(term_counts(docs, text, max_tokens) if counts is None else counts, list(terms))
+    rows = docs.select(key, tokenize(F.col(text), max_tokens or None).alias("t")).select(key, F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(list(terms))).alias("t"))
     scored = rows.filter(F.size("t") > 0).crossJoin(F.broadcast(stats))
     times = F.create_map(*(F.lit(x) for kv in terms.items() for x in kv))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))

@@ -76,7 +76,7 @@ def index(spark: SparkSession, out: str, embed: Callable[[DataFrame], DataFrame]
     todo.write.mode("overwrite" if reset else "append").parquet(path)
     n = todo.count()
     todo.unpersist()
-    retrieval.term_counts(searched(built)).write.mode("overwrite").parquet(f"{out}/terms")
+    retrieval.term_counts(searched(built), max_tokens=retrieval.MAX_TOKENS).write.mode("overwrite").parquet(f"{out}/terms")
     total = spark.read.parquet(path).agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dim"))
     total.withColumn("built_at", F.lit(fields.utc_now())).coalesce(1).write.mode("overwrite").json(f"{out}/index_meta")
     return n
@@ -115,8 +115,8 @@ def hashed_embedding(rows: DataFrame, dim: int = 64) -> DataFrame:
         "embedding", F.transform("_counts", lambda x: (x / F.greatest(norm, F.lit(1e-12))).cast("float"))).drop("_spot", "_counts")
 
 
-def retrieve(docs: DataFrame, vectors: DataFrame, key: str, question: str, vector: list[float], k: int = 5, pool: int = 50, where=None, scorer=None, counts: DataFrame | None = None) -> DataFrame:
+def retrieve(docs: DataFrame, vectors: DataFrame, key: str, question: str, vector: list[float], k: int = 5, pool: int = 50, where=None, scorer=None, counts: DataFrame | None = None, max_tokens: int | None = None) -> DataFrame:
     """Dense and BM25 candidates, fused, joined to their rows and reranked; the k best."""
-    both = {"dense": retrieval.dense(vectors, key, vector, pool, where=where), "bm25": retrieval.bm25(docs, key, question, pool, counts=counts)}
+    both = {"dense": retrieval.dense(vectors, key, vector, pool, where=where), "bm25": retrieval.bm25(docs, key, question, pool, counts=counts, max_tokens=max_tokens)}
     named = retrieval.fuse(both, key, limit=pool, ranks=True)
     return retrieval.rerank(named.join(docs.select(key, "text"), key), key, scorer).filter(F.col("rank") <= (k or 5)).orderBy("rank")

@@ -18,6 +18,8 @@ from .sources.logs import detect_source, is_log_file
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 WEIGHTS = {"signup": 20, "purchase": 10, "error": 15}
+#: Terms of a document that TOK reads: the queries follow their SQL, the operators by themselves read whole texts.
+SQL_TOKENS = 512
 QUESTION = "the License version 2.0 idiot thntion-over"
 
 
@@ -169,22 +171,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tokenize", f"WITH {TOK} SELECT doc_id, len(t) AS n_terms, md5(array_to_string(t, ' ')) AS terms_md5 FROM tok")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    t = fields.tokenize(F.col("text"), retrieval.MAX_TOKENS)
+    t = fields.tokenize(F.col("text"), SQL_TOKENS)
     return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_terms"), F.md5(F.array_join(t, " ")).alias("terms_md5"))
 
 
 @query("postings", f"WITH {TOK}{POST} SELECT doc_id, CAST(dl AS INTEGER) AS dl, term, tf FROM post")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.postings(table(spark, d, "documents"), "doc_id").filter("term is not null").select("doc_id", "dl", "term", "tf")
+    return retrieval.postings(table(spark, d, "documents"), "doc_id", max_tokens=SQL_TOKENS).filter("term is not null").select("doc_id", "dl", "term", "tf")
 
 
 @query("bm25_idf", f"WITH {TOK}{POST} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.idf(retrieval.postings(table(spark, d, "documents"), "doc_id"), "doc_id").withColumn("idf", F.round("idf", 6))
+    return retrieval.idf(retrieval.postings(table(spark, d, "documents"), "doc_id", max_tokens=SQL_TOKENS), "doc_id").withColumn("idf", F.round("idf", 6))
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(table(spark, d, "documents"), "doc_id", QUESTION)
+    return retrieval.bm25(table(spark, d, "documents"), "doc_id", QUESTION, max_tokens=SQL_TOKENS)
 
 
 def _vector(spark: SparkSession, d: str) -> list[float]:
@@ -209,7 +211,7 @@ for _name, _b, _d in (("rrf_fusion", 1.0, 1.0), ("rrf_weighted", 0.3, 0.7)):
   FROM top JOIN documents USING (doc_id) LEFT JOIN den USING (doc_id) LEFT JOIN bm USING (doc_id) WHERE top.rank <= 10""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    return retrieve(table(spark, d, "documents"), vectors, "doc_id", QUESTION, _vector(spark, d), k=10).select("doc_id", "score", "sources", "rank", "dense_rank", "bm25_rank", "rerank_score")
+    return retrieve(table(spark, d, "documents"), vectors, "doc_id", QUESTION, _vector(spark, d), k=10, max_tokens=SQL_TOKENS).select("doc_id", "score", "sources", "rank", "dense_rank", "bm25_rank", "rerank_score")
 
 
 @query("rerank_null", f"WITH {DENSE.format(where='')} SELECT doc_id, score, CAST(rank AS INTEGER) AS rank, 0.0::DOUBLE AS rerank_score FROM den")
@@ -226,7 +228,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("vocabulary_size", f"WITH {TOK}{POST} SELECT count(DISTINCT term) AS n_terms FROM post")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.postings(table(spark, d, "documents"), "doc_id").agg(F.countDistinct("term").alias("n_terms"))
+    return retrieval.postings(table(spark, d, "documents"), "doc_id", max_tokens=SQL_TOKENS).agg(F.countDistinct("term").alias("n_terms"))
 
 
 @query("recall_mrr", f"""WITH {TOK}{POST}{BM}, truth AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), hit AS (SELECT rank FROM bm JOIN truth USING (doc_id)),

@@ -100,6 +100,14 @@ def test_fusion_and_upsert(spark):
     assert tables.upsert(rows, "id", "seq").first()["v"] == "new"
 
 
+def test_long_documents_are_read_whole(spark):
+    """A query term that stands only after 512 others is counted and found; a cap is kept where one is given."""
+    docs = spark.createDataFrame([(1, "filler " * 600 + "needle"), (2, "short text"), (3, "other")], "id long, text string")
+    assert {(r["term"], r["tf"], r["dl"]) for r in retrieval.postings(docs, "id").filter("id = 1").collect()} == {("filler", 600, 601), ("needle", 1, 601)}
+    assert [r["id"] for r in retrieval.bm25(docs, "id", "needle").collect()] == [1] and retrieval.bm25(docs, "id", "needle", max_tokens=512).count() == 0
+    assert retrieval.term_counts(docs, max_tokens=0).filter("term is null").first()["dl"] == 604
+
+
 def test_partitions_do_not_change_windows(spark):
     one = {tuple(r) for r in registry.app_windows(spark, D).select("chunk_id", "ts_start", "principal").collect()}
     spark.conf.set("spark.sql.shuffle.partitions", "1")
