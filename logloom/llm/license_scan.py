@@ -1,10 +1,11 @@
 """Licence notices by a positional rare-token index (DataFrame functions only).
 
 The index holds, for each word of the licence templates that isn't a function word, its postings (template, position).
-A file's licence words are looked up with their positions; of them the ``anchors`` words with the highest IDF are kept
-(IDF over all documents of the table). Each place of an anchor votes, through the word's postings, for
-(template, place minus position): votes that agree are an alignment of that template with the file. An alignment
-holds if the template's mandatory key phrases stand word for word at their places in it.
+Each template has an anchor, the word of its mandatory key phrases with the highest IDF (over all documents of the
+table). Every place of an anchor in a file, looked up through the postings, proposes the alignment (template, place
+minus position), however many there are. An alignment holds if all key phrases of the template stand word for word at
+their places in it; as each holding alignment has its anchor in place, none is missed. The share of a holding alignment
+is that of the template's indexed words that stand at their places.
 
 Base phrases are counted at every place where their words stand consecutively; their labels always stay.
 
@@ -50,7 +51,6 @@ TEMPLATES = [
 FUNCTION_WORDS = set("a and any are by for free in into is met of or person provided sa that the this to use v with without zero 0 1 2 4 nc".split())
 
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANCHORS = 6
 
 
 def postings() -> dict[str, list[tuple[int, int]]]:
@@ -81,8 +81,25 @@ def stands(words: Column, start: Column, phrase: str) -> Column:
     return (start >= 0) & (at == F.array(*map(F.lit, own)))
 
 
-def scan(docs: DataFrame, anchors: int = ANCHORS) -> DataFrame:
-    """Per document ``doc_id, n_words, base`` (label, start), ``hits`` (label, start, votes) and ``score``."""
+def key_places(t: int) -> list[int]:
+    """Where the key phrases of template ``t`` begin in its words."""
+    _, text, keys = TEMPLATES[t]
+    own = text.split()
+    return [next(i for i in range(len(own)) if own[i:i + len(k)] == k) for k in map(str.split, keys)]
+
+
+def anchors(idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
+    """Postings (template, position) of the anchors: of each template the rarest word of its key phrases, once."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, _, keys) in enumerate(TEMPLATES):
+        places = [(w, lead + i) for lead, key in zip(key_places(t), keys) for i, w in enumerate(key.split()) if w not in FUNCTION_WORDS]
+        w, at = min(places, key=lambda x: (-idf[x[0]], x))
+        out.setdefault(w, []).append((t, at))
+    return out
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """Per document ``doc_id, n_words, base`` (label, start), ``hits`` (label, start, share) and ``score``."""
     index = postings()
     vocabulary = sorted(index)
     rows = docs.select("doc_id", words_of(F.col("text")).alias("words"))
@@ -91,9 +108,10 @@ def scan(docs: DataFrame, anchors: int = ANCHORS) -> DataFrame:
         licence_words(F.col("words"), vocabulary), lambda x: x["w"])))).alias("w")).groupBy("w").count()
     df = {r["w"]: r["count"] for r in counts.collect()}
     n = df.get("", 0)
-    idf = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, math.log((n + 1) / (df.get(w, 0) + 1)))))
-    posting = F.create_map(*(x for w in vocabulary for x in (
-        F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in index[w])).cast("array<struct<t:int,p:int>>"))))
+    idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in vocabulary}
+    anchor = anchors(idf)
+    posting = F.create_map(*(x for w in sorted(anchor) for x in (
+        F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in anchor[w])))))
 
     found = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), "words", licence_words(F.col("words"), vocabulary).alias("occ"))
     words = F.when(F.size("occ") > 0, F.col("words")).otherwise(F.array().cast("array<string>"))
@@ -106,31 +124,30 @@ def scan(docs: DataFrame, anchors: int = ANCHORS) -> DataFrame:
         return F.transform(own, lambda o: F.struct(F.lit(label).alias("label"), (o["i"] - lead).alias("start")))
 
     base = [places(phrase, label) for phrase, label in BASE.items()]
-    top = F.slice(F.array_sort(F.array_distinct(F.transform("occ", lambda o: F.struct((-idf[o["w"]]).alias("idf"), o["w"].alias("w"))))), 1, anchors)
-    found = found.select("doc_id", "n_words", "words", "occ", F.concat(*base).alias("base"), F.transform(top, lambda x: x["w"]).alias("top"))
-    votes = F.flatten(F.transform(F.filter("occ", lambda o: F.array_contains("top", o["w"])), lambda o: F.transform(
+    proposed = F.flatten(F.transform(F.filter("occ", lambda o: o["w"].isin(sorted(anchor))), lambda o: F.transform(
         posting[o["w"]], lambda p: F.struct(p["t"].alias("t"), (o["i"] - p["p"]).alias("start")))))
-    found = found.select("doc_id", "n_words", "words", "base", votes.alias("votes"))
-    aligned = F.transform(F.array_distinct("votes"), lambda v: F.struct(
-        v["t"].alias("t"), v["start"].alias("start"), F.size(F.filter("votes", lambda x: x == v)).alias("votes")))
+    found = found.select("doc_id", "n_words", "words", F.concat(*base).alias("base"), proposed.alias("proposed"))
 
     def verified(a: Column) -> Column:
         out = F.lit(False)
-        for t, (_, text, keys) in enumerate(TEMPLATES):
-            own, holds = text.split(), F.lit(True)
-            for key in keys:
-                k = key.split()
-                lead = next(i for i in range(len(own)) if own[i:i + len(k)] == k)
+        for t, (_, _, keys) in enumerate(TEMPLATES):
+            holds = F.lit(True)
+            for lead, key in zip(key_places(t), keys):
                 holds = holds & stands(F.col("words"), a["start"] + lead, key)
             out = F.when(a["t"] == t, holds).otherwise(out)
         return out
 
+    def share(a: Column) -> Column:
+        out = F.lit(0.0)
+        for t, (_, text, _) in enumerate(TEMPLATES):
+            own = [(i, w) for i, w in enumerate(text.split()) if w not in FUNCTION_WORDS]
+            there = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in own)), lambda x: F.get(F.col("words"), a["start"] + x["i"]) == x["w"])
+            out = F.when(a["t"] == t, F.size(there) / F.lit(float(len(own)))).otherwise(out)
+        return out
+
     labels = F.array(*(F.lit(label) for label, _, _ in TEMPLATES))
-    sizes = F.array(*(F.lit(min(anchors, sum(w not in FUNCTION_WORDS for w in text.split()))) for _, text, _ in TEMPLATES))
-    found = found.select("doc_id", "n_words", "words", "base", F.filter(aligned, lambda a: a["votes"] >= 1).alias("aligned"))
-    hits = F.transform(F.filter("aligned", verified), lambda a: F.struct(
-        F.element_at(labels, a["t"] + 1).alias("label"), a["start"].alias("start"),
-        F.least(F.lit(1.0), a["votes"] / F.element_at(sizes, a["t"] + 1)).alias("share")))
+    found = found.select("doc_id", "n_words", "words", "base", F.filter("proposed", verified).alias("aligned"))
+    hits = F.transform("aligned", lambda a: F.struct(F.element_at(labels, a["t"] + 1).alias("label"), a["start"].alias("start"), share(a).alias("share")))
     found = found.select("doc_id", "n_words", "base", hits.alias("hits"))
     best = F.coalesce(F.array_max(F.transform("hits", lambda h: h["share"])), F.lit(0.0))
     return found.withColumn("score", F.when(F.size("base") > 0, 1.0).when(F.size("hits") > 0, 0.5 + 0.5 * best).otherwise(0.0))

@@ -158,6 +158,24 @@ def test_licenses(spark, none):
     assert license_scan.digest(license_scan.scan(none)).count() == 0
 
 
+def test_every_notice_of_a_file_is_found(spark):
+    """One file with the notices of all templates, apart and in long ordinary text, against a search word by word."""
+    notices = [text for _, text, _ in license_scan.TEMPLATES]
+    four = [next(t for label, t, _ in license_scan.TEMPLATES if label == name) for name in ("mit", "bsd", "isc", "gpl")]
+    filler = " the subject files charge conditions to copy and modify public binary source license version " * 400
+    texts = [" . ".join(four) + " 3", " x ".join(notices), filler + four[3] + filler + four[2], filler, "gnu gnu general public license", "version"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        own, want = re.findall("[a-z0-9]+", text), set()
+        for t, (label, _, keys) in enumerate(license_scan.TEMPLATES):
+            places = list(zip(license_scan.key_places(t), map(str.split, keys)))
+            want |= {(label, s) for s in range(-30, len(own)) if all(s + at >= 0 and own[s + at:s + at + len(k)] == k for at, k in places)}
+        assert {(h.label, h.start) for h in got[i].hits} == want
+    assert {h.label for h in got[0].hits} == {"mit", "bsd", "isc", "gpl"} and {h.label for h in got[1].hits} == {label for label, _, _ in license_scan.TEMPLATES}
+    assert got[0].score == 1.0 and got[3].hits == [] and [h.start for h in got[4].hits] == [-5]
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><script>var a="</p>";</script></head><body><div class=cookie-banner><p>We use cookies</p></div><nav><ul><li><a href=x>Home</a></li></ul></nav>
     <article><h1>A &amp; B</h1><p>First   paragraph with <b>bold<br>words, long enough.<p>Second one &eacute;, also with words.</article><div class="comments"><p>Nice post</p></div><footer>&copy; 2020</footer></body></html>"""
