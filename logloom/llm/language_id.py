@@ -3,7 +3,9 @@
 Letters (in lower case, all else as one space) give hashed n-grams of one to three characters; a document is the
 normalised TF-IDF vector of its whole text. Each language has ``clusters`` centroids (spherical k-means over its
 sample); the language of the centroid with the largest cosine wins, and the cosine is the score. A document whose
-cosine is below a quarter of the least one of its language's sample is too far from all centroids and rejected.
+cosine is below its language's limit is too far from all centroids and rejected. As short texts are farther from any
+centroid, the limit depends on how many different n-grams a document has: it is ``SLACK`` times the ``QUANTILE`` of the
+cosines of pieces (first words and whole texts) with about as many, to centroids fitted without their documents.
 
 The fit takes a bounded sample: about ``per_lang`` rows a language, by a hash of doc_id, of the rows that the caller
 allows; its texts and the model (clusters x languages x ``DIM`` floats) are all that the driver holds.
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM, PER_LANG, CLUSTERS = 4096, 400, 3
+QUANTILE, SLACK, PIECES = 0.01, 0.7, (1, 2, 4, 8, 16, 32, 64, 128)
 _letters: np.ndarray | None = None
 
 
@@ -52,6 +55,32 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def spherical(own: np.ndarray, clusters: int, rng: np.random.Generator) -> np.ndarray:
+    c = own[rng.choice(len(own), min(clusters, len(own)), replace=False)]
+    for _ in range(12):
+        at = (own @ c.T).argmax(1)
+        c = unit(np.array([own[at == j].mean(0) if (at == j).any() else c[j] for j in range(len(c))]))
+    return c
+
+
+def limits(texts: list[str], own: np.ndarray, idf: np.ndarray, clusters: int) -> tuple[list[float], list[float]]:
+    """Knots (log2 of the number of different n-grams) and the limit at each, not falling."""
+    fold, rng, seen = np.arange(len(texts)) % 2, np.random.default_rng(7), []
+    for f in (0, 1):
+        others = own[fold != f] if (fold != f).any() else own
+        c = spherical(others, clusters, rng)
+        for text in (t for t, g in zip(texts, fold) if g == f):
+            words = text.split()
+            pieces = [" ".join(words[:k]) for k in PIECES if k < len(words)] + [text]
+            counts = np.array([g for g in map(grams, pieces) if g is not None], np.float32)
+            cos = (unit(np.log1p(counts) * idf) @ c.T).max(1)
+            seen.append(np.stack((np.log2((counts > 0).sum(1)), cos), 1))
+    size, cos = np.concatenate(seen).T
+    at = np.round(size).astype(int)
+    knots = sorted(set(at))
+    return [float(k) for k in knots], list(map(float, np.minimum.accumulate([SLACK * np.quantile(cos[at == k], QUANTILE) for k in reversed(knots)])[::-1]))
+
+
 def fit(docs: DataFrame, allowed: Column | None = None, per_lang: int = PER_LANG, clusters: int = CLUSTERS) -> dict:
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.lit(True) if allowed is None else allowed))
     n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -61,7 +90,7 @@ def fit(docs: DataFrame, allowed: Column | None = None, per_lang: int = PER_LANG
     sample = sorted(((r["lang"], r["doc_id"] or 0, r["text"]) for r in rows.filter(part).select("lang", "doc_id", "text").collect()))
     langs = sorted({x[0] for x in sample})
     if not langs:
-        return {"langs": [], "idf": np.zeros(DIM, np.float32), "centroids": np.zeros((0, DIM), np.float32), "owner": [], "least": []}
+        return {"langs": [], "idf": np.zeros(DIM, np.float32), "centroids": np.zeros((0, DIM), np.float32), "owner": [], "limits": []}
     counts = np.array([grams(x[2]) for x in sample], np.float32)
     idf = np.log((len(counts) + 1) / ((counts > 0).sum(0) + 1)).astype(np.float32) + np.float32(0.1)
     x = unit(np.log1p(counts) * idf)
@@ -69,14 +98,11 @@ def fit(docs: DataFrame, allowed: Column | None = None, per_lang: int = PER_LANG
     rng, centroids, owner, least = np.random.default_rng(7), [], [], []
     for i, lang in enumerate(langs):
         own = x[name == lang]
-        c = own[rng.choice(len(own), min(clusters, len(own)), replace=False)]
-        for _ in range(12):
-            at = (own @ c.T).argmax(1)
-            c = unit(np.array([own[at == j].mean(0) if (at == j).any() else c[j] for j in range(len(c))]))
+        c = spherical(own, clusters, rng)
         centroids.append(c)
         owner += [i] * len(c)
-        least.append(0.25 * float((own @ c.T).max(1).min()))
-    return {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids).astype(np.float32), "owner": owner, "least": least}
+        least.append(limits([r[2] for r in sample if r[0] == lang], own, idf, clusters))
+    return {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids).astype(np.float32), "owner": owner, "limits": least}
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
@@ -94,13 +120,14 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                     x = unit(np.log1p(np.array(some, np.float32)) * model["idf"])
                     cos = np.clip(x @ model["centroids"].T, 0, 1)
                     top, best = cos.argmax(1), cos.max(1)
+                    size = np.log2([np.count_nonzero(c) for c in some])
                 k = 0
                 for c in counts:
                     if c is None:
                         name.append("und"), score.append(0.0), rejected.append(True)
                     else:
                         own = owner[top[k]]
-                        name.append(langs[own]), score.append(float(best[k])), rejected.append(bool(best[k] < model["least"][own]))
+                        name.append(langs[own]), score.append(float(best[k])), rejected.append(bool(best[k] < np.interp(size[k], *model["limits"][own])))
                         k += 1
             yield pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["lang_pred", "score", "rejected"])
     said = F.arrow_udf(lang, "struct<lang_pred:string,score:double,rejected:boolean>")

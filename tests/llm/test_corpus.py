@@ -134,6 +134,21 @@ def test_language(spark, none):
     assert language_id.predict(none, language_id.fit(none)).count() == 0
 
 
+def test_unknown_languages_are_rejected_and_clean_texts_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    held = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs, ~held)
+    clean = docs.filter(held & F.col("text").rlike(r"\p{L}"))
+    got = language_id.predict(clean.withColumn("first", F.lit(0)).unionByName(clean.select("doc_id", "lang", F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("text"), F.lit(1).alias("first"))), model).collect()
+    assert sum(r.rejected for r in got) <= 0.02 * len(got) and len(got) > 300
+    letters = random.Random(5)
+    unknown = ["Быстрая коричневая лиса перепрыгивает через ленивую собаку и бежит в тёмный лес", "Zażółć gęślą jaźń, a potem szybko pobiegł do lasu i nie wrócił już nigdy do domu",
+               "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar",
+               " ".join("".join(letters.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60))]
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(unknown + [" ".join([t] * 20) for t in unknown])], "doc_id long, text string")
+    assert all(r.rejected for r in language_id.predict(odd, model).collect())
+
+
 def test_decontamination(spark, none):
     items = [(1, words(30)), (2, "short"), (3, None), (4, words(25))]
     bench = spark.createDataFrame(items, "item_id long, text string")
