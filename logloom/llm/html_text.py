@@ -30,7 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|style|aria-hidden|aria-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute: its whole name and its value, quoted or not.
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]++))?+""")
+READ = set("class id role itemprop hidden style aria-hidden aria-label".split())
+DISPLAY = re.compile(r"(?:\A|;)\s*display\s*:\s*([a-z-]+)")
 #: Element names by how they are read.
 UNSEEN = set("script style noscript template svg math iframe object canvas audio video select textarea title".split())
 INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -145,7 +148,9 @@ class Page:
         if attributes and not attributes.isspace():
             for a in ATTRIBUTE.finditer(attributes):
                 key, value = a[1].lower(), (a[2] or "").strip("\"'").lower()
-                if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value):
+                if key not in READ:
+                    continue
+                if key == "hidden" or key == "style" and DISPLAY.findall(value)[-1:] == ["none"]:
                     hidden = True
                 for w in SPLIT.split(value) if key not in ("style", "hidden", "aria-hidden") else ():
                     if w in KIND:

@@ -200,6 +200,16 @@ def test_html(spark):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("attribute, hidden", [
+    ('title="The hidden valley"', False), ('data-hidden="false"', False), ('onclick="toggleHidden()"', False), ('data-title="Unhidden"', False), ("alt='x hidden y'", False),
+    ("title=hidden", False), ('aria-hidden="true"', False), ('class="hidden"', False), ('data-style="display:none"', False), ('style="--display:none"', False), ('title = "a" hidden', True),
+    ("hidden", True), ('HIDDEN=""', True), ("class=a hidden/", True), ('title="it\'s" hidden=hidden', True), ('style="color:red; display : none"', True), ("style=display:none", True)])
+def test_only_hidden_blocks_are_hidden(attribute, hidden):
+    page = html_text.Page(f"<body><article {attribute}><p>Text of the page.</p></article></body>")
+    assert page.hidden == [False, hidden, False]
+    assert page.text(html_text.np.array([5.0, 5.0, 5.0])) == ("" if hidden else "Text of the page.")
+
+
 def test_near(docs, none):
     sets = {}
     for r in docs.collect():
