@@ -2,24 +2,30 @@
 
 1. Words and shingles are hashed in Arrow batches. A document's set gets a 128-bit fingerprint; documents with the
    same set are one class and go on as one row, so copies cost nothing later.
-2. Tensored banding: two collections of ``m`` small hash groups (``HALF`` minhashes each) are computed, and the
-   table keys are all m * m pairs of a group of the first with one of the second. So m * m tables of 2 * HALF
-   minhashes cost 2 * m * HALF minhashes. ``m`` follows from the threshold: a pair just at it is missed by both
-   collections together with a chance below 1e-4.
-3. In every table, rows of a key are linked to the smallest id of their salted part, and the parts to each other:
-   stars, never all pairs. Connected candidates form candidate groups, a superset of the tables' pairs.
-4. Within a candidate group members are compared on full sets, in blocks; a block pair is one unit of work and returns
-   a spanning forest of its links. First each block of about ``FIRST`` members is compared with itself and with
-   block 0, which is linear in the group. What that connects needs no further comparison inside. Only groups of
-   several blocks that are not one component yet go on: all members outside the group's largest component are
-   compared with each other and with the members inside, in blocks of about ``BLOCK``. So near copies of one text cost linear work however many
-   they are, no pair is a row, and every pair of different components is still compared.
-5. Components of the confirmed links, by star contraction; each class takes the component of its representative.
+2. Tensored banding: two collections of ``m`` hash groups (``HALF`` minhashes each) are computed, and the table keys
+   are the pairs of a group of the first with one of the second. So m * m tables of 2 * HALF minhashes cost 2 * m * HALF
+   minhashes. ``m`` follows from the threshold: a pair just at it is missed by both collections together with a chance
+   below 1e-4. A group that no other document has can't be half of a shared key: those are dropped before any pair of
+   groups is formed, so a document without near copies makes 2 * m narrow rows, not m * m.
+3. In every table, rows of a key are linked to the smallest id of their salted part, and the parts to each other: stars,
+   never all pairs. Each link of a star is checked on the full sets at once, before anything is grouped, so candidates
+   that fail never join groups. The confirmed links give components.
+4. A key whose rows lie in one component needs no more. Keys of three and more documents in several components are
+   open: a member may be linked to another one that isn't the star's middle. Their documents go through an exact
+   prefix-filtered join: in order of rising frequency, two sets at the threshold share one of the first
+   n - ceil(t n) + 1 shingles of each, and this is one of the first n - ceil(2 t n / (1 + t)) + 1 of the smaller
+   set. Documents that share such a shingle form groups; texts on one template that differ in more than the threshold
+   allows share none, however many they are.
+5. Within those groups members are compared on full sets, in blocks; a block pair is one unit of work and returns a
+   spanning forest of its links. First each block of about ``FIRST`` members is compared with itself and with block 0,
+   which is linear in the group; then all members outside the group's largest component are compared with each other
+   and with the members inside, in blocks of about ``BLOCK``. So no pair is a row, and every pair is compared.
+6. Components of all links, by star contraction; each class takes the component of its representative.
 
 Edge cases: null or empty texts and texts without words have an empty set and stay alone; with fewer words than a
 shingle the whole sequence is the one shingle; repeated rows are one class; a null ``doc_id`` belongs to the class
-of its text, and stands alone with a null component if no row of it has an id; an empty table gives no rows.
-Other columns of the input are not read.
+of its text, and stands alone with a null component if no row of it has an id; an empty table gives no rows. An id
+stands for one text. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, shuffle_parts, with_group_totals
 
-HALF, FIRST, BLOCK = 2, 128, 512
+HALF, FIRST, BLOCK = 4, 128, 512
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _rng = np.random.default_rng(20240601)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -45,7 +51,7 @@ _BYTE[list(SPACES)] = 0
 _SPACE = _BYTE == 0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_SEEDS = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
+_SEEDS = _rng.integers(1, 1 << 32, (2, 2, 1024), dtype=np.uint32) | np.uint32(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -79,19 +85,21 @@ def shingle_set(data: bytes, width: int) -> np.ndarray:
 
 
 def group_keys(s: np.ndarray, m: int) -> np.ndarray:
-    """2 * m keys of HALF minhashes each: first collection, then second."""
+    """2 * m keys of HALF minhashes each: first collection, then second. Keys of different places differ."""
     n = 2 * m * HALF
-    mins = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 4096):
-        part = s[i:i + 4096]
-        mins = np.minimum(mins, ((part[None, :] ^ _SEEDS[0, :n, None]) * _SEEDS[1, :n, None]).min(axis=1))
-    key = np.zeros(2 * m, np.uint64)
+    x = (s ^ (s >> np.uint64(32))).astype(np.uint32)
+    mins = np.full(n, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(x), 512):
+        h = (x[None, i:i + 512] ^ _SEEDS[0, 0, :n, None]) * _SEEDS[0, 1, :n, None]
+        np.minimum(mins, h.min(axis=1), out=mins)
+    key = np.arange(1, 2 * m + 1).astype(np.uint64)
     for i in range(HALF):
         key = mix(key * _STEP + mins[i::HALF])
     return key.view(np.int64)
 
 
-def tables_for(threshold: int) -> int:
+def groups_for(threshold: int) -> int:
+    """Groups of a collection."""
     hit = (threshold / 100) ** HALF
     return max(1, math.ceil(math.log(5e-5) / math.log(1 - hit))) if hit < 1 else 1
 
@@ -124,8 +132,10 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def sets(rows: DataFrame, width: int) -> DataFrame:
-    """``doc_id, grp, b, partners, text`` to ``id, grp, b, partners, s``, the sorted shingle set."""
+def sets(rows: DataFrame, width: int, more: str) -> DataFrame:
+    """``doc_id, text`` and the columns of ``more`` (as DDL) to ``id``, those columns and ``s``, the sorted shingle set."""
+    names = [c.split()[0] for c in more.split(", ")]
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 512):
@@ -133,9 +143,9 @@ def sets(rows: DataFrame, width: int) -> DataFrame:
                 own = [shingle_set(data, width).view(np.int64) for data in _texts(part)]
                 ends = np.cumsum([0] + [len(k) for k in own]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    *(part.column(c) for c in ("doc_id", "grp", "b", "partners")),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *own])))], ["id", "grp", "b", "partners", "s"])
-    return rows.select("doc_id", "grp", "b", "partners", "text").mapInArrow(work, "id long, grp long, b int, partners array<int>, s array<long>")
+                    *(part.column(c) for c in ("doc_id", *names)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *own])))], ["id", *names, "s"])
+    return rows.select("doc_id", *names, "text").mapInArrow(work, f"id long, {more}, s array<long>")
 
 
 def star_edges(rows: DataFrame, key: str) -> DataFrame:
@@ -171,10 +181,12 @@ def shared_counts(own: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def forest(ids: np.ndarray, side: np.ndarray, own: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links of a block (side all 0) or between two blocks."""
+def forest(ids: np.ndarray, side: np.ndarray, across: bool, own: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of a block or, if ``across``, between two blocks (side 0 and 1; one may be empty)."""
     left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if side.any() else left
+    right = np.flatnonzero(side == 1) if across else left
+    if not len(left) or not len(right):
+        return []
     a, b = [own[i] for i in left], [own[i] for i in right]
     both = shared_counts(a, b)
     whole = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - both
@@ -205,7 +217,7 @@ def links(members: DataFrame, threshold: int) -> DataFrame:
         key, ids, side, own = None, [], [], []
 
         def close() -> list[tuple[int, int]]:
-            return forest(np.array(ids), np.array(side), own, threshold) if len(ids) > 1 else []
+            return forest(np.array(ids), np.array(side), key[1] != key[2], own, threshold) if len(ids) > 1 else []
         for batch in batches:
             out = []
             column = batch.column("s")
@@ -224,6 +236,74 @@ def links(members: DataFrame, threshold: int) -> DataFrame:
     return dealt.repartition(parts, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj").mapInArrow(work, "u long, v long")
 
 
+def confirmed(docs: DataFrame, edges: DataFrame, width: int, threshold: int) -> DataFrame:
+    """The links ``(u, v)`` of ``edges`` (each v the middle of a star) that hold on full sets.
+
+    A set is computed once and goes to each of its stars; only the middle's set is held while a star is read.
+    """
+    roles = edges.select(F.col("u").alias("doc_id"), F.struct(F.col("v").alias("star"), F.lit(1).alias("role")).alias("r")).unionByName(
+        edges.select(F.col("v").alias("doc_id"), F.struct("v", F.lit(0)).cast("struct<star:bigint,role:int>").alias("r")).distinct())
+    roles = roles.groupBy("doc_id").agg(F.collect_list("r").alias("roles"))
+    own = sets(plain(docs).join(roles, "doc_id"), width, "roles array<struct<star:long,role:int>>")
+    dealt = own.withColumn("r", F.explode("roles")).select("id", "r.star", "r.role", "s")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star, middle = None, np.empty(0, np.uint64)
+        for batch in batches:
+            u, v = [], []
+            column = batch.column("s")
+            values, at = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+            for i, (one, k, role) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "star", "role")))):
+                s = values[at[i]:at[i + 1]]
+                if role == 0:
+                    if k != star:
+                        star, middle = k, s.copy()
+                    continue
+                both = int((middle[np.minimum(np.searchsorted(middle, s), len(middle) - 1)] == s).sum()) if k == star and len(middle) else 0
+                if 100 * both >= threshold * (len(s) + len(middle) - both) and both:
+                    u.append(one)
+                    v.append(k)
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+    return dealt.repartition(shuffle_parts(docs), "star").sortWithinPartitions("star", "role").mapInArrow(work, "u long, v long")
+
+
+def open_members(halves: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
+    """``doc_id, comp`` of the documents under keys of at least three documents of several components.
+
+    Only components with a link of ``edges`` that failed are looked at. ``halves``: doc_id, a, b (groups that others share).
+    """
+    end = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    failed = edges.join(end("u"), "u", "left").join(end("v"), "v", "left").select(
+        F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).filter("cu <> cv")
+    apart = failed.select(F.explode(F.array("cu", "cv")).alias("comp")).distinct()
+    rows = halves.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
+        "comp", F.coalesce("component", "doc_id")).drop("component").join(apart, "comp", "left_semi")
+    rows = cut(rows).select("doc_id", "comp", F.explode(table_keys()).alias("key"))
+    totals = with_group_totals(rows, ["key"], "doc_id", n=("count", "doc_id"), lo=("min", "comp"), hi=("max", "comp"))
+    return totals.filter("n >= 3 and lo < hi").select("doc_id", "comp").distinct()
+
+
+def prefixes(own: DataFrame, threshold: int) -> DataFrame:
+    """``doc_id, key``: the shingles of ``own`` (id, s) under which sets at the threshold must meet."""
+    t = threshold / 100
+    tokens = with_group_totals(own.select("id", F.explode("s").alias("key")), ["key"], "id", n=("count", "id"))
+    ranked = tokens.filter("n > 1").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("k"))
+    rows = own.select("id", F.size("s").alias("size")).join(ranked, "id")
+    # Shingles of one document only come first and meet nothing: the prefix holds what is left of it.
+    alone = F.col("size") - F.size("k")
+    first = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9).cast("int") + 1 - alone
+    rows = rows.withColumn("strong", first(2 * t / (1 + t))).filter(first(t) > 0)
+    rows = rows.select(F.col("id").alias("doc_id"), "strong", F.posexplode(F.slice("k", F.lit(1), first(t))).alias("i", "k")).select(
+        "doc_id", F.col("k.key").alias("key"), (F.col("i") < F.col("strong")).cast("int").alias("strong"))
+    rows = with_group_totals(cut(rows), ["key"], "doc_id", n=("count", "doc_id"), strong_=("max", "strong"))
+    return rows.filter("n > 1 and strong_ = 1").select("doc_id", "key")
+
+
+def table_keys() -> Column:
+    return F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.xxhash64(a, b))))
+
+
 def block_of(column: str) -> Column:
     return F.pmod(F.xxhash64("id"), F.col(column)).cast("int")
 
@@ -251,25 +331,32 @@ def second_round(group: DataFrame, known: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id, kept``; linked if 100 * shared >= threshold * union."""
-    m = tables_for(threshold)
+    m = groups_for(threshold)
     base = cut(signatures(docs, width, m).withColumn("row", F.monotonically_increasing_id()))
     classes = cut(with_group_totals(base.filter("n_shingles > 0"), ["fp1", "fp2"], "row", rep=("min", "doc_id")).select(
         "doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")))
 
-    first, second = F.slice("keys", 1, m), F.slice("keys", m + 1, m)
-    pairs = F.flatten(F.transform(first, lambda a, i: F.transform(second, lambda b, j: F.xxhash64(i * 1024 + j, a, b))))
-    rows = classes.filter("doc_id = rep").select("doc_id", F.explode(pairs).alias("key"))
-    group = components(star_edges(rows, "key")).select("id", F.col("component").alias("grp"))
-    group = cut(group.unionByName(group.select(F.col("grp").alias("id"), "grp")).distinct())
-    group = with_group_totals(group, ["grp"], "id", n=("count", "id")).select("id", "grp", F.ceil(F.col("n") / FIRST).cast("int").alias("blocks"))
-    group = cut(group)
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        return links(sets(plain(docs).join(pairs, F.col("doc_id") == F.col("id")).drop("id"), width), threshold)
-    linked = cut(components(compared(first_round(group))))
-    if not group.filter("blocks > 1").isEmpty():
-        more = compared(second_round(group, linked))
-        linked = cut(components(linked.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)))
+    each = classes.filter("doc_id = rep").select("doc_id", F.posexplode("keys").alias("i", "key"))
+    shared = with_group_totals(each, ["key"], "doc_id", lo=("min", "doc_id"), hi=("max", "doc_id")).filter("lo < hi")
+    side = lambda on: F.collect_set(F.when(on, F.col("key")))
+    halves = cut(shared.groupBy("doc_id").agg(side(F.col("i") < m).alias("a"), side(F.col("i") >= m).alias("b")).filter("size(a) > 0 and size(b) > 0"))
+    edges = cut(star_edges(halves.select("doc_id", F.explode(table_keys()).alias("key")), "key"))
+    linked = cut(components(confirmed(docs, edges, width, threshold)))
+
+    members = cut(open_members(halves, edges, linked))
+    if not members.isEmpty():
+        own = cut(sets(plain(docs).join(members, "doc_id"), width, "comp long").dropDuplicates(["id"]))
+        group = components(star_edges(prefixes(own.select("id", "s"), threshold), "key")).select("id", F.col("component").alias("grp"))
+        group = cut(group.unionByName(group.select(F.col("grp").alias("id"), "grp")).distinct())
+        group = with_group_totals(group, ["grp"], "id", n=("count", "id")).select("id", "grp", F.ceil(F.col("n") / FIRST).cast("int").alias("blocks"))
+        group = cut(group)
+
+        def joined(known: DataFrame, pairs: DataFrame) -> DataFrame:
+            more = links(pairs.join(own.select("id", "s"), "id"), threshold)
+            return cut(components(known.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)))
+        linked = joined(linked, first_round(group))
+        if not group.filter("blocks > 1").isEmpty():
+            linked = joined(linked, second_round(group, linked))
     known = classes.select("doc_id", "n_shingles", "rep").join(
         linked, F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     empty = base.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
