@@ -1,16 +1,19 @@
 """Licence notices by a positional rare-token index (DataFrame functions only).
 
 The index holds, for each word of the licence templates that isn't a function word, its postings (template, position).
-Each template has an anchor, the word of its mandatory key phrases with the highest IDF (over all documents of the
-table). Every place of an anchor in a file, looked up through the postings, proposes the alignment (template, place
-minus position), however many there are. An alignment holds if all key phrases of the template stand word for word at
-their places in it; as each holding alignment has its anchor in place, none is missed. The share of a holding alignment
-is that of the template's indexed words that stand at their places.
+Of each template the two words of its mandatory key phrases with the highest IDF (over all documents of the table) are
+looked up in a file: every place of either proposes the alignment (template, place minus position). The alignments that
+both words propose are the intersection of the postings by relative position, taken as a set of numbers, so the work is
+linear in the file however often a word stands there; templates with one such word only need that one. An alignment
+holds if all key phrases of the template stand word for word at their places in it; as both words belong to those
+phrases, no holding alignment is missed. The share of a holding alignment is that of the template's indexed words that
+stand at their places.
 
 Base phrases are counted at every place where their words stand consecutively; their labels always stay.
 
 Edge cases: a null text is empty; an empty text has no words, no labels and score 0; a table without rows gives none.
-Repeated rows are scanned each. Columns of the input beside ``doc_id`` and ``text`` are not read.
+Repeated rows are scanned each, as are rows without a ``doc_id``. Columns of the input beside ``doc_id`` and ``text``
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,8 +51,10 @@ TEMPLATES = [
 ]
 
 #: Function words, which are not indexed.
-FUNCTION_WORDS = set("a and any are by for free in into is met of or person provided sa that the this to use v with without zero 0 1 2 4 nc".split())
+FUNCTION_WORDS = set("a and any are by for free in into is met of or person provided that the this to use v with without zero 0 1 2 4".split())
 
+#: More than any template is long, so that alignments before the file's first word are numbers, too.
+SHIFT = 1000
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -88,13 +93,16 @@ def key_places(t: int) -> list[int]:
     return [next(i for i in range(len(own)) if own[i:i + len(k)] == k) for k in map(str.split, keys)]
 
 
-def anchors(idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
-    """Postings (template, position) of the anchors: of each template the rarest word of its key phrases, once."""
-    out: dict[str, list[tuple[int, int]]] = {}
+def anchors(idf: dict[str, float]) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
+    """Postings (template, position) of the rarest and of the second rarest word of each template's key phrases.
+
+    The second is at another place, and missing where the phrases have one indexed word only.
+    """
+    out: tuple[dict, dict] = ({}, {})
     for t, (_, _, keys) in enumerate(TEMPLATES):
-        places = [(w, lead + i) for lead, key in zip(key_places(t), keys) for i, w in enumerate(key.split()) if w not in FUNCTION_WORDS]
-        w, at = min(places, key=lambda x: (-idf[x[0]], x))
-        out.setdefault(w, []).append((t, at))
+        places = {(w, lead + i) for lead, key in zip(key_places(t), keys) for i, w in enumerate(key.split()) if w not in FUNCTION_WORDS}
+        for which, (w, at) in zip(out, sorted(places, key=lambda x: (-idf[x[0]], x))):
+            which.setdefault(w, []).append((t, at))
     return out
 
 
@@ -109,24 +117,31 @@ def scan(docs: DataFrame) -> DataFrame:
     df = {r["w"]: r["count"] for r in counts.collect()}
     n = df.get("", 0)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in vocabulary}
-    anchor = anchors(idf)
-    posting = F.create_map(*(x for w in sorted(anchor) for x in (
-        F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in anchor[w])))))
+    rare = anchors(idf)
+    lone = [t for t in range(len(TEMPLATES)) if not any(t == u for own in rare[1].values() for u, _ in own)]
 
     found = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), "words", licence_words(F.col("words"), vocabulary).alias("occ"))
     words = F.when(F.size("occ") > 0, F.col("words")).otherwise(F.array().cast("array<string>"))
     found = found.select("doc_id", "n_words", words.alias("words"), "occ")
 
     def places(phrase: str, label: str) -> Column:
-        rare = min((w for w in phrase.split() if w not in FUNCTION_WORDS), key=lambda w: (w == "license", w == "version"))
-        lead = phrase.split().index(rare)
-        own = F.filter("occ", lambda o: (o["w"] == rare) & stands(F.col("words"), o["i"] - lead, phrase))
+        own_words = phrase.split()
+        lead, first = min(((i, w) for i, w in enumerate(own_words) if w not in FUNCTION_WORDS), key=lambda x: (-idf[x[1]], x))
+        own = F.filter("occ", lambda o: (o["w"] == first) & stands(F.col("words"), o["i"] - lead, phrase))
         return F.transform(own, lambda o: F.struct(F.lit(label).alias("label"), (o["i"] - lead).alias("start")))
 
     base = [places(phrase, label) for phrase, label in BASE.items()]
-    proposed = F.flatten(F.transform(F.filter("occ", lambda o: o["w"].isin(sorted(anchor))), lambda o: F.transform(
-        posting[o["w"]], lambda p: F.struct(p["t"].alias("t"), (o["i"] - p["p"]).alias("start")))))
-    found = found.select("doc_id", "n_words", "words", F.concat(*base).alias("base"), proposed.alias("proposed"))
+    def proposed(anchor: dict[str, list[tuple[int, int]]]) -> Column:
+        """Alignments as numbers, template + (start + SHIFT) * number of templates; each once."""
+        at = F.create_map(*(x for w in sorted(anchor) for x in (
+            F.lit(w), F.array(*(F.struct(F.lit(t).cast("long").alias("t"), F.lit(p).alias("p")) for t, p in anchor[w])))))
+        own = F.filter("occ", lambda o: o["w"].isin(sorted(anchor)))
+        return F.array_distinct(F.flatten(F.transform(own, lambda o: F.transform(at[o["w"]], lambda p: (o["i"] - p["p"] + SHIFT) * len(TEMPLATES) + p["t"]))))
+
+    found = found.select("doc_id", "n_words", "words", F.concat(*base).alias("base"), proposed(rare[0]).alias("one"), proposed(rare[1]).alias("two"))
+    agreed = F.concat(F.array_intersect("one", "two"), F.filter("one", lambda a: (a % len(TEMPLATES)).isin(lone)))
+    agreed = F.transform(agreed, lambda a: F.struct((a % len(TEMPLATES)).cast("int").alias("t"), (F.floor(a / len(TEMPLATES)) - SHIFT).cast("int").alias("start")))
+    found = found.select("doc_id", "n_words", "words", "base", F.when(F.size("one") > 0, agreed).otherwise(F.array().cast("array<struct<t:int,start:int>>")).alias("proposed"))
 
     def verified(a: Column) -> Column:
         out = F.lit(False)
