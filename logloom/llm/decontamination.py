@@ -3,18 +3,25 @@
 Texts are compared in lower case with white space as single spaces. An item of length L found with at most k edits
 shares at least L + 1 - Q * (k + 1) of its q-grams with the document, all within k diagonals (document position minus
 item position). Shared q-grams are counted in bands of 2 (k + 1) diagonals that overlap by half; a band that reaches
-the bound is kept, and its region is aligned with the item (semi-global, only the region's columns). ``rate`` sets
-k = floor(rate * L), less where the bound would fall under 1; items shorter than Q are looked up word for word.
-
-The index of the benchmark goes to all executors in slices of at most ``SLICE`` bytes of text, whose sizes are checked;
-a larger benchmark takes a pass of the documents for each slice.
-
-Edge cases: null or empty texts and items match nothing; items that repeat are each reported; an empty benchmark or
-table gives no rows. Columns of the input beside ``text`` pass through.
+the bound is kept, and the item is aligned with the document inside the band's diagonals only (semi-global). ``rate``
+sets k = floor(rate * L), less where the bound would fall under 1. Items shorter than Q are looked up word for word:
+no letter or digit may stand directly before or after them, and an item without any is never found.
+
+The index of the benchmark is built in slices of at most about ``slice_bytes`` of text: sizes are summed first, and
+more slices are taken until none but single long items is above. Each slice is a broadcast of its own, of about 24
+bytes a character. A pass of the documents uses at most ``a_pass`` slices; each worker holds one at a time, loads it
+for a group of documents and lets it go. A larger benchmark takes more passes, with a checkpoint between them, so what
+is broadcast at once stays bounded whatever the size of the benchmark.
+
+Edge cases: null or empty texts and items match nothing; items that repeat are each reported; an empty benchmark gives
+no hits, an empty table no rows; rows that repeat and rows without a ``doc_id`` are scanned like others, as no id is
+read; an item without an id counts as item 0. Columns of the input beside ``text`` pass through, but for one named
+``hits``, which is replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Q, RATE, SLICE = 12, 0.05, 4_000_000
+from .common import cut
+
+Q, RATE, SLICE, A_PASS = 12, 0.05, 2_000_000, 4
 HIT = "array<struct<item_id:bigint,edits:int,begin:int,end:int>>"
+WORD = re.compile(r"[^\W_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,43 +63,74 @@ def build(items: list[tuple[int, str]], rate: float = RATE) -> dict:
     grams = [gram_hashes(t) for _, t in items]
     h = np.concatenate([np.empty(0, np.uint64), *grams])
     order = np.argsort(h, kind="stable")
-    item = np.repeat(np.arange(len(items)), [len(g) for g in grams])[order]
-    place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(g)) for g in grams)]).astype(np.int64)[order]
+    item = np.repeat(np.arange(len(items), dtype=np.int32), [len(g) for g in grams])[order]
+    place = np.concatenate([np.empty(0, np.int32), *(np.arange(len(g), dtype=np.int32) for g in grams)])[order]
+    short: dict[str, list[tuple[int, str, int]]] = {}
+    for i, t in items:
+        if len(t) < Q and (m := WORD.search(t)):
+            short.setdefault(m[0], []).append((i, t, m.start()))
     known, first, count = np.unique(h[order], return_index=True, return_counts=True)
     seen = np.zeros(1 << 20, bool)
     seen[(known >> np.uint64(44)).astype(np.int64)] = True
-    return {"items": items, "budget": budget, "bound": length + 1 - Q * (budget + 1), "known": known, "first": first, "count": count, "item": item, "place": place, "seen": seen}
-
-
-def align(item: str, region: str) -> tuple[int, int, int]:
-    """(edits, begin, end) of the best match of the whole item in the region."""
-    at = region.find(item)
+    return {"items": items, "budget": budget, "bound": length + 1 - Q * (budget + 1), "known": known, "first": first.astype(np.int32), "count": count.astype(np.int32), "short": short, "item": item, "place": place, "seen": seen}
+
+
+def sweep(item: np.ndarray, doc: np.ndarray, low: int, row: np.ndarray) -> np.ndarray:
+    """Costs after the last symbol of ``item`` on the diagonals from ``low``; ``row`` are those before the first."""
+    width = len(row)
+    step = np.arange(width)
+    far = np.int64(1 << 40)
+    # Place j of doc stands at j + pad; what is outside of doc is no symbol and can't be entered.
+    pad = max(0, -low) + 1
+    wide = np.full(pad + max(len(doc), len(item) + low + width) + 2, -1, np.int64)
+    wide[pad:pad + len(doc)] = doc
+    for i, c in enumerate(item.tolist()):
+        at = i + low + pad
+        own = wide[at:at + width]
+        new = np.where(own < 0, far, row + (own != c))
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        edge = np.arange(i + 1 + low, i + 1 + low + width)
+        new = np.where((edge < 0) | (edge > len(doc)), far, new)
+        row = np.minimum.accumulate(new - step) + step
+        row = np.where((edge < 0) | (edge > len(doc)), far, row)
+    return row
+
+
+def align(item: str, doc: str, low: int, width: int) -> tuple[int, int, int]:
+    """(edits, begin, end) of the best match of the whole item in the document on the ``width`` diagonals from ``low``."""
+    at = doc.find(item, max(0, low), max(0, low + width) + len(item))
     if at >= 0:
         return 0, at, at + len(item)
-    a, b = (np.frombuffer(x.encode("utf-32-le", "replace"), np.uint32) for x in (item, region))
-    step = np.arange(len(b) + 1)
-
-    def sweep(a: np.ndarray, b: np.ndarray, free: bool) -> np.ndarray:
-        row = np.zeros(len(b) + 1, np.int64) if free else step[:len(b) + 1].copy()
-        for i, c in enumerate(a):
-            new = np.empty_like(row)
-            new[0] = i + 1
-            np.minimum(row[:-1] + (b != c), row[1:] + 1, out=new[1:])
-            row = np.minimum.accumulate(new - step[:len(b) + 1]) + step[:len(b) + 1]
-        return row
-    row = sweep(a, b, True)
-    end = int(row.argmin())
-    back = sweep(a[::-1], b[:end][::-1], False)
-    return int(row[end]), end - int(np.flatnonzero(back == back.min())[0]), end
+    a, b = (np.frombuffer(x.encode("utf-32-le", "replace"), np.uint32).astype(np.int64) for x in (item, doc))
+    lo, hi = max(0, low), max(0, min(len(b), low + width + len(a)))  # the band's part of the document
+    b, low = b[lo:hi], low - lo
+    start = np.arange(low, low + width)
+    far = np.int64(1 << 40)
+    row = sweep(a, b, low, np.where((start < 0) | (start > len(b)), far, 0))
+    d = int(row.argmin())
+    end = min(max(low + d + len(a), 0), len(b))
+    # Backwards from that end: the diagonals mirrored, the end alone free.
+    size = len(b[:end])
+    low2 = -(low + width - 1) - len(a) + size
+    places = np.arange(low2, low2 + width)
+    back = sweep(a[::-1], b[:end][::-1], low2, np.where((places < 0) | (places > size), far, places))
+    best = int(np.flatnonzero(back == back.min())[0])
+    return int(row[d]), lo + max(0, size - (low2 + best + len(a))), lo + end
 
 
 def find(text: str | None, index: dict) -> list[dict]:
     doc = normal(text)
     out = []
-    for k, (item_id, item) in enumerate(index["items"]):
-        if len(item) < Q and item in doc:
-            at = doc.find(item)
-            out.append({"item_id": item_id, "edits": 0, "begin": at, "end": at + len(item)})
+    if index["short"]:
+        first: dict[tuple[int, str], int] = {}
+        for m in WORD.finditer(doc):
+            for item_id, item, lead in index["short"].get(m[0], ()):
+                at = m.start() - lead
+                after = at + len(item)
+                if at >= 0 and doc.startswith(item, at) and not (at and doc[at - 1].isalnum()) and not doc[after:after + 1].isalnum():
+                    first.setdefault((item_id, item), at)
+        for (item_id, item), at in first.items():
+            out += [{"item_id": item_id, "edits": 0, "begin": at, "end": at + len(item)}] * sum(x[:2] == (item_id, item) for x in index["short"][WORD.search(item)[0]])
     h = gram_hashes(doc)
     if not len(h) or not len(index["known"]):
         return out
@@ -99,9 +140,9 @@ def find(text: str | None, index: dict) -> list[dict]:
     at, slot = at[same], slot[same]
     if not len(at):
         return out
-    n = index["count"][slot]
+    n = index["count"][slot].astype(np.int64)
     entry = np.repeat(index["first"][slot] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    item, diagonal = index["item"][entry], np.repeat(at, n) - index["place"][entry]
+    item, diagonal = index["item"][entry].astype(np.int64), np.repeat(at, n) - index["place"][entry]
     step = index["budget"][item] + 1
     band = diagonal // step
     shift = 1 << 34
@@ -112,30 +153,73 @@ def find(text: str | None, index: dict) -> list[dict]:
     for x in key[good].tolist():
         k, b = x // shift, x % shift - (1 << 33)
         budget, (item_id, words) = int(index["budget"][k]), index["items"][k]
-        lo = max(0, b * (budget + 1) - budget)
-        region = doc[lo:max(0, (b + 2) * (budget + 1) + len(words) + budget)]
-        edits, begin, end = align(words, region)
+        edits, begin, end = align(words, doc, b * (budget + 1), 2 * (budget + 1))
         if edits <= budget and (k not in best or edits < best[k]["edits"]):
-            best[k] = {"item_id": item_id, "edits": edits, "begin": lo + begin, "end": lo + end}
+            best[k] = {"item_id": item_id, "edits": edits, "begin": begin, "end": end}
     return out + list(best.values())
 
 
-def hits(text: Column, index: dict) -> Column:
+def hits(text: Column, slices: list) -> Column:
+    """Hits of all ``slices``, which are broadcasts of an index each."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())]))
 
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lone = slices[0].value if len(slices) == 1 else None
         for batch in batches:
-            yield pa.array([find(t.as_py(), index) for t in batch], kind)
+            found: list[list[dict]] = [[] for _ in batch]
+            for own in slices:
+                index = lone or own.value
+                for out, t in zip(found, batch):
+                    out += find(t.as_py(), index)
+                if lone is None:
+                    del index
+                    own.unpersist_local()
+            yield pa.array(found, kind)
     return F.arrow_udf(work, HIT)(text.cast("string"))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, slice_bytes: int = SLICE) -> DataFrame:
-    """``docs`` with ``hits``, the items found: item_id, edits, begin and end in the normalised text."""
-    items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+class Slice:
+    """A broadcast whose value a worker can let go and read again."""
+
+    def __init__(self, broadcast):
+        self.broadcast = broadcast
+
+    @property
+    def value(self) -> dict:
+        return self.broadcast.value
+
+    def unpersist_local(self) -> None:
+        self.broadcast.__dict__.pop("_value", None)
+
+
+def sliced(items: DataFrame, slice_bytes: int) -> int:
+    """A number of hash slices of which none holds several items and more than about ``slice_bytes``."""
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    slices = max(1, -(-total // slice_bytes))
+    n = max(1, -(-total // slice_bytes))
+    while n > 1:
+        sizes = items.groupBy(part_of(n).alias("part")).agg(F.sum(F.octet_length("text")).alias("size"), F.count_distinct("item_id", "text").alias("n"))
+        if sizes.filter((F.col("size") > 2 * slice_bytes) & (F.col("n") > 1)).isEmpty():
+            break
+        n *= 2
+    return n
+
+
+def part_of(n: int) -> Column:
+    return F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, slice_bytes: int = SLICE, a_pass: int = A_PASS) -> DataFrame:
+    """``docs`` with ``hits``, the items found: item_id, edits, begin and end in the normalised text."""
+    context = docs.sparkSession.sparkContext
+    items = benchmark.filter(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("long"), F.lit(0)).alias("item_id"), F.col("text").cast("string").alias("text"))
+    n = sliced(items, slice_bytes)
     out = docs.withColumn("hits", F.array().cast(HIT))
-    for i in range(slices):
-        own = sorted((r["item_id"] or 0, r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i).collect())
-        out = out.withColumn("hits", F.concat("hits", hits(F.col("text"), build(own, rate))))
+    for first in range(0, n, a_pass):
+        slices = []
+        for i in range(first, min(n, first + a_pass)):
+            own = sorted((r["item_id"], r["text"]) for r in items.filter(part_of(n) == i).collect())
+            slices.append(Slice(context.broadcast(build(own, rate))))
+        out = out.withColumn("hits", F.concat("hits", hits(F.col("text"), slices)))
+        if first + a_pass < n:
+            out = cut(out)
     return out
