@@ -4,7 +4,8 @@ A page is tokenised and built into a tree of its block elements (inline elements
 omitted end tags of paragraphs, list items, table cells and the like are implied; scripts, styles, comments, head
 and other unseen content never enter the tree). Features of a block: its tag and attribute tokens and those of its
 ancestors, depth, text and link density of its subtree, tags per text, position among its siblings and what they
-are. A boosted ensemble of small trees gives the log-odds that the block holds article text; the decoding takes
+are. Text that stands bare in the body makes blocks of its own, one for each run between others, so it is judged like
+any block. A boosted ensemble of small trees gives the log-odds that the block holds article text; the decoding takes
 the most likely labelling in which nothing is kept inside something dropped, by one pass up and one down the tree.
 
 The ensemble is fitted here, once per driver, on pages that ``sample_pages`` writes from a fixed seed: layouts with
@@ -37,11 +38,15 @@ DISPLAY = re.compile(r"(?:\A|;)\s*display\s*:\s*([a-z-]+)")
 #: Element names by how they are read.
 UNSEEN = set("script style noscript template svg math iframe object canvas audio video select textarea title".split())
 INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: End tags, sought in the source itself: lower-casing may change the length of a text.
+CLOSING = {name: re.compile(f"</{name}(?![a-z0-9])", re.I | re.A) for name in UNSEEN}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
           "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "option": {"select"}}
-TAGS = ["article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "table", "tr", "td", "blockquote", "pre", "figure", "figcaption", "dl", "dd",
+#: Tag of a run of text that stands in the body itself.
+BARE = "#text"
+TAGS = ["article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "table", "tr", "td", "blockquote", "pre", "figure", "figcaption", "dl", "dd", BARE,
         "nav", "header", "footer", "aside", "form", "dialog", "body", "button", "address", "fieldset", "details", "hgroup"]
 #: Words of class, id and role attributes by what they hint at.
 HINTS = {
@@ -67,14 +72,15 @@ class Page:
         self.tag, self.parent, self.hint, self.links, self.tags, self.hidden = ["body"], [-1], [0], [0], [0], [False]
         self.pieces: list[tuple[int, str]] = []  # (block, text), in page order
         stack, buffer, at, end, inline_links, in_head = [0], [], 0, len(source), 0, False
-        lower = None
 
         def flush() -> None:
             if buffer:
                 words = "".join(buffer).split()
                 buffer.clear()
                 if words:
-                    self.pieces.append((stack[-1], " ".join(words)))
+                    self.pieces.append((stack[-1] or self._add(BARE, 0, 0, False, self.links[0], self.tags[0]), " ".join(words)))
+                if not stack[-1]:
+                    self.links[0] = self.tags[0] = 0
 
         def say(raw: str) -> None:
             if raw and not in_head:
@@ -111,9 +117,8 @@ class Page:
                     pop_to({name}, set())
             elif name in UNSEEN:
                 if not m[3].rstrip().endswith("/") or name in ("script", "style", "title", "textarea"):
-                    lower = lower or source.lower()
-                    close = lower.find(f"</{name}", at)
-                    at = end if close < 0 else (lower.find(">", close) + 1 or end)
+                    close = CLOSING[name].search(source, at)
+                    at = end if close is None else (source.find(">", close.start()) + 1 or end)
             elif name == "br" or name == "img":
                 buffer.append(" ")
                 self.tags[stack[-1]] += 1
@@ -133,15 +138,14 @@ class Page:
                 if name in CLOSES:
                     pop_to(CLOSES[name], STOPS[name])
                 hint, hidden = self._hint(m[3])
-                self.tag.append(name)
-                self.parent.append(stack[-1])
-                self.hint.append(hint)
-                self.hidden.append(hidden)
-                self.links.append(0)
-                self.tags.append(1)
-                stack.append(len(self.tag) - 1)
+                stack.append(self._add(name, stack[-1], hint, hidden, 0, 1))
         flush()
 
+    def _add(self, tag: str, parent: int, hint: int, hidden: bool, links: int, tags: int) -> int:
+        for own, value in ((self.tag, tag), (self.parent, parent), (self.hint, hint), (self.hidden, hidden), (self.links, links), (self.tags, tags)):
+            own.append(value)
+        return len(self.tag) - 1
+
     @staticmethod
     def _hint(attributes: str) -> tuple[int, bool]:
         bits, hidden = 0, False
@@ -285,13 +289,29 @@ def sample_pages(count: int = 500, seed: int = 11) -> Iterator[tuple[str, list[i
             if style < 0.75:
                 return el("main", 1, lambda: el("article", 1, body) if rng.random() < 0.5 else body(), rng.choice(["", attribute("good")]))
             return el(rng.choice(["div", "section"]), 1, body, f' class="{rng.choice(names["good"])}"')
+        def bare(y: int, lo: int, hi: int) -> str:
+            labels.append(y)
+            return words(lo, hi)
+
+        def loose() -> str:
+            """An article without an element of its own: runs of bare text between blocks."""
+            out = el(rng.choice(["h1", "h2"]), 1, words(1, 12))
+            for _ in range(rng.randint(1, 5)):
+                out += bare(1, 12, 160) + el(rng.choice(["p", "p", "h2", "blockquote", "ul"]), 1, words(2, 90))
+            return out + (bare(1, 8, 120) if rng.random() < 0.8 else "")
         layout = [rng.choice([menu, lambda: el("header", 0, lambda: words(1, 5) + (menu() if rng.random() < 0.5 else ""), rng.choice(["", attribute("head")]))]) for _ in range(rng.randint(0, 2))]
         layout += [rng.choice(noise) for _ in range(rng.randint(0, 3))] + ([article] if rng.random() < 0.97 else []) + [rng.choice(noise) for _ in range(rng.randint(0, 3))]
         if rng.random() < 0.8:
             layout.append(lambda: plain(["footer", "footer", "div"], "foot", 25) if rng.random() < 0.5 else el("footer", 0, "&copy; " + words(1, 12)))
         wrap = rng.random() < 0.35
+        if not wrap and rng.random() < 0.45:  # short runs of bare text between the blocks; two blocks never touch a run
+            if article in layout and rng.random() < 0.6:
+                layout[layout.index(article)] = loose
+            spots = [i for i in range(len(layout) + 1) if not any(f is loose for f in layout[max(0, i - 1):i + 1])]
+            for i in sorted(rng.sample(spots, min(len(spots), rng.randint(1, 2))), reverse=True):
+                layout.insert(i, lambda: bare(0, 1, 9) if rng.random() < 0.6 else bare(0, 1, 4) + f' <a href="/{word()}">{words(1, 3)}</a>')
         inner = lambda: "".join(f() for f in layout)
-        body = el("div", int(article in layout), inner, attribute(None)) if wrap else inner()
+        body = el("div", int(article in layout or loose in layout), inner, attribute(None)) if wrap else inner()
         yield f"<html><head><title>{words(1, 6)}</title></head><body>{body}</body></html>", labels
 
 
