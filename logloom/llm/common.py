@@ -33,6 +33,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
@@ -85,6 +90,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def bounded(sample: DataFrame, most_bytes: int) -> DataFrame:
+    """``sample`` (doc_id, text and more; few rows) with at most about ``most_bytes`` of text, less by a hash of doc_id.
+
+    A text of more than a twentieth of that isn't a row of it. Checkpointed, so the documents are read once.
+    """
+    size = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    own = cut(sample.filter(size <= most_bytes // 20))
+    total = own.agg(F.sum(size)).first()[0] or 0
+    if total <= most_bytes:
+        return own
+    return own.filter(F.pmod(F.xxhash64("doc_id", F.lit("bytes")), F.lit(1_000_000)) < 1_000_000 * most_bytes // total)
+
+
 def ascii_lower(text: Column) -> Column:
     """Only A-Z change."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -8,10 +8,11 @@ centroid, the limit depends on how many different n-grams a document has: it is
 cosines of pieces (first words and whole texts) with about as many, to centroids fitted without their documents.
 
 The fit takes a bounded sample: about ``per_lang`` rows a language, by a hash of doc_id, of the rows that the caller
-allows; its texts and the model (clusters x languages x ``DIM`` floats) are all that the driver holds.
+allows, and about ``most_bytes`` of text in all; its texts and the model (clusters x languages x ``DIM`` floats) are all that the driver holds.
 
 Edge cases: null texts and texts without a letter are ``und``, score 0, rejected; empty tables give no rows; a table
-without any labelled text makes every document ``und``. Only text is an input of a prediction.
+without any labelled text makes every document ``und``; a null ``doc_id`` counts as held out; rows that repeat are each
+predicted. Columns of the input named like an output are replaced, others pass through. Only text is an input of a prediction.
 """
 
 from __future__ import annotations
@@ -23,13 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIM, PER_LANG, CLUSTERS = 4096, 400, 3
+from .common import bounded
+
+DIM, PER_LANG, CLUSTERS, MOST_BYTES = 4096, 400, 3, 64_000_000
 QUANTILE, SLACK, PIECES = 0.01, 0.7, (1, 2, 4, 8, 16, 32, 64, 128)
 _letters: np.ndarray | None = None
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+    """Whether a row is left out of the fit; one without an id always is."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
 def grams(text: str) -> np.ndarray | None:
@@ -81,13 +85,13 @@ def limits(texts: list[str], own: np.ndarray, idf: np.ndarray, clusters: int) ->
     return [float(k) for k in knots], list(map(float, np.minimum.accumulate([SLACK * np.quantile(cos[at == k], QUANTILE) for k in reversed(knots)])[::-1]))
 
 
-def fit(docs: DataFrame, allowed: Column | None = None, per_lang: int = PER_LANG, clusters: int = CLUSTERS) -> dict:
+def fit(docs: DataFrame, allowed: Column | None = None, per_lang: int = PER_LANG, clusters: int = CLUSTERS, most_bytes: int = MOST_BYTES) -> dict:
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.lit(True) if allowed is None else allowed))
     n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     part = F.lit(False)
     for lang, k in n.items():
         part = part | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < -(-1_000_000 * per_lang // k)))
-    sample = sorted(((r["lang"], r["doc_id"] or 0, r["text"]) for r in rows.filter(part).select("lang", "doc_id", "text").collect()))
+    sample = sorted(((r["lang"], r["doc_id"] or 0, r["text"]) for r in bounded(rows.filter(part).select("lang", "doc_id", F.col("text").cast("string").alias("text")), most_bytes).collect()))
     langs = sorted({x[0] for x in sample})
     if not langs:
         return {"langs": [], "idf": np.zeros(DIM, np.float32), "centroids": np.zeros((0, DIM), np.float32), "owner": [], "limits": []}
