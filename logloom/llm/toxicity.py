@@ -1,11 +1,12 @@
 """Toxic passages by maximum-scoring segments of token log-odds, with extreme-value calibration.
 
-Fit, on a bounded sample of labelled documents (``per_class`` toxic ones, twice as many others, by a hash of doc_id):
+Fit, on a bounded sample of labelled documents (``per_class`` toxic ones, twice as many others, by a hash of
+doc_id, and about ``most_bytes`` of text):
 log-odds between the classes of each word and of each word beginning (3 to 8 letters), by the documents that hold it,
 under nested Dirichlet priors: a form's prior counts (``PRIOR`` documents) are split as its next shorter form's, the
 shortest form's as all documents. A token takes the log-odds of its longest form that departs from the base rate
-(signed root of the likelihood ratio at least ``Z``); all others, and a token seen ``NEAR`` tokens ago or less, which
-is no new evidence, cost ``DRIFT``. All maximal scoring segments of a text are found in one linear scan (Ruzzo and
+(signed root of the likelihood ratio at least ``Z``); all others, and a token counted ``NEAR`` tokens ago or less,
+which is no new evidence, cost ``DRIFT``. All maximal scoring segments of a text are found in one linear scan (Ruzzo and
 Tompa). Under the clean token frequencies a best segment follows an extreme-value law: the chance to see score S among
 n tokens is 1 - exp(-K n exp(-lambda S)), with lambda the root of the moment equation and K matched to the clean
 sample. Segments with log E below 0 are significant; a logistic curve over the best segment's log E, the number of
@@ -13,7 +14,8 @@ significant segments and their excess gives the score, corrected for the rates o
 fitted on segments of documents whose own words were left out (``FOLDS`` parts, copies of a text in the same one).
 
 Edge cases: null and empty texts have no tokens and get the score of no evidence; without labels of both classes all
-scores are the rate of toxic labels, or 0; repeated rows score alike. Only text is an input of a score.
+scores are the rate of toxic labels, or 0; repeated rows score alike; rows without a ``doc_id`` are scored, but not learned
+from. Columns of the input named like an output are replaced, others pass through. Only text is an input of a score.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_CLASS, PRIOR, Z, DRIFT, NEAR, FOLDS = 2000, 2.0, 3.0, -0.08, 50, 4
+from .common import bounded
+
+PER_CLASS, MOST_BYTES, PRIOR, Z, DRIFT, NEAR, FOLDS = 2000, 128_000_000, 2.0, 3.0, -0.08, 50, 4
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -91,7 +95,7 @@ def marked(tokens: list[str], odds: Odds) -> list[tuple[int, float]]:
         if s is not None:
             if i - last.get(t, -NEAR - 1) > NEAR:
                 out.append((i, s))
-            last[t] = i
+                last[t] = i
     return out
 
 
@@ -185,7 +189,7 @@ def learn(rows: list[tuple[int, list[str]]], offset: float = 0.0) -> dict:
     return model | {"w": w.tolist(), "rate": None}
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = PER_CLASS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> dict:
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     empty = {"odds": Odds({}), "lambda": 1.0, "k": 1.0, "w": [0.0] * 4, "rate": float(not n.get(0) and bool(n.get(1)))}
@@ -195,7 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = PE
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000))
     ids = known.filter(draw < F.when(F.col("toxic") == 1, math.ceil(1e6 * part[1])).otherwise(math.ceil(1e6 * part[0])))
     # The sample is bounded by per_class, whatever the tables hold, so its ids may be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "doc_id", "text").collect()
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("toxic", "doc_id", "text")
+    rows = bounded(found, most_bytes).collect()
     rows = [(r["toxic"], tokens_of(r["text"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))]
     if not 0 < sum(y for y, _ in rows) < len(rows):
         return empty
