@@ -8,8 +8,9 @@ that keep each document's probability. Documents come in by falling size, so the
 
 At scale the flight runs on blocks of about ``BLOCK`` documents of a source, dealt by a hash of the document; what
 stays open (at most two a block) is dealt anew, with its current probabilities, until a source is one block. Only
-there the landing phase rounds the one or two documents left, to the words nearest to the target, and one exchange
-of a taken with an untaken document of the block cancels most of what that rounding costs.
+there the landing phase rounds the one or two documents left, to the words nearest to the target, and a few exchanges
+of a taken with an untaken document of the block cancel what that rounding costs. If a source does not settle in
+``ROUNDS`` rounds (blocks of one or two documents), an error is raised.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share ``share`` of all words; a target stops
 at twice its source's words and the rest is shared again by weight (the water level, found with running sums).
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-BLOCK = 4096
+BLOCK, ROUNDS, EXCHANGES = 4096, 20, 10
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 STATE = "doc_id long, size long, skey string, source_size long, target double, whole int, p double, blocks int"
@@ -108,7 +109,11 @@ def _settle(rows: pd.DataFrame) -> pd.DataFrame:
     seed = zlib.crc32(f"{rows['skey'].iloc[0]}|{int(rows['block'].iloc[0])}|{int(rows['blocks'].iloc[0])}".encode())
     p = flight(size, start, np.random.Generator(np.random.PCG64(seed)).random(len(start) + 1))
     if rows["blocks"].iloc[0] == 1:
-        p = repaired(size, start, landing(size, p))
+        p = landing(size, p)
+        for _ in range(EXCHANGES):
+            p, before = repaired(size, start, p), p
+            if np.array_equal(p, before):
+                break
     return rows.assign(p=p)[[c.split()[0] for c in STATE.split(", ")]]
 
 
@@ -136,7 +141,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, block: int = BLOC
         "doc_id", "size", "skey", "source_size", "target", F.floor("r").cast("int").alias("whole"), (F.col("r") - F.floor("r")).alias("p"),
         F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("int").alias("blocks"))
     done = []
-    for round_ in range(20):
+    for round_ in range(ROUNDS):
         h = F.xxhash64(F.lit(round_), "doc_id")
         # One key for source and block: rows dealt by source alone, for the join above, must be dealt anew.
         dealt = state.withColumn("h", h).withColumn("block", F.pmod(F.col("h"), F.col("blocks")).cast("int")).withColumn("cell", F.concat_ws("|", "block", "skey"))
@@ -146,6 +151,8 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, block: int = BLOC
         if left.isEmpty():
             break
         n = left.groupBy("skey").agg(F.count("*").alias("n"))
+        if round_ == ROUNDS - 1:
+            raise RuntimeError(f"{left.count()} documents are still open after {ROUNDS} rounds; take larger blocks than {block}")
         state = left.drop("blocks").join(n, "skey").select(
             "doc_id", "size", "skey", "source_size", "target", "whole", "p", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     out = done[0]
