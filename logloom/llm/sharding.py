@@ -8,10 +8,13 @@ as a region of its own.
 
 Law ``key``: the key and the tree decide. Nothing is gathered: each row finds its shard alone.
 
-Slots count the rows of a shard from 0 without gaps. They are numbered in 256 hash parts of each shard, whose counts
-(shards x 256 rows, a bound that doesn't grow with the data) are summed up and broadcast; a part is sorted by key.
+Slots count the rows of a shard from 0 without gaps. They are numbered in 256 hash parts of each shard (of key, size and
+checksum of the text, so that rows without a key spread), whose counts (shards x 256 rows, a bound that doesn't grow
+with the data) are summed up and broadcast; a part is sorted by key. Texts are read once: what is numbered is a
+checkpoint of narrow rows.
 
-Edge cases: a null text has no bytes; a null key is a key like any other; repeated rows go to the same shard and get
+Edge cases: a null text has no bytes; keys are hashed as text, so integer types agree; a null key is a key like any
+other; repeated rows go to the same shard and get
 slots of their own; an empty table gives an empty result. Columns of the input beside ``doc_id`` and ``text`` are not read.
 """
 
@@ -20,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 PARTS = 256
 
 Tree = list[tuple[str, list[tuple[str, list[tuple[int, float]]]]]]
@@ -74,17 +79,17 @@ def shard_of(key: Column, topology: Tree) -> Column:
 def shard(docs: DataFrame, topology: Tree, grown: Tree | None = None) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot`` and ``grown_shard``, the shard under ``grown``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.col("doc_id")
-    rows = docs.select(
+    key = F.col("doc_id").cast("string")
+    rows = cut(docs.select(
         "doc_id", (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         shard_of(key, topology).alias("shard"),
-        (shard_of(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"))
-    part = F.pmod(F.xxhash64(F.lit("part"), key), F.lit(PARTS)).cast("int").alias("part")
-    counts = docs.select(shard_of(key, topology).alias("shard"), part).groupBy("shard", "part").count()
+        (shard_of(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard")).withColumn(
+        "part", F.pmod(F.xxhash64(F.lit("part"), key, "text_crc32", "size"), F.lit(PARTS)).cast("int")))
+    counts = rows.groupBy("shard", "part").count()
     before = counts.select("shard", "part", F.coalesce(
         F.sum("count").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32"))
-    numbered = rows.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), key), F.lit(PARTS)).cast("int")).withColumn("rank", rank)
+    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size"))
+    numbered = rows.withColumn("rank", rank)
     return numbered.join(F.broadcast(before), ["shard", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
         (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"), "grown_shard")
