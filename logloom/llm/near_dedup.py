@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, shuffle_parts, with_group_totals
 
-HALF, FIRST, BLOCK = 4, 128, 512
+HALF, STAR, FIRST, BLOCK = 4, 256, 128, 512
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _rng = np.random.default_rng(20240601)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -239,13 +239,17 @@ def links(members: DataFrame, threshold: int) -> DataFrame:
 def confirmed(docs: DataFrame, edges: DataFrame, width: int, threshold: int) -> DataFrame:
     """The links ``(u, v)`` of ``edges`` (each v the middle of a star) that hold on full sets.
 
-    A set is computed once and goes to each of its stars; only the middle's set is held while a star is read.
+    A set is computed once and goes to each of its stars; only the middle's set is held while a star is read. A star of
+    more than ``STAR`` members is dealt in parts, each with the middle.
     """
-    roles = edges.select(F.col("u").alias("doc_id"), F.struct(F.col("v").alias("star"), F.lit(1).alias("role")).alias("r")).unionByName(
-        edges.select(F.col("v").alias("doc_id"), F.struct("v", F.lit(0)).cast("struct<star:bigint,role:int>").alias("r")).distinct())
+    parts = F.ceil(F.col("n") / STAR).cast("int")
+    edges = with_group_totals(edges, ["v"], "u", n=("count", "u"))
+    role = lambda part, k: F.struct(F.col("v").alias("star"), part.cast("int").alias("part"), F.lit(k).alias("role")).alias("r")
+    roles = edges.select(F.col("u").alias("doc_id"), role(F.pmod(F.xxhash64("u"), parts), 1)).unionByName(
+        edges.select("v", "n").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(F.col("v").alias("doc_id"), role(F.col("part"), 0)))
     roles = roles.groupBy("doc_id").agg(F.collect_list("r").alias("roles"))
-    own = sets(plain(docs).join(roles, "doc_id"), width, "roles array<struct<star:long,role:int>>")
-    dealt = own.withColumn("r", F.explode("roles")).select("id", "r.star", "r.role", "s")
+    own = sets(plain(docs).join(roles, "doc_id"), width, "roles array<struct<star:long,part:int,role:int>>")
+    dealt = own.withColumn("r", F.explode("roles")).select("id", "r.star", "r.part", "r.role", "s")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, middle = None, np.empty(0, np.uint64)
@@ -265,7 +269,7 @@ def confirmed(docs: DataFrame, edges: DataFrame, width: int, threshold: int) ->
                     v.append(k)
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-    return dealt.repartition(shuffle_parts(docs), "star").sortWithinPartitions("star", "role").mapInArrow(work, "u long, v long")
+    return dealt.repartition(shuffle_parts(docs), "star", "part").sortWithinPartitions("star", "part", "role").mapInArrow(work, "u long, v long")
 
 
 def open_members(halves: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
