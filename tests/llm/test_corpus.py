@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.llm.common import cut
 from logloom.llm import decontamination, exact_dedup, html_text, language_id, license_scan, mixing, near_dedup, pii, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, source string, lang string, slot string, keep_id string, score string, rank int"
@@ -228,7 +229,10 @@ def test_near(docs, none):
 
 def test_near_dedup_in_many_blocks(spark, monkeypatch):
     """Groups far larger than a block, some of several components, against brute force."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    for name, size in (("BLOCK", 4), ("FIRST", 5), ("STAR", 6)):
+        monkeypatch.setattr(near_dedup, name, size)
+    rounds, plain = [], near_dedup.second_round
+    monkeypatch.setattr(near_dedup, "second_round", lambda *a: rounds.append(cut(plain(*a))) or rounds[-1])
     texts, draw = [], random.Random(11)
     for _ in range(3):
         base = words(60).split()
@@ -253,6 +257,7 @@ def test_near_dedup_in_many_blocks(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(rows, 3, 85).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
     assert len(set(got.values())) > 5
+    assert rounds and rounds[0].count() > 0
 
 
 
