@@ -2,20 +2,34 @@
 
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``:
 language ID drops what it rejects (no letter, or too far from every centroid); near-dedup keeps the smallest doc_id of
-each group of documents that share at least 0.8 of their five-word shingles; decontamination drops documents that hold
-a benchmark item; mixing repeats or drops documents to the sources' target weights; sharding gives each row its shard
-and slot. Rows without a doc_id cannot be told apart and end at near-dedup.
+each group of documents that share at least 0.8 of their five-word shingles, once where its row repeats;
+decontamination drops documents that hold a benchmark item; mixing repeats or drops documents to the sources' target
+weights; sharding gives each row its shard and slot.
+
+Rows without a ``doc_id`` stay in: where a stage has to tell documents apart they go by a negative number made from
+their text and source, so rows that agree in both are one document. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.llm import decontamination, language_id, mixing, near_dedup, sharding
-from logloom.llm.common import checkpoint_dir, docs_of
+from logloom.llm.common import checkpoint_dir, docs_of, drop_folder
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_id``, the doc_id or a number below zero in its place."""
+    made_up = -1 - F.pmod(F.xxhash64("text", "source"), F.lit(1 << 62))
+    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made_up))
+
+
+def by_id(docs: DataFrame) -> DataFrame:
+    """What the operators read, under ``_id`` as doc_id."""
+    return identified(docs).select(F.col("_id").alias("doc_id"), "text", "source")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +38,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stays = near_dedup.near_dedup(docs, width=5, threshold=80).filter("kept").select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
+    stays = near_dedup.near_dedup(by_id(docs), width=5, threshold=80).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    # Rows that repeat fall away before the shuffle of the join.
+    once = identified(docs).withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_id"))).filter("_n = 1")
+    return once.join(stays, "_id", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +49,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = mixing.mix(by_id(docs)).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0").withColumnRenamed("doc_id", "_id")
+    return identified(docs).join(taken, "_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,15 +66,35 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: The stages can't be written as SQL; tests hold run() against a plain version.
+#: The stages can't be written as SQL; a test holds run() against a plain version of each stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; what a stage returns is written to the shared folder and read by the next."""
-    docs = docs_of(spark, sf_dir)
+    """The stages over ``documents``; what a stage returns is written to the shared folder and read by the next.
+
+    A stage's folder is deleted when the next one is written. The last is read by the result and stays; ``run_into``
+    writes the result and deletes it, too.
+    """
+    return _stages(spark, sf_dir, f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}")
+
+
+def _stages(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    docs, before = docs_of(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def run_into(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """``run`` written to ``path``; nothing else that the stages wrote is left."""
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    try:
+        _stages(spark, sf_dir, folder).write.parquet(path)
+    finally:
+        drop_folder(spark, folder)
