@@ -25,6 +25,7 @@ RISK_WEIGHTS = {
     "GetSecretValue": 25, "DeleteDBInstance": 30, "CreateFunction": 20, "UpdateFunctionCode": 25,
 }
 
+#: Shapes of tokens, of their parts, and of addresses, which are not taken apart.
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9_.:\-/@+]*"
 CAMEL = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 SEPARATORS = r"[._:\-/@+]+"
@@ -61,10 +62,10 @@ def is_root(principal: Column) -> Column:
 
 
 def render_line(e: dict[str, Column]) -> Column:
-    """One event as a line of seven fields."""
+    """One event as a line of seven fields, the last its id, by which answers cite it."""
     mark = F.when(e["status"] == "success", "OK").when(e["status"] == "failure", "FAIL").otherwise("INFO")
-    dash = lambda c: F.when(c == "", "-").otherwise(c)
-    return F.concat_ws(" | ", e["ts"], e["source"], e["action"], mark, *(dash(e[c]) for c in ("principal", "src_ip", "resource")))
+    dash = lambda c: F.when(blank(c) == "", "-").otherwise(c)
+    return F.concat_ws(" | ", e["ts"], dash(e["action"]), mark, *(dash(e[c]) for c in ("principal", "src_ip", "region")), e["event_id"])
 
 
 def valid_event(source_names: list[str]) -> Column:
@@ -90,3 +91,9 @@ def tokenize(text: Column, most: int | None = None) -> Column:
 
 def truncate(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.rtrim(F.substring(text, 1, n)), F.lit("…[truncated]"))).otherwise(text)
+
+
+def format_eta(seconds: float) -> str:
+    """A span as "42s", "3m 05s" or "2h 07m"."""
+    s = max(0, int(seconds))
+    return f"{s}s" if s < 60 else f"{s // 60}m {s % 60:02d}s" if s < 3600 else f"{s // 3600}h {s % 3600 // 60:02d}m"

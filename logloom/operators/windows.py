@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fields import RISK_WEIGHTS, is_root, render_line
 
@@ -16,37 +20,72 @@ def risk(actions: Column, failures: Column, root: Column, weights: dict[str, int
     return F.least(F.lit(100), known + F.least(F.lit(30), 2 * failures) + F.when(root, 25).otherwise(0)).cast("int")
 
 
-def pieces(lines: Column, max_chars: int, max_events: int) -> Column:
-    """Number of the piece of each line, cut greedily."""
-    start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n"), F.lit(0).alias("piece"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, line: Column) -> Column:
-        size = F.length(line) + 3
-        new = (a["n"] > 0) & ((a["chars"] + size > max_chars) | (a["n"] >= max_events))
-        piece = a["piece"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, size).otherwise(a["chars"] + size).alias("chars"), F.when(new, 1).otherwise(a["n"] + 1).alias("n"), piece.alias("piece"), F.array_append(a["out"], piece).alias("out"))
-    return F.when(F.size(lines) == 1, F.array(F.lit(0))).otherwise(F.aggregate(lines, start, step, lambda a: a["out"]))
-
-
-def build_windows(events: DataFrame, gap_minutes: int = 15, max_chars: int = 4800, max_events: int = 120, weights: dict[str, int] | None = None, preserve_case: bool = False) -> DataFrame:
-    """Windows of deduplicated events. One shuffle on the key; numbering moves only narrow rows, day by day."""
-    order = Window.partitionBy(*KEY).orderBy("ts", "event_id")
-    seconds = F.unix_timestamp(F.to_timestamp("ts"))
-    session = events.withColumn("_new", (F.coalesce(seconds - F.lag(seconds).over(order), F.lit(0)) > gap_minutes * 60).cast("int")).withColumn(
-        "_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    fields = ["ts", "event_id", "action", "status", "principal", "src_ip", "resource", "region", "account_id", "source"]
-    line = render_line({c: F.col(c) for c in fields})
-    groups = session.groupBy(*KEY, "_group").agg(F.array_sort(F.collect_list(F.struct(*fields, line.alias("line")))).alias("e"))
-    cut = groups.withColumn("_first", F.get("e", F.lit(0))["ts"]).withColumn("_piece", pieces(F.transform("e", lambda x: x["line"]), max_chars, max_events))
-    cut = cut.withColumn("p", F.explode(F.sequence(F.lit(0), F.array_max("_piece")))).withColumn(
-        "e", F.when(F.array_max("_piece") == 0, F.col("e")).otherwise(F.transform(F.filter(F.arrays_zip("e", "_piece"), lambda z: z["_piece"] == F.col("p")), lambda z: z["e"]))).drop("_piece")
+FIELDS = ["ts", "event_id", "action", "status", "principal", "src_ip", "resource", "region", "account_id", "source"]
+
+
+def sessions(rows: DataFrame, gap_minutes: int) -> DataFrame:
+    """``rows`` with ``_group``, the number of the session within its key.
+
+    A key is worked on day by day, so one that holds a third of all rows is as many units as it has days. What a day
+    hands on is one row: its first and last second and how often it pauses.
+    """
+    day = [*KEY, "_day"]
+    order = Window.partitionBy(*day).orderBy("ts", "event_id")
+    rows = rows.withColumn("_day", F.substring("ts", 1, 10)).withColumn("_at", F.unix_timestamp(F.to_timestamp("ts")))
+    new = (F.coalesce(F.col("_at") - F.lag("_at").over(order), F.lit(0)) > gap_minutes * 60).cast("int")
+    rows = rows.withColumn("_new", new).withColumn("_in", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    days = Window.partitionBy(*KEY).orderBy("_day")
+    each = rows.groupBy(*day).agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.sum("_new").alias("pauses"))
+    apart = (F.coalesce(F.col("first") - F.lag("last").over(days), F.lit(0)) > gap_minutes * 60).cast("int")
+    each = each.withColumn("_step", F.coalesce(F.lag("pauses").over(days), F.lit(0)) + apart)
+    base = each.select(*day, F.sum("_step").over(days.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_base"))
+    return rows.join(base, day).withColumn("_group", F.col("_base") + F.col("_in")).drop("_day", "_at", "_new", "_in", "_base")
+
+
+def cut_long(rows: DataFrame, max_chars: int, max_events: int) -> DataFrame:
+    """``rows`` of sessions beyond a cap with ``_piece``, cut greedily as they stream by; no session is held as a whole."""
+    names = [*KEY, "_group"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, chars, n, piece = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for *own, size in zip(*(batch.column(c).to_pylist() for c in (*names, "_chars"))):
+                if own != key:
+                    key, chars, n, piece = own, 0, 0, 0
+                elif chars + size > max_chars or n >= max_events:
+                    chars, n, piece = 0, 0, piece + 1
+                chars, n = chars + size, n + 1
+                out.append(piece)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "_piece"])
+    schema = T.StructType([*rows.schema.fields, T.StructField("_piece", T.IntegerType())])
+    return rows.repartition(*names).sortWithinPartitions(*names, "ts", "event_id").mapInArrow(work, schema)
+
+
+def build_windows(events: DataFrame, gap_minutes: int = 15, max_chars: int = 4800, max_events: int = 120, weights: dict[str, int] | None = None, preserve_case: bool = False,
+                  start_index: int = 1) -> DataFrame:
+    """Windows of deduplicated events, numbered from ``start_index`` by the first time of their session.
+
+    Rows move once by key and day and once by session; a window gathers ``max_events`` rows at most. Sessions within
+    both caps, nearly all, stay in the JVM. Numbering moves only narrow rows, day by day.
+    """
+    line = render_line({c: F.col(c) for c in FIELDS})
+    rows = sessions(events.select(*FIELDS).withColumn("line", line), gap_minutes).withColumn("_chars", (F.length("line") + 3).cast("long"))
+    whole = Window.partitionBy(*KEY, "_group")
+    rows = rows.withColumns({"_n": F.count("*").over(whole), "_all": F.sum("_chars").over(whole), "_first": F.min("ts").over(whole)})
+    fits = (F.col("_n") == 1) | (F.col("_n") <= max_events) & (F.col("_all") <= max_chars)
+    piece = [*KEY, "_group", "_first", "_piece"]
+
+    def gathered(part: DataFrame) -> DataFrame:
+        return part.groupBy(*piece).agg(F.array_sort(F.collect_list(F.struct(*FIELDS, "line"))).alias("e")).withColumnRenamed("_piece", "p")
+    cut = gathered(rows.filter(fits).withColumn("_piece", F.lit(0))).unionByName(gathered(cut_long(rows.filter(~fits), max_chars, max_events)))
 
     cut = cut.withColumn("_day", F.substring("_first", 1, 10))
-    per_day = cut.groupBy("_day").count()
-    before = per_day.select("_day", F.coalesce(F.sum("count").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_day").orderBy("_first", *KEY, "_group", "p"))
-    numbers = cut.select("_day", "_first", *KEY, "_group", "p").withColumn("_rank", rank).join(before, "_day").select(
-        *KEY, "_group", "p", F.format_string("w-%05d", F.col("_before") + F.col("_rank")).alias("chunk_id"))
+    ranked = cut.select("_day", "_first", *KEY, "_group", "p").withColumn("_rank", rank)
+    before = ranked.groupBy("_day").count().select("_day", F.coalesce(F.sum("count").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbers = ranked.join(before, "_day").select(
+        *KEY, "_group", "p", F.format_string("w-%05d", F.col("_before") + F.col("_rank") + (start_index - 1)).alias("chunk_id"))
     rows = cut.join(numbers, [*KEY, "_group", "p"])
 
     field = lambda name: F.transform("e", lambda x: x[name])
@@ -58,9 +97,10 @@ def build_windows(events: DataFrame, gap_minutes: int = 15, max_chars: int = 480
         F.array_sort(F.array_distinct(F.filter(field("account_id"), lambda x: x != ""))).alias("accounts"), "e")
     header = F.format_string("[WINDOW %s] %s -> %s | source=%s | principal=%s | src_ip=%s | events=%d | failures=%d | risk=%d", "chunk_id", "ts_start", "ts_end", "source",
                              *(F.when(F.col(c) == "", "-").otherwise(F.col(c)) for c in ("principal", "src_ip")), "n_events", "n_failures", "risk_score")
-    words = F.concat(F.array("source", "principal", "src_ip"), "event_names", "accounts", F.transform("e", lambda x: F.concat_ws(
-        " ", x["action"], x["principal"], x["src_ip"], x["resource"], x["region"], x["event_id"], F.when(x["status"] == "failure", "failure failed error denied"))))
-    search = F.array_join(F.filter(words, lambda x: x != ""), " ")
+    lead = F.concat_ws(" ", "source", "principal", "src_ip", F.array_join("event_names", " "), F.array_join("accounts", " "))
+    words = F.flatten(F.transform("e", lambda x: F.array(
+        *(x[c] for c in ("action", "principal", "src_ip", "resource", "region", "event_id")), F.when(x["status"] == "failure", "failure failed error denied"))))
+    search = F.concat_ws(" ", lead, F.filter(words, lambda x: x != ""))
     return rows.withColumn("text", F.concat_ws("\n", header, F.transform("e", lambda x: F.concat(F.lit("- "), x["line"])))).withColumn(
         "search_text", search if preserve_case else F.lower(search)).drop("e")
 
@@ -73,6 +113,10 @@ def events_of_window(windows: DataFrame, events: DataFrame, chunk_id: str) -> Da
     return membership(windows.filter(F.col("chunk_id") == chunk_id)).join(events, "event_id").orderBy("position")
 
 
+def by_source(windows: DataFrame) -> DataFrame:
+    return windows.groupBy("source").agg(F.count("*").alias("windows"), F.sum("n_events").alias("events")).orderBy("source")
+
+
 def summarize(windows: DataFrame, high: int = 50) -> DataFrame:
     return windows.agg(F.count("*").alias("windows"), F.coalesce(F.sum("n_events"), F.lit(0)).alias("events"), F.coalesce(F.sum("n_failures"), F.lit(0)).alias("failures"),
                        F.count_if(F.col("risk_score") >= high).alias("high_risk"), F.coalesce(F.max("risk_score"), F.lit(0)).alias("max_risk"), F.coalesce(F.max("n_events"), F.lit(0)).alias("max_events"))
