@@ -22,11 +22,14 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["index", "--out", out, "--check", "--json"], spark) == 0
     assert json.loads(capsys.readouterr().out) == {"windows": 2, "vectors": 2, "missing": 0, "stale": 0, "repeated": 0, "dim": 64, "healthy": True}
     assert main(["search", "failed password bob", "-k", "1", "--out", out, "--json"], spark) == 0
-    hit = json.loads(capsys.readouterr().out)
-    assert hit["rank"] == 1 and len(hit["event_ids"]) == 5
-    assert main(["search", "failed password bob", "-k", "1", "--out", out, "--json", "--show-events", "--no-rerank"], spark) == 0
-    lines = json.loads(capsys.readouterr().out)["events"]
-    assert len(lines) == 5 and lines == sorted(lines) and "sshd.failed_password | FAIL | bob" in lines[0]
+    hit = json.loads(capsys.readouterr().out)["hits"][0]
+    assert hit["rank"] == 1 and len(hit["event_ids"]) == 5 and hit["found_by"] == ["bm25", "dense"]
+    assert main(["search", "failed password bob", "-k", "1", "--out", out, "--json", "--show-events", "3", "--no-rerank"], spark) == 0
+    lines = json.loads(capsys.readouterr().out)["diagnostics"]["events"][0]
+    assert len(lines) == 3 and lines == sorted(lines) and "sshd.failed_password | FAIL | bob | 9.9.9.9 | - | sl-" in lines[0]
+    assert main(["search", "failed password bob", "-k", "1", "--out", out, "--show-events", "2"], spark) == 0
+    assert "dense#1 bm25#1" in capsys.readouterr().out
+    assert main(["stats", "--out", out], spark) == 0 and "top src_ips" in capsys.readouterr().out
     (raw / "auth.log").write_text("Aug 13 02:11:03 h sudo: al : TTY=x ; COMMAND=/bin/ls\nAug 13 02:12:03 h sudo: al : TTY=x ; COMMAND=/bin/ls")
     ingest = ["ingest", "--raw", str(raw), "--out", out, "--year", "2026", "--json"]
     assert main(ingest + ["--limit", "1"], spark) == 0 and json.loads(capsys.readouterr().out)["events"] == 7

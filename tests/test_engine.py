@@ -1,4 +1,6 @@
+import hashlib
 import json
+from datetime import datetime, timezone
 
 import duckdb
 import pytest
@@ -6,9 +8,10 @@ from pyspark.sql import functions as F
 
 from logloom import registry
 from logloom.functions import fields
-from logloom.operators import retrieval, tables, windows
-from logloom.plans import ingest
-from logloom.sources import logs
+from logloom import settings
+from logloom.operators import evaluate, retrieval, tables, windows
+from logloom.plans import ingest, models, render
+from logloom.sources import generator, logs
 
 D = "/root/testdata/sf0.001"
 
@@ -21,7 +24,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", ["top_principals", "events_between", "failure_pct", "stable_ids", "windows_720m_capped", "window_membership", "tokenize", "bm25_topk", "rrf_weighted", "detect_source"])
+@pytest.mark.parametrize("name", ["top_principals", "events_between", "failure_pct", "stable_ids", "windows_720m_capped", "window_membership", "tokenize", "bm25_topk", "rrf_weighted", "detect_source", "rendered_lines", "window_text", "window_search_text", "windows_char_cap", "windows_by_source", "top_src_ips", "timeline", "steps_within", "different_within", "uncited", "injection"])
 def test_query_equals_sql(spark, db, name):
     got = registry.QUERIES[name](spark, D)
     rel = db.sql(registry.ORACLE_SQL[name])
@@ -79,14 +82,31 @@ def test_parsers_and_ingest(spark, tmp_path):
     (raw / "auth.log").write_text("\n".join(lines))
     events, counters = logs.load_events(spark, str(raw), 2026)
     by = {r["event_id"] if r["source"] == "cloudtrail" else r["action"]: r for r in events.collect()}
+    assert by["sshd.failed_password"]["event_id"] == "sl-" + hashlib.sha1(f"auth.log:1|{lines[0]}".encode()).hexdigest()[:12] and by["sshd.failed_password"]["raw_ref"] == "auth.log:1"
+    assert by["ct-1"]["raw_ref"] == "cloudtrail.json:1" and by["ct-2"]["raw_ref"] == "more.jsonl:1"
     assert by["ct-1"]["status"] == "failure" and by["ct-1"]["resource"] == "userName=bob" and by["ct-1"]["ts"] == "2026-01-01T00:00:00Z" and by["ct-2"]["status"] == "success"
     assert by["sshd.failed_password"]["principal"] == "bob" and by["sshd.accepted_password"]["ts"] == "2026-08-04T02:11:03Z" and by["kernel.message"]["status"] == "failure"
     assert by["sudo.command"]["resource"] == "/bin/ls" and by["cron.job"]["principal"] == "root"
-    assert counters.first().asDict() == {"files": 3, "records": 7, "skipped": 4}
+    assert counters.get() == {"files": 3, "records": 10, "skipped": 4}
     report = ingest.ingest(spark, str(raw), str(tmp_path / "out"), 2026)
-    assert report["events"] == 7 and report == ingest.ingest(spark, str(raw), str(tmp_path / "out"), 2026)
-    n = ingest.index(spark, str(tmp_path / "out"), ingest.hashed_embedding)
-    assert n == report["windows"] and ingest.index(spark, str(tmp_path / "out"), ingest.hashed_embedding) == 0
+    again = ingest.ingest(spark, str(raw), str(tmp_path / "out"), 2026)
+    assert report["events"] == 7 and {k: v for k, v in report.items() if k != "seconds"} == {k: v for k, v in again.items() if k != "seconds"}
+    assert report["by_source"] == {"auth": 5, "cloudtrail": 2} and sum(report["windows_by_source"].values()) == report["windows"]
+    assert ingest.get_meta(spark, str(tmp_path / "out"))["schema_version"] == str(ingest.SCHEMA_VERSION)
+    done = ingest.index(spark, str(tmp_path / "out"), ingest.hashed_embedding)
+    assert done["embedded"] == report["windows"] == done["vectors"] and ingest.index(spark, str(tmp_path / "out"), ingest.hashed_embedding)["skipped_existing"] == report["windows"]
+    built = spark.read.parquet(str(tmp_path / "out" / "windows"))
+    for row in built.collect():
+        assert all(i in row["text"] for i in row["event_ids"])
+    assert ingest.write_jsonl(built, str(tmp_path / "w.jsonl")) == report["windows"]
+    with open(tmp_path / "w.jsonl" / "more.json", "w") as f:
+        f.write('not json\n{"chunk_id": "w-9", "new": 1}\n')
+    back = ingest.read_jsonl(spark, str(tmp_path / "w.jsonl"))
+    assert {tuple(map(str, r)) for r in back.filter("chunk_id <> 'w-9'").select(*built.columns).collect()} == {tuple(map(str, r)) for r in built.collect()} and back.count() == report["windows"] + 1
+    again = ingest.from_records(ingest.as_records(built), built.schema)
+    assert sorted(map(str, again.collect())) == sorted(map(str, built.collect()))
+    ingest.drop_tables(spark, str(tmp_path / "out"))
+    assert ingest.stored(spark, str(tmp_path / "out" / "events")) is None
 
 
 def test_fusion_and_upsert(spark):
@@ -116,6 +136,122 @@ def test_partitions_do_not_change_windows(spark):
     assert one == two
 
 
+def test_windows_of_long_sessions_are_those_of_one_pass(spark):
+    """Sessions over midnight and beyond both caps, against the rules read line by line."""
+    import random
+    draw = random.Random(4)
+    rows = []
+    for p in ("p", "q", ""):
+        at = 1_704_060_000
+        for i in range(400):
+            at += draw.choice([1, 30, 400, 899, 900, 901, 4000]) if p else 300
+            rows.append(event(f"{p}{i}", datetime.fromtimestamp(at, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), draw.choice("ab") * draw.randint(1, 60), principal=p))
+    got = windows.build_windows(frame(spark, rows).repartition(5), 15, max_chars=700, max_events=9, start_index=3).collect()
+    want, text = [], lambda r: " | ".join([r[1], r[3], "INFO", r[5] or "-", "-", "-", r[0]])
+    groups = []
+    for p in ("", "p", "q"):
+        own, last = sorted((r for r in rows if r[5] == p), key=lambda r: (r[1], r[0])), None
+        for r in own:
+            now = datetime.fromisoformat(r[1])
+            if last is None or (now - last).total_seconds() > 900:
+                groups.append([])
+            groups[-1].append(r)
+            last = now
+    for g in sorted(groups, key=lambda g: (g[0][1], g[0][5])):
+        piece, chars = [], 0
+        for r in g:
+            if piece and (chars + len(text(r)) + 3 > 700 or len(piece) >= 9):
+                want.append(piece)
+                piece, chars = [], 0
+            piece.append(r[0])
+            chars += len(text(r)) + 3
+        want.append(piece)
+    assert {r["chunk_id"]: r["event_ids"] for r in got} == {f"w-{i:05d}": w for i, w in enumerate(want, 3)} and len(want) > 100
+
+
+def test_records_keep_their_extras(spark, tmp_path):
+    rows = [{"eventID": " 7 ", "eventTime": "2026-01-01T01:00:00+02:00", "eventName": "A", "errorMessage": "went wrong"},
+            {"eventTime": "2026-01-01T00:00:00Z", "eventName": "B", "errorCode": "Denied", "readOnly": True}, {"eventName": "no time"}, 5]
+    (tmp_path / "day.json").write_text(json.dumps(rows))
+    (tmp_path / "lines.jsonl").write_text("\n".join(["", json.dumps(rows[1]), "{broken", json.dumps(rows[0] | {"eventID": "8"})]) + "\n")
+    (tmp_path / "bad.json").write_text("[1, 2")
+    (tmp_path / "empty.log").write_text("")
+    events, counters = logs.load_events(spark, [str(tmp_path)], 2026)
+    by = {r["raw_ref"]: r for r in events.collect()}
+    assert sorted(by) == ["day.json:1", "day.json:2", "lines.jsonl:1", "lines.jsonl:2"]
+    one, two = (json.loads(by[k]["extra"]) for k in ("day.json:1", "day.json:2"))
+    assert (by["day.json:1"]["event_id"], by["day.json:1"]["ts"], one["error_code"], one["read_only"], by["day.json:1"]["status"]) == ("ct-7", "2025-12-31T23:00:00Z", "went wrong", False, "success")
+    assert two["read_only"] is True and two["error_code"] == "Denied" and by["day.json:2"]["event_id"].startswith("ct-") and by["lines.jsonl:2"]["event_id"] == "ct-8"
+    assert counters.get() == {"files": 4, "records": 6, "skipped": 4}
+    named, _ = logs.load_events(spark, [str(tmp_path / "lines.jsonl"), str(tmp_path / "lines.jsonl")], 2026)
+    assert named.count() == 2 and logs.load_events(spark, [str(tmp_path / "empty.log")], 2026)[0].count() == 0
+
+
+def test_lines_are_numbered_however_files_are_split(spark, tmp_path):
+    for name, n in (("a.log", 5000), ("b.log", 700)):
+        (tmp_path / name).write_text("".join(f"{'x' * (i % 60)} {i}\n" for i in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = logs.numbered_lines(spark, logs.discover(spark, [str(tmp_path)]))
+        assert rows.rdd.getNumPartitions() > 1 and rows.count() == 5700
+        assert rows.filter("i <> cast(element_at(split(line, ' '), -1) as long)").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 20))
+
+
+def test_attacks_of_the_corpus_are_detected(spark, tmp_path):
+    made = [generator.generate(str(tmp_path / name), days=13, events_per_day=150, auth_per_day=60, syslog_per_day=20) for name in ("one", "two")]
+    assert made[0] == made[1] and made[0]["records"]["auth"] == 13 * 60 + 401
+    raw, out = str(tmp_path / "one" / "raw"), str(tmp_path / "out")
+    assert logs.resolve_year(spark, [raw]) == 2026 and logs.resolve_year(spark, [str(tmp_path / "none")], 1999) == 1999
+    report = ingest.ingest(spark, raw, out)
+    assert report["records"] == sum(made[0]["records"].values()) and report["skipped"] == 0 and report["assumed_year"] == 2026 and report["files"] == 15
+    events = spark.read.parquet(f"{out}/events")
+    labels = json.loads((tmp_path / "one" / "eval" / "labels.json").read_text())["scenarios"]
+    truth = [i for label in labels for i in label["event_ids"]]
+    ids = {r["event_id"] for r in events.select("event_id").collect()}
+    assert len(labels) == 10 and len(truth) == 240 + 1 + 401 + 5 + 3 + 3 + 3 + 6 + 150 + 3 + 3000 and set(truth) <= ids
+    found = {(r["type"], r["principal"] or r["src_ip"]) for r in evaluate.detections(events).collect()}
+    want = {(x["type"], x["src_ip"] if x["type"] == "credential_stuffing" else x["principal"]) for x in labels}
+    assert want <= found and len(found) <= len(want) + 3
+
+
+def test_questions_settings_and_registries(spark, caplog):
+    now = datetime(2026, 8, 14, 12, tzinfo=timezone.utc)
+    assert evaluate.time_range_of("failures in the last 24h", now) == ("2026-08-13T12:00:00Z", "2026-08-14T12:00:00Z")
+    assert evaluate.time_range_of("what happened yesterday", now) == ("2026-08-13T00:00:00Z", "2026-08-13T23:59:59Z") and evaluate.time_range_of("on 2026-02-30", now) is None
+    assert evaluate.time_range_of("on 2026-08-01?", now)[0] == "2026-08-01T00:00:00Z" and evaluate.time_range_of("ever", now) is None
+    assert (evaluate.route("How many logins failed?"), evaluate.route("did anyone escalate privileges")) == ("exact", "retrieve")
+    s = settings.from_env({"WINDOW_GAP_MINUTES": "30", "RETRIEVAL_TOP_K": "many", "RERANK_ENABLED": "off", "INDEX_RESUME": "?", "RERANK_BACKEND": "flashrank"})
+    assert (s.gap_minutes, s.top_k, s.rerank_enabled, s.index_resume, s.rerank_backend) == (30, 5, False, True, "flashrank")
+    assert models.reranker_model("ms-marco-MiniLM-L-6-v2") == models.reranker_model(None) == models.DEFAULT_RERANKER and models.reranker_model("a/b") == "a/b" and models.reranker_model("x") == "x"
+    assert [models.reranker("q", s), models.reranker("q", s, enabled=True, backend="none"), models.reranker("q", s, enabled=True, backend="unknown"), models.reranker("q", s, enabled=True)] == [None] * 4
+    assert models.embedder(s, "hashed") is ingest.hashed_embedding and models.dimension("BAAI/bge-small-en-v1.5") == 384 and models.device_report("cpu")["effective"] == "cpu"
+    for bad in (lambda: models.embedder(s, "unknown"), lambda: models.dimension("unknown")):
+        with pytest.raises(ValueError):
+            bad()
+    hits = spark.createDataFrame([("w1", 1, "aa"), ("w2", 2, "a" * 9000), ("w3", 3, "b")], "id string, rank int, text string")
+    scorer = models.scored_by("q", lambda: lambda question, texts: [float(len(t)) for t in texts])
+    got = retrieval.rerank(hits, "id", scorer, top_n=2).orderBy("rank").collect()
+    assert [(r["id"], r["rerank_score"]) for r in got] == [("w2", 4000.0), ("w1", 2.0), ("w3", None)] and [r["id"] for r in retrieval.head(hits, 2).collect()] == ["w1", "w2"]
+    vectors = models.encoded_by(lambda: lambda texts: [[len(t), 1.0] for t in texts])(hits).collect()
+    assert vectors[0]["embedding"] == [2.0, 1.0]
+    assert [fields.format_eta(x) for x in (42, 185, 7620)] == ["42s", "3m 05s", "2h 07m"]
+    record = settings.logging.makeLogRecord({"msg": "hi %s", "args": ("x",), "name": "n", "levelname": "INFO", "extra_fact": 3})
+    assert json.loads(settings.JsonLines().format(record))["extra_fact"] == 3 and settings.setup_logging().handlers[0].formatter.__class__ is settings.JsonLines
+
+
+def test_answers_are_rendered():
+    hit = {"chunk_id": "w-00001", "rank": 1, "score": 0.0327868852, "dense_rank": 2, "bm25_rank": None, "rerank_score": None, "ts_start": "a", "ts_end": "b", "source": "auth", "principal": "", "src_ip": "1.1.1.1",
+           "n_events": 2, "n_failures": 1, "risk_score": 3, "event_names": ["x"], "event_ids": ["e1", "e2"], "text": "t" * 50, "events": ["one", "two"]}
+    d = render.answer("q", [hit], {"n": 1}, text_chars=10)["hits"][0]
+    assert (d["score"], d["found_by"], d["rerank_score"], d["text"]) == (0.032787, ["dense"], None, "t" * 10 + render.CUT)
+    assert render.prompt([hit, hit]) == "t" * 50 + "\n\n" + "t" * 50 and render.prompt([hit], 5) == "ttttt\n...[window truncated]"
+    lines = render.hit_lines(hit, 1)
+    assert "[dense#2]" in lines[1] and lines[2:] == ["      one"] and "  -  1.1.1.1" in lines[0]
+    assert len(render.ranked_lines("t", [{"principal": "p" * 80, "n": 5, "failures": 1}], "principal")[1].split()[1]) == 46
+
+
 def test_entry(spark):
     import __spark_entry__
     assert __spark_entry__.entry(spark).count() > 0 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
