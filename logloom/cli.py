@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 from .functions.fields import render_line
 from .operators import retrieval, tables, windows
 from .plans import ingest as plans
+from .plans import models, render
+from .settings import from_env, setup_logging
 
 VERSION = "0.1.0"
 
@@ -27,21 +28,24 @@ def stats(spark: SparkSession, out: str, top: int) -> dict:
     events, built = spark.read.parquet(f"{out}/events"), spark.read.parquet(f"{out}/windows")
     rows = lambda df: [r.asDict() for r in df.collect()]
     return {
+        "totals": {"events": events.count(), "windows": built.count(), "window_events": spark.read.parquet(f"{out}/window_events").count()},
+        "schema_version": plans.get_meta(spark, out).get("schema_version", ""), "windows_by_source": rows(windows.by_source(built)),
         "time_range": rows(tables.time_range(events))[0], "by_source": rows(tables.count_by(events, "source")), "by_status": rows(tables.count_by(events, "status")),
         "top_actions": rows(tables.top(events, "action", top)), "top_principals": rows(tables.top(events, "principal", top)), "top_src_ips": rows(tables.top(events, "src_ip", top)),
         "failure_pct": tables.failure_pct(events).first()[0], "windows": rows(windows.summarize(built))[0], "sizes": rows(windows.sizes(built))[0]}
 
 
-def search(spark: SparkSession, out: str, question: str, k: int, show_events: bool = False) -> list[dict]:
-    """The k best windows with their event ids, with ``show_events`` also the lines of the events in order."""
-    built = spark.read.parquet(f"{out}/windows")
-    vector = plans.hashed_embedding(spark.range(1).select(F.lit(question).alias("text"))).first()["embedding"]
-    hits = plans.retrieve(plans.searched(built), spark.read.parquet(f"{out}/vectors"), "chunk_id", question, list(vector), k=k,
-                          counts=plans.stored(spark, f"{out}/terms"), max_tokens=retrieval.MAX_TOKENS).drop("text").join(built.select("chunk_id", "event_ids", "text"), "chunk_id")
+def search(spark: SparkSession, out: str, question: str, k: int, show_events: int = 0, rerank: bool = True) -> list[dict]:
+    """The k best windows with their event ids, with ``show_events`` also the lines of that many of their events."""
+    built, settings = spark.read.parquet(f"{out}/windows"), from_env()
+    asked = models.embedder(settings)(spark.range(1).select(F.lit(question).alias("text"))).first()["embedding"]
+    hits = plans.retrieve(plans.searched(built), spark.read.parquet(f"{out}/vectors"), "chunk_id", question, list(asked), k=k or settings.top_k, pool=settings.pool,
+                          scorer=models.reranker(question, settings, enabled=rerank and settings.rerank_enabled),
+                          counts=plans.stored(spark, f"{out}/terms"), max_tokens=retrieval.MAX_TOKENS).drop("text").join(built, "chunk_id")
     if show_events:
         events = spark.read.parquet(f"{out}/events")
-        lines = hits.select("chunk_id", F.posexplode("event_ids").alias("i", "event_id")).join(
-            events.select("event_id", render_line({c: F.col(c) for c in events.columns}).alias("line")), "event_id").groupBy("chunk_id").agg(
+        shown = hits.select("chunk_id", F.posexplode(F.slice("event_ids", 1, show_events)).alias("i", "event_id"))
+        lines = shown.join(events.select("event_id", render_line({c: F.col(c) for c in events.columns}).alias("line")), "event_id").groupBy("chunk_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]).alias("events"))
         hits = hits.join(lines, "chunk_id", "left")
     return [r.asDict() for r in hits.orderBy("rank").collect()]
@@ -54,45 +58,60 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         c = sub.add_parser(name)
         c.add_argument("--json", action="store_true")
         if name == "ingest":
-            c.add_argument("--raw", required=True)
-            c.add_argument("--year", type=int, default=datetime.now(timezone.utc).year)
+            c.add_argument("--raw", required=True, action="append", help="a folder or a file; may be given again")
+            c.add_argument("--year", type=int, help="of syslog lines; without it a manifest's, or this one")
+            c.add_argument("--jsonl", help="also write the windows as lines of JSON")
             c.add_argument("--limit", type=int)
             c.add_argument("--rebuild", action="store_true", help="drop the events stored before")
         if name == "stats":
             c.add_argument("--top", type=int, default=5)
         if name == "index":
-            c.add_argument("--reset", "--no-resume", action="store_true", help="embed all windows anew")
+            c.add_argument("--reset", action="store_true", help="embed all windows anew")
+            c.add_argument("--no-resume", action="store_true", help="the same: what is stored already is not taken over")
             c.add_argument("--limit", type=int)
             c.add_argument("--check", action="store_true", help="only compare the index with the windows; exit code 1 if they differ")
         if name == "search":
             c.add_argument("query")
             c.add_argument("-k", type=int, default=5)
-            c.add_argument("--no-rerank", action="store_true", help="no effect: there is no reranking model here")
-            c.add_argument("--show-events", action="store_true")
+            c.add_argument("--no-rerank", action="store_true")
+            c.add_argument("--show-events", type=int, default=0, metavar="N")
         if name != "version":
             c.add_argument("--out", required=True)
     a = p.parse_args(argv)
     if a.command == "version":
         print(VERSION)
         return 0
-    need = {"ingest": getattr(a, "raw", ""), "stats": f"{a.out}/events", "index": f"{a.out}/windows", "search": f"{a.out}/vectors"}[a.command]
-    if "://" not in need and not Path(need).exists():
-        print(f"missing: {need}", file=sys.stderr)
-        return 2
+    for need in {"ingest": getattr(a, "raw", []), "stats": [f"{a.out}/events"], "index": [f"{a.out}/windows"], "search": [f"{a.out}/vectors"]}[a.command]:
+        if "://" not in need and not Path(need).exists():
+            print(f"missing: {need}", file=sys.stderr)
+            return 2
+    setup_logging("WARNING")
+    settings = from_env()
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "ingest":
-        say(plans.ingest(spark, a.raw, a.out, a.year, limit=a.limit, rebuild=a.rebuild), a.json)
+        report = plans.ingest(spark, a.raw, a.out, a.year, settings.gap_minutes, limit=a.limit, rebuild=a.rebuild)
+        if a.jsonl:
+            report["jsonl"] = plans.write_jsonl(spark.read.parquet(f"{a.out}/windows"), a.jsonl)
+        say(report, a.json)
     elif a.command == "stats":
-        say(stats(spark, a.out, a.top), a.json)
+        report = stats(spark, a.out, a.top)
+        lists = {} if a.json else {name: report.pop(f"top_{name}s") for name in ("action", "principal", "src_ip")}
+        say(report, a.json)
+        for name, rows in lists.items():
+            print("\n".join(render.ranked_lines(f"top {name}s", rows, name)))
     elif a.command == "index" and a.check:
         health = plans.index_health(spark, a.out)
         say(health, a.json)
         return 0 if health["healthy"] else 1
     elif a.command == "index":
-        say({"embedded": plans.index(spark, a.out, plans.hashed_embedding, a.reset, a.limit)}, a.json)
+        anew = a.reset or a.no_resume or not settings.index_resume
+        say(plans.index(spark, a.out, models.embedder(settings), anew, a.limit), a.json)
     else:
-        for hit in search(spark, a.out, a.query, a.k, a.show_events):
-            say(hit, a.json)
+        hits = search(spark, a.out, a.query, a.k, a.show_events, not a.no_rerank)
+        if a.json:
+            print(json.dumps(render.answer(a.query, hits, {"windows": len(hits), "events": [h.get("events") for h in hits] if a.show_events else None}), default=str))
+        else:
+            print("\n".join(line for hit in hits for line in render.hit_lines(hit, a.show_events)) or "no windows matched")
     return 0
 
 

@@ -1,10 +1,15 @@
-"""Beyond the stored tables: retrieval metrics, redaction, citation checks, simple detectors."""
+"""Beyond the stored tables: retrieval metrics, redaction, citation checks, questions taken apart, detectors of attacks."""
 
 from __future__ import annotations
 
+import re
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fields import is_root
+
 #: Shapes of secrets in log text, with what replaces them.
 REDACTIONS = [(r"(AKIA|ASIA)[0-9A-Z]{16}", "[ACCESS_KEY]"), (r"(?i)bearer +[a-z0-9._-]{8,}", "[BEARER]"), (r"(?i)password=[^ ]+", "password=[REDACTED]")]
 
@@ -27,6 +32,50 @@ def citations(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[(?:event|window):([^\]]+)\]"), F.lit(1)))
 
 
+def uncited(answers: DataFrame, key: str, known: DataFrame, known_id: str, text: str = "text") -> DataFrame:
+    """``key, cited``: what answers cite and no row of ``known`` is."""
+    rows = answers.select(key, F.explode(citations(F.col(text))).alias("cited"))
+    return rows.join(known.select(F.col(known_id).alias("cited")).distinct(), "cited", "left_anti").select(key, "cited")
+
+
+#: Phrases that try to give orders to whoever reads a log.
+INJECTION = [r"ignore (all |any )?(previous|prior|above) instructions", r"disregard (the |your )?(system|previous)", r"you are now", r"system prompt", r"</?(system|assistant|user)>"]
+
+
+def injection(text: Column) -> Column:
+    return F.coalesce(text.rlike("(?i)" + "|".join(INJECTION)), F.lit(False))
+
+
+def timeline(events: DataFrame, unit: str = "hour") -> DataFrame:
+    """Events and failures by hour or day, as the ts text's beginning."""
+    at = F.substring("ts", 1, {"hour": 13, "day": 10, "minute": 16}[unit])
+    return events.groupBy(at.alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failure").alias("failures")).orderBy("bucket")
+
+
+def time_range_of(question: str, now: datetime) -> tuple[str, str] | None:
+    """The span that a question asks for ("last 24h", "past 3 days", "yesterday", "today", "on 2026-08-14"), in UTC."""
+    text, iso = question.lower(), lambda t: t.strftime("%Y-%m-%dT%H:%M:%SZ")
+    if m := re.search(r"(?:last|past) (\d+) ?(m|min|minutes?|h|hours?|d|days?|w|weeks?)\b", text):
+        unit = {"m": "minutes", "h": "hours", "d": "days", "w": "weeks"}[m[2][0]]
+        return iso(now - timedelta(**{unit: int(m[1])})), iso(now)
+    day = now.replace(hour=0, minute=0, second=0, microsecond=0)
+    if "yesterday" in text:
+        day -= timedelta(days=1)
+    elif m := re.search(r"\b(\d{4})-(\d{2})-(\d{2})\b", text):
+        try:
+            day = day.replace(year=int(m[1]), month=int(m[2]), day=int(m[3]))
+        except ValueError:
+            return None
+    elif "today" not in text:
+        return None
+    return iso(day), iso(day + timedelta(days=1) - timedelta(seconds=1))
+
+
+def route(question: str) -> str:
+    """``exact`` for questions of counts and lists, ``retrieve`` for all others."""
+    return "exact" if re.search(r"\b(how many|count|number of|top \d*|most|list all|per (day|hour)|timeline|average|total)\b", question.lower()) else "retrieve"
+
+
 def bursts(events: DataFrame, minutes: int, least: int) -> DataFrame:
     """Actors with at least ``least`` events within the ``minutes`` up to one of their events."""
     w = Window.partitionBy("principal").orderBy(F.unix_timestamp(F.to_timestamp("ts"))).rangeBetween(-minutes * 60, 0)
@@ -39,3 +88,59 @@ def failure_then_success(events: DataFrame, success: str, minutes: int) -> DataF
     w = Window.partitionBy("principal").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     last = F.max(F.when(F.col("status") == "failure", seconds)).over(w)
     return events.withColumn("_last", last).filter((F.col("action") == success) & (seconds - F.col("_last") <= minutes * 60)).select("event_id", "principal", "ts")
+
+
+def seconds() -> Column:
+    return F.unix_timestamp(F.to_timestamp("ts"))
+
+
+def steps_within(events: DataFrame, keys: list[str], actions: list[str], minutes: int) -> DataFrame:
+    """Keys that did all ``actions``, in any order, within ``minutes``: ``keys, ts`` of the event that completed them first.
+
+    Only the last time of each action is carried along, whatever a key's length.
+    """
+    w = Window.partitionBy(*keys).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = events.filter(F.col("action").isin(actions)).withColumn("_at", seconds())
+    last = [F.max(F.when(F.col("action") == a, F.col("_at"))).over(w) for a in actions]
+    rows = rows.withColumn("_oldest", last[0] if len(last) == 1 else F.least(*last)).withColumn("_all", sum((x.isNotNull().cast("int") for x in last), F.lit(0)))
+    return rows.filter((F.col("_all") == len(actions)) & (F.col("_at") - F.col("_oldest") <= minutes * 60)).groupBy(*keys).agg(F.min("ts").alias("ts"))
+
+
+def many_within(events: DataFrame, keys: list[str], minutes: int, least: int) -> DataFrame:
+    """Keys with ``least`` events within ``minutes``: ``keys, ts`` of the event that reached it first."""
+    w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(-minutes * 60, 0)
+    return events.withColumn("_at", seconds()).withColumn("_n", F.count("*").over(w)).filter(F.col("_n") >= least).groupBy(*keys).agg(F.min("ts").alias("ts"))
+
+
+def different_within(events: DataFrame, keys: list[str], column: str, minutes: int, least: int) -> DataFrame:
+    """Keys with ``least`` different values of ``column`` within ``minutes``: ``keys, ts`` as above."""
+    w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(-minutes * 60, 0)
+    return events.withColumn("_at", seconds()).withColumn("_n", F.size(F.collect_set(column).over(w))).filter(F.col("_n") >= least).groupBy(*keys).agg(F.min("ts").alias("ts"))
+
+
+def detections(events: DataFrame) -> DataFrame:
+    """``type, principal, src_ip, ts`` of ten kinds of attacks; a part that a kind does not fix is blank."""
+    act, failed, worked = F.col("action"), F.col("status") == "failure", F.col("status") == "success"
+    both = ["principal", "src_ip"]
+
+    def forced(login: Column, word: Column) -> DataFrame:
+        """Twenty failures within an hour, and a success of the same actor and address after them."""
+        tries = many_within(events.filter(login & failed), both, 60, 20).withColumnRenamed("ts", "since")
+        return events.filter(word & worked).join(tries, both).filter("ts >= since").groupBy(*both).agg(F.min("ts").alias("ts"))
+    console = act == "ConsoleLogin"
+    found = {
+        "console_brute_force": forced(console, console),
+        "ssh_brute_force": forced(act == "sshd.failed_password", act == "sshd.accepted_password"),
+        "iam_privilege_escalation": steps_within(events, both, ["CreateUser", "AttachUserPolicy", "CreateAccessKey"], 60),
+        "s3_bucket_public": steps_within(events, both, ["PutBucketPolicy", "PutBucketAcl"], 60),
+        "security_group_open_to_world": many_within(events.filter(act == "AuthorizeSecurityGroupIngress"), both, 60, 3),
+        "logging_tampering": steps_within(events, both, ["StopLogging", "DeleteTrail"], 60),
+        "root_account_usage": events.filter(console & worked & is_root(F.col("principal"))).groupBy(*both).agg(F.min("ts").alias("ts")),
+        "credential_stuffing": different_within(events.filter((act == "AssumeRole") & failed), ["src_ip"], "principal", 15, 8),
+        "impossible_travel": different_within(events.filter(console & worked & (F.col("src_ip") != "")), ["principal"], "src_ip", 15, 3),
+        "s3_data_exfiltration": many_within(events.filter(act == "GetObject"), both, 30, 500)}
+    out = None
+    for kind, rows in found.items():
+        one = rows.select(F.lit(kind).alias("type"), *(F.col(c) if c in rows.columns else F.lit("").alias(c) for c in both), "ts")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fields
 from ..operators import retrieval, tables, windows
-from ..sources.logs import load_events
+from ..schemas import WINDOW
+from ..sources.logs import load_events, resolve_year
 
+SCHEMA_VERSION = 2
 
 #: What a vector's window must still agree on: ids are places in time, which an ingest of more events moves.
 SAME = ["chunk_id", "source", "principal", "src_ip", "ts_start", "ts_end", "n_events"]
@@ -27,20 +31,21 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
     return None
 
 
-def ingest(spark: SparkSession, raw: str, out: str, year: int, gap_minutes: int = 15, limit: int | None = None, rebuild: bool = False) -> dict:
+def ingest(spark: SparkSession, raw: str | list[str], out: str, year: int | None = None, gap_minutes: int = 15, limit: int | None = None, rebuild: bool = False) -> dict:
     """Parse, keep one row per event_id, window, and write ``events``, ``windows`` and ``window_events`` as Parquet.
 
     Events stored before stay unless ``rebuild``; of equal ids the new one wins. All windows are built anew, so none
-    is stale. ``limit`` takes the first events by file and place.
+    is stale. ``limit`` takes the first events by file and place. Without a ``year`` a manifest's is taken, or this one.
     """
-    events, counters = load_events(spark, raw, year)
+    began, paths = time.time(), [raw] if isinstance(raw, str) else list(raw)
+    year = year or resolve_year(spark, paths)
+    events, counters = load_events(spark, paths, year)
     if limit is not None:
-        place = F.regexp_extract("raw_ref", "([0-9]+)$", 1).cast("long")
-        events = events.orderBy(F.regexp_replace("raw_ref", ":[0-9]+$", ""), place).limit(limit)
-    rows = events.withColumn("_seq", F.struct(F.lit(1), "raw_ref"))
+        events = events.orderBy("file", "place").limit(limit)
+    rows = events.withColumn("_seq", F.struct(F.lit(1), "file", "place")).drop("file", "place")
     before = None if rebuild else stored(spark, f"{out}/events")
     if before is not None:
-        rows = rows.unionByName(before.withColumn("_seq", F.struct(F.lit(0), "raw_ref")))
+        rows = rows.unionByName(before.withColumn("_seq", F.struct(F.lit(0), F.col("raw_ref").alias("file"), F.lit(0).cast("long").alias("place"))))
     kept = tables.upsert(rows, "event_id", "_seq")
     if before is not None:  # a table can't be overwritten while it is read
         kept.write.mode("overwrite").parquet(f"{out}/_merged")
@@ -50,11 +55,52 @@ def ingest(spark: SparkSession, raw: str, out: str, year: int, gap_minutes: int
     windows.build_windows(now, gap_minutes).write.mode("overwrite").parquet(f"{out}/windows")
     built = spark.read.parquet(f"{out}/windows")
     windows.membership(built).write.mode("overwrite").parquet(f"{out}/window_events")
-    return counters.first().asDict() | {"events": now.count()} | windows.summarize(built).first().asDict()
+    report = counters.get() | {"by_source": {r["source"]: r["n"] for r in tables.count_by(now, "source").collect()}, "assumed_year": year}
+    report |= {"events": sum(report["by_source"].values())} | windows.summarize(built).first().asDict()
+    report["windows_by_source"] = {r["source"]: r["windows"] for r in windows.by_source(built).collect()}
+    set_meta(spark, out, schema_version=SCHEMA_VERSION, last_ingest=fields.utc_now(), assumed_year=year)
+    return report | {"seconds": round(time.time() - began, 2)}
 
 
-def write_jsonl(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+def drop_tables(spark: SparkSession, out: str) -> None:
+    """All tables of a store, and its index."""
+    for name in ("events", "windows", "window_events", "vectors", "terms", "index_meta", "meta", "_merged"):
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def get_meta(spark: SparkSession, out: str) -> dict[str, str]:
+    """The store's facts by name: a few rows."""
+    rows = stored(spark, f"{out}/meta")
+    return {} if rows is None else {r["key"]: r["value"] for r in rows.collect()}
+
+
+def set_meta(spark: SparkSession, out: str, **facts) -> None:
+    now = get_meta(spark, out) | {k: str(v) for k, v in facts.items()}
+    spark.createDataFrame(sorted(now.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{out}/meta")
+
+
+def write_jsonl(rows: DataFrame, path: str) -> int:
+    """Windows as lines of JSON; how many. They are counted while they are written."""
+    seen = Observation()
+    rows.observe(seen, F.count("*").alias("n")).write.mode("overwrite").json(path)
+    return seen.get["n"]
+
+
+def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Windows from lines of JSON; unknown fields fall away, missing ones are null, broken lines are left out."""
+    rows = spark.read.schema(T.StructType([*WINDOW.fields, T.StructField("_broken", T.StringType())])).option("columnNameOfCorruptRecord", "_broken").json(path)
+    return rows.filter("_broken is null and chunk_id is not null").drop("_broken")
+
+
+def as_records(rows: DataFrame) -> DataFrame:
+    """Rows as ``record``, one JSON object each."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("record"))
+
+
+def from_records(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """The inverse; fields that the schema lacks fall away."""
+    return records.select(F.from_json("record", schema).alias("r")).select("r.*")
 
 
 def searched(built: DataFrame) -> DataFrame:
@@ -62,24 +108,26 @@ def searched(built: DataFrame) -> DataFrame:
     return built.withColumn("text", F.coalesce(F.nullif("search_text", F.lit("")), "text"))
 
 
-def index(spark: SparkSession, out: str, embed: Callable[[DataFrame], DataFrame], reset: bool = False, limit: int | None = None) -> int:
-    """Embed the windows that the index lacks and append them; returns how many. ``embed`` adds ``embedding``.
+def index(spark: SparkSession, out: str, embed: Callable[[DataFrame], DataFrame], reset: bool = False, limit: int | None = None) -> dict:
+    """Embed the windows that the index lacks and append them; returns what was done. ``embed`` adds ``embedding``.
 
     Term counts for BM25 are stored beside the vectors, and the facts of the build in ``index_meta``. ``limit`` takes
     the first windows by id.
     """
-    built, path = spark.read.parquet(f"{out}/windows"), f"{out}/vectors"
+    began, built, path = time.time(), spark.read.parquet(f"{out}/windows"), f"{out}/vectors"
     rows = built.select("chunk_id", "source", "principal", "src_ip", "ts_start", "ts_end", "n_events", "n_failures", "risk_score", "text")
     rows = rows if limit is None else rows.orderBy("chunk_id").limit(limit)
     done = None if reset else stored(spark, path)
-    todo = embed(rows if done is None else tables.missing(rows, done, "chunk_id")).drop("text").cache()
+    seen = Observation()
+    todo = embed(rows if done is None else tables.missing(rows, done, "chunk_id")).drop("text").observe(seen, F.count("*").alias("n"))
     todo.write.mode("overwrite" if reset else "append").parquet(path)
-    n = todo.count()
-    todo.unpersist()
+    n = seen.get["n"]
     retrieval.term_counts(searched(built), max_tokens=retrieval.MAX_TOKENS).write.mode("overwrite").parquet(f"{out}/terms")
     total = spark.read.parquet(path).agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dim"))
     total.withColumn("built_at", F.lit(fields.utc_now())).coalesce(1).write.mode("overwrite").json(f"{out}/index_meta")
-    return n
+    asked = rows.count()
+    took = time.time() - began
+    return {"windows": asked, "embedded": n, "skipped_existing": asked - n, "seconds": round(took, 2), "rate": round(n / max(took, 1e-9), 1)} | index_meta(spark, out)
 
 
 def index_meta(spark: SparkSession, out: str) -> dict:
