@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from ..functions.fields import RISK_WEIGHTS, is_root, render_line
 
 KEY = ["source", "principal", "src_ip"]
+#: Rows of a key beyond which it is worked on day by day.
+HOT_KEY = 5_000_000
 
 
 def risk(actions: Column, failures: Column, root: Column, weights: dict[str, int]) -> Column:
@@ -23,17 +25,21 @@ def risk(actions: Column, failures: Column, root: Column, weights: dict[str, int
 FIELDS = ["ts", "event_id", "action", "status", "principal", "src_ip", "resource", "region", "account_id", "source"]
 
 
-def sessions(rows: DataFrame, gap_minutes: int) -> DataFrame:
-    """``rows`` with ``_group``, the number of the session within its key.
+def pauses(rows: DataFrame, keys: list[str], gap_minutes: int) -> DataFrame:
+    """``rows`` with ``_at``, ``_new`` (a pause lies before the row) and ``_in`` (pauses so far) within ``keys``."""
+    order = Window.partitionBy(*keys).orderBy("ts", "event_id")
+    rows = rows.withColumn("_at", F.unix_timestamp(F.to_timestamp("ts")))
+    rows = rows.withColumn("_new", (F.coalesce(F.col("_at") - F.lag("_at").over(order), F.lit(0)) > gap_minutes * 60).cast("int"))
+    return rows.withColumn("_in", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
-    A key is worked on day by day, so one that holds a third of all rows is as many units as it has days. What a day
-    hands on is one row: its first and last second and how often it pauses.
+
+def by_day(rows: DataFrame, gap_minutes: int) -> DataFrame:
+    """``rows`` with ``_group``, the number of the session within its key, for keys too large for one task.
+
+    A key is worked on day by day. What a day hands on is one row: its first and last second and how often it pauses.
     """
     day = [*KEY, "_day"]
-    order = Window.partitionBy(*day).orderBy("ts", "event_id")
-    rows = rows.withColumn("_day", F.substring("ts", 1, 10)).withColumn("_at", F.unix_timestamp(F.to_timestamp("ts")))
-    new = (F.coalesce(F.col("_at") - F.lag("_at").over(order), F.lit(0)) > gap_minutes * 60).cast("int")
-    rows = rows.withColumn("_new", new).withColumn("_in", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = pauses(rows.withColumn("_day", F.substring("ts", 1, 10)), day, gap_minutes)
     days = Window.partitionBy(*KEY).orderBy("_day")
     each = rows.groupBy(*day).agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.sum("_new").alias("pauses"))
     apart = (F.coalesce(F.col("first") - F.lag("last").over(days), F.lit(0)) > gap_minutes * 60).cast("int")
@@ -42,6 +48,16 @@ def sessions(rows: DataFrame, gap_minutes: int) -> DataFrame:
     return rows.join(base, day).withColumn("_group", F.col("_base") + F.col("_in")).drop("_day", "_at", "_new", "_in", "_base")
 
 
+def sessions(rows: DataFrame, gap_minutes: int, hot_key: int) -> DataFrame:
+    """``rows`` with ``_group``. Keys of more than ``hot_key`` rows are counted first (narrow counts, added up where the
+    rows are read) and worked on by day, all others in one shuffle; the numbers are the same."""
+    hot = rows.groupBy(*KEY).count().filter(F.col("count") > hot_key).select(*KEY)
+    plain = lambda part: pauses(part, KEY, gap_minutes).withColumnRenamed("_in", "_group").drop("_at", "_new")
+    if hot.isEmpty():
+        return plain(rows)
+    return plain(rows.join(hot, KEY, "left_anti")).unionByName(by_day(rows.join(hot, KEY, "left_semi"), gap_minutes))
+
+
 def cut_long(rows: DataFrame, max_chars: int, max_events: int) -> DataFrame:
     """``rows`` of sessions beyond a cap with ``_piece``, cut greedily as they stream by; no session is held as a whole."""
     names = [*KEY, "_group"]
@@ -63,14 +79,15 @@ def cut_long(rows: DataFrame, max_chars: int, max_events: int) -> DataFrame:
 
 
 def build_windows(events: DataFrame, gap_minutes: int = 15, max_chars: int = 4800, max_events: int = 120, weights: dict[str, int] | None = None, preserve_case: bool = False,
-                  start_index: int = 1) -> DataFrame:
+                  start_index: int = 1, hot_key: int = HOT_KEY) -> DataFrame:
     """Windows of deduplicated events, numbered from ``start_index`` by the first time of their session.
 
-    Rows move once by key and day and once by session; a window gathers ``max_events`` rows at most. Sessions within
-    both caps, nearly all, stay in the JVM. Numbering moves only narrow rows, day by day.
+    Rows move once by key and once, as windows, by the minute in which their session begins; a window gathers
+    ``max_events`` rows at most. Sessions within both caps, nearly all, stay in the JVM. A window's number is its rank in
+    that minute plus the windows of the minutes before, which come from narrow rows.
     """
     line = render_line({c: F.col(c) for c in FIELDS})
-    rows = sessions(events.select(*FIELDS).withColumn("line", line), gap_minutes).withColumn("_chars", (F.length("line") + 3).cast("long"))
+    rows = sessions(events.select(*FIELDS).withColumn("line", line), gap_minutes, hot_key).withColumn("_chars", (F.length("line") + 3).cast("long"))
     whole = Window.partitionBy(*KEY, "_group")
     rows = rows.withColumns({"_n": F.count("*").over(whole), "_all": F.sum("_chars").over(whole), "_first": F.min("ts").over(whole)})
     fits = (F.col("_n") == 1) | (F.col("_n") <= max_events) & (F.col("_all") <= max_chars)
@@ -80,13 +97,10 @@ def build_windows(events: DataFrame, gap_minutes: int = 15, max_chars: int = 480
         return part.groupBy(*piece).agg(F.array_sort(F.collect_list(F.struct(*FIELDS, "line"))).alias("e")).withColumnRenamed("_piece", "p")
     cut = gathered(rows.filter(fits).withColumn("_piece", F.lit(0))).unionByName(gathered(cut_long(rows.filter(~fits), max_chars, max_events)))
 
-    cut = cut.withColumn("_day", F.substring("_first", 1, 10))
-    rank = F.row_number().over(Window.partitionBy("_day").orderBy("_first", *KEY, "_group", "p"))
-    ranked = cut.select("_day", "_first", *KEY, "_group", "p").withColumn("_rank", rank)
-    before = ranked.groupBy("_day").count().select("_day", F.coalesce(F.sum("count").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbers = ranked.join(before, "_day").select(
-        *KEY, "_group", "p", F.format_string("w-%05d", F.col("_before") + F.col("_rank") + (start_index - 1)).alias("chunk_id"))
-    rows = cut.join(numbers, [*KEY, "_group", "p"])
+    cut = cut.withColumn("_minute", F.substring("_first", 1, 16))
+    before = cut.groupBy("_minute").count().select("_minute", F.coalesce(F.sum("count").over(Window.orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_minute").orderBy("_first", *KEY, "_group", "p"))
+    rows = cut.withColumn("_rank", rank).join(before, "_minute").withColumn("chunk_id", F.format_string("w-%05d", F.col("_before") + F.col("_rank") + (start_index - 1)))
 
     field = lambda name: F.transform("e", lambda x: x[name])
     failures = F.size(F.filter("e", lambda x: x["status"] == "failure"))
