@@ -24,7 +24,9 @@ SOURCES = ["cloudtrail", "auth", "syslog"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; where its files give fewer tasks than there are cores (small files), its rows are dealt over the cores."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
 
 
 def app_events(spark: SparkSession, sf_dir: str) -> DataFrame:
