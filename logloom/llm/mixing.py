@@ -16,7 +16,7 @@ Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share `
 at twice its source's words and the rest is shared again by weight (the water level, found with running sums).
 
 Edge cases: a null text has no words; a source without words has target 0; a null source is a source; rows that
-repeat are documents of their own; an empty table gives no rows. Draws depend on source, block and the sorted
+repeat are documents of their own; rows without a ``doc_id`` are told apart by their text; an empty table gives no rows. Draws depend on source, block and the sorted
 documents of a block, so reruns agree whatever the partitions. Columns beside doc_id, text and source are not read.
 """
 
@@ -33,8 +33,10 @@ from .common import cut
 
 BLOCK, ROUNDS, EXCHANGES = 4096, 20, 10
 WEIGHTS = (5, 2, 1)
+#: Stands for a missing doc_id while rows are in pandas, where a null would turn ids into floats.
+NO_ID = -(1 << 63)
 WORD = r"[^\x20\x09-\x0D]+"
-STATE = "doc_id long, size long, skey string, source_size long, target double, whole int, p double, blocks int"
+STATE = "doc_id long, t long, size long, skey string, source_size long, target double, whole int, p double, blocks int"
 
 
 def flight(size: np.ndarray, p: np.ndarray, draws: np.ndarray) -> np.ndarray:
@@ -104,7 +106,7 @@ def repaired(size: np.ndarray, start: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _settle(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable")
+    rows = rows.sort_values(["size", "h", "doc_id", "t"], ascending=[False, True, True, True], kind="stable")
     size, start = rows["size"].to_numpy(np.float64), rows["p"].to_numpy(np.float64)
     seed = zlib.crc32(f"{rows['skey'].iloc[0]}|{int(rows['block'].iloc[0])}|{int(rows['blocks'].iloc[0])}".encode())
     p = flight(size, start, np.random.Generator(np.random.PCG64(seed)).random(len(start) + 1))
@@ -134,15 +136,15 @@ def targets(sized: DataFrame, share: float, cap: float) -> DataFrame:
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, block: int = BLOCK) -> DataFrame:
     """Per document ``doc_id, size, source_size, target, taken`` and ``copies``, how often the mix takes it."""
     sized = cut(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.col("source").cast("string").alias("source"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("skey")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     state = sized.drop("source").join(targets(sized, share, cap), "skey").withColumn("r", F.round(ratio, 12)).select(
-        "doc_id", "size", "skey", "source_size", "target", F.floor("r").cast("int").alias("whole"), (F.col("r") - F.floor("r")).alias("p"),
+        "doc_id", "t", "size", "skey", "source_size", "target", F.floor("r").cast("int").alias("whole"), (F.col("r") - F.floor("r")).alias("p"),
         F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("int").alias("blocks"))
     done = []
     for round_ in range(ROUNDS):
-        h = F.xxhash64(F.lit(round_), "doc_id")
+        h = F.xxhash64(F.lit(round_), "doc_id", "t")
         # One key for source and block: rows dealt by source alone, for the join above, must be dealt anew.
         dealt = state.withColumn("h", h).withColumn("block", F.pmod(F.col("h"), F.col("blocks")).cast("int")).withColumn("cell", F.concat_ws("|", "block", "skey"))
         now = cut(dealt.groupBy("cell").applyInPandas(_settle, STATE))
@@ -154,9 +156,9 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, block: int = BLOC
         if round_ == ROUNDS - 1:
             raise RuntimeError(f"{left.count()} documents are still open after {ROUNDS} rounds; take larger blocks than {block}")
         state = left.drop("blocks").join(n, "skey").select(
-            "doc_id", "size", "skey", "source_size", "target", "whole", "p", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+            "doc_id", "t", "size", "skey", "source_size", "target", "whole", "p", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     copies = (F.col("whole") + F.col("p")).cast("int")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"))
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"))
