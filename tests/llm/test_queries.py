@@ -138,7 +138,7 @@ def test_mixing_that_does_not_settle_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(mixing, "ROUNDS", 1)
     rows = spark.createDataFrame([(i, "w " * (3 + i), "s") for i in range(9)] + [(20, "w " * 900, "t")], "doc_id long, text string, source string")
     with pytest.raises(RuntimeError, match="still open"):
-        mixing.mix(rows, block=2)
+        mixing.mix(rows, cap=1.5, block=2)
 
 
 def test_op4(spark):
@@ -363,6 +363,24 @@ def test_op10(spark, texts):
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows} == {(i, max(v), len(v), i == max(v)) for v in by.values() for i in v}
 
 
+def test_rows_without_an_id_and_clashing_columns(spark):
+    """Mixing, near-dedup, toxicity and exact dedup where ids are null or beyond what floats hold, and columns named like outputs."""
+    big, text = (1 << 60) + 1, "a text of some words that is long enough to have shingles of its own here"
+    rows = [(big, text, "s", 1, "x"), (None, text, "s", 1, "x"), (None, text, "s", 1, "x"), (None, "other words stand in this one and nowhere else at all", "s", 1, "x"), (None, None, None, 1, "x"), (7, "", "s", 1, "x"), (7, "", "s", 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target string")
+    ids = Counter(r[0] for r in rows)
+    got = mixing.mix(docs).collect()
+    assert Counter(r.doc_id for r in got) == ids and sum(r.taken for r in got) in (86, 91)  # of 59 words, 88.5 wanted
+    near = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(docs.withColumnRenamed("target", "component_id")).collect())
+    assert near == Counter({(big, big, True): 1, (None, big, False): 2, (None, None, False): 2, (7, 7, True): 2})
+    from logloom.llm import exact_dedup, toxicity
+    exact = Counter((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs.withColumnRenamed("target", "keep_id")).collect())
+    assert exact == Counter({(big, big, 3): 1, (None, big, 3): 2, (None, None, 1): 1, (None, 7, 3): 1, (7, 7, 3): 2})
+    labels = spark.createDataFrame([(big, 1), (7, 0), (None, 1)], "doc_id long, toxic int")
+    said = toxicity.predict(docs.withColumnRenamed("target", "score"), toxicity.fit(docs, labels, F.lit(True)))
+    assert said.columns.count("score") == 1 and Counter(r.doc_id for r in said.collect()) == ids and said.filter("score is null or score < 0 or score > 1").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     """run() against plain versions of its stages, with rows that repeat, lack an id, or are null."""
     import corpus_pipeline
