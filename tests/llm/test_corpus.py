@@ -90,10 +90,14 @@ def test_pii(spark, none):
 
 
 def test_feistel_is_a_permutation(spark):
-    n = spark.range(319 * 229).select(pii.feistel_number(F.col("id"), 319, 229, "k", "t").alias("x"))
+    key = pii.Key(*map(F.lit, pii.Key.row("k")))
+    n = spark.range(319 * 229).select("id", pii.feistel_number(F.col("id"), 319, 229, key, "t").alias("x"))
     assert n.agg(F.countDistinct("x"), F.min("x"), F.max("x")).first()[:] == (319 * 229, 0, 319 * 229 - 1)
-    t = spark.range(1000).select(pii.feistel_text(F.lpad(F.col("id").cast("string"), 3, "0"), pii.DIGITS, "k", "t").alias("x"))
-    assert t.agg(F.countDistinct("x")).first()[0] == 1000
+    assert n.filter(pii.feistel_number(F.col("x"), 319, 229, key, "t", True) != F.col("id")).count() == 0
+    for width in (1, 2, 3):
+        t = spark.range(10 ** width).select(F.lpad(F.col("id").cast("string"), width, "0").alias("v")).select("v", pii.feistel_text(F.col("v"), pii.DIGITS, key, "t").alias("x"))
+        assert t.agg(F.countDistinct("x")).first()[0] == 10 ** width and t.filter("x <> v").count() > 0
+        assert t.filter(pii.feistel_text(F.col("x"), pii.DIGITS, key, "t", True) != F.col("v")).count() == 0
 
 
 def test_mixing(docs, none):
