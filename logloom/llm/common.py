@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -44,6 +45,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the shuffle files of finished steps now: Spark does so when the driver's memory is next collected, which on
+    a driver with little to do may be after the job."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def few(df: DataFrame, per: int) -> DataFrame:
+    """``cut`` of ``df``, read back in about one partition for ``per`` rows and no more than before.
+
+    Small frames then make few files in the shuffles that follow, whatever the number of input partitions.
+    """
+    df = cut(df)
+    return df.coalesce(max(1, min(df.rdd.getNumPartitions(), -(-df.count() // per))))
+
+
 def with_group_totals(rows: DataFrame, keys: list[str], spread_by: str, **totals: tuple[str, str]) -> DataFrame:
     """Add totals of each row's group (``name=(function, column)``; min, max, count) without gathering a group.
 

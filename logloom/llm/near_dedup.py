@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, shuffle_parts, with_group_totals
+from .common import components, cut, few, release, shuffle_parts, with_group_totals
 
 HALF, STAR, FIRST, BLOCK = 4, 256, 128, 512
 _M = np.uint64(0xFF51AFD7ED558CCD)
@@ -279,11 +279,13 @@ def open_members(halves: DataFrame, edges: DataFrame, known: DataFrame) -> DataF
     """
     end = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     failed = edges.join(end("u"), "u", "left").join(end("v"), "v", "left").select(
-        F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).filter("cu <> cv")
-    apart = failed.select(F.explode(F.array("cu", "cv")).alias("comp")).distinct()
-    rows = halves.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
-        "comp", F.coalesce("component", "doc_id")).drop("component").join(apart, "comp", "left_semi")
-    rows = cut(rows).select("doc_id", "comp", F.explode(table_keys()).alias("key"))
+        "u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).filter("cu <> cv")
+    ends = failed.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct().withColumn("end", F.lit(1))
+    rows = few(halves.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
+        "comp", F.coalesce("component", "doc_id")).drop("component").join(ends, "doc_id", "left").withColumn("end", F.coalesce("end", F.lit(0))), 5_000)
+    # A component may be large: whether one of its members failed comes back to it in parts.
+    rows = few(with_group_totals(rows, ["comp"], "doc_id", failed=("max", "end")).filter("failed = 1"), 5_000)
+    rows = rows.select("doc_id", "comp", F.explode(table_keys()).alias("key"))
     totals = with_group_totals(rows, ["key"], "doc_id", n=("count", "doc_id"), lo=("min", "comp"), hi=("max", "comp"))
     return totals.filter("n >= 3 and lo < hi").select("doc_id", "comp").distinct()
 
@@ -336,28 +338,33 @@ def second_round(group: DataFrame, known: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id, kept``; linked if 100 * shared >= threshold * union."""
     m = groups_for(threshold)
-    base = cut(signatures(docs, width, m).withColumn("row", F.monotonically_increasing_id()))
-    classes = cut(with_group_totals(base.filter("n_shingles > 0"), ["fp1", "fp2"], "row", rep=("min", "doc_id")).select(
-        "doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")))
+    base = few(signatures(docs, width, m).withColumn("row", F.monotonically_increasing_id()), 20_000)
+    classes = few(with_group_totals(base.filter("n_shingles > 0"), ["fp1", "fp2"], "row", rep=("min", "doc_id")).select(
+        "doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")), 20_000)
 
+    release(docs.sparkSession)
     each = classes.filter("doc_id = rep").select("doc_id", F.posexplode("keys").alias("i", "key"))
     shared = with_group_totals(each, ["key"], "doc_id", lo=("min", "doc_id"), hi=("max", "doc_id")).filter("lo < hi")
     side = lambda on: F.collect_set(F.when(on, F.col("key")))
-    halves = cut(shared.groupBy("doc_id").agg(side(F.col("i") < m).alias("a"), side(F.col("i") >= m).alias("b")).filter("size(a) > 0 and size(b) > 0"))
-    edges = cut(star_edges(halves.select("doc_id", F.explode(table_keys()).alias("key")), "key"))
-    linked = cut(components(confirmed(docs, edges, width, threshold)))
+    halves = few(shared.groupBy("doc_id").agg(side(F.col("i") < m).alias("a"), side(F.col("i") >= m).alias("b")).filter("size(a) > 0 and size(b) > 0"), 5_000)
+    edges = few(star_edges(halves.select("doc_id", F.explode(table_keys()).alias("key")), "key"), 100_000)
+    release(docs.sparkSession)
+    linked = few(components(confirmed(docs, edges, width, threshold)), 100_000)
 
-    members = cut(open_members(halves, edges, linked))
+    release(docs.sparkSession)
+    members = few(open_members(halves, edges, linked), 50_000)
     if not members.isEmpty():
         own = cut(sets(plain(docs).join(members, "doc_id"), width, "comp long").dropDuplicates(["id"]))
+        release(docs.sparkSession)
         group = components(star_edges(prefixes(own.select("id", "s"), threshold), "key")).select("id", F.col("component").alias("grp"))
-        group = cut(group.unionByName(group.select(F.col("grp").alias("id"), "grp")).distinct())
+        group = few(group.unionByName(group.select(F.col("grp").alias("id"), "grp")).distinct(), 100_000)
         group = with_group_totals(group, ["grp"], "id", n=("count", "id")).select("id", "grp", F.ceil(F.col("n") / FIRST).cast("int").alias("blocks"))
-        group = cut(group)
+        group = few(group, 100_000)
 
         def joined(known: DataFrame, pairs: DataFrame) -> DataFrame:
             more = links(pairs.join(own.select("id", "s"), "id"), threshold)
-            return cut(components(known.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)))
+            return few(components(known.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)), 100_000)
+        release(docs.sparkSession)
         linked = joined(linked, first_round(group))
         if not group.filter("blocks > 1").isEmpty():
             linked = joined(linked, second_round(group, linked))
