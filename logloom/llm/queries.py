@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, html_text, language_id, license_scan, mixing, near_dedup, pii, sharding, toxicity
+from . import byte_bpe, decontamination, exact_dedup, html_text, language_id, license_scan, mixing, near_dedup, pii, sharding, toxicity
 from .common import docs_of
 
 #: The key of the query; a job passes its own secret.
@@ -87,3 +88,11 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = byte_bpe.with_ids(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = docs_of(spark, sf_dir).select("doc_id", codec.encode(F.col("text")).alias("ids"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(byte_bpe.little_endian(F.col("ids")), 256).alias("ids_sha256"),
+                      F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"))
