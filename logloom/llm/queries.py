@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, exact_dedup, html_text, language_id, license_scan, mixing, near_dedup, pii, sharding, toxicity
+from . import byte_bpe, decontamination, exact_dedup, html_text, language_id, license_scan, mixing, near_dedup, pii, sharding, spelling, toxicity
 from .common import docs_of
 
 #: The key of the query; a job passes its own secret.
@@ -96,3 +96,31 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = docs_of(spark, sf_dir).select("doc_id", codec.encode(F.col("text")).alias("ids"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(byte_bpe.little_endian(F.col("ids")), 256).alias("ids_sha256"),
                       F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"))
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(docs_of(spark, sf_dir))
+
+
+#: crc32 walks the UTF-8 bytes with a table made by its rule; near words meet in what one deletion leaves of them.
+ORACLE_SQL["op12_spelling"] = """
+WITH RECURSIVE bits(v, x, k) AS (SELECT i, i::UBIGINT, 0 FROM range(256) r(i)
+    UNION ALL SELECT v, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END, k + 1 FROM bits WHERE k < 8),
+  tab AS (SELECT list(x ORDER BY v) AS t FROM bits WHERE k = 8),
+  runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+    FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+  hexed AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs WHERE length(run) >= 6),
+  hashed AS (SELECT run, times, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::UBIGINT),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT AS h FROM hexed, tab),
+  spelt AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed),
+  w AS (SELECT word, sum(times)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY 1 HAVING sum(times) >= 5),
+  del AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+  pair AS (SELECT DISTINCT x.word, y.word AS other, y.n AS other_n FROM del x JOIN del y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+    UNION SELECT DISTINCT d.word, w.word, w.n FROM del d JOIN w ON d.rest = w.word UNION SELECT DISTINCT w.word, d.word, d.n FROM del d JOIN w ON d.rest = w.word),
+  seen AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS form, max(other_n) AS form_n FROM pair GROUP BY 1),
+  form AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n FROM w LEFT JOIN seen USING (word)),
+  way AS (SELECT word, word AS at FROM form UNION ALL SELECT way.word, form.form FROM way JOIN form ON form.word = way.at WHERE form.form IS NOT NULL),
+  root AS (SELECT way.word, way.at AS root FROM way JOIN form ON form.word = way.at WHERE form.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN root USING (word)
+"""
