@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, exact_dedup, html_text, language_id, license_scan, mixing, near_dedup, pii, sharding, spelling, toxicity
+from . import byte_bpe, decontamination, exact_dedup, html_text, language_id, license_scan, mixing, near_dedup, pii, ranked_search, sharding, spelling, toxicity
 from .common import docs_of
 
 #: The key of the query; a job passes its own secret.
@@ -124,3 +124,21 @@ WITH RECURSIVE bits(v, x, k) AS (SELECT i, i::UBIGINT, 0 FROM range(256) r(i)
   root AS (SELECT way.word, way.at AS root FROM way JOIN form ON form.word = way.at WHERE form.form IS NULL)
 SELECT word, form, root, n, n_near, form_n FROM form JOIN root USING (word)
 """
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "benchmark"), k=50)
+
+
+ORACLE_SQL["op11_ranked_search"] = r"""
+WITH low AS (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+  tok AS (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS a FROM low),
+  size AS (SELECT count(*) AS n, sum(len(a))::BIGINT AS l FROM tok WHERE len(a) > 0),
+  item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+  post AS (SELECT r, doc_id, len, term, count(*) AS tf FROM (SELECT r, doc_id, len(a) AS len, unnest(a) AS term FROM tok) WHERE term IN (SELECT term FROM item) GROUP BY ALL),
+  w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM post, size GROUP BY term, n),
+  part AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * len * n) // l)))) AS s FROM post JOIN w USING (term), size),
+  score AS (SELECT item_id, r, doc_id, sum(s)::BIGINT AS score FROM item JOIN part USING (term) GROUP BY ALL HAVING sum(s) > 0)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM score) WHERE rank <= 50
+"""
