@@ -83,7 +83,7 @@ def test_the_tree_prunes_and_opens_equal_bounds():
     """A block of 4,096 documents: bounds are never below a score of their range, few nodes are opened, ties all seen."""
     draw = np.random.default_rng(3)
     n, names = 4096, [f"t{i}" for i in range(40)]
-    postings = [np.sort(draw.choice(n, size=int(n / (i + 1) ** 1.2) + 3, replace=False)) for i in range(40)]
+    postings = [np.sort(draw.choice(n, size=int(n / (i + 2) ** 1.2) + 3, replace=False)) for i in range(40)]
     tfs = [draw.integers(1, 4, len(p)) for p in postings]
     sizes = draw.integers(20, 400, n)
     asked = ranked_search.Slice([], {t: i for i, t in enumerate(names)}, np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * len(p) + 1))) for p in postings]), n, int(sizes.sum()))
