@@ -7,7 +7,7 @@ each is encoded by itself; a pre-token that is a token of the vocabulary is that
 Ids are ranks. Decoding looks the pieces up and maps their characters back to bytes.
 
 Null texts count as empty and give no ids; very long texts and pre-tokens are encoded whole (the merge queue is
-n log n). Repeated rows are encoded alike, an empty table gives none, other columns are untouched. Ids outside of the
+n log n). Repeated rows are encoded alike, an empty table gives none, other columns stay. Ids outside of the
 vocabulary are an error, as is a vocabulary that lacks one of the 256 bytes. Bytes that aren't UTF-8 are replaced by U+FFFD
 before encoding, as in any decoding to text.
 """
@@ -16,22 +16,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark import Broadcast
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 #: Pre-tokens whose ids a worker remembers; the memory starts afresh beyond that.
 REMEMBERED = 200_000
 #: Longer pre-tokens are encoded each time.
 REMEMBERED_CHARS = 64
+#: Bytes of text (or ids) whose results a worker holds before it hands them on.
+HELD = 8 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -98,8 +101,8 @@ class Codec:
             self.known, new = {}, set(words)
         for word in new:
             ids = self.whole.get(word) or self.model.encode(to_piece(word.encode()), num_threads=1)
-            self.known[word] = np.array(ids, dtype=np.int32).tobytes()
-        ids = np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.int32)
+            self.known[word] = np.array(ids, dtype="<i4").tobytes()
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<i4")
         for word in new:
             if len(word) > REMEMBERED_CHARS:
                 del self.known[word]
@@ -124,41 +127,51 @@ def codec_of(model: bytes, pattern: str) -> Codec:
 
 
 class Tokenizer:
-    """Columns of ids and of bytes. The model (about 20 bytes a token) is broadcast once."""
+    """Adds ids to texts and texts to ids. The model (about 20 bytes a token) is broadcast once.
+
+    Ids are ``array<int>`` or, packed, ``binary``: unsigned 32-bit integers, the lowest byte first. Rows pass through
+    Arrow in the order and partition they have; a worker holds the ids of about ``HELD`` bytes of text at a time.
+    A column that has the name of the new one gives way to it.
+    """
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         self.model: Broadcast = spark.sparkContext.broadcast(serialise(ranks))
         self.pattern = pattern
 
-    def _column(self, work: Callable[[Codec, pd.Series], list], kind: str, value: Column) -> Column:
+    def _added(self, df: DataFrame, source: Column, name: str, kind: T.DataType, arrow: pa.DataType, work: Callable[[Codec, Any], Any]) -> DataFrame:
         model, pattern = self.model, self.pattern
 
-        def run(values: pd.Series) -> pd.Series:
-            return pd.Series(work(codec_of(model.value, pattern), values), dtype=object)
-        run.__annotations__ = {"values": pd.Series, "return": pd.Series}
-        return pandas_udf(run, kind)(value)
-
-    def encode(self, text: Column) -> Column:
-        """``array<int>``."""
-        def work(codec: Codec, values: pd.Series) -> list:
-            return [codec.encode(bytes(v).decode("utf-8", "replace")) for v in values]
-        return self._column(work, "array<int>", F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
-
-    def decode(self, ids: Column) -> Column:
-        """``binary``; cast it to a string for the text. Null gives null."""
-        def work(codec: Codec, values: pd.Series) -> list:
-            return [None if v is None else codec.decode(v) for v in values]
-        return self._column(work, "binary", ids)
-
-
-def little_endian(ids: Column) -> Column:
-    """Ids as unsigned 32-bit integers, the lowest byte first, one after the other."""
-    def work(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else np.asarray(v, dtype="<u4").tobytes() for v in values], dtype=object)
-    work.__annotations__ = {"values": pd.Series, "return": pd.Series}
-    return pandas_udf(work, "binary")(ids)
-
-
-def with_ids(spark: SparkSession, path: str, pattern: str) -> Tokenizer:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codec = codec_of(model.value, pattern)
+            for batch in batches:
+                source, start, made, size = batch.column(batch.num_columns - 1), 0, [], 0
+                for i, value in enumerate(source, 1):
+                    value = value.as_py()
+                    made.append(None if value is None else work(codec, value))
+                    size += 0 if value is None else len(value)
+                    if size >= HELD or i == len(source):
+                        part = batch.slice(start, i - start)
+                        yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, arrow)], names=[*part.schema.names[:-1], name])
+                        start, made, size = i, [], 0
+        rest = df.drop(name)
+        schema = T.StructType([*rest.schema.fields, T.StructField(name, kind)])
+        return df.select(*(F.col(f"`{c}`") for c in rest.columns), source.alias("_source")).mapInArrow(run, schema)
+
+    def encode(self, df: DataFrame, text: str = "text", ids: str = "ids", packed: bool = False) -> DataFrame:
+        source = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+        kind, arrow = (T.BinaryType(), pa.binary()) if packed else (T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))
+
+        def work(codec: Codec, value: bytes) -> bytes | np.ndarray:
+            found = codec.encode(value.decode("utf-8", "replace"))
+            return found.tobytes() if packed else found
+        return self._added(df, source, ids, kind, arrow, work)
+
+    def decode(self, df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+        """``decoded`` is ``binary``; cast it to a string for the text. Null gives null."""
+        packed = isinstance(df.schema[ids].dataType, T.BinaryType)
+        return self._added(df, F.col(ids), decoded, T.BinaryType(), pa.binary(), lambda codec, value: codec.decode(np.frombuffer(value, "<i4") if packed else value))
+
+
+def tokenizer(spark: SparkSession, path: str, pattern: str) -> Tokenizer:
     """The tokenizer of a vocabulary file, which only the driver reads."""
     return Tokenizer(spark, read_ranks(path), pattern)

@@ -92,10 +92,9 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 @query
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codec = byte_bpe.with_ids(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = docs_of(spark, sf_dir).select("doc_id", codec.encode(F.col("text")).alias("ids"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(byte_bpe.little_endian(F.col("ids")), 256).alias("ids_sha256"),
-                      F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    codec = byte_bpe.tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = codec.encode(docs_of(spark, sf_dir).select("doc_id", "text"), packed=True).drop("text")
+    return codec.decode(ids).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query

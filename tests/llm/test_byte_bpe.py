@@ -44,20 +44,31 @@ def test_every_code_point_is_split_alike():
 def test_edges(spark):
     long = "é" * 30_000 + " " * 9_000 + "ab" * 40_000
     rows = [(1, None, "x"), (2, "", "x"), (3, "<|endoftext|>", "x"), (3, "<|endoftext|>", "x"), (None, long, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    codec = byte_bpe.with_ids(spark, PATH, PATTERN)
-    out = docs.withColumn("own", codec.encode(F.col("text"))).withColumn("back", codec.decode(F.col("own")).cast("string")).collect()
-    assert [r.own for r in out] == [PLAIN.encode_ordinary(r[1] or "") for r in rows] and [r.back for r in out] == [r[1] or "" for r in rows]
-    assert [r.ids for r in out] == ["x"] * 4 + [None] and docs.limit(0).select(codec.encode(F.col("text"))).count() == 0
-    assert docs.select(codec.decode(F.lit(None).cast("array<int>")).alias("b")).first().b is None
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").coalesce(1)
+    codec = byte_bpe.tokenizer(spark, PATH, PATTERN)
+    for packed in (False, True):
+        out = codec.decode(codec.encode(docs, ids="own", packed=packed), "own", "a.b").collect()
+        want = [PLAIN.encode_ordinary(r[1] or "") for r in rows]
+        assert [r.own if not packed else struct.unpack(f"<{len(r.own) // 4}I", r.own) for r in out] == [tuple(w) if packed else w for w in want]
+        assert [bytes(r["a.b"]).decode() for r in out] == [r[1] or "" for r in rows] and [r.ids for r in out] == ["x"] * 4 + [None]
+        assert codec.encode(docs.limit(0), packed=packed).count() == 0 and codec.encode(docs).columns == ["doc_id", "text", "ids"]
+    nothing = docs.limit(1).select(F.lit(None).cast("array<int>").alias("ids"))
+    assert codec.decode(nothing).first().decoded is None
     with pytest.raises(Exception, match="not of this vocabulary"):
-        docs.select(codec.decode(F.array(F.lit(len(RANKS)))).alias("b")).collect()
+        codec.decode(docs.select(F.array(F.lit(len(RANKS))).alias("ids"))).collect()
+
+
+def test_results_are_handed_on_in_parts(spark, monkeypatch):
+    rows = [(i, "some words " * (i % 7)) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(byte_bpe, "HELD", 100)
+    assert [r.ids for r in byte_bpe.tokenizer(spark, PATH, PATTERN).encode(docs).collect()] == [PLAIN.encode_ordinary(t) for _, t in rows]
 
 
 def test_bytes_that_are_not_utf8(spark):
-    codec = byte_bpe.with_ids(spark, PATH, PATTERN)
-    got = spark.range(1).select(codec.encode(F.unhex(F.lit("61FF62")).cast("string")).alias("i")).first().i
-    assert got == PLAIN.encode_ordinary("a�b")
+    codec = byte_bpe.tokenizer(spark, PATH, PATTERN)
+    got = codec.encode(spark.range(1).select(F.unhex(F.lit("61FF62")).cast("string").alias("text"))).first().ids
+    assert got == PLAIN.encode_ordinary("a\ufffdb")
 
 
 def test_small_vocabularies():
