@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shared
 from .functions import fields
-from .operators import evaluate, retrieval, tables, windows
+from .operators import evaluate, retrieval, tables, vector_index, windows
 from .plans.ingest import retrieve
 from .sources.logs import detect_source, is_log_file
 
@@ -255,6 +256,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return retrieve(table(spark, d, "documents"), vectors, "doc_id", QUESTION, _vector(spark, d), k=10).select("doc_id", "score", "sources", "rank", "dense_rank", "bm25_rank", "rerank_score")
 
 
+@query("dense_topk_batch", """SELECT question, key, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, key) AS rank FROM (
+  SELECT q.vec_id AS question, v.vec_id AS key, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE rank <= 50""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Exact neighbours of each vector whose id is divisible by 100."""
+    vectors = table(spark, d, "embeddings")
+    return vector_index.exact(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id")
+
+
+@query("ann_topk")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The same questions by the partitioned index, which is built from the whole table and dropped; recall is tested."""
+    vectors, path = table(spark, d, "embeddings"), shared.new_folder(spark, "vectors")
+    try:
+        vector_index.build(vectors, "vec_id", path)
+        return shared.cut(vector_index.search(spark, path, vectors.filter("vec_id % 100 = 0"), "vec_id"))
+    finally:
+        shared.drop(spark, path)
+
+
 @query("rerank_null", f"WITH {DENSE.format(where='')} SELECT doc_id, score, CAST(rank AS INTEGER) AS rank, 0.0::DOUBLE AS rerank_score FROM den")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.rerank(_dense(spark, d), "doc_id")
