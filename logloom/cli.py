@@ -10,8 +10,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import shared
 from .functions.fields import render_line
-from .operators import retrieval, tables, windows
+from .operators import tables, windows
 from .plans import ingest as plans
 from .plans import models, render
 from .settings import from_env, setup_logging
@@ -35,13 +36,15 @@ def stats(spark: SparkSession, out: str, top: int) -> dict:
         "failure_pct": tables.failure_pct(events).first()[0], "windows": rows(windows.summarize(built))[0], "sizes": rows(windows.sizes(built))[0]}
 
 
-def search(spark: SparkSession, out: str, question: str, k: int, show_events: int = 0, rerank: bool = True) -> list[dict]:
-    """The k best windows with their event ids, with ``show_events`` also the lines of that many of their events."""
+def search(spark: SparkSession, out: str, question: str, k: int, show_events: int = 0, rerank: bool = True, report: dict | None = None) -> list[dict]:
+    """The k best windows with their event ids, with ``show_events`` also the lines of that many of their events; ``report``
+    takes the counts and times of the stages."""
     built, settings = spark.read.parquet(f"{out}/windows"), from_env()
     asked = models.embedder(settings)(spark.range(1).select(F.lit(question).alias("text"))).first()["embedding"]
+    lexical = f"{out}/lexical" if shared.exists(spark, f"{out}/lexical") else None
     hits = plans.retrieve(plans.searched(built), spark.read.parquet(f"{out}/vectors"), "chunk_id", question, list(asked), k=k or settings.top_k, pool=settings.pool,
-                          scorer=models.reranker(question, settings, enabled=rerank and settings.rerank_enabled),
-                          counts=plans.stored(spark, f"{out}/terms"), max_tokens=retrieval.MAX_TOKENS).drop("text").join(built, "chunk_id")
+                          scorer=models.reranker(question, settings, enabled=rerank and settings.rerank_enabled), rrf_k=settings.rrf_k, top_n=settings.rerank_top_n,
+                          lexical=lexical, max_tokens=settings.max_tokens, report=report).drop("text").join(built, "chunk_id")
     if show_events:
         events = spark.read.parquet(f"{out}/events")
         shown = hits.select("chunk_id", F.posexplode(F.slice("event_ids", 1, show_events)).alias("i", "event_id"))
@@ -89,7 +92,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     settings = from_env()
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "ingest":
-        report = plans.ingest(spark, a.raw, a.out, a.year, settings.gap_minutes, limit=a.limit, rebuild=a.rebuild)
+        report = plans.ingest(spark, a.raw, a.out, a.year, settings.gap_minutes, limit=a.limit, rebuild=a.rebuild, max_chars=settings.max_chars, max_events=settings.max_events)
         if a.jsonl:
             report["jsonl"] = plans.write_jsonl(spark.read.parquet(f"{a.out}/windows"), a.jsonl)
         say(report, a.json)
@@ -105,11 +108,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0 if health["healthy"] else 1
     elif a.command == "index":
         anew = a.reset or a.no_resume or not settings.index_resume
-        say(plans.index(spark, a.out, models.embedder(settings), anew, a.limit), a.json)
+        say(plans.index(spark, a.out, models.embedder(settings), anew, a.limit, settings.max_tokens), a.json)
     else:
-        hits = search(spark, a.out, a.query, a.k, a.show_events, not a.no_rerank)
+        facts: dict = {}
+        hits = search(spark, a.out, a.query, a.k, a.show_events, not a.no_rerank, facts)
         if a.json:
-            print(json.dumps(render.answer(a.query, hits, {"windows": len(hits), "events": [h.get("events") for h in hits] if a.show_events else None}), default=str))
+            print(json.dumps(render.answer(a.query, hits, facts | {"windows": len(hits), "events": [h.get("events") for h in hits] if a.show_events else None}), default=str))
         else:
             print("\n".join(line for hit in hits for line in render.hit_lines(hit, a.show_events)) or "no windows matched")
     return 0

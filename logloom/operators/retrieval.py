@@ -106,15 +106,11 @@ def fuse(rankings: dict[str, DataFrame], key: str, k: int = 60, weights: dict[st
     return ranked(both.filter("score is not null"), key, limit)
 
 
-def head(hits: DataFrame, top_n: int) -> DataFrame:
-    """What a reranker without a model returns by itself: the first ``top_n`` as they are, with score 0."""
-    return hits.filter(F.col("rank") <= top_n).withColumn("rerank_score", F.lit(0.0))
-
-
 def rerank(hits: DataFrame, key: str, scorer: Callable[[DataFrame], DataFrame] | None = None, top_n: int = 50) -> DataFrame:
-    """The head reordered by ``scorer`` (adds ``rerank_score``), the tail as it was; without a scorer the order stays."""
+    """The head reordered by ``scorer`` (adds ``rerank_score``), the tail as it was; without a scorer the first ``top_n`` as
+    they are, with score 0."""
     if scorer is None:
-        return hits.withColumn("rerank_score", F.lit(0.0))
+        return hits.filter(F.col("rank") <= max(0, top_n)).withColumn("rerank_score", F.lit(0.0))
     head = hits.join(scorer(hits.filter(F.col("rank") <= top_n)).select(key, "rerank_score"), key, "left")
     order = Window.orderBy((F.col("rank") > top_n).cast("int"), F.desc_nulls_last("rerank_score"), "rank", key)
     return head.withColumn("rank", F.row_number().over(order))

@@ -5,13 +5,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import shared
 from ..functions import fields
-from ..operators import retrieval, tables, windows
+from ..operators import inverted_index, retrieval, tables, windows
 from ..schemas import WINDOW
 from ..sources.logs import load_events, resolve_year
 
@@ -23,21 +23,21 @@ SAME = ["chunk_id", "source", "principal", "src_ip", "ts_start", "ts_end", "n_ev
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """A table, or None where there is none yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as none:
-        if "PATH_NOT_FOUND" not in str(none):
-            raise
-    return None
+    return spark.read.parquet(path) if shared.exists(spark, path) else None
 
 
-def ingest(spark: SparkSession, raw: str | list[str], out: str, year: int | None = None, gap_minutes: int = 15, limit: int | None = None, rebuild: bool = False) -> dict:
+def ingest(spark: SparkSession, raw: str | list[str], out: str, year: int | None = None, gap_minutes: int = 15, limit: int | None = None, rebuild: bool = False,
+           max_chars: int = 4800, max_events: int = 120) -> dict:
     """Parse, keep one row per event_id, window, and write ``events``, ``windows`` and ``window_events`` as Parquet.
 
     Events stored before stay unless ``rebuild``; of equal ids the new one wins. All windows are built anew, so none
     is stale. ``limit`` takes the first events by file and place. Without a ``year`` a manifest's is taken, or this one.
+    A path that isn't there is an error, and what is stored stays as it is.
     """
     began, paths = time.time(), [raw] if isinstance(raw, str) else list(raw)
+    for path in paths:
+        if not shared.exists(spark, path):
+            raise FileNotFoundError(path)
     year = year or resolve_year(spark, paths)
     events, counters = load_events(spark, paths, year)
     if limit is not None:
@@ -52,7 +52,7 @@ def ingest(spark: SparkSession, raw: str | list[str], out: str, year: int | None
         kept = spark.read.parquet(f"{out}/_merged")
     kept.write.mode("overwrite").parquet(f"{out}/events")
     now = spark.read.parquet(f"{out}/events")
-    windows.build_windows(now, gap_minutes).write.mode("overwrite").parquet(f"{out}/windows")
+    windows.build_windows(now, gap_minutes, max_chars, max_events).write.mode("overwrite").parquet(f"{out}/windows")
     built = spark.read.parquet(f"{out}/windows")
     windows.membership(built).write.mode("overwrite").parquet(f"{out}/window_events")
     report = counters.get() | {"by_source": {r["source"]: r["n"] for r in tables.count_by(now, "source").collect()}, "assumed_year": year}
@@ -64,9 +64,8 @@ def ingest(spark: SparkSession, raw: str | list[str], out: str, year: int | None
 
 def drop_tables(spark: SparkSession, out: str) -> None:
     """All tables of a store, and its index."""
-    for name in ("events", "windows", "window_events", "vectors", "terms", "index_meta", "meta", "_merged"):
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    for name in ("events", "windows", "window_events", "vectors", "lexical", "index_meta", "meta", "_merged"):
+        shared.drop(spark, f"{out}/{name}")
 
 
 def get_meta(spark: SparkSession, out: str) -> dict[str, str]:
@@ -108,10 +107,10 @@ def searched(built: DataFrame) -> DataFrame:
     return built.withColumn("text", F.coalesce(F.nullif("search_text", F.lit("")), "text"))
 
 
-def index(spark: SparkSession, out: str, embed: Callable[[DataFrame], DataFrame], reset: bool = False, limit: int | None = None) -> dict:
+def index(spark: SparkSession, out: str, embed: Callable[[DataFrame], DataFrame], reset: bool = False, limit: int | None = None, max_tokens: int | None = retrieval.MAX_TOKENS) -> dict:
     """Embed the windows that the index lacks and append them; returns what was done. ``embed`` adds ``embedding``.
 
-    Term counts for BM25 are stored beside the vectors, and the facts of the build in ``index_meta``. ``limit`` takes
+    The inverted index for BM25 is written beside the vectors, and the facts of the build in ``index_meta``. ``limit`` takes
     the first windows by id.
     """
     began, built, path = time.time(), spark.read.parquet(f"{out}/windows"), f"{out}/vectors"
@@ -122,7 +121,7 @@ def index(spark: SparkSession, out: str, embed: Callable[[DataFrame], DataFrame]
     todo = embed(rows if done is None else tables.missing(rows, done, "chunk_id")).drop("text").observe(seen, F.count("*").alias("n"))
     todo.write.mode("overwrite" if reset else "append").parquet(path)
     n = seen.get["n"]
-    retrieval.term_counts(searched(built), max_tokens=retrieval.MAX_TOKENS).write.mode("overwrite").parquet(f"{out}/terms")
+    inverted_index.write(searched(built), "chunk_id", f"{out}/lexical", max_tokens=max_tokens or None)
     total = spark.read.parquet(path).agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dim"))
     total.withColumn("built_at", F.lit(fields.utc_now())).coalesce(1).write.mode("overwrite").json(f"{out}/index_meta")
     asked = rows.count()
@@ -132,12 +131,9 @@ def index(spark: SparkSession, out: str, embed: Callable[[DataFrame], DataFrame]
 
 def index_meta(spark: SparkSession, out: str) -> dict:
     """Facts of the last build; empty if there are none."""
-    try:
-        row = spark.read.schema("vectors long, dim int, built_at string").json(f"{out}/index_meta").first()
-    except AnalysisException as none:
-        if "PATH_NOT_FOUND" not in str(none):
-            raise
+    if not shared.exists(spark, f"{out}/index_meta"):
         return {}
+    row = spark.read.schema("vectors long, dim int, built_at string").json(f"{out}/index_meta").first()
     return row.asDict() if row and row["vectors"] is not None else {}
 
 
@@ -155,16 +151,48 @@ def index_health(spark: SparkSession, out: str) -> dict:
 
 
 def hashed_embedding(rows: DataFrame, dim: int = 64) -> DataFrame:
-    """Deterministic stand-in for a model: signed hashed term counts of ``text``, of length 1."""
-    spot = F.transform(fields.tokenize(F.col("text")), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter("_spot", lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda s, x: s + x * x))
-    return rows.withColumn("_spot", spot).withColumn("_counts", counts).withColumn(
-        "embedding", F.transform("_counts", lambda x: (x / F.greatest(norm, F.lit(1e-12))).cast("float"))).drop("_spot", "_counts")
-
-
-def retrieve(docs: DataFrame, vectors: DataFrame, key: str, question: str, vector: list[float], k: int = 5, pool: int = 50, where=None, scorer=None, counts: DataFrame | None = None, max_tokens: int | None = None) -> DataFrame:
-    """Dense and BM25 candidates, fused, joined to their rows and reranked; the k best."""
-    both = {"dense": retrieval.dense(vectors, key, vector, pool, where=where), "bm25": retrieval.bm25(docs, key, question, pool, counts=counts, max_tokens=max_tokens)}
-    named = retrieval.fuse(both, key, limit=pool, ranks=True)
-    return retrieval.rerank(named.join(docs.select(key, "text"), key), key, scorer).filter(F.col("rank") <= (k or 5)).orderBy("rank")
+    """Deterministic stand-in for a model: hashed term counts of ``text``, of length 1; ``dim`` is at most 90.
+
+    A text becomes one string with a character a term; a place's count is how much shorter the string is without its
+    character. Counts and norm are bound once a row.
+    """
+    if dim > 90:
+        raise ValueError("a place is one of 90 printable characters")
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    places = F.array_join(F.transform(fields.tokenize(F.col("text")), lambda t: F.char(F.pmod(F.xxhash64(t), F.lit(dim)) + 33)), "")
+    counts = lambda s: F.array(*((F.length(s) - F.length(F.replace(s, F.lit(chr(33 + i)), F.lit("")))).cast("double") for i in range(dim)))
+    norm = lambda c: F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12))
+    return rows.withColumn("embedding", let(places, lambda s: let(counts(s), lambda c: let(norm(c), lambda n: F.transform(c, lambda x: (x / n).cast("float"))))))
+
+
+def retrieve(docs: DataFrame, vectors: DataFrame, key: str, question: str, vector: list[float], k: int = 5, pool: int = 50, where=None, scorer=None, counts: DataFrame | None = None,
+             max_tokens: int | None = None, rrf_k: int = 60, top_n: int = 50, lexical: str | None = None, report: dict | None = None) -> DataFrame:
+    """Dense and BM25 candidates, fused, joined to their rows and reranked; the k best.
+
+    A blank question asks no retriever and has no hits. ``lexical`` is the path of a stored inverted index. Candidates that
+    ``docs`` lacks fall away; with ``report`` they are counted there, as are the candidates of each stage and its time. The
+    candidates, ``2 * pool`` rows at most, then pass through the driver.
+    """
+    spark, began = docs.sparkSession, time.time()
+    seen = report if report is not None else {}
+    seen.update({"k": k or 5, "dense_candidates": 0, "bm25_candidates": 0, "fused_candidates": 0, "missing_from_store": 0, "rerank_applied": scorer is not None})
+
+    def kept(name: str, rows: DataFrame) -> DataFrame:
+        if report is None:
+            return rows
+        at, few = time.time(), rows.collect()
+        seen[f"{name}_candidates"] = len(few)
+        seen.setdefault("timings_ms", {})[f"{name}_ms"] = round(1000 * (time.time() - at), 1)
+        return spark.createDataFrame(few, rows.schema)
+    if not question.strip():
+        return spark.createDataFrame([], docs.select(key).schema).selectExpr(key, "0d as score", "'' as sources", "0 as rank", "0 as dense_rank", "0 as bm25_rank", "'' as text", "0d as rerank_score")
+    bm25 = inverted_index.search(spark, lexical, question, pool, key=key) if lexical else retrieval.bm25(docs, key, question, pool, counts=counts, max_tokens=max_tokens)
+    both = {"dense": kept("dense", retrieval.dense(vectors, key, vector, pool, where=where)), "bm25": kept("bm25", bm25)}
+    named = kept("fused", retrieval.fuse(both, key, rrf_k, limit=pool, ranks=True))
+    found = named.join(docs.select(key, "text"), key)
+    if report is not None:
+        seen["missing_from_store"] = named.join(docs.select(key), key, "left_anti").count()
+    hits = retrieval.rerank(found, key, scorer, top_n).filter(F.col("rank") <= (k or 5)).orderBy("rank")
+    if report is not None:
+        seen["timings_ms"]["total_ms"] = round(1000 * (time.time() - began), 1)
+    return hits

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .functions import fields
-from .operators import evaluate, retrieval, tables, vector_index, windows
+from .operators import evaluate, inverted_index, retrieval, tables, vector_index, windows
 from .plans.ingest import retrieve
 from .sources.logs import detect_source, is_log_file
 
@@ -240,6 +240,17 @@ def _dense(spark: SparkSession, d: str, where=None) -> DataFrame:
 
 
 query("bm25_topk", f"WITH {TOK}{POST}{BM} SELECT doc_id, score, CAST(rank AS INTEGER) AS rank FROM bm")(_bm25)
+@query("bm25_stored", f"WITH {TOK}{POST}{BM} SELECT doc_id, score, CAST(rank AS INTEGER) AS rank FROM bm")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The same question from a stored inverted index, which is built from the whole table and dropped."""
+    path = shared.new_folder(spark, "postings")
+    try:
+        inverted_index.write(table(spark, d, "documents"), "doc_id", path)
+        return shared.cut(inverted_index.search(spark, path, QUESTION, key="doc_id"))
+    finally:
+        shared.drop(spark, path)
+
+
 query("dense_topk", f"WITH {DENSE.format(where='')} SELECT doc_id, score, CAST(rank AS INTEGER) AS rank FROM den")(_dense)
 query("dense_topk_filtered", f"WITH {DENSE.format(where='WHERE label = 3')} SELECT doc_id, score, CAST(rank AS INTEGER) AS rank FROM den")(lambda spark, d: _dense(spark, d, F.col("label") == 3))
 _fused = "SELECT doc_id, score, sources, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM fused ORDER BY score DESC, doc_id LIMIT 50"

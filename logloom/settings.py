@@ -8,9 +8,9 @@ import os
 from dataclasses import dataclass, fields
 from datetime import datetime, timezone
 
-#: Names of variables and defaults.
+#: Names of variables.
 NAMES = {
-    "gap_minutes": "WINDOW_GAP_MINUTES", "max_chars": "WINDOW_MAX_CHARS", "max_events": "WINDOW_MAX_EVENTS", "top_k": "RETRIEVAL_TOP_K", "pool": "RETRIEVAL_POOL", "rrf_k": "RRF_K",
+    "gap_minutes": "CHUNK_GAP_MINUTES", "max_chars": "CHUNK_MAX_CHARS", "max_events": "CHUNK_MAX_EVENTS", "top_k": "RETRIEVE_TOP_K", "pool": "CANDIDATE_POOL", "rrf_k": "RRF_K", "max_tokens": "BM25_MAX_TOKENS",
     "rerank_enabled": "RERANK_ENABLED", "rerank_backend": "RERANK_BACKEND", "rerank_model": "RERANK_MODEL", "rerank_top_n": "RERANK_TOP_N", "embedding_backend": "EMBEDDING_BACKEND",
     "embedding_model": "EMBEDDING_MODEL", "index_resume": "INDEX_RESUME"}
 TRUE, FALSE = ["1", "true", "yes", "on"], ["0", "false", "no", "off"]
@@ -24,6 +24,7 @@ class Settings:
     top_k: int = 5
     pool: int = 50
     rrf_k: int = 60
+    max_tokens: int = 512
     rerank_enabled: bool = True
     rerank_backend: str = "none"
     rerank_model: str = ""
