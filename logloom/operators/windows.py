@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.fields import RISK_WEIGHTS, is_root, render_line
+from ..shared import cut
+from . import cuts
 
 KEY = ["source", "principal", "src_ip"]
-#: Rows of a key beyond which it is worked on day by day.
-HOT_KEY = 5_000_000
+#: Rows of a key beyond which it is worked on hour by hour and its sessions are cut in blocks.
+HOT_KEY = 20_000
 
 
 def risk(actions: Column, failures: Column, root: Column, weights: dict[str, int]) -> Column:
@@ -33,74 +31,77 @@ def pauses(rows: DataFrame, keys: list[str], gap_minutes: int) -> DataFrame:
     return rows.withColumn("_in", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def by_day(rows: DataFrame, gap_minutes: int) -> DataFrame:
-    """``rows`` with ``_group``, the number of the session within its key, for keys too large for one task.
+def by_hour(rows: DataFrame, gap_minutes: int) -> DataFrame:
+    """``rows`` with ``_group``, the number of the session within its key, and within the session the position ``i`` and the
+    running size ``total``, for keys too large for one task.
 
-    A key is worked on day by day. What a day hands on is one row: its first and last second and how often it pauses.
+    A key is worked on hour by hour. What an hour hands on is a row for each of its sessions.
+    """
+    hour = [*KEY, "_hour"]
+    rows = pauses(rows.withColumn("_hour", F.substring("ts", 1, 13)), hour, gap_minutes)
+    hours = Window.partitionBy(*KEY).orderBy("_hour")
+    each = rows.groupBy(*hour).agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.sum("_new").alias("pauses"))
+    apart = (F.coalesce(F.col("first") - F.lag("last").over(hours), F.lit(0)) > gap_minutes * 60).cast("int")
+    each = each.withColumn("_step", F.coalesce(F.lag("pauses").over(hours), F.lit(0)) + apart)
+    base = each.select(*hour, F.sum("_step").over(hours.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_base"))
+    rows = rows.join(base, hour).withColumn("_group", F.col("_base") + F.col("_in")).drop("_at", "_new", "_in", "_base")
+    part = [*KEY, "_group", "_hour"]
+    order = Window.partitionBy(*part).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*KEY, "_group").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*part).agg(F.count("*").alias("n"), F.sum("_chars").alias("c"), F.min("ts").alias("f"))
+    sums = sums.select(*part, *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"_{x}") for x in ("n", "c")), F.min("f").over(Window.partitionBy(*KEY, "_group")).alias("_first"))
+    rows = rows.withColumns({"_i": F.count("*").over(order), "_s": F.sum("_chars").over(order)}).join(sums, part)
+    return rows.withColumns({"i": F.col("_i") + F.col("_n"), "total": F.col("_s") + F.col("_c")}).drop("_hour", "_i", "_s", "_n", "_c")
+
+
+def split(e: Column, max_chars: int, max_events: int) -> Column:
+    """The pieces ``p, e`` of a session's sorted events, cut greedily in one fold over their sizes."""
+    size = lambda x: F.length(x["line"]) + 3
+    state = lambda chars, n, at, starts: F.struct(chars.cast("long").alias("chars"), n.alias("n"), at.alias("at"), starts.alias("starts"))
+
+    def step(s: Column, x: Column) -> Column:
+        new = (s["at"] > 0) & ((s["chars"] + size(x) > max_chars) | (s["n"] >= max_events))
+        return state(F.when(new, 0).otherwise(s["chars"]) + size(x), F.when(new, 1).otherwise(s["n"] + 1), s["at"] + 1, F.when(new, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"]))
+    whole = (F.size(e) <= max_events) & (F.aggregate(e, F.lit(0), lambda n, x: n + size(x)) <= max_chars)
+    starts = F.when(whole, F.array(F.lit(0))).otherwise(F.aggregate(e, state(F.lit(0), F.lit(0), F.lit(0), F.array(F.lit(0))), step, lambda s: s["starts"]))
+    bound = F.transform(F.array(starts), lambda s: F.transform(s, lambda at, k: F.struct(k.alias("p"), F.slice(e, at + 1, F.coalesce(F.get(s, k + 1), F.size(e)) - at).alias("e"))))
+    return F.get(bound, 0)
+
+
+def cut_sessions(rows: DataFrame, gap_minutes: int, max_chars: int, max_events: int, hot_key: int, block: int) -> DataFrame:
+    """``KEY, _group, _first, p, e``: the pieces of all sessions with their sorted events.
+
+    Keys of more than ``hot_key`` rows are counted first (narrow counts, added up where the rows are read). All others move
+    once, by key; a session of theirs is one array, cut in one fold.
     """
-    day = [*KEY, "_day"]
-    rows = pauses(rows.withColumn("_day", F.substring("ts", 1, 10)), day, gap_minutes)
-    days = Window.partitionBy(*KEY).orderBy("_day")
-    each = rows.groupBy(*day).agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.sum("_new").alias("pauses"))
-    apart = (F.coalesce(F.col("first") - F.lag("last").over(days), F.lit(0)) > gap_minutes * 60).cast("int")
-    each = each.withColumn("_step", F.coalesce(F.lag("pauses").over(days), F.lit(0)) + apart)
-    base = each.select(*day, F.sum("_step").over(days.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_base"))
-    return rows.join(base, day).withColumn("_group", F.col("_base") + F.col("_in")).drop("_day", "_at", "_new", "_in", "_base")
-
-
-def sessions(rows: DataFrame, gap_minutes: int, hot_key: int) -> DataFrame:
-    """``rows`` with ``_group``. Keys of more than ``hot_key`` rows are counted first (narrow counts, added up where the
-    rows are read) and worked on by day, all others in one shuffle; the numbers are the same."""
     hot = rows.groupBy(*KEY).count().filter(F.col("count") > hot_key).select(*KEY)
-    plain = lambda part: pauses(part, KEY, gap_minutes).withColumnRenamed("_in", "_group").drop("_at", "_new")
+    names, one = [*KEY, "_group", "_first", "p", "e"], F.struct(*FIELDS, "line")
+
+    def plain(part: DataFrame) -> DataFrame:
+        part = pauses(part, KEY, gap_minutes).withColumnRenamed("_in", "_group").groupBy(*KEY, "_group").agg(F.array_sort(F.collect_list(one)).alias("e"))
+        return part.select(*KEY, "_group", F.get("e", 0)["ts"].alias("_first"), F.explode(split(F.col("e"), max_chars, max_events)).alias("x")).select(*KEY, "_group", "_first", "x.p", "x.e")
     if hot.isEmpty():
         return plain(rows)
-    return plain(rows.join(hot, KEY, "left_anti")).unionByName(by_day(rows.join(hot, KEY, "left_semi"), gap_minutes))
-
-
-def cut_long(rows: DataFrame, max_chars: int, max_events: int) -> DataFrame:
-    """``rows`` of sessions beyond a cap with ``_piece``, cut greedily as they stream by; no session is held as a whole."""
-    names = [*KEY, "_group"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, chars, n, piece = None, 0, 0, 0
-        for batch in batches:
-            out = []
-            for *own, size in zip(*(batch.column(c).to_pylist() for c in (*names, "_chars"))):
-                if own != key:
-                    key, chars, n, piece = own, 0, 0, 0
-                elif chars + size > max_chars or n >= max_events:
-                    chars, n, piece = 0, 0, piece + 1
-                chars, n = chars + size, n + 1
-                out.append(piece)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "_piece"])
-    schema = T.StructType([*rows.schema.fields, T.StructField("_piece", T.IntegerType())])
-    return rows.repartition(*names).sortWithinPartitions(*names, "ts", "event_id").mapInArrow(work, schema)
+    long = by_hour(rows.join(hot, KEY, "left_semi").withColumn("_chars", (F.length("line") + 3).cast("long")), gap_minutes).withColumn("chars", F.col("_chars"))
+    long = cuts.pieces(long, [*KEY, "_group"], max_chars, max_events, block).groupBy(*KEY, "_group", "_first", F.col("_piece").cast("int").alias("p")).agg(F.array_sort(F.collect_list(one)).alias("e"))
+    return plain(rows.join(hot, KEY, "left_anti")).select(*names).unionByName(long.select(*names))
 
 
 def build_windows(events: DataFrame, gap_minutes: int = 15, max_chars: int = 4800, max_events: int = 120, weights: dict[str, int] | None = None, preserve_case: bool = False,
-                  start_index: int = 1, hot_key: int = HOT_KEY) -> DataFrame:
+                  start_index: int = 1, hot_key: int = HOT_KEY, block: int = cuts.BLOCK) -> DataFrame:
     """Windows of deduplicated events, numbered from ``start_index`` by the first time of their session.
 
     Rows move once by key and once, as windows, by the minute in which their session begins; a window gathers
-    ``max_events`` rows at most. Sessions within both caps, nearly all, stay in the JVM. A window's number is its rank in
-    that minute plus the windows of the minutes before, which come from narrow rows.
+    ``max_events`` rows at most. A window's number is its rank in that minute plus the windows of the minutes before, which
+    are narrow counts. Sessions of any length are cut by many tasks (``cuts``).
     """
     line = render_line({c: F.col(c) for c in FIELDS})
-    rows = sessions(events.select(*FIELDS).withColumn("line", line), gap_minutes, hot_key).withColumn("_chars", (F.length("line") + 3).cast("long"))
-    whole = Window.partitionBy(*KEY, "_group")
-    rows = rows.withColumns({"_n": F.count("*").over(whole), "_all": F.sum("_chars").over(whole), "_first": F.min("ts").over(whole)})
-    fits = (F.col("_n") == 1) | (F.col("_n") <= max_events) & (F.col("_all") <= max_chars)
-    piece = [*KEY, "_group", "_first", "_piece"]
-
-    def gathered(part: DataFrame) -> DataFrame:
-        return part.groupBy(*piece).agg(F.array_sort(F.collect_list(F.struct(*FIELDS, "line"))).alias("e")).withColumnRenamed("_piece", "p")
-    cut = gathered(rows.filter(fits).withColumn("_piece", F.lit(0))).unionByName(gathered(cut_long(rows.filter(~fits), max_chars, max_events)))
-
-    cut = cut.withColumn("_minute", F.substring("_first", 1, 16))
-    before = cut.groupBy("_minute").count().select("_minute", F.coalesce(F.sum("count").over(Window.orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    found = cut_sessions(events.select(*FIELDS).withColumn("line", line), gap_minutes, max_chars, max_events, hot_key, block)
+    # Counted and ranked below: worked out once.
+    found = cut(found.withColumn("_minute", F.substring("_first", 1, 16)))
+    before = found.groupBy("_minute").count().select("_minute", F.coalesce(F.sum("count").over(Window.orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_minute").orderBy("_first", *KEY, "_group", "p"))
-    rows = cut.withColumn("_rank", rank).join(before, "_minute").withColumn("chunk_id", F.format_string("w-%05d", F.col("_before") + F.col("_rank") + (start_index - 1)))
+    rows = found.withColumn("_rank", rank).join(before, "_minute").withColumn("chunk_id", F.format_string("w-%05d", F.col("_before") + F.col("_rank") + (start_index - 1)))
 
     field = lambda name: F.transform("e", lambda x: x[name])
     failures = F.size(F.filter("e", lambda x: x["status"] == "failure"))

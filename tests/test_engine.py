@@ -146,8 +146,10 @@ def test_windows_of_long_sessions_are_those_of_one_pass(spark):
         for i in range(400):
             at += draw.choice([1, 30, 400, 899, 900, 901, 4000]) if p else 300
             rows.append(event(f"{p}{i}", datetime.fromtimestamp(at, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), draw.choice("ab") * draw.randint(1, 60), principal=p))
-    got, hot = (windows.build_windows(frame(spark, rows).repartition(5), 15, max_chars=700, max_events=9, start_index=3, hot_key=n).collect() for n in (10**6, 399))
-    assert sorted(map(str, got)) == sorted(map(str, hot))
+    build = lambda **more: windows.build_windows(frame(spark, rows).repartition(5), 15, max_chars=700, max_events=9, start_index=3, **more).collect()
+    got = build()
+    for more in ({"hot_key": 399}, {"hot_key": 399, "block": 9}, {"hot_key": 100, "block": 13}):
+        assert sorted(map(str, got)) == sorted(map(str, build(**more)))
     want, text = [], lambda r: " | ".join([r[1], r[3], "INFO", r[5] or "-", "-", "-", r[0]])
     groups = []
     for p in ("", "p", "q"):
