@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import blank, iso_utc, normalize_status, stable_id
 from ..schemas import EVENT
+from .arrays import array_files, elements
 
 #: File names by family, and JSON artefacts that are not logs.
 JSON_SUFFIXES, TEXT_SUFFIXES = ["json", "jsonl", "ndjson"], ["log", "txt", "out"]
@@ -94,15 +95,14 @@ def json_records(spark: SparkSession, files: list[str]) -> DataFrame:
     """``name, file, i, record``: records of JSON arrays and JSON lines.
 
     ``i`` counts the records of a file that are JSON, from 1; malformed lines and arrays have none. Lines are read as
-    lines, whatever a file's size; a file whose first mark is a bracket is one array and one row, as JSON must be.
+    lines, whatever a file's size; a file whose first mark is a bracket is one array, which many tasks read, too (``arrays``).
     """
     if not files:
         return spark.createDataFrame([], "name string, file string, i long, record string")
-    lines = numbered_lines(spark, files)
-    first = lines.filter(F.trim("line") != "").groupBy("file").agg(F.min_by(F.ltrim("line"), "i").alias("line"))
     # As many rows as files at most, which the scan lists anyway.
-    arrays = [r["file"] for r in first.filter(F.col("line").startswith("[")).select("file").collect()]
-    rest = lines.filter(~F.col("file").isin(arrays)) if arrays else lines
+    arrays = {unquote(r["file"]) for r in array_files(spark, files).collect()}
+    plain = [f for f in files if f not in arrays]
+    rest = numbered_lines(spark, plain) if plain else spark.createDataFrame([], "file string, name string, block long, at long, i long, line string")
     rest = rest.filter(F.trim("line") != "").withColumn("ok", F.try_parse_json("line").isNotNull().cast("int"))
     known = rest.groupBy("file", "block").agg(F.sum("ok").alias("n"))
     before = known.select("file", "block", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -110,9 +110,7 @@ def json_records(spark: SparkSession, files: list[str]) -> DataFrame:
     out = rest.withColumn("own", own).join(before, ["file", "block"]).select(
         "name", "file", F.when(F.col("ok") == 1, F.col("before") + F.col("own")).alias("i"), F.trim("line").alias("record"))
     if arrays:
-        path = F.col("_metadata.file_path")
-        whole = spark.read.text([unquote(a) for a in arrays], wholetext=True).select(path.alias("file"), F.from_json("value", "array<string>").alias("r"))
-        out = out.unionByName(whole.select(name_of("file"), "file", F.posexplode_outer("r").alias("i", "record")).select("name", "file", (F.col("i") + 1).cast("long").alias("i"), "record"))
+        out = out.unionByName(elements(spark, sorted(arrays)).select(name_of("file"), "file", "i", "record"))
     return out
 
 
