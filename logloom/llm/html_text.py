@@ -37,6 +37,8 @@ READ = set("class id role itemprop hidden style aria-hidden aria-label".split())
 DISPLAY = re.compile(r"(?:\A|;)\s*display\s*:\s*([a-z-]+)")
 #: Element names by how they are read.
 UNSEEN = set("script style noscript template svg math iframe object canvas audio video select textarea title".split())
+#: Of these, what has to be text up to the end tag; without one it is the rest of the page. Others are passed over.
+RAW = set("script style textarea title".split())
 INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: End tags, sought in the source itself: lower-casing may change the length of a text.
 CLOSING = {name: re.compile(f"</{name}(?![a-z0-9])", re.I | re.A) for name in UNSEEN}
@@ -72,6 +74,8 @@ class Page:
         self.tag, self.parent, self.hint, self.links, self.tags, self.hidden = ["body"], [-1], [0], [0], [0], [False]
         self.pieces: list[tuple[int, str]] = []  # (block, text), in page order
         stack, buffer, at, end, inline_links, in_head = [0], [], 0, len(source), 0, False
+        places: dict[str, list[int]] = {}  # of the open elements, by name
+        endless: set[str] = set()  # names without an end tag in what follows
 
         def flush() -> None:
             if buffer:
@@ -90,13 +94,13 @@ class Page:
                     self.links[stack[-1]] += len(text.strip())
 
         def pop_to(names: set[str], stops: set[str]) -> None:
-            for k in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[k]] in names:
-                    flush()
-                    del stack[k:]
-                    return
-                if self.tag[stack[k]] in stops:
-                    return
+            last = lambda some: max((places[n][-1] for n in some if places.get(n)), default=0)
+            k = last(names)
+            if k > last(stops):
+                flush()
+                for b in stack[k:]:
+                    places[self.tag[b]].pop()
+                del stack[k:]
         while at < end:
             m = MARKUP.search(source, at)
             if m is None:
@@ -116,9 +120,14 @@ class Page:
                 elif name == "p" or name not in INLINE and name not in ("html", "body"):
                     pop_to({name}, set())
             elif name in UNSEEN:
-                if not m[3].rstrip().endswith("/") or name in ("script", "style", "title", "textarea"):
+                if name not in endless and (not m[3].rstrip().endswith("/") or name in RAW):
                     close = CLOSING[name].search(source, at)
-                    at = end if close is None else (source.find(">", close.start()) + 1 or end)
+                    if close:
+                        at = source.find(">", close.start()) + 1 or end
+                    elif name in RAW:
+                        at = end
+                    else:
+                        endless.add(name)
             elif name == "br" or name == "img":
                 buffer.append(" ")
                 self.tags[stack[-1]] += 1
@@ -138,6 +147,7 @@ class Page:
                 if name in CLOSES:
                     pop_to(CLOSES[name], STOPS[name])
                 hint, hidden = self._hint(m[3])
+                places.setdefault(name, []).append(len(stack))
                 stack.append(self._add(name, stack[-1], hint, hidden, 0, 1))
         flush()
 
@@ -219,7 +229,7 @@ class Page:
         return "\n".join(t for b, t in self.pieces if kept[b])
 
 
-def sample_pages(count: int = 500, seed: int = 11) -> Iterator[tuple[str, list[int]]]:
+def sample_pages(count: int = 900, seed: int = 11) -> Iterator[tuple[str, list[int]]]:
     """Pages with a 0 or 1 for each of their blocks after the body, in page order."""
     rng = random.Random(seed)
     syllables = "ka lo mi ter an ish pro den vo ra sel un ti mor ge".split()
@@ -230,9 +240,12 @@ def sample_pages(count: int = 500, seed: int = 11) -> Iterator[tuple[str, list[i
         return " ".join(word() + rng.choice(["", "", "", "", ",", ".", " &amp;", "!!", "***"]) for _ in range(n)) + "."
     names = {g: ws for g, ws in HINTS.items()}
 
+    def neutral() -> str:
+        return rng.choice(["", "", ' class="x1 y2"', ' id="b7"', ' class="wrap"', ' class="col row"'])
+
     def attribute(group: str | None) -> str:
         if group is None or rng.random() < 0.25:
-            return rng.choice(["", "", ' class="x1 y2"', ' id="b7"', ' class="wrap"', ' class="col row"'])
+            return neutral()
         w = rng.choice(names[group])
         return rng.choice([f' class="{w}"', f' id="{w}"', f' class="{w}-box inner"', f" class='site_{w}'", f' role="{w}" class="{w}"', f" class={w}"])
 
@@ -282,13 +295,22 @@ def sample_pages(count: int = 500, seed: int = 11) -> Iterator[tuple[str, list[i
                     lambda: el("table", 1, lambda: "".join(el("tr", 1, lambda: el("td", 1, words(1, 4)) + el("td", 1, words(1, 4))) for _ in range(3))),
                     lambda: el("div", 1, words(5, 90)), lambda: el("figure", 1, lambda: "<img src=a.png>" + el("figcaption", 1, words(2, 12))), lambda: rng.choice(noise)()],
                     [14, 4, 4, 3, 2, 1, 1, 1, 1, 1, 1.2])[0])
+            if rng.random() < 0.15:  # a part of the article whose name would fit something else, too
+                own = f"{rng.choice(names[rng.choice(['talk', 'side', 'foot', 'head', 'note'])])}-{rng.choice(['body', 'section', 'text', 'content'])}"
+                parts.append(lambda: el(rng.choice(["div", "section"]), 1, lambda: "".join(el("p", 1, words(15, 150)) for _ in range(rng.randint(1, 4))), f' class="{own}"'))
             body = lambda: "".join(p() for p in parts) or words(1, 60)
             style = rng.random()
-            if style < 0.55:
+            if style < 0.4:
                 return el("article", 1, body, rng.choice(["", "", attribute("good")]))
-            if style < 0.75:
+            if style < 0.55:
                 return el("main", 1, lambda: el("article", 1, body) if rng.random() < 0.5 else body(), rng.choice(["", attribute("good")]))
-            return el(rng.choice(["div", "section"]), 1, body, f' class="{rng.choice(names["good"])}"')
+            if style < 0.7:
+                return el(rng.choice(["div", "section"]), 1, body, f' class="{rng.choice(names["good"])}"')
+            # Nothing but the text tells: paragraphs in an element without a name, or in none.
+            parts = parts + [lambda: el("p", 1, words(10, 150)) for _ in range(rng.randint(1, 4))]
+            if style < 0.85:
+                return el(rng.choice(["div", "div", "section", "td"]), 1, body, neutral())
+            return body()
         def bare(y: int, lo: int, hi: int) -> str:
             labels.append(y)
             return words(lo, hi)
