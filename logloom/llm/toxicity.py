@@ -40,7 +40,7 @@ TOKEN = re.compile(r"[^\W\d_]+")
 def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first, last token) of a text of which ``scores`` lists the tokens that do
     not cost ``drift``, by position."""
-    out: list[list] = []  # [left sum, right sum, first, last]
+    out: list[list] = []  # [left sum, right sum, first, last, place of the last one before of a smaller left sum]
     total, last = 0.0, -1
     for at, s in scores:
         total += drift * (at - last - 1)
@@ -48,17 +48,16 @@ def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[float,
         before, total = total, total + s
         if s <= 0:
             continue
-        new = [before, total, at, at]
-        while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or out[j][1] >= new[1]:
-                out.append(new)
-                break
-            new = [out[j][0], new[1], out[j][2], new[3]]
+        first, j = at, len(out) - 1
+        # What lies between a segment and its own predecessor has no smaller left sum, so it is passed over.
+        while j >= 0 and out[j][0] >= before:
+            j = out[j][4]
+        while j >= 0 and out[j][1] < total:
+            before, _, first, _, above = out[j]
             del out[j:]
-    return [(r - a, i, k) for a, r, i, k in out]
+            j = above
+        out.append([before, total, first, at, j])
+    return [(r - a, i, k) for a, r, i, k, _ in out]
 
 
 def forms(word: str) -> list[str]:
