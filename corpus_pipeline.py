@@ -6,8 +6,10 @@ each group of documents that share at least 0.8 of their five-word shingles, onc
 decontamination drops documents that hold a benchmark item; mixing repeats or drops documents to the sources' target
 weights; sharding gives each row its shard and slot.
 
-Rows without a ``doc_id`` stay in: where a stage has to tell documents apart they go by a negative number made from
-their text and source, so rows that agree in both are one document. An empty table gives no rows.
+A document is told by its ``doc_id``. Where rows of one id differ in text or source, each such text is a document of its
+own: one of them, the same in every run, goes by the id, the others by a negative number made from id, text and source.
+Rows without a ``doc_id`` go by such a number, too. So rows fall away as repeated only where they agree in id, text and
+source, and of these the first by all columns stays. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,18 +20,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.llm import decontamination, language_id, mixing, near_dedup, sharding
-from logloom.llm.common import checkpoint_dir, docs_of, drop_folder
+from logloom.llm.common import checkpoint_dir, cut, docs_of, drop_folder
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_id``, the doc_id or a number below zero in its place."""
-    made_up = -1 - F.pmod(F.xxhash64("text", "source"), F.lit(1 << 62))
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made_up))
+    """``docs`` with ``_id``, the doc_id or a number below zero in its place.
 
-
-def by_id(docs: DataFrame) -> DataFrame:
-    """What the operators read, under ``_id`` as doc_id."""
-    return identified(docs).select(F.col("_id").alias("doc_id"), "text", "source")
+    Only ids move, with a hash of their text and source, and those with several texts are joined: seldom any.
+    """
+    said = F.xxhash64("text", "source")
+    made_up = -1 - F.pmod(F.when(F.col("doc_id").isNull(), said).otherwise(F.xxhash64("doc_id", "text", "source")), F.lit(1 << 62))
+    twice = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(said).alias("_least"), F.max(said).alias("_most")).filter("_least <> _most")
+    twice = cut(twice.select(F.col("doc_id").alias("_doc"), "_least"))
+    if twice.isEmpty():
+        return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made_up))
+    rows = docs.join(twice, F.col("doc_id") == F.col("_doc"), "left")
+    own = F.when(F.col("_least").isNull() | (F.col("_least") == said), F.col("doc_id").cast("long"))
+    return rows.withColumn("_id", F.coalesce(own, made_up)).drop("_doc", "_least")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +45,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stays = near_dedup.near_dedup(by_id(docs), width=5, threshold=80).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    # Rows that repeat fall away before the shuffle of the join.
-    once = identified(docs).withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_id"))).filter("_n = 1")
-    return once.join(stays, "_id", "left_semi").select(*docs.columns)
+    told = identified(docs)
+    narrow = told.select(F.col("_id").alias("doc_id"), "text", "source")
+    stays = near_dedup.near_dedup(narrow, width=5, threshold=80).filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
+    kept = told.join(stays, "_id")
+    # Only rows that repeat are compared.
+    first = F.row_number().over(Window.partitionBy("_id").orderBy(*docs.columns))
+    again = kept.filter("_rows > 1").withColumn("_n", first).filter("_n = 1").drop("_n")
+    return kept.filter("_rows = 1").unionByName(again).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +60,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(by_id(docs)).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0").withColumnRenamed("doc_id", "_id")
-    return identified(docs).join(taken, "_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    told = identified(docs)
+    taken = mixing.mix(told.select(F.col("_id").alias("doc_id"), "text", "source")).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0").withColumnRenamed("doc_id", "_id")
+    return told.join(taken, "_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,10 +85,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``; what a stage returns is written to the shared folder and read by the next.
 
-    A stage's folder is deleted when the next one is written. The last is read by the result and stays; ``run_into``
-    writes the result and deletes it, too.
+    A stage's folder is deleted when the next one is written, all of them where a stage fails. The result is a checkpoint,
+    so that nothing of the pipeline is left; ``run_into`` writes it elsewhere.
     """
-    return _stages(spark, sf_dir, f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}")
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    try:
+        return cut(_stages(spark, sf_dir, folder))
+    finally:
+        drop_folder(spark, folder)
 
 
 def _stages(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
