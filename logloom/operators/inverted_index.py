@@ -9,8 +9,8 @@ opens its terms' folders and, of their row groups, those that hold them.
 the highest bounds are scored; their k-th score is what any other block must be able to reach, and only those that are
 are read. The result is that of ``retrieval.bm25`` over all texts.
 
-Null and empty texts have no terms but count as documents. Repeated keys are one document whose counts add up, as in the
-postings. A question without known terms, an empty table and a ``k`` of 0 give no rows.
+Null and empty texts have no terms but count as documents. Repeated keys are documents of their own whose scores add up.
+A question without known terms, an empty table and a ``k`` of 0 give no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fields import tokenize
-from .retrieval import B, EPSILON, K1, postings, ranked
+from .retrieval import B, EPSILON, K1, ranked
 
 #: Documents of a block on average, and folders that the terms are dealt over.
 BLOCK, BUCKETS = 512, 64
@@ -38,10 +38,25 @@ def _part(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def counted(tokens: Column) -> Column:
+    """``term, tf`` of each distinct token: the runs of the sorted tokens, in time n log n."""
+    let = lambda value, body: F.get(F.transform(F.array(value), body), 0)
+    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s, b: F.transform(b, lambda at, k: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - at).alias("tf")))
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), lambda s: let(begins(s), lambda b: runs(s, b)))).otherwise(none)
+
+
 def write(docs: DataFrame, key: str, path: str, text: str = "text", max_tokens: int | None = None, block: int = BLOCK, buckets: int = BUCKETS) -> None:
-    """Write ``stats`` (one row) and ``postings`` below ``path``. Documents move once, as counts, by term and block."""
+    """Write ``stats`` (one row) and ``postings`` below ``path``.
+
+    Terms are counted where the texts are read, and the counts move once, by folder, term and block; a folder is written by
+    about as many tasks as there are shuffle partitions for each folder.
+    """
     spark = docs.sparkSession
-    rows = postings(docs, key, text, max_tokens)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    rows = docs.select(key, tokenize(F.col(text), max_tokens or None).alias("t")).select(key, F.size("t").alias("dl"), F.explode(counted(F.col("t"))).alias("x"))
+    rows = rows.select(key, "dl", F.col("x.term").alias("term"), F.col("x.tf").alias("tf"))
     each = docs.select(key, F.size(tokenize(F.col(text), max_tokens or None)).alias("dl"))
     stats = each.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).withColumns({"blocks": F.ceil(F.col("n") / block).cast("long"), "buckets": F.lit(buckets), "max_tokens": F.lit(max_tokens).cast("int")})
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
@@ -49,10 +64,12 @@ def write(docs: DataFrame, key: str, path: str, text: str = "text", max_tokens:
     avgdl = F.lit(facts["avgdl"])
     at = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(max(1, facts["blocks"])))
     entry = F.struct(F.col(key).alias("key"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
-    grouped = rows.filter("term is not null").withColumn("block", at).groupBy("term", "block").agg(
+    place = ["bucket", "part", "term", "block"]
+    rows = rows.withColumns({"block": at, "bucket": bucket_of(F.col("term"), buckets)}).withColumn("part", F.pmod(F.xxhash64("term", "block"), F.lit(parts)))
+    grouped = rows.repartition(parts * buckets, "bucket", "part").groupBy(*place).agg(
         F.max(_part(F.col("tf"), F.col("dl"), avgdl)).alias("most"), F.count("*").cast("int").alias("df"), F.collect_list(entry).alias("entries"))
-    grouped = grouped.withColumn("bucket", bucket_of(F.col("term"), buckets))
-    grouped.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    grouped = grouped.sortWithinPartitions("bucket", "term", "block").drop("part")
+    grouped.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     # The mean of the raw idf, which rare forms of the formula need, takes the terms' counts alone.
     n = F.lit(float(facts["n"]))
     schema = grouped.schema.json()
