@@ -2,9 +2,10 @@
 
 import time
 
+import numpy as np
 import pytest
 
-from logloom.llm import html_text, toxicity
+from logloom.llm import decontamination, html_text, toxicity
 
 LEAD = "A bridge is opened"
 TEXTS = ["Engineers tested the new bridge over the river on Monday, and found that the cables held more weight than planned, the city said.",
@@ -63,3 +64,49 @@ def test_segments_take_time_in_proportion(gap):
     work = lambda n: toxicity.segments([(i * gap, 5.0) for i in range(n)], toxicity.DRIFT)
     small = max(min(seconds(work, 4_000) for _ in range(3)), 0.005)
     assert seconds(work, 64_000) < 48 * small
+
+
+def least_edits(item, doc):
+    """Least edits of the whole item to a part of the document, all cells."""
+    row = [0] * (len(doc) + 1)
+    for i, c in enumerate(item):
+        new = [i + 1]
+        for j, d in enumerate(doc):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_items_that_repeat_themselves_against_all_cells():
+    draw = np.random.default_rng(11)
+    for n in range(60):
+        piece = "".join(draw.choice(list("ab-"), int(draw.integers(1, 5)))) or "-"
+        item = decontamination.normal("q" + piece * int(60 / len(piece)) + "".join(draw.choice(list("abcdef"), 40)) + piece * 3 + "x")
+        own = list(item)
+        for _ in range(int(draw.integers(0, 6))):
+            at = int(draw.integers(len(own)))
+            own[at:at + int(draw.integers(0, 2))] = "z" * int(draw.integers(0, 2))
+        doc = decontamination.normal(piece * 30 + "".join(own) + piece * int(draw.integers(0, 40)))
+        index, least = decontamination.build([(1, item), (2, "another item, " + piece * 30)]), least_edits(item, doc)
+        got = {h["item_id"]: h for h in decontamination.find(doc, index)}
+        assert (got[1]["edits"] if 1 in got else None) == (least if least <= index["budget"][0] else None)
+        assert 1 not in got or least_edits(item, doc[got[1]["begin"]:got[1]["end"]]) == least
+
+
+def test_stretches_lose_no_match(monkeypatch):
+    monkeypatch.setattr(decontamination, "PAIRS", 50)
+    monkeypatch.setattr(decontamination, "PIECE", 16)
+    items = [(i, " ".join(f"word{(i * 7 + j * j) % 50}" for j in range(25))) for i in range(8)]
+    text = " and then ".join(t[:90] + "!" + t[91:] for _, t in items) + "-" * 500 + items[3][1]
+    got = sorted((h["item_id"], h["edits"]) for h in decontamination.find(text, decontamination.build(items)))
+    assert got == [(i, int(i != 3)) for i, _ in items]
+
+
+def test_rules_of_hyphens_take_time_by_their_length():
+    words = "the answer of the question stands between two rules of marks that are long, and it is not found elsewhere in any text"
+    index = decontamination.build([(1, "-" * 100 + words), (2, words + "=" * 50 + words[::-1]), (3, "-" * 80)])
+    began = time.time()
+    assert [h["item_id"] for h in decontamination.find("-" * 1_000_000, index)] == [3]
+    assert time.time() - began < 10
+    hits = decontamination.find("-" * 300_000 + words + "=" * 300_000, index)
+    assert sorted((h["item_id"], h["edits"]) for h in hits) == [(1, 0), (3, 0)]
