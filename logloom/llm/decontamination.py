@@ -243,7 +243,8 @@ def hits(text: Column, slices: list) -> Column:
                     del index
                     own.unpersist_local()
             yield pa.array(found, kind)
-    return F.arrow_udf(work, HIT)(text.cast("string"))
+    # Deterministic in fact; said otherwise so that a filter on the hits does not scan each text a second time.
+    return F.arrow_udf(work, HIT).asNondeterministic()(text.cast("string"))
 
 
 class Slice:
