@@ -26,7 +26,7 @@ def say(value, as_json: bool) -> None:
 
 def stats(spark: SparkSession, out: str, top: int) -> dict:
     """Counts, ranges, top lists and window sizes; only these aggregates come to the driver."""
-    events, built = spark.read.parquet(f"{out}/events"), spark.read.parquet(f"{out}/windows")
+    events, built = plans.stored_events(spark, out), spark.read.parquet(f"{out}/windows")
     rows = lambda df: [r.asDict() for r in df.collect()]
     return {
         "totals": {"events": events.count(), "windows": built.count(), "window_events": spark.read.parquet(f"{out}/window_events").count()},
@@ -46,7 +46,7 @@ def search(spark: SparkSession, out: str, question: str, k: int, show_events: in
                           scorer=models.reranker(question, settings, enabled=rerank and settings.rerank_enabled), rrf_k=settings.rrf_k, top_n=settings.rerank_top_n,
                           lexical=lexical, max_tokens=settings.max_tokens, report=report).drop("text").join(built, "chunk_id")
     if show_events:
-        events = spark.read.parquet(f"{out}/events")
+        events = plans.stored_events(spark, out)
         shown = hits.select("chunk_id", F.posexplode(F.slice("event_ids", 1, show_events)).alias("i", "event_id"))
         lines = shown.join(events.select("event_id", render_line({c: F.col(c) for c in events.columns}).alias("line")), "event_id").groupBy("chunk_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]).alias("events"))

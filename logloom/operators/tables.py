@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .days import DAY
+
 
 def upsert(rows: DataFrame, key: str, sequence: str) -> DataFrame:
     """The last row written of each key."""
@@ -26,13 +28,22 @@ def top(events: DataFrame, column: str, limit: int = 10, status: str | None = No
 
 
 def between(events: DataFrame, start: str, end: str, limit: int = 500, **equal: str | None) -> DataFrame:
+    """Events of a span of time, in order. Of a table kept by day (``days``) only the days of the span are read."""
     rows = events.filter(F.col("ts").between(start, end))
+    if DAY in events.columns:
+        rows = rows.filter(F.col(DAY).between(start[:10], end[:10]))
     for column, value in equal.items():
         rows = rows.filter(F.col(column) == value) if value else rows
     return rows.orderBy("ts", "event_id").limit(limit)
 
 
-def by_ids(rows: DataFrame, key: str, ids: list[str]) -> DataFrame:
+def by_ids(rows: DataFrame, key: str, ids: list[str] | DataFrame) -> DataFrame:
+    """Rows of the ids: of a short list by a filter that the scan sees, of a table (its ``key``) by a semi join.
+
+    The join is broadcast only where the table's size is known to be under ``spark.sql.autoBroadcastJoinThreshold``.
+    """
+    if isinstance(ids, DataFrame):
+        return rows.join(ids.select(key), key, "left_semi").select(*rows.columns)
     return rows.filter(F.col(key).isin(sorted({i for i in ids if i})))
 
 

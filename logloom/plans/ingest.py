@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 
 from .. import shared
 from ..functions import fields
-from ..operators import inverted_index, retrieval, tables, windows
-from ..schemas import WINDOW
+from ..operators import days, inverted_index, retrieval, tables, windows
+from ..schemas import EVENT, WINDOW
 from ..sources.logs import load_events, resolve_year
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 
 #: What a vector's window must still agree on: ids are places in time, which an ingest of more events moves.
 SAME = ["chunk_id", "source", "principal", "src_ip", "ts_start", "ts_end", "n_events"]
@@ -26,12 +26,17 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if shared.exists(spark, path) else None
 
 
+def stored_events(spark: SparkSession, out: str) -> DataFrame:
+    """The events of a store, each with its ``day``."""
+    return days.read(spark, f"{out}/events", EVENT)
+
+
 def ingest(spark: SparkSession, raw: str | list[str], out: str, year: int | None = None, gap_minutes: int = 15, limit: int | None = None, rebuild: bool = False,
            max_chars: int = 4800, max_events: int = 120) -> dict:
     """Parse, keep one row per event_id, window, and write ``events``, ``windows`` and ``window_events`` as Parquet.
 
-    Events stored before stay unless ``rebuild``; of equal ids the new one wins. All windows are built anew, so none
-    is stale. ``limit`` takes the first events by file and place. Without a ``year`` a manifest's is taken, or this one.
+    Events stored before stay unless ``rebuild``; of equal ids the new one wins. Events are kept by day, and only the days
+    that new ones change are rewritten. All windows are built anew, so none is stale. ``limit`` takes the first events by file and place. Without a ``year`` a manifest's is taken, or this one.
     A path that isn't there is an error, and what is stored stays as it is.
     """
     began, paths = time.time(), [raw] if isinstance(raw, str) else list(raw)
@@ -42,20 +47,20 @@ def ingest(spark: SparkSession, raw: str | list[str], out: str, year: int | None
     events, counters = load_events(spark, paths, year)
     if limit is not None:
         events = events.orderBy("file", "place").limit(limit)
-    rows = events.withColumn("_seq", F.struct(F.lit(1), "file", "place")).drop("file", "place")
-    before = None if rebuild else stored(spark, f"{out}/events")
-    if before is not None:
-        rows = rows.unionByName(before.withColumn("_seq", F.struct(F.lit(0), F.col("raw_ref").alias("file"), F.lit(0).cast("long").alias("place"))))
-    kept = tables.upsert(rows, "event_id", "_seq")
-    if before is not None:  # a table can't be overwritten while it is read
-        kept.write.mode("overwrite").parquet(f"{out}/_merged")
-        kept = spark.read.parquet(f"{out}/_merged")
-    kept.write.mode("overwrite").parquet(f"{out}/events")
-    now = spark.read.parquet(f"{out}/events")
-    windows.build_windows(now, gap_minutes, max_chars, max_events).write.mode("overwrite").parquet(f"{out}/windows")
+    if rebuild:
+        for name in ("events", "events_changed", "events_changed_days"):
+            shared.drop(spark, f"{out}/{name}")
+    elif (version := get_meta(spark, out).get("schema_version")) not in (None, str(SCHEMA_VERSION)):
+        raise ValueError(f"the store has schema version {version}, not {SCHEMA_VERSION}: ingest with rebuild")
+    fresh = f"{out}/_fresh"
+    tables.upsert(events.withColumn("_seq", F.struct("file", "place")).drop("file", "place"), "event_id", "_seq").write.mode("overwrite").parquet(fresh)
+    changed = days.merge(spark, f"{out}/events", spark.read.parquet(fresh).select(*EVENT.names), "event_id")
+    shared.drop(spark, fresh)
+    now = stored_events(spark, out)
+    windows.build_windows(now.drop(days.DAY), gap_minutes, max_chars, max_events).write.mode("overwrite").parquet(f"{out}/windows")
     built = spark.read.parquet(f"{out}/windows")
     windows.membership(built).write.mode("overwrite").parquet(f"{out}/window_events")
-    report = counters.get() | {"by_source": {r["source"]: r["n"] for r in tables.count_by(now, "source").collect()}, "assumed_year": year}
+    report = counters.get() | changed | {"by_source": {r["source"]: r["n"] for r in tables.count_by(now, "source").collect()}, "assumed_year": year}
     report |= {"events": sum(report["by_source"].values())} | windows.summarize(built).first().asDict()
     report["windows_by_source"] = {r["source"]: r["windows"] for r in windows.by_source(built).collect()}
     set_meta(spark, out, schema_version=SCHEMA_VERSION, last_ingest=fields.utc_now(), assumed_year=year)
@@ -64,7 +69,7 @@ def ingest(spark: SparkSession, raw: str | list[str], out: str, year: int | None
 
 def drop_tables(spark: SparkSession, out: str) -> None:
     """All tables of a store, and its index."""
-    for name in ("events", "windows", "window_events", "vectors", "lexical", "index_meta", "meta", "_merged"):
+    for name in ("events", "windows", "window_events", "vectors", "lexical", "index_meta", "meta", "events_changed", "events_changed_days", "_fresh"):
         shared.drop(spark, f"{out}/{name}")
 
 
