@@ -13,9 +13,14 @@ from ..functions.fields import is_root
 #: Shapes of secrets in log text, with what replaces them.
 REDACTIONS = [(r"(AKIA|ASIA)[0-9A-Z]{16}", "[ACCESS_KEY]"), (r"(?i)bearer +[a-z0-9._-]{8,}", "[BEARER]"), (r"(?i)password=[^ ]+", "password=[REDACTED]")]
 
+#: Shapes that are cited: an address, and an event or a window.
+MAIL = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+CITED = r"\[(?:event|window):([^\]]+)\]"
 
-def redact(text: Column) -> Column:
-    for shape, mark in REDACTIONS:
+
+def redact(text: Column, more: list[tuple[str, str]] = []) -> Column:
+    """``text`` without secrets, and without ``more`` shapes, each with its mark."""
+    for shape, mark in REDACTIONS + more:
         text = F.regexp_replace(text, shape, F.lit(mark))
     return text
 
@@ -28,13 +33,25 @@ def recall_mrr(hits: DataFrame, truth: DataFrame, key: str, ks: tuple[int, ...]
         *(F.round(F.col(f"hit_{k}") / F.col("n"), 6).alias(f"recall_{k}") for k in ks), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
 
 
-def citations(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[(?:event|window):([^\]]+)\]"), F.lit(1)))
+def recall_mrr_all(hits: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """One row over all questions that have a true key: mean recall at each k and mean reciprocal rank of the first true hit.
+
+    ``hits``: question, key, rank; ``truth``: question, key, each pair counted once. Questions without hits count with 0.
+    """
+    pairs = truth.select("question", "key").distinct()
+    true = hits.join(pairs, ["question", "key"]).groupBy("question").agg(*(F.count_if(F.col("rank") <= k).alias(f"hit_{k}") for k in ks), F.min("rank").alias("first"))
+    each = pairs.groupBy("question").agg(F.count("*").alias("n")).join(true, "question", "left")
+    return each.agg(F.count("*").alias("questions"), *(F.round(F.avg(F.coalesce(F.col(f"hit_{k}") / F.col("n"), F.lit(0.0))), 6).alias(f"recall_{k}") for k in ks),
+                    F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def citations(text: Column, shape: str = CITED, group: int = 1) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(shape), F.lit(group)))
 
 
-def uncited(answers: DataFrame, key: str, known: DataFrame, known_id: str, text: str = "text") -> DataFrame:
-    """``key, cited``: what answers cite and no row of ``known`` is."""
-    rows = answers.select(key, F.explode(citations(F.col(text))).alias("cited"))
+def uncited(answers: DataFrame, key: str, known: DataFrame, known_id: str, text: str = "text", shape: str = CITED, group: int = 1) -> DataFrame:
+    """``key, cited``: what answers cite, by the ``group`` of ``shape``, and no row of ``known`` is. A null text cites nothing."""
+    rows = answers.select(key, F.explode(citations(F.col(text), shape, group)).alias("cited"))
     return rows.join(known.select(F.col(known_id).alias("cited")).distinct(), "cited", "left_anti").select(key, "cited")
 
 
@@ -106,6 +123,29 @@ def steps_within(events: DataFrame, keys: list[str], actions: list[str], minutes
     return rows.filter((F.col("_all") == len(actions)) & (F.col("_at") - F.col("_oldest") <= minutes * 60)).groupBy(*keys).agg(F.min("ts").alias("ts"))
 
 
+def steps_in_order(events: DataFrame, keys: list[str], actions: list[str], minutes: int, resets: list[str] = []) -> DataFrame:
+    """Events that end a row of ``actions``, done in that order by the same ``keys`` within ``minutes``.
+
+    Order is that of ``ts, event_id``; other actions may stand between, but one of ``resets`` makes the row begin anew.
+    Returns ``keys, event_id, ts`` and ``began``, the seconds of the latest first step that the event can end. Each step
+    carries the latest beginning of the steps before it along. A key is split by time: a stretch takes the last
+    ``minutes`` of the one before with it, which is all that its ends can reach back to, so no key is one task however
+    many events it has. Without actions, or where times are null, nothing is found.
+    """
+    reach, at = minutes * 60, F.col("_at")
+    size = max(reach, 86400)
+    own = F.floor(at / size)
+    rows = events.filter(F.col("action").isin([*actions, *resets])).select(*keys, "event_id", "ts", "action", seconds().alias("_at")).filter(at.isNotNull())
+    rows = rows.withColumn("_own", own).withColumn("_part", F.explode(F.when(at >= (own + 1) * size - reach, F.array(own, own + 1)).otherwise(F.array(own))))
+    inside = Window.partitionBy(*keys, "_part").orderBy("ts", "event_id")
+    rows = rows.withColumn("_run", F.sum(F.col("action").isin(resets).cast("long")).over(inside))
+    before = Window.partitionBy(*keys, "_part", "_run").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    for i, action in enumerate(actions):
+        rows = rows.withColumn(f"_s{i}", F.when(F.col("action") == action, F.max(f"_s{i - 1}").over(before) if i else at))
+    began = F.col(f"_s{len(actions) - 1}") if actions else F.lit(None).cast("long")
+    return rows.withColumn("began", began).filter((F.col("_own") == F.col("_part")) & (at - F.col("began") <= reach)).select(*keys, "event_id", "ts", "began")
+
+
 def many_within(events: DataFrame, keys: list[str], minutes: int, least: int) -> DataFrame:
     """Keys with ``least`` events within ``minutes``: ``keys, ts`` of the event that reached it first."""
     w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(-minutes * 60, 0)

@@ -17,13 +17,17 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fields import tokenize
-from .retrieval import B, EPSILON, K1, ranked
+from ..shared import cut
+from .retrieval import B, EPSILON, K1, ranked, term_counts
 
 #: Documents of a block on average, and folders that the terms are dealt over.
 BLOCK, BUCKETS = 512, 64
@@ -124,3 +128,78 @@ def search(spark: SparkSession, path: str, question: str, k: int = 50, first: in
     # Scores are rounded to six places.
     reach = bounds.filter(F.col("bound") >= floor["floor"] - 1e-6).select("block")
     return ranked(scored(rows.join(reach, "block", "left_semi")), key, k)
+
+
+#: Questions of a batch whose terms are broadcast at once.
+SLICE = 500
+
+
+def search_all(docs: DataFrame, key: str, questions: DataFrame, k: int = 50, text: str = "text", counts: DataFrame | None = None, max_tokens: int | None = None) -> DataFrame:
+    """``question, key, score, rank`` of a table of questions (``question, text``): for each what ``bm25`` finds.
+
+    The documents are read once for ``SLICE`` questions, whose terms are broadcast, and once before for the counts, unless
+    they are given. Each task keeps its k best a question, so at most k rows a task and question move. A question that is null, blank or
+    without known terms has no rows; one that repeats is an error; null keys are left out.
+    """
+    spark, kind = docs.sparkSession, questions.schema["question"].dataType
+    counts = cut(term_counts(docs, text, max_tokens)) if counts is None else counts
+    whole = counts.filter("term is null").first()
+    terms = questions.filter("question is not null and text is not null").select("question", F.explode(counted(tokenize(F.col("text")))).alias("x"))
+    empty = docs.select(F.lit(None).cast(kind).alias("question"), F.col(key).alias("key")).limit(0).selectExpr("question", "key", "0d as score", "0 as rank")
+    if whole is None or k <= 0:
+        return empty
+    raw = F.log(F.lit(whole["df"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = counts.filter("term is not null").agg(F.avg(raw)).first()[0]
+    idf = counts.filter("term is not null").select("term", F.when(raw < 0, F.lit(EPSILON * (mean or 0.0))).otherwise(raw).alias("idf"))
+    asked = cut(terms.select("question", F.col("x.term").alias("term"), F.col("x.tf").alias("times")).join(idf, "term").select("question", "term", (F.col("times") * F.col("idf")).alias("w")))
+    slices = max(1, -(-asked.select("question").distinct().count() // SLICE))
+    avgdl = (whole["dl"] or 0) / whole["df"]
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), tokenize(F.col(text), max_tokens or None).alias("t"))
+    rows = rows.select("key", F.size("t").alias("dl"), counted(F.col("t")).alias("t"))
+    out = None
+    for number in range(slices):
+        some = sorted((r["question"], r["term"], r["w"]) for r in asked.filter(F.pmod(F.xxhash64("question"), F.lit(slices)) == number).collect())
+        names = sorted({q for q, _, _ in some})
+        if len({(q, t) for q, t, _ in some}) < len(some):
+            raise ValueError("questions repeat")
+        place, index = {q: i for i, q in enumerate(names)}, {}
+        for q, t, w in some:
+            index.setdefault(t, []).append((place[q], w))
+        given = spark.sparkContext.broadcast((len(names), {t: (np.array([i for i, _ in own]), np.array([w for _, w in own])) for t, own in index.items()}))
+        found = rows.mapInArrow(lambda batches, given=given: _best(batches, *given.value, avgdl, k), T.StructType([T.StructField("q", T.IntegerType()), rows.schema["key"], T.StructField("score", T.DoubleType())]))
+        named = spark.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("q", T.IntegerType()), T.StructField("question", kind)]))
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))
+        one = found.withColumn("rank", rank).filter(F.col("rank") <= k).join(named, "q").select("question", "key", "score", "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _best(batches: Iterator[pa.RecordBatch], n: int, index: dict, avgdl: float, k: int) -> Iterator[pa.RecordBatch]:
+    """The task's k best documents of each of ``n`` questions, equal scores by key."""
+    best: dict[int, tuple[np.ndarray, pa.Array]] = {}
+    for batch in batches:
+        dl, lists = batch.column("dl").to_numpy(), batch.column("t")
+        flat = lists.flatten()
+        doc = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+        tf = flat.field("tf").to_numpy()
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl)) if avgdl else tf * 0.0
+        score, shares = np.zeros((len(batch), n)), np.zeros((len(batch), n), bool)
+        for d, term, p in zip(doc.tolist(), flat.field("term").to_pylist(), part.tolist()):
+            if term in index:
+                at, w = index[term]
+                score[d, at] += w * p
+                shares[d, at] = True
+        score = np.round(score, 6)
+        for q in range(n):
+            own = np.flatnonzero(shares[:, q])
+            if q in best and len(best[q][0]) == k:
+                own = own[score[own, q] >= best[q][0][-1]]
+            if not len(own):
+                continue
+            values, keys = score[own, q], batch.column("key").take(pa.array(own))
+            if q in best:
+                values, keys = np.concatenate([best[q][0], values]), pa.concat_arrays([best[q][1], keys])
+            top = np.lexsort((np.array(keys.to_pylist()), -values))[:k]
+            best[q] = (values[top], keys.take(pa.array(top)))
+    for q, (values, keys) in best.items():
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), q), pa.int32()), keys, pa.array(values)], names=["q", "key", "score"])

@@ -8,13 +8,14 @@ user in fifty is a root account.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
 from .functions import fields
-from .operators import evaluate, inverted_index, retrieval, tables, vector_index, windows
+from .operators import days, evaluate, inverted_index, retrieval, tables, vector_index, windows
 from .plans.ingest import retrieve
 from .sources.logs import detect_source, is_log_file
 
@@ -159,9 +160,59 @@ on_events("steps_within", """, a AS (SELECT source, ts, epoch(CAST(replace(repla
 on_events("different_within", """, a AS (SELECT *, epoch(CAST(replace(replace(ts, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS s FROM ev WHERE status = 'failure'),
   b AS (SELECT x.region, x.ts, count(DISTINCT y.principal) AS n FROM a x JOIN a y ON x.region = y.region AND y.s BETWEEN x.s - 43200 AND x.s GROUP BY x.region, x.ts, x.event_id) SELECT region, min(ts) AS ts FROM b WHERE n >= 3 GROUP BY 1""",
           lambda e: evaluate.different_within(e.filter("status = 'failure'"), ["region"], "principal", 720, 3))
-on_events("uncited", """, c AS (SELECT action, 'ok [event:' || event_id || '] bad [event:x-' || event_id || ']' AS text FROM ev WHERE action = 'StopLogging')
-  SELECT action, 'x-' || event_id AS cited FROM ev WHERE action = 'StopLogging'""",
-          lambda e: evaluate.uncited(e.filter("action = 'StopLogging'").withColumn("text", F.concat(F.lit("ok [event:"), "event_id", F.lit("] bad [event:x-"), "event_id", F.lit("]"))), "action", e, "event_id"))
+on_events("steps_in_order", """, t AS (SELECT principal, event_id, ts, action, epoch(CAST(replace(replace(ts, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS s, row_number() OVER (PARTITION BY principal ORDER BY ts, event_id) AS rn FROM ev),
+  state AS (SELECT principal, event_id, ts, rn, action, s, CASE WHEN action = 'view' THEN s END AS viewed, CAST(NULL AS DOUBLE) AS clicked FROM t WHERE rn = 1
+    UNION ALL SELECT t.principal, t.event_id, t.ts, t.rn, t.action, t.s, CASE t.action WHEN 'view' THEN t.s WHEN 'error' THEN NULL ELSE viewed END,
+      CASE t.action WHEN 'click' THEN viewed WHEN 'error' THEN NULL ELSE clicked END FROM state JOIN t ON t.principal = state.principal AND t.rn = state.rn + 1)
+  SELECT principal, event_id, ts, CAST(clicked AS BIGINT) AS began FROM state WHERE action = 'purchase' AND s - clicked <= 172800""",
+          lambda e: evaluate.steps_in_order(e, ["principal"], ["view", "click", "purchase"], 2880, ["error"]))
+ORACLE_SQL["steps_in_order"] = ORACLE_SQL["steps_in_order"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("uncited", f"""SELECT DISTINCT doc_id, cited FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{evaluate.MAIL}')) AS cited FROM documents)
+  WHERE cited NOT IN (SELECT unnest(regexp_extract_all(html, '{evaluate.MAIL}')) FROM pages)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses that documents cite and no page has."""
+    known = table(spark, d, "pages").select(F.explode(evaluate.citations(F.col("html"), evaluate.MAIL, 0)).alias("mail"))
+    return evaluate.uncited(table(spark, d, "documents"), "doc_id", known, "mail", shape=evaluate.MAIL, group=0)
+
+
+@contextmanager
+def stored_days(spark: SparkSession, rows: DataFrame):
+    """The rows as a table kept by day, dropped at the end."""
+    path = shared.new_folder(spark, "days")
+    try:
+        days.merge(spark, path, rows, "event_id")
+        yield path
+    finally:
+        shared.drop(spark, path)
+
+
+@query("between_stored", ORACLE_SQL["events_between"])
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The same span from a table kept by day, of which two days are read."""
+    rows = app_events(spark, d)
+    with stored_days(spark, rows) as path:
+        stored = days.read(spark, path, rows.schema)
+        return shared.cut(tables.between(stored, "2024-01-05", "2024-01-06", status="failure").select("event_id", "ts", "action", "principal"))
+
+
+@query("merge_days", f"""WITH {EV}, n AS (SELECT *, CAST(substr(event_id, 4) AS BIGINT) AS n FROM ev)
+  SELECT event_id, CASE WHEN n % 1000 = 0 THEN '2024-01-03T00:00:00Z' ELSE ts END AS ts, CASE WHEN n % 100 = 0 THEN 'merged' ELSE action END AS action, principal FROM n""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth event written again, every thousandth at another time, merged into all that are stored."""
+    rows, n = app_events(spark, d), F.substring("event_id", 4, 20).cast("long")
+    fresh = rows.filter(n % 100 == 0).withColumn("action", F.lit("merged")).withColumn("ts", F.when(n % 1000 == 0, "2024-01-03T00:00:00Z").otherwise(F.col("ts")))
+    with stored_days(spark, rows) as path:
+        days.merge(spark, path, fresh, "event_id")
+        return shared.cut(days.read(spark, path, rows.schema).select("event_id", "ts", "action", "principal"))
+
+
+@query("events_of_id_table", f"WITH {EV} SELECT event_id, ts, action FROM ev WHERE event_id IN (SELECT 'ev-' || doc_id FROM documents)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    ids = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("ev-"), F.col("doc_id").cast("string")).alias("event_id"))
+    return tables.by_ids(app_events(spark, d), "event_id", ids).select("event_id", "ts", "action")
+
 
 _W = ["chunk_id", "ts_start", "ts_end", "source", "principal", "src_ip", "n_events", "n_failures", "risk_score"]
 _named = lambda w: w.select(*_W, *(F.array_join(c, ",").alias(c) for c in ("event_names", "accounts")))
@@ -204,10 +255,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("detect_source", r"""SELECT page_id, CASE WHEN regexp_matches(name, '\.(json|jsonl|ndjson)$') THEN 'cloudtrail' WHEN regexp_matches(name, '\.(log|txt|out)$') OR regexp_matches(name, '^(auth|syslog|ssh)') THEN 'syslog'
   ELSE 'cloudtrail' END AS family, NOT starts_with(name, '.') AND regexp_matches(name, '\.(json|jsonl|ndjson|log|txt|out)$') AND name <> 'manifest.json' AS is_log
-  FROM (SELECT page_id, (['auth-1.log', 'day.jsonl', 'manifest.json', 'sshd_old', '.hidden.log', 'notes.md'])[page_id % 6 + 1] AS name FROM pages)""")
+  FROM (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name FROM pages)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    names = F.array(*map(F.lit, ["auth-1.log", "day.jsonl", "manifest.json", "sshd_old", ".hidden.log", "notes.md"]))
-    name = F.get(names, (F.col("page_id") % 6).cast("int"))
+    """What the names of the pages' files say."""
+    name = F.regexp_extract("url", "([^/]*)$", 1)
     return table(spark, d, "pages").select("page_id", detect_source(name).alias("family"), is_log_file(name).alias("is_log"))
 
 
@@ -310,12 +361,38 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.recall_mrr(_bm25(spark, d), table(spark, d, "labels").filter("quality = 1"), "doc_id")
 
 
-@query("redaction", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(AKIA|ASIA)[0-9A-Z]{16}', '[ACCESS_KEY]', 'g'), '(?i)bearer +[a-z0-9._-]{8,}', '[BEARER]', 'g'),
-  '(?i)password=[^ ]+', 'password=[REDACTED]', 'g') AS line FROM (SELECT doc_id, 'k AKIA' || upper(substr(md5(CAST(doc_id AS VARCHAR)), 1, 16)) || ' Bearer ' || md5('b' || doc_id) || ' password=x' || doc_id || ' end' AS t FROM documents)""")
+QA = """, q AS (SELECT item_id AS question, term, count(*) AS times FROM (SELECT item_id, unnest(t) AS term FROM qtok) GROUP BY ALL),
+  scored AS (SELECT question, doc_id AS key, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(len(t)) FROM tok)))), 6) AS score
+    FROM post JOIN q USING (term) JOIN idf USING (term) GROUP BY ALL),
+  best AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, key) AS rank FROM scored)"""
+
+
+@query("bm25_questions", f"WITH {TOK}, {TOK.replace('tok AS', 'qtok AS', 1).replace('doc_id', 'item_id').replace('FROM documents', 'FROM benchmark')}{POST}{QA} SELECT question, key, score, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 50")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's items as questions to all documents."""
+    return inverted_index.search_all(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark").select(F.col("item_id").alias("question"), "text"))
+
+
+@query("recall_mrr_questions", """WITH near AS (SELECT question, key, truth, row_number() OVER (PARTITION BY question ORDER BY score DESC, key) AS rank FROM (
+    SELECT q.vec_id AS question, v.vec_id AS key, q.label = v.label AND q.vec_id <> v.vec_id AS truth, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
+    FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)),
+  each AS (SELECT question, count(*) AS n, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 20) AS h20, count(*) FILTER (rank <= 50) AS h50, min(rank) AS first FROM near WHERE truth GROUP BY 1)
+  SELECT count(*) AS questions, round(avg(h5 / n), 6) AS recall_5, round(avg(h20 / n), 6) AS recall_20, round(avg(h50 / n), 6) AS recall_50, round(avg(CASE WHEN first <= 50 THEN 1.0 / first ELSE 0 END), 6)::DOUBLE AS mrr FROM each""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """How often the neighbours of a vector have its label, over all vectors whose id is divisible by 100."""
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.filter("vec_id % 100 = 0")
+    truth = vectors.select(F.col("vec_id").alias("key"), "label").join(asked.select(F.col("vec_id").alias("question"), "label"), "label").filter("key <> question")
+    return evaluate.recall_mrr_all(vector_index.exact(vectors, asked, "vec_id"), truth, (5, 20, 50))
+
+
+@query("redaction", rf"""SELECT doc_id, md5(line) AS text_md5, len(string_split(line, '[MAIL]')) - 1 AS n_mails FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  coalesce(text, ''), '(AKIA|ASIA)[0-9A-Z]{{16}}', '[ACCESS_KEY]', 'g'), '(?i)bearer +[a-z0-9._-]{{8,}}', '[BEARER]', 'g'), '(?i)password=[^ ]+', 'password=[REDACTED]', 'g'), '{evaluate.MAIL}', '[MAIL]', 'g') AS line FROM documents)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("doc_id").cast("string")
-    line = F.concat(F.lit("k AKIA"), F.upper(F.substring(F.md5(n), 1, 16)), F.lit(" Bearer "), F.md5(F.concat(F.lit("b"), n)), F.lit(" password=x"), n, F.lit(" end"))
-    return table(spark, d, "documents").select("doc_id", evaluate.redact(line).alias("line"))
+    """Whole texts without secrets and addresses."""
+    line = F.col("line")
+    rows = table(spark, d, "documents").select("doc_id", evaluate.redact(F.coalesce("text", F.lit("")), [(evaluate.MAIL, "[MAIL]")]).alias("line"))
+    return rows.select("doc_id", F.md5(line).alias("text_md5"), (F.size(F.split(line, r"\[MAIL\]")) - 1).cast("long").alias("n_mails"))
 
 
 @query("injection", r"""SELECT doc_id, regexp_matches(lower(t), 'ignore (all |any )?(previous|prior|above) instructions|disregard (the |your )?(system|previous)|you are now|system prompt|</?(system|assistant|user)>') AS flagged
