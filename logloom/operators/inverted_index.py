@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,17 +156,18 @@ def search_all(docs: DataFrame, key: str, questions: DataFrame, k: int = 50, tex
     slices = max(1, -(-asked.select("question").distinct().count() // SLICE))
     avgdl = (whole["dl"] or 0) / whole["df"]
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), tokenize(F.col(text), max_tokens or None).alias("t"))
-    rows = rows.select("key", F.size("t").alias("dl"), counted(F.col("t")).alias("t"))
+    rows = rows.select("key", F.size("t").alias("dl"), "t")
     out = None
     for number in range(slices):
         some = sorted((r["question"], r["term"], r["w"]) for r in asked.filter(F.pmod(F.xxhash64("question"), F.lit(slices)) == number).collect())
         names = sorted({q for q, _, _ in some})
         if len({(q, t) for q, t, _ in some}) < len(some):
             raise ValueError("questions repeat")
-        place, index = {q: i for i, q in enumerate(names)}, {}
-        for q, t, w in some:
-            index.setdefault(t, []).append((place[q], w))
-        given = spark.sparkContext.broadcast((len(names), {t: (np.array([i for i, _ in own]), np.array([w for _, w in own])) for t, own in index.items()}))
+        place, known = {q: i for i, q in enumerate(names)}, sorted({t for _, t, _ in some})
+        of_term = {t: i for i, t in enumerate(known)}
+        some = sorted((of_term[t], place[q], w) for q, t, w in some)
+        codes, at, w = (np.array([x[i] for x in some]) for i in range(3))
+        given = spark.sparkContext.broadcast((len(names), known, np.searchsorted(codes, np.arange(len(known) + 1)), at, w))
         found = rows.mapInArrow(lambda batches, given=given: _best(batches, *given.value, avgdl, k), T.StructType([T.StructField("q", T.IntegerType()), rows.schema["key"], T.StructField("score", T.DoubleType())]))
         named = spark.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("q", T.IntegerType()), T.StructField("question", kind)]))
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))
@@ -174,21 +176,25 @@ def search_all(docs: DataFrame, key: str, questions: DataFrame, k: int = 50, tex
     return out
 
 
-def _best(batches: Iterator[pa.RecordBatch], n: int, index: dict, avgdl: float, k: int) -> Iterator[pa.RecordBatch]:
-    """The task's k best documents of each of ``n`` questions, equal scores by key."""
+def _best(batches: Iterator[pa.RecordBatch], n: int, known: list[str], first: np.ndarray, asked: np.ndarray, weight: np.ndarray, avgdl: float, k: int) -> Iterator[pa.RecordBatch]:
+    """The task's k best documents of each of ``n`` questions, equal scores by key.
+
+    Term i of ``known`` is asked by the questions ``asked[first[i]:first[i + 1]]``; only such terms are looked at.
+    """
     best: dict[int, tuple[np.ndarray, pa.Array]] = {}
-    for batch in batches:
+    terms = pa.array(known, pa.string())
+    for batch in (b.slice(i, 512) for b in batches for i in range(0, len(b), 512)):
         dl, lists = batch.column("dl").to_numpy(), batch.column("t")
-        flat = lists.flatten()
-        doc = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
-        tf = flat.field("tf").to_numpy()
-        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl)) if avgdl else tf * 0.0
-        score, shares = np.zeros((len(batch), n)), np.zeros((len(batch), n), bool)
-        for d, term, p in zip(doc.tolist(), flat.field("term").to_pylist(), part.tolist()):
-            if term in index:
-                at, w = index[term]
-                score[d, at] += w * p
-                shares[d, at] = True
+        code = pc.index_in(lists.flatten(), terms)
+        doc = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy())[pc.is_valid(code).to_numpy(zero_copy_only=False)]
+        pair, tf = np.unique(doc * max(1, len(known)) + code.drop_null().to_numpy(), return_counts=True)
+        doc, code = pair // max(1, len(known)), pair % max(1, len(known))
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / max(avgdl, 1e-300)))
+        times = first[code + 1] - first[code]
+        entry = np.repeat(first[code] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum()) if len(code) else np.empty(0, np.int64)
+        cell = np.repeat(doc, times) * n + asked[entry.astype(np.int64)].astype(np.int64)
+        score = np.bincount(cell, weight[entry.astype(np.int64)].astype(float) * np.repeat(part, times), len(batch) * n).reshape(len(batch), n)
+        shares = np.bincount(cell, minlength=len(batch) * n).reshape(len(batch), n) > 0
         score = np.round(score, 6)
         for q in range(n):
             own = np.flatnonzero(shares[:, q])
