@@ -26,7 +26,7 @@ def say(value, as_json: bool) -> None:
 
 def stats(spark: SparkSession, out: str, top: int) -> dict:
     """Counts, ranges, top lists and window sizes; only these aggregates come to the driver."""
-    events, built = plans.stored_events(spark, out), spark.read.parquet(f"{out}/windows")
+    events, built = plans.stored_events(spark, out), plans.stored_windows(spark, out)
     rows = lambda df: [r.asDict() for r in df.collect()]
     return {
         "totals": {"events": events.count(), "windows": built.count(), "window_events": spark.read.parquet(f"{out}/window_events").count()},
@@ -39,10 +39,10 @@ def stats(spark: SparkSession, out: str, top: int) -> dict:
 def search(spark: SparkSession, out: str, question: str, k: int, show_events: int = 0, rerank: bool = True, report: dict | None = None) -> list[dict]:
     """The k best windows with their event ids, with ``show_events`` also the lines of that many of their events; ``report``
     takes the counts and times of the stages."""
-    built, settings = spark.read.parquet(f"{out}/windows"), from_env()
+    built, settings = plans.stored_windows(spark, out), from_env()
     asked = models.embedder(settings)(spark.range(1).select(F.lit(question).alias("text"))).first()["embedding"]
     lexical = f"{out}/lexical" if shared.exists(spark, f"{out}/lexical") else None
-    hits = plans.retrieve(plans.searched(built), spark.read.parquet(f"{out}/vectors"), "chunk_id", question, list(asked), k=k or settings.top_k, pool=settings.pool,
+    hits = plans.retrieve(plans.searched(built), plans.stored_vectors(spark, out), "chunk_id", question, list(asked), k=k or settings.top_k, pool=settings.pool,
                           scorer=models.reranker(question, settings, enabled=rerank and settings.rerank_enabled), rrf_k=settings.rrf_k, top_n=settings.rerank_top_n,
                           lexical=lexical, max_tokens=settings.max_tokens, report=report).drop("text").join(built, "chunk_id")
     if show_events:
@@ -66,6 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             c.add_argument("--jsonl", help="also write the windows as lines of JSON")
             c.add_argument("--limit", type=int)
             c.add_argument("--rebuild", action="store_true", help="drop the events stored before")
+            c.add_argument("--stable-ids", action="store_true", help="ids of windows follow from their events; only sessions that new events reach are built anew")
         if name == "stats":
             c.add_argument("--top", type=int, default=5)
         if name == "index":
@@ -92,9 +93,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     settings = from_env()
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "ingest":
-        report = plans.ingest(spark, a.raw, a.out, a.year, settings.gap_minutes, limit=a.limit, rebuild=a.rebuild, max_chars=settings.max_chars, max_events=settings.max_events)
+        report = plans.ingest(spark, a.raw, a.out, a.year, settings.gap_minutes, limit=a.limit, rebuild=a.rebuild, max_chars=settings.max_chars, max_events=settings.max_events, stable_ids=a.stable_ids)
         if a.jsonl:
-            report["jsonl"] = plans.write_jsonl(spark.read.parquet(f"{a.out}/windows"), a.jsonl)
+            report["jsonl"] = plans.write_jsonl(plans.stored_windows(spark, a.out), a.jsonl)
         say(report, a.json)
     elif a.command == "stats":
         report = stats(spark, a.out, a.top)

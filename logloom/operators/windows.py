@@ -26,7 +26,7 @@ FIELDS = ["ts", "event_id", "action", "status", "principal", "src_ip", "resource
 def pauses(rows: DataFrame, keys: list[str], gap_minutes: int) -> DataFrame:
     """``rows`` with ``_at``, ``_new`` (a pause lies before the row) and ``_in`` (pauses so far) within ``keys``."""
     order = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    rows = rows.withColumn("_at", F.unix_timestamp(F.to_timestamp("ts")))
+    rows = rows.withColumn("_at", F.unix_timestamp(F.try_to_timestamp("ts")))
     rows = rows.withColumn("_new", (F.coalesce(F.col("_at") - F.lag("_at").over(order), F.lit(0)) > gap_minutes * 60).cast("int"))
     return rows.withColumn("_in", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
@@ -88,20 +88,26 @@ def cut_sessions(rows: DataFrame, gap_minutes: int, max_chars: int, max_events:
 
 
 def build_windows(events: DataFrame, gap_minutes: int = 15, max_chars: int = 4800, max_events: int = 120, weights: dict[str, int] | None = None, preserve_case: bool = False,
-                  start_index: int = 1, hot_key: int = HOT_KEY, block: int = cuts.BLOCK) -> DataFrame:
+                  start_index: int = 1, hot_key: int = HOT_KEY, block: int = cuts.BLOCK, by_content: bool = False) -> DataFrame:
     """Windows of deduplicated events, numbered from ``start_index`` by the first time of their session.
 
+    With ``by_content`` a window's id is a hash of its events instead, the same whatever other windows there are, no row moves a
+    second time, and ``session_start`` is added.
+
     Rows move once by key and once, as windows, by the minute in which their session begins; a window gathers
     ``max_events`` rows at most. A window's number is its rank in that minute plus the windows of the minutes before, which
     are narrow counts. Sessions of any length are cut by many tasks (``cuts``).
     """
     line = render_line({c: F.col(c) for c in FIELDS})
     found = cut_sessions(events.select(*FIELDS).withColumn("line", line), gap_minutes, max_chars, max_events, hot_key, block)
-    # Counted and ranked below: worked out once.
-    found = cut(found.withColumn("_minute", F.substring("_first", 1, 16)))
-    before = found.groupBy("_minute").count().select("_minute", F.coalesce(F.sum("count").over(Window.orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_minute").orderBy("_first", *KEY, "_group", "p"))
-    rows = found.withColumn("_rank", rank).join(before, "_minute").withColumn("chunk_id", F.format_string("w-%05d", F.col("_before") + F.col("_rank") + (start_index - 1)))
+    if by_content:
+        rows = found.withColumn("chunk_id", F.concat(F.lit("w-"), F.substring(F.sha2(F.to_json("e"), 256), 1, 24))).withColumnRenamed("_first", "session_start")
+    else:
+        # Counted and ranked below: worked out once.
+        found = cut(found.withColumn("_minute", F.substring("_first", 1, 16)))
+        before = found.groupBy("_minute").count().select("_minute", F.coalesce(F.sum("count").over(Window.orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        rank = F.row_number().over(Window.partitionBy("_minute").orderBy("_first", *KEY, "_group", "p"))
+        rows = found.withColumn("_rank", rank).join(before, "_minute").withColumn("chunk_id", F.format_string("w-%05d", F.col("_before") + F.col("_rank") + (start_index - 1)))
 
     field = lambda name: F.transform("e", lambda x: x[name])
     failures = F.size(F.filter("e", lambda x: x["status"] == "failure"))
@@ -109,7 +115,7 @@ def build_windows(events: DataFrame, gap_minutes: int = 15, max_chars: int = 480
         "chunk_id", F.array_min(field("ts")).alias("ts_start"), F.array_max(field("ts")).alias("ts_end"), *KEY, F.size("e").alias("n_events"), failures.alias("n_failures"),
         F.array_sort(F.array_distinct(field("action"))).alias("event_names"), field("event_id").alias("event_ids"),
         risk(field("action"), failures, F.exists("e", lambda x: is_root(x["principal"])), weights or RISK_WEIGHTS).alias("risk_score"),
-        F.array_sort(F.array_distinct(F.filter(field("account_id"), lambda x: x != ""))).alias("accounts"), "e")
+        F.array_sort(F.array_distinct(F.filter(field("account_id"), lambda x: x != ""))).alias("accounts"), *(["session_start"] if by_content else []), "e")
     header = F.format_string("[WINDOW %s] %s -> %s | source=%s | principal=%s | src_ip=%s | events=%d | failures=%d | risk=%d", "chunk_id", "ts_start", "ts_end", "source",
                              *(F.when(F.col(c) == "", "-").otherwise(F.col(c)) for c in ("principal", "src_ip")), "n_events", "n_failures", "risk_score")
     lead = F.concat_ws(" ", "source", "principal", "src_ip", F.array_join("event_names", " "), F.array_join("accounts", " "))

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from .. import shared
 from ..functions import fields
-from ..operators import days, inverted_index, retrieval, tables, windows
-from ..schemas import EVENT, WINDOW
+from ..operators import days, incremental, inverted_index, retrieval, tables, windows
+from ..schemas import EVENT, STORED_WINDOW, WINDOW
 from ..sources.logs import load_events, resolve_year
 
 SCHEMA_VERSION = 3
@@ -31,12 +31,85 @@ def stored_events(spark: SparkSession, out: str) -> DataFrame:
     return days.read(spark, f"{out}/events", EVENT)
 
 
+def stored_windows(spark: SparkSession, out: str) -> DataFrame:
+    """The windows of a store, kept by day or not."""
+    return days.read(spark, f"{out}/windows", STORED_WINDOW).select(*WINDOW.names)
+
+
+def stored_vectors(spark: SparkSession, out: str) -> DataFrame | None:
+    """The vectors of a store, each with its ``day`` where they are kept so; or None."""
+    rows = stored(spark, f"{out}/vectors")
+    return rows if rows is None or days.DAY not in rows.columns else days.read(spark, f"{out}/vectors", rows.schema)
+
+
+def put_bridge(spark: SparkSession, out: str, only: list[str] | None = None) -> None:
+    """``window_events`` of windows kept by day, in the folders of their windows; all of them, or those of some days."""
+    kept = days.read(spark, f"{out}/windows", STORED_WINDOW).select("chunk_id", "ts_start", "event_ids", days.DAY)
+    kept = kept if only is None else kept.filter(F.col(days.DAY).isin(only))
+    rows = kept.select("chunk_id", F.posexplode("event_ids").alias("position", "event_id"), "ts_start", days.DAY).select("chunk_id", "event_id", "position", "ts_start", days.DAY)
+    days.write(rows, f"{out}/window_events", changed_only=only is not None)
+    if only:
+        have = {r[0] for r in kept.select(days.DAY).distinct().collect()}
+        for day in sorted(set(only) - have):
+            shared.drop(spark, f"{out}/window_events/{days.DAY}={day}")
+
+
+def update_windows(spark: SparkSession, out: str, gap_minutes: int, max_chars: int, max_events: int) -> dict[str, int]:
+    """Bring the windows, kept by day, up to the events; ``_touched`` has the changes since, and goes at the end.
+
+    A run that dies leaves ``_touched``, and the next one does its work over. The days of windows and events to read and
+    to rewrite pass through the driver: one row each.
+    """
+    path, touched = f"{out}/windows", f"{out}/_touched"
+    days.recover(spark, path, STORED_WINDOW)
+    changed, kept = spark.read.schema("event_id string, source string, principal string, src_ip string, ts string").parquet(touched), days.read(spark, path, STORED_WINDOW)
+    gone = shared.cut(incremental.reached(kept, changed, gap_minutes))
+    own = kept.filter(F.col(days.DAY).isin([r[0] for r in gone.select(days.DAY).distinct().collect()])).join(gone.select("chunk_id"), "chunk_id", "left_semi")
+    ids = own.select(F.explode("event_ids").alias("event_id")).union(changed.select("event_id")).distinct()
+    span, events = [r[0] for r in incremental.days_of(own, changed).collect()], stored_events(spark, out)
+    events = tables.by_ids(events if None in span else events.filter(F.col(days.DAY).isin(span)), "event_id", ids).drop(days.DAY)
+    built = incremental.continued(windows.build_windows(events, gap_minutes, max_chars, max_events, by_content=True), gone)
+    built = shared.cut(days.with_day(built.select(*STORED_WINDOW.names)))
+    # What came out as it was stays where it is.
+    same = ["chunk_id", "session_start"]
+    fresh, old = built.join(gone.select(*same), same, "left_anti"), gone.join(built.select(*same), same, "left_anti").select("chunk_id", days.DAY)
+    report = {"windows_rebuilt": built.count(), "windows_changed": fresh.count()}
+    late = fresh.select(days.DAY).union(old.select(days.DAY)).distinct()
+    late.coalesce(1).write.mode("append").json(f"{out}/_bridge_days")
+    replaced = days.replace(spark, path, old, fresh, "chunk_id")
+    put_bridge(spark, out, sorted({r[0] for r in spark.read.schema("day string").json(f"{out}/_bridge_days").collect()}))
+    for name in ("_bridge_days", "_touched"):
+        shared.drop(spark, f"{out}/{name}")
+    return report | {"window_days": replaced["days"], "window_days_rewritten": replaced["days_rewritten"]}
+
+
+def advance(spark: SparkSession, out: str, new: DataFrame, gap_minutes: int, max_chars: int, max_events: int) -> dict[str, int]:
+    """Merge events, one row an id, into a store whose windows have stable ids, and bring these up to them. ``new`` is read several times."""
+    incremental.changes(new, stored_events(spark, out)).write.mode("append").parquet(f"{out}/_touched")
+    return days.merge(spark, f"{out}/events", new, "event_id") | update_windows(spark, out, gap_minutes, max_chars, max_events)
+
+
+def build_all(spark: SparkSession, out: str, gap_minutes: int, max_chars: int, max_events: int, by_content: bool) -> None:
+    """Windows and their events from all events: numbered, or kept by day with ids that a later update leaves."""
+    for name in ("windows_changed", "windows_changed_days", "_bridge_days", "_touched"):
+        shared.drop(spark, f"{out}/{name}")
+    built = windows.build_windows(stored_events(spark, out).drop(days.DAY), gap_minutes, max_chars, max_events, by_content=by_content)
+    if by_content:
+        days.write(days.with_day(built.select(*STORED_WINDOW.names)), f"{out}/windows")
+        put_bridge(spark, out)
+    else:
+        built.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{out}/windows")
+        windows.membership(spark.read.parquet(f"{out}/windows")).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{out}/window_events")
+
+
 def ingest(spark: SparkSession, raw: str | list[str], out: str, year: int | None = None, gap_minutes: int = 15, limit: int | None = None, rebuild: bool = False,
-           max_chars: int = 4800, max_events: int = 120) -> dict:
+           max_chars: int = 4800, max_events: int = 120, stable_ids: bool = False) -> dict:
     """Parse, keep one row per event_id, window, and write ``events``, ``windows`` and ``window_events`` as Parquet.
 
     Events stored before stay unless ``rebuild``; of equal ids the new one wins. Events are kept by day, and only the days
-    that new ones change are rewritten. All windows are built anew, so none is stale. ``limit`` takes the first events by file and place. Without a ``year`` a manifest's is taken, or this one.
+    that new ones change are rewritten. All windows are built anew and numbered, so none is stale; with ``stable_ids`` their
+    ids follow from their events, and where the store has such windows of the same rules only sessions that new events reach
+    are built anew. ``limit`` takes the first events by file and place. Without a ``year`` a manifest's is taken, or this one.
     A path that isn't there is an error, and what is stored stays as it is.
     """
     began, paths = time.time(), [raw] if isinstance(raw, str) else list(raw)
@@ -52,24 +125,33 @@ def ingest(spark: SparkSession, raw: str | list[str], out: str, year: int | None
             shared.drop(spark, f"{out}/{name}")
     elif (version := get_meta(spark, out).get("schema_version")) not in (None, str(SCHEMA_VERSION)):
         raise ValueError(f"the store has schema version {version}, not {SCHEMA_VERSION}: ingest with rebuild")
+    rules = f"{gap_minutes},{max_chars},{max_events}" if stable_ids else ""
+    onward = bool(rules) and not rebuild and get_meta(spark, out).get("window_rules") == rules and shared.exists(spark, f"{out}/windows")
+    if not onward and get_meta(spark, out).get("window_rules"):
+        # Until all windows are built, none of the store's can be brought up to its events.
+        set_meta(spark, out, window_rules="")
+    days.recover(spark, f"{out}/events", EVENT)
     fresh = f"{out}/_fresh"
     tables.upsert(events.withColumn("_seq", F.struct("file", "place")).drop("file", "place"), "event_id", "_seq").write.mode("overwrite").parquet(fresh)
-    changed = days.merge(spark, f"{out}/events", spark.read.parquet(fresh).select(*EVENT.names), "event_id")
+    new = spark.read.parquet(fresh).select(*EVENT.names)
+    if onward:
+        changed = advance(spark, out, new, gap_minutes, max_chars, max_events)
+    else:
+        changed = days.merge(spark, f"{out}/events", new, "event_id")
+        build_all(spark, out, gap_minutes, max_chars, max_events, stable_ids)
     shared.drop(spark, fresh)
     now = stored_events(spark, out)
-    windows.build_windows(now.drop(days.DAY), gap_minutes, max_chars, max_events).write.mode("overwrite").parquet(f"{out}/windows")
-    built = spark.read.parquet(f"{out}/windows")
-    windows.membership(built).write.mode("overwrite").parquet(f"{out}/window_events")
+    built = stored_windows(spark, out)
     report = counters.get() | changed | {"by_source": {r["source"]: r["n"] for r in tables.count_by(now, "source").collect()}, "assumed_year": year}
     report |= {"events": sum(report["by_source"].values())} | windows.summarize(built).first().asDict()
     report["windows_by_source"] = {r["source"]: r["windows"] for r in windows.by_source(built).collect()}
-    set_meta(spark, out, schema_version=SCHEMA_VERSION, last_ingest=fields.utc_now(), assumed_year=year)
+    set_meta(spark, out, schema_version=SCHEMA_VERSION, last_ingest=fields.utc_now(), assumed_year=year, window_rules=rules)
     return report | {"seconds": round(time.time() - began, 2)}
 
 
 def drop_tables(spark: SparkSession, out: str) -> None:
     """All tables of a store, and its index."""
-    for name in ("events", "windows", "window_events", "vectors", "lexical", "index_meta", "meta", "events_changed", "events_changed_days", "_fresh"):
+    for name in ("events", "windows", "window_events", "vectors", "lexical", "index_meta", "meta", "events_changed", "events_changed_days", "windows_changed", "windows_changed_days", "vectors_changed", "vectors_changed_days", "_vectors", "_touched", "_bridge_days", "_fresh"):
         shared.drop(spark, f"{out}/{name}")
 
 
@@ -115,19 +197,32 @@ def searched(built: DataFrame) -> DataFrame:
 def index(spark: SparkSession, out: str, embed: Callable[[DataFrame], DataFrame], reset: bool = False, limit: int | None = None, max_tokens: int | None = retrieval.MAX_TOKENS) -> dict:
     """Embed the windows that the index lacks and append them; returns what was done. ``embed`` adds ``embedding``.
 
-    The inverted index for BM25 is written beside the vectors, and the facts of the build in ``index_meta``. ``limit`` takes
+    Where windows have stable ids, vectors are kept by day as well, and those of windows that are gone or changed are taken
+    out; only the days of these and of new ones are rewritten. The inverted index for BM25 is written beside the vectors, and the facts of the build in ``index_meta``. ``limit`` takes
     the first windows by id.
     """
-    began, built, path = time.time(), spark.read.parquet(f"{out}/windows"), f"{out}/vectors"
+    began, built, path = time.time(), stored_windows(spark, out), f"{out}/vectors"
     rows = built.select("chunk_id", "source", "principal", "src_ip", "ts_start", "ts_end", "n_events", "n_failures", "risk_score", "text")
     rows = rows if limit is None else rows.orderBy("chunk_id").limit(limit)
-    done = None if reset else stored(spark, path)
+    by_day = bool(get_meta(spark, out).get("window_rules"))
+    if shared.exists(spark, f"{path}_changed/_SUCCESS"):
+        days.recover(spark, path, spark.read.parquet(f"{path}_changed").schema)
+    done = None if reset else stored_vectors(spark, out)
+    done = done if done is None or by_day == (days.DAY in done.columns) else None
     seen = Observation()
     todo = embed(rows if done is None else tables.missing(rows, done, "chunk_id")).drop("text").observe(seen, F.count("*").alias("n"))
-    todo.write.mode("overwrite" if reset else "append").parquet(path)
+    if not by_day:
+        todo.write.mode("overwrite" if done is None else "append").option("partitionOverwriteMode", "static").parquet(path)
+    elif done is None:
+        days.write(days.with_day(todo), path)
+    else:
+        todo.write.mode("overwrite").parquet(f"{out}/_vectors")
+        gone = done.join(built.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", days.DAY)
+        days.replace(spark, path, gone, days.with_day(spark.read.parquet(f"{out}/_vectors")), "chunk_id")
+        shared.drop(spark, f"{out}/_vectors")
     n = seen.get["n"]
     inverted_index.write(searched(built), "chunk_id", f"{out}/lexical", max_tokens=max_tokens or None)
-    total = spark.read.parquet(path).agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dim"))
+    total = stored_vectors(spark, out).agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dim"))
     total.withColumn("built_at", F.lit(fields.utc_now())).coalesce(1).write.mode("overwrite").json(f"{out}/index_meta")
     asked = rows.count()
     took = time.time() - began
@@ -144,7 +239,7 @@ def index_meta(spark: SparkSession, out: str) -> dict:
 
 def index_health(spark: SparkSession, out: str) -> dict:
     """What the build says against what is stored: missing windows, vectors of windows that are gone, repeated ones."""
-    built, vectors = spark.read.parquet(f"{out}/windows"), stored(spark, f"{out}/vectors")
+    built, vectors = stored_windows(spark, out), stored_vectors(spark, out)
     meta = index_meta(spark, out)
     if vectors is None:
         return {"windows": built.count(), "vectors": 0, "missing": built.count(), "stale": 0, "repeated": 0, "dim": None, "healthy": False}

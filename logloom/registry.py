@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from . import shared
 from .functions import fields
 from .operators import days, evaluate, inverted_index, retrieval, tables, vector_index, windows
+from .plans import ingest
 from .plans.ingest import retrieve
 from .sources.logs import detect_source, is_log_file
 
@@ -208,6 +209,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         return shared.cut(days.read(spark, path, rows.schema).select("event_id", "ts", "action", "principal"))
 
 
+@query("windows_incremental", f"WITH RECURSIVE {EV}{W720} SELECT ts_start, ts_end, source, principal, src_ip, n_events, n_failures, risk_score, event_names, accounts FROM agg")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """All windows of a store whose last events (each hundredth, and each thousandth that stood elsewhere before) came later."""
+    rows, n = app_events(spark, d), F.substring("event_id", 4, 20).cast("long")
+    before = rows.filter(n % 100 != 0).withColumn("ts", F.when(n % 1000 == 1, "2024-01-03T00:00:00Z").otherwise(F.col("ts")))
+    out = shared.new_folder(spark, "store")
+    try:
+        days.merge(spark, f"{out}/events", before, "event_id")
+        ingest.build_all(spark, out, 720, 4800, 10, True)
+        ingest.advance(spark, out, rows.filter((n % 100 == 0) | (n % 1000 == 1)), 720, 4800, 10)
+        named = (F.array_join(c, ",").alias(c) for c in ("event_names", "accounts"))
+        return shared.cut(ingest.stored_windows(spark, out).select("ts_start", "ts_end", "source", "principal", "src_ip", "n_events", "n_failures", "risk_score", *named))
+    finally:
+        shared.drop(spark, out)
+
+
 @query("events_of_id_table", f"WITH {EV} SELECT event_id, ts, action FROM ev WHERE event_id IN (SELECT 'ev-' || doc_id FROM documents)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     ids = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("ev-"), F.col("doc_id").cast("string")).alias("event_id"))

@@ -11,3 +11,5 @@ WINDOW = T.StructType([
     T.StructField("event_names", T.ArrayType(T.StringType())), T.StructField("event_ids", T.ArrayType(T.StringType())),
     T.StructField("risk_score", T.IntegerType()), *_s("text", "search_text"), T.StructField("accounts", T.ArrayType(T.StringType()))])
 BRIDGE = T.StructType([*_s("chunk_id", "event_id"), T.StructField("position", T.IntegerType())])
+#: Windows as a store keeps them by day.
+STORED_WINDOW = T.StructType([*WINDOW.fields, *_s("session_start")])
