@@ -1,12 +1,13 @@
 """Licence notices by a positional rare-token index (DataFrame functions only).
 
-The index holds, for each word of the licence templates that isn't a function word, its postings (template, position).
-Of each template the two words of its mandatory key phrases with the highest IDF (over all documents of the table) are
-looked up in a file: every place of either proposes the alignment (template, place minus position). The alignments that
-both words propose are the intersection of the postings by relative position, taken as a set of numbers, so the work is
-linear in the file however often a word stands there; templates with one such word only need that one. An alignment
-holds if all key phrases of the template stand word for word at their places in it; as both words belong to those
-phrases, no holding alignment is missed. The share of a holding alignment is that of the template's indexed words that
+The index holds, for each word of the licence templates that isn't a function word, its postings (template, position) in
+the mandatory key phrases. A template is in question for a file that has all words of its key phrases. The file's licence
+words are looked up from the highest IDF (over all documents of the table) down, until each template in question has had
+two of its places looked up (or all, if it has one); a file with none in question looks up nothing. Each place of a word
+looked up proposes an alignment for each of its postings (template, place minus position). The postings are intersected
+by relative position: an alignment stays that two places propose (one, for templates with one), found by sorting.
+An alignment holds if all key phrases of the template stand word for word at their places in it; as two places of those
+phrases were looked up, no holding alignment is missed. The share of a holding alignment is that of the template's indexed words that
 stand at their places.
 
 Base phrases are counted at every place where their words stand consecutively; their labels always stay.
@@ -48,6 +49,19 @@ TEMPLATES = [
     ("cc-by", "creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
     ("cc0", "released under the creative commons zero cc0 1 0 universal public domain dedication", ["cc0 1 0 universal"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("mit", "spdx license identifier mit", ["spdx license identifier mit"]),
+    ("apache-2", "spdx license identifier apache 2 0", ["spdx license identifier apache 2 0"]),
+    ("gpl", "spdx license identifier gpl", ["spdx license identifier gpl"]),
+    ("lgpl", "spdx license identifier lgpl", ["spdx license identifier lgpl"]),
+    ("agpl", "spdx license identifier agpl", ["spdx license identifier agpl"]),
+    ("bsd", "spdx license identifier bsd", ["spdx license identifier bsd"]),
+    ("isc", "spdx license identifier isc", ["spdx license identifier isc"]),
+    ("mpl-2", "spdx license identifier mpl 2 0", ["spdx license identifier mpl 2 0"]),
+    ("cc-by-nc", "spdx license identifier cc by nc", ["spdx license identifier cc by nc"]),
+    ("cc-by-sa", "spdx license identifier cc by sa", ["spdx license identifier cc by sa"]),
+    ("cc-by", "spdx license identifier cc by 4 0", ["spdx license identifier cc by 4 0"]),
+    ("cc0", "spdx license identifier cc0 1 0", ["spdx license identifier cc0 1 0"]),
+    ("unlicense", "spdx license identifier unlicense", ["spdx license identifier unlicense"]),
 ]
 
 #: Function words, which are not indexed.
@@ -93,23 +107,15 @@ def key_places(t: int) -> list[int]:
     return [next(i for i in range(len(own)) if own[i:i + len(k)] == k) for k in map(str.split, keys)]
 
 
-def anchors(idf: dict[str, float]) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
-    """Postings (template, position) of the rarest and of the second rarest word of each template's key phrases.
-
-    The second is at another place, and missing where the phrases have one indexed word only.
-    """
-    out: tuple[dict, dict] = ({}, {})
-    for t, (_, _, keys) in enumerate(TEMPLATES):
-        places = {(w, lead + i) for lead, key in zip(key_places(t), keys) for i, w in enumerate(key.split()) if w not in FUNCTION_WORDS}
-        for which, (w, at) in zip(out, sorted(places, key=lambda x: (-idf[x[0]], x))):
-            which.setdefault(w, []).append((t, at))
-    return out
+def key_postings() -> list[list[tuple[str, int]]]:
+    """The indexed words of each template's key phrases with their positions in the template."""
+    return [sorted({(w, lead + i) for lead, key in zip(key_places(t), keys) for i, w in enumerate(key.split()) if w not in FUNCTION_WORDS})
+            for t, (_, _, keys) in enumerate(TEMPLATES)]
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per document ``doc_id, n_words, base`` (label, start), ``hits`` (label, start, share) and ``score``."""
-    index = postings()
-    vocabulary = sorted(index)
+    vocabulary = sorted(postings())
     rows = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     # Document frequencies of the indexed words over all documents: as many rows as the index has words.
     counts = rows.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(F.transform(
@@ -117,8 +123,9 @@ def scan(docs: DataFrame) -> DataFrame:
     df = {r["w"]: r["count"] for r in counts.collect()}
     n = df.get("", 0)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in vocabulary}
-    rare = anchors(idf)
-    lone = [t for t in range(len(TEMPLATES)) if not any(t == u for own in rare[1].values() for u, _ in own)]
+    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (-idf[w], w)))}
+    keys = key_postings()
+    lone = [t for t, own in enumerate(keys) if len(own) == 1]
 
     found = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), "words", licence_words(F.col("words"), vocabulary).alias("occ"))
     words = F.when(F.size("occ") > 0, F.col("words")).otherwise(F.array().cast("array<string>"))
@@ -131,17 +138,30 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.transform(own, lambda o: F.struct(F.lit(label).alias("label"), (o["i"] - lead).alias("start")))
 
     base = [places(phrase, label) for phrase, label in BASE.items()]
-    def proposed(anchor: dict[str, list[tuple[int, int]]]) -> Column:
-        """Alignments as numbers, template + (start + SHIFT) * number of templates; each once."""
-        at = F.create_map(*(x for w in sorted(anchor) for x in (
-            F.lit(w), F.array(*(F.struct(F.lit(t).cast("long").alias("t"), F.lit(p).alias("p")) for t, p in anchor[w])))))
-        own = F.filter("occ", lambda o: o["w"].isin(sorted(anchor)))
-        return F.array_distinct(F.flatten(F.transform(own, lambda o: F.transform(at[o["w"]], lambda p: (o["i"] - p["p"] + SHIFT) * len(TEMPLATES) + p["t"]))))
-
-    found = found.select("doc_id", "n_words", "words", F.concat(*base).alias("base"), proposed(rare[0]).alias("one"), proposed(rare[1]).alias("two"))
-    agreed = F.concat(F.array_intersect("one", "two"), F.filter("one", lambda a: (a % len(TEMPLATES)).isin(lone)))
-    agreed = F.transform(agreed, lambda a: F.struct((a % len(TEMPLATES)).cast("int").alias("t"), (F.floor(a / len(TEMPLATES)) - SHIFT).cast("int").alias("start")))
-    found = found.select("doc_id", "n_words", "words", "base", F.when(F.size("one") > 0, agreed).otherwise(F.array().cast("array<struct<t:int,start:int>>")).alias("proposed"))
+    have = F.array_distinct(F.transform("occ", lambda o: o["w"]))
+    found = found.select("doc_id", "n_words", "words", "occ", F.concat(*base).alias("base"), have.alias("have"))
+    # The rank down to which a template in question has the file's words looked up.
+    asked = F.array(*(F.when(F.size(F.array_except(F.array(*map(F.lit, sorted({w for w, _ in own}))), F.col("have"))) == 0,
+                             F.struct(F.lit(t).alias("t"), F.lit(sorted(rank[w] for w, _ in own)[:2][-1]).alias("down"))) for t, own in enumerate(keys)))
+    none = F.array().cast("array<struct<t:int,down:int>>")
+    found = found.withColumn("asked", F.when(F.size("have") > 0, F.filter(asked, lambda x: x.isNotNull())).otherwise(none))
+    found = found.select("doc_id", "n_words", "words", "base", "occ", F.transform("asked", lambda x: x["t"]).alias("asked"), F.array_max(F.transform("asked", lambda x: x["down"])).alias("down"))
+    by_word: dict[str, list[tuple[int, int]]] = {}
+    for t, own in enumerate(keys):
+        for w, at in own:
+            by_word.setdefault(w, []).append((t, at))
+    index = F.create_map(*(x for w in sorted(by_word) for x in (F.lit(w), F.struct(
+        F.lit(rank[w]).alias("rank"), F.array(*(F.struct(F.lit(t).cast("long").alias("t"), F.lit(p).alias("p")) for t, p in by_word[w])).alias("at")))))
+    entries = F.transform("occ", lambda o: F.struct(o["i"].alias("i"), index[o["w"]].alias("e")))
+    looked = F.filter(entries, lambda o: o["e"]["rank"] <= F.col("down"))
+    # Alignments as numbers, template + (start + SHIFT) * number of templates, in order.
+    numbers = F.flatten(F.transform(looked, lambda o: F.transform(
+        F.filter(o["e"]["at"], lambda p: F.array_contains("asked", p["t"].cast("int"))), lambda p: (o["i"] - p["p"] + SHIFT) * len(TEMPLATES) + p["t"])))
+    found = found.select("doc_id", "n_words", "words", "base", F.when(F.col("down").isNotNull(), F.array_sort(numbers)).otherwise(F.array().cast("array<bigint>")).alias("n"))
+    again = lambda i, back: F.coalesce(F.get("n", i - back) == F.get("n", i), F.lit(False))
+    enough = F.filter("n", lambda a, i: F.when((a % len(TEMPLATES)).isin(lone), ~again(i, 1)).otherwise(again(i, 1) & ~again(i, 2)))
+    agreed = F.transform(enough, lambda a: F.struct((a % len(TEMPLATES)).cast("int").alias("t"), (F.floor(a / len(TEMPLATES)) - SHIFT).cast("int").alias("start")))
+    found = found.select("doc_id", "n_words", "words", "base", agreed.alias("proposed"))
 
     def verified(a: Column) -> Column:
         out = F.lit(False)
