@@ -95,8 +95,7 @@ def route(question: str) -> str:
 
 def bursts(events: DataFrame, minutes: int, least: int) -> DataFrame:
     """Actors with at least ``least`` events within the ``minutes`` up to one of their events."""
-    w = Window.partitionBy("principal").orderBy(F.unix_timestamp(F.to_timestamp("ts"))).rangeBetween(-minutes * 60, 0)
-    return events.withColumn("n", F.count("*").over(w)).groupBy("principal").agg(F.max("n").alias("burst")).filter(F.col("burst") >= least)
+    return running(events, ["principal"], minutes).groupBy("principal").agg(F.max("_n").alias("burst")).filter(F.col("burst") >= least)
 
 
 def failure_then_success(events: DataFrame, success: str, minutes: int) -> DataFrame:
@@ -146,16 +145,40 @@ def steps_in_order(events: DataFrame, keys: list[str], actions: list[str], minut
     return rows.withColumn("began", began).filter((F.col("_own") == F.col("_part")) & (at - F.col("began") <= reach)).select(*keys, "event_id", "ts", "began")
 
 
+def running(events: DataFrame, keys: list[str], minutes: int, column: str | None = None) -> DataFrame:
+    """``keys, _at, ts, _n``: for each second of a key that has events, the events, or the different values of ``column``, of
+    the ``minutes`` up to it and in it, and its least ``ts``.
+
+    Rows of a second become one first. Each adds to the count at its second and takes that back when its minutes are over, or
+    when its value comes again; the sum of these steps is the count, so the work grows with the events however many lie in
+    those minutes. A key is cut by time as in ``steps_in_order``. Null times are a second of their own.
+    """
+    reach, at, own = minutes * 60, F.col("_at"), F.col("_own")
+    size = max(reach, 86400)
+    value = [column] if column else []
+    rows = events.select(*keys, *value, "ts", seconds().alias("_at")).groupBy(*keys, *value, "_at").agg(F.count(F.col(column) if column else F.lit(1)).alias("_c"), F.min("ts").alias("ts"))
+    rows = rows.withColumn("_own", F.floor(at / size)).withColumn("_part", F.explode(F.when(at >= (own + 1) * size - reach, F.array(own, own + 1)).otherwise(F.array(own))))
+    here = own.eqNullSafe(F.col("_part"))
+    until, count = at + reach + 1, F.col("_c")
+    if column:
+        again = F.lead("_at").over(Window.partitionBy(*keys, column, "_part").orderBy("_at"))
+        rows, until, count = rows.withColumn("_again", again), F.least(until, F.col("_again")), (count > 0).cast("long")
+    step = lambda when, n, ts, begins: F.struct(when.alias("_at"), n.alias("_step"), ts.alias("ts"), begins.alias("_here"))
+    both = F.array(step(at, count, F.when(here, F.col("ts")), here), step(until, -count, F.lit(None).cast("string"), F.lit(False)))
+    steps = rows.select(*keys, "_part", F.explode(F.when(at.isNull(), F.slice(both, 1, 1)).otherwise(both)).alias("x")).select(*keys, "_part", "x.*")
+    sums = steps.groupBy(*keys, "_part", "_at").agg(F.sum("_step").alias("_step"), F.min("ts").alias("ts"), F.bool_or("_here").alias("_here"))
+    order = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return sums.withColumn("_n", F.sum("_step").over(order)).filter("_here").select(*keys, "_at", "ts", "_n")
+
+
 def many_within(events: DataFrame, keys: list[str], minutes: int, least: int) -> DataFrame:
-    """Keys with ``least`` events within ``minutes``: ``keys, ts`` of the event that reached it first."""
-    w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(-minutes * 60, 0)
-    return events.withColumn("_at", seconds()).withColumn("_n", F.count("*").over(w)).filter(F.col("_n") >= least).groupBy(*keys).agg(F.min("ts").alias("ts"))
+    """Keys with ``least`` events within ``minutes``: ``keys, ts`` of the event that reached it first. Events without a time don't count."""
+    return running(events, keys, minutes).filter((F.col("_n") >= least) & F.col("_at").isNotNull()).groupBy(*keys).agg(F.min("ts").alias("ts"))
 
 
 def different_within(events: DataFrame, keys: list[str], column: str, minutes: int, least: int) -> DataFrame:
     """Keys with ``least`` different values of ``column`` within ``minutes``: ``keys, ts`` as above."""
-    w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(-minutes * 60, 0)
-    return events.withColumn("_at", seconds()).withColumn("_n", F.size(F.collect_set(column).over(w))).filter(F.col("_n") >= least).groupBy(*keys).agg(F.min("ts").alias("ts"))
+    return running(events, keys, minutes, column).filter((F.col("_n") >= least) & F.col("_at").isNotNull()).groupBy(*keys).agg(F.min("ts").alias("ts"))
 
 
 def detections(events: DataFrame) -> DataFrame:

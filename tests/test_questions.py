@@ -56,3 +56,24 @@ def test_steps_in_order(spark, actions, minutes):
     want = walk(rows, actions, minutes, ["r"])
     assert got == want and want
     assert evaluate.steps_in_order(frame.limit(0), ["who"], actions, minutes).count() == 0
+
+
+def test_counts_within_minutes_are_sums_of_steps(spark):
+    """Held to plain counts; the plan has no frame over a range of time, whose cost grew with the square of a key's events."""
+    draw = random.Random(11)
+    rows = [(draw.choice(["hot", "hot", "k", None]), draw.choice(["a", "b", "c", "d", None]), draw.choice([None] + [draw.randrange(0, 3 * 86400) // 50 * 50] * 30)) for _ in range(1200)]
+    frame = spark.createDataFrame(rows, "principal string, v string, s long").selectExpr("principal", "v", "date_format(timestamp_seconds(s + 1704067200), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") as ts")
+    stamp = dict(frame.selectExpr("ts", "unix_timestamp(to_timestamp(ts)) - 1704067200").distinct().collect())
+    at = {s: ts for ts, s in stamp.items()}
+    for minutes in (7, 300, 2000):
+        inside = lambda k, s: [v for key, v, t in rows if key == k and (t is None if s is None else t is not None and s - minutes * 60 <= t <= s)]
+        events = {(k, s): inside(k, s) for k, _, s in rows}
+        for least in (2, 3, 4, 9):
+            first = lambda size: {k: at[min(s for (key, s), vs in events.items() if key == k and s is not None and size(vs) >= least)] for k in ("hot", "k", None)
+                                  if any(key == k and s is not None and size(vs) >= least for (key, s), vs in events.items())}
+            assert dict(evaluate.different_within(frame, ["principal"], "v", minutes, least).collect()) == first(lambda vs: len(set(vs) - {None}))
+            assert dict(evaluate.many_within(frame, ["principal"], minutes, least).collect()) == first(len)
+        most = {k: max(len(vs) for (key, _), vs in events.items() if key == k) for k in ("hot", "k", None)}
+        assert dict(evaluate.bursts(frame, minutes, 2).collect()) == most
+    plan = evaluate.different_within(frame, ["principal"], "v", 7, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, -" not in plan and "collect_set" not in plan
