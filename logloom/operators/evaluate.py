@@ -39,10 +39,28 @@ def recall_mrr_all(hits: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1,
     ``hits``: question, key, rank; ``truth``: question, key, each pair counted once. Questions without hits count with 0.
     """
     pairs = truth.select("question", "key").distinct()
-    true = hits.join(pairs, ["question", "key"]).groupBy("question").agg(*(F.count_if(F.col("rank") <= k).alias(f"hit_{k}") for k in ks), F.min("rank").alias("first"))
-    each = pairs.groupBy("question").agg(F.count("*").alias("n")).join(true, "question", "left")
-    return each.agg(F.count("*").alias("questions"), *(F.round(F.avg(F.coalesce(F.col(f"hit_{k}") / F.col("n"), F.lit(0.0))), 6).alias(f"recall_{k}") for k in ks),
-                    F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+    return _means(hits.join(pairs, ["question", "key"]), pairs.groupBy("question").agg(F.count("*").alias("n")), ks)
+
+
+def _means(true: DataFrame, each: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """The metrics of the true hits ``question, rank``; ``each``: question and ``n``, its number of true keys."""
+    found = true.groupBy("question").agg(*(F.count_if(F.col("rank") <= k).alias(f"hit_{k}") for k in ks), F.min("rank").alias("first"))
+    return each.join(found, "question", "left").agg(
+        F.count("*").alias("questions"), *(F.round(F.avg(F.coalesce(F.col(f"hit_{k}") / F.col("n"), F.lit(0.0))), 6).alias(f"recall_{k}") for k in ks),
+        F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def recall_mrr_labels(hits: DataFrame, items: DataFrame, asked: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """``recall_mrr_all`` where the true keys of a question are all others of its label: ``items``: key, label; ``asked``: question, label.
+
+    These pairs are as many as items times questions, so they are counted by label and only hits are looked up. Null
+    labels are equal to none. A key or question with several labels counts once for each.
+    """
+    items, asked = items.filter("key is not null and label is not null").distinct(), asked.filter("question is not null and label is not null").distinct()
+    own = asked.join(items.select(F.col("key").alias("question"), "label", F.lit(1).alias("_own")), ["question", "label"], "left")
+    n = own.join(items.groupBy("label").agg(F.count("*").alias("_all")), "label").groupBy("question").agg(F.sum(F.col("_all") - F.coalesce("_own", F.lit(0))).alias("n"))
+    true = hits.filter("key <> question").join(items, "key").join(asked, ["question", "label"], "left_semi")
+    return _means(true, n.filter("n > 0"), ks)
 
 
 def citations(text: Column, shape: str = CITED, group: int = 1) -> Column:

@@ -29,6 +29,8 @@ from .. import shared
 
 #: Vectors of the sample, code books (parts of a vector) and codes of one; questions asked in one pass.
 SAMPLE, PARTS, CODES, SLICE = 20_000, 16, 64, 2_000
+#: Vectors that the exact scan holds against all questions of a slice at once.
+EXACT_ROWS = 1_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -223,10 +225,25 @@ def probed(spark: SparkSession, path: str, clusters: list[int]) -> DataFrame:
     return spark.read.parquet(f"{path}/codes").filter(F.col("cluster").isin(clusters))
 
 
+def _keep(best: dict[int, tuple[np.ndarray, pa.Array]], i: int, score: np.ndarray, keys: pa.Array, k: int) -> float:
+    """Put what may be among the k best of question ``i`` to what is kept, equal scores by key; the score that others must reach."""
+    if len(score) > k:
+        worst = np.partition(-score, k - 1)[k - 1]
+        own = np.arange(len(score)) if np.isnan(worst) else np.flatnonzero(-score <= worst)
+        score, keys = score[own], keys.take(pa.array(own))
+    if i in best:
+        score, keys = np.concatenate([best[i][0], score]), pa.concat_arrays([best[i][1], keys])
+    top = np.lexsort((np.array(keys.to_pylist()), -score))[:k]
+    best[i] = (score[top], keys.take(pa.array(top)))
+    last = best[i][0][-1] if len(top) == k else np.nan
+    return -np.inf if np.isnan(last) else float(last)
+
+
 def exact(vectors: DataFrame, questions: DataFrame, key: str, k: int = 50, column: str = "embedding") -> DataFrame:
     """What ``search`` is held to: ``question, key, score, rank`` by all cosines, in one scan.
 
-    Questions are a stated set, asked in slices; each task keeps its k best a question before anything moves.
+    Questions are a stated set, asked in slices; each task holds ``EXACT_ROWS`` vectors against a slice at once and keeps its k
+    best a question before anything moves.
     """
     spark, kind = vectors.sparkSession, questions.schema[key].dataType
     asked = questions.select(F.col(key).alias("question"), F.col(column).alias("vector")).filter(_usable("vector"))
@@ -238,19 +255,23 @@ def exact(vectors: DataFrame, questions: DataFrame, key: str, k: int = 50, colum
 
         def work(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             best: dict[int, tuple[np.ndarray, pa.Array]] = {}
-            for batch in batches:
+            by_size: dict[int, list[int]] = {}
+            for i, r in enumerate(given.value):
+                by_size.setdefault(len(r["vector"]), []).append(i)
+            asked = {size: np.array([given.value[i]["vector"] for i in own], dtype=np.float64) for size, own in by_size.items()}
+            floor = {size: np.full(len(own), -np.inf) for size, own in by_size.items()}
+            for batch in (b.slice(i, EXACT_ROWS) for b in batches for i in range(0, len(b), EXACT_ROWS)):
                 sizes = np.array([len(v) for v in batch.column("v")])
-                for i, r in enumerate(given.value):
-                    mine = np.flatnonzero(sizes == len(r["vector"]))
+                for size, own in by_size.items():
+                    mine = np.flatnonzero(sizes == size)
                     if not len(mine):
                         continue
-                    own = np.stack(batch.column("v").take(pa.array(mine)).to_numpy(zero_copy_only=False))
-                    q = np.array(r["vector"], dtype=np.float64)
-                    score, keys = np.round(own @ q / np.sqrt((own * own).sum(axis=1) * (q @ q)), 6), batch.column("key").take(pa.array(mine))
-                    if i in best:
-                        score, keys = np.concatenate([best[i][0], score]), pa.concat_arrays([best[i][1], keys])
-                    top = np.lexsort((np.array(keys.to_pylist()), -score))[:k]
-                    best[i] = (score[top], keys.take(pa.array(top)))
+                    part, q = batch.column("v").take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), size), asked[size]
+                    near = np.round(q @ part.T / np.sqrt(np.outer((q * q).sum(axis=1), (part * part).sum(axis=1))), 6)
+                    names = batch.column("key").take(pa.array(mine))
+                    # Nothing that is not a number reaches a floor; it counts only while there are fewer than k.
+                    for j in np.flatnonzero((near >= floor[size][:, None]).any(axis=1) | (floor[size] == -np.inf)).tolist():
+                        floor[size][j] = _keep(best, own[j], near[j], names, k)
             for i, (score, keys) in best.items():
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), i), pa.int32()), keys, pa.array(score)], names=["q", "key", "score"])
         schema = T.StructType([T.StructField("q", T.IntegerType()), rows.schema["key"], T.StructField("score", T.DoubleType())])

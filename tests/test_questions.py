@@ -77,3 +77,13 @@ def test_counts_within_minutes_are_sums_of_steps(spark):
         assert dict(evaluate.bursts(frame, minutes, 2).collect()) == most
     plan = evaluate.different_within(frame, ["principal"], "v", 7, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "RangeFrame, -" not in plan and "collect_set" not in plan
+
+
+def test_metrics_by_label_build_no_pairs(spark):
+    """Held to the metrics over all pairs; the pairs, as many as items times questions, are not made."""
+    draw = random.Random(5)
+    items = spark.createDataFrame([(i, draw.choice([1, 2, 2, None])) for i in range(60)] + [(99, 7)], "key int, label int")
+    asked = items.filter("key % 10 = 0 or key = 99").withColumnRenamed("key", "question")
+    hits = spark.createDataFrame([(q, key, rank + 1) for q in (*range(0, 60, 10), 99) for rank, key in enumerate([q] + draw.sample(range(60), 8))], "question int, key int, rank int")
+    truth = items.join(asked, "label").filter("key <> question")
+    assert evaluate.recall_mrr_labels(hits, items, asked, (1, 5)).collect() == evaluate.recall_mrr_all(hits, truth, (1, 5)).collect()

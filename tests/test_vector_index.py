@@ -75,3 +75,19 @@ def test_query_is_whole(spark):
     d = "/root/testdata/sf0.001"
     got, true = registry.QUERIES["ann_topk"](spark, d), registry.QUERIES["dense_topk_batch"](spark, d)
     assert got.count() == true.count() and vector_index.recall_of(got, true).agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_exact_list_over_several_stretches(spark):
+    """Copies tie by key, vectors of another length and a zero stand apart; a task has more rows than it holds at once."""
+    draw = np.random.default_rng(4)
+    some = draw.integers(-3, 4, size=(500, 3))
+    rows = [(i, [float(x) for x in some[i % 500]]) for i in range(2 * vector_index.EXACT_ROWS + 300)] + [(9001, [1.0, 2.0]), (9002, [0.0, 0.0]), (9003, [2.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>").coalesce(1)
+    questions = vectors.filter("id in (7, 8, 1203, 9001)")
+    got = {}
+    for r in vector_index.exact(vectors, questions, "id", k=40).collect():
+        got.setdefault(r.question, []).append((r["rank"], r.key, r.score))
+    for number, v in rows:
+        if number in (7, 8, 1203, 9001):
+            cos = [(-round(float(np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w))), 6), key) for key, w in rows if len(w) == len(v) and any(w)]
+            assert sorted(got[number]) == [(n, key, -score) for n, (score, key) in enumerate(sorted(cos)[:40], 1)]
