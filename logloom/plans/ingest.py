@@ -289,7 +289,8 @@ def retrieve(docs: DataFrame, vectors: DataFrame, key: str, question: str, vecto
     bm25 = inverted_index.search(spark, lexical, question, pool, key=key) if lexical else retrieval.bm25(docs, key, question, pool, counts=counts, max_tokens=max_tokens)
     both = {"dense": kept("dense", retrieval.dense(vectors, key, vector, pool, where=where)), "bm25": kept("bm25", bm25)}
     named = kept("fused", retrieval.fuse(both, key, rrf_k, limit=pool, ranks=True))
-    found = named.join(docs.select(key, "text"), key)
+    # The candidates are few, the texts stay where they are read.
+    found = docs.select(key, "text").join(F.broadcast(named), key).select(*named.columns, "text")
     if report is not None:
         seen["missing_from_store"] = named.join(docs.select(key), key, "left_anti").count()
     hits = retrieval.rerank(found, key, scorer, top_n).filter(F.col("rank") <= (k or 5)).orderBy("rank")

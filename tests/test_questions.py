@@ -4,6 +4,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from logloom.functions import fields
 from logloom.operators import evaluate, inverted_index, retrieval
 
 
@@ -87,3 +90,22 @@ def test_metrics_by_label_build_no_pairs(spark):
     hits = spark.createDataFrame([(q, key, rank + 1) for q in (*range(0, 60, 10), 99) for rank, key in enumerate([q] + draw.sample(range(60), 8))], "question int, key int, rank int")
     truth = items.join(asked, "label").filter("key <> question")
     assert evaluate.recall_mrr_labels(hits, items, asked, (1, 5)).collect() == evaluate.recall_mrr_all(hits, truth, (1, 5)).collect()
+
+
+def test_terms_of_tasks_are_those_of_columns(spark):
+    """The counting tasks see what ``fields.tokenize`` gives; no plan takes texts apart token by token, nor moves a row a term."""
+    odd = ["", None, "HTTPServer2 getURLs x", "10.0.0.1 1.2.3.4.5 10.0.0.1.", "a-B_c:d/e@f+g. -lead _x9 A", "\u212a\u0130 Stra\u00dfe caf\u00e9Bar \u0416x\U0001f600y", "end. End. END.\nEND\r\nIamABC 9AbC", "A" * 200 + "bC" * 50, "x" * 100 + ".Y"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "id long, text string")
+    for most in (None, 3):
+        whole = {r.id: r.t for r in docs.select("id", fields.tokenize(F.col("text"), most).alias("t")).collect()}
+        told = retrieval.Terms(most)
+        assert all(told.of(None if t is None else t.encode()) == whole[i] for i, t in enumerate(odd))
+        got = {(r.id, r.dl, r.term, r.tf) for r in retrieval.postings(docs, "id", max_tokens=most).filter("term is not null").collect()}
+        assert got == {(i, len(t), x, t.count(x)) for i, t in whole.items() for x in t}
+        counts = {r.term: (r.df, r.dl) for r in retrieval.term_counts(docs, max_tokens=most).collect()}
+        assert counts == {None: (len(odd), sum(map(len, whole.values())))} | {x: (sum(x in t for t in whole.values()), None) for t in whole.values() for x in t}
+    plan = retrieval.bm25(docs, "id", "end abc")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    twice = docs.union(docs.filter("id in (2, 6)")).union(docs.filter("id = 3").withColumn("id", F.lit(2)))
+    want = {r.term: r.df for r in retrieval.postings(twice, "id").filter("term is not null").groupBy("term").agg(F.count("*").alias("df")).collect()}
+    assert {r.term: r.df for r in retrieval.frequencies(twice, "id").collect()} == want | {None: len(odd) + 3}
