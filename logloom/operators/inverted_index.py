@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..functions.fields import tokenize
 from ..shared import cut
-from .retrieval import B, EPSILON, K1, ranked, term_counts
+from .retrieval import B, EPSILON, K1, Terms, document_terms, lengths, ranked, term_counts, texts_of
 
 #: Documents of a block on average, and folders that the terms are dealt over.
 BLOCK, BUCKETS = 512, 64
@@ -60,10 +60,9 @@ def write(docs: DataFrame, key: str, path: str, text: str = "text", max_tokens:
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
-    rows = docs.select(key, tokenize(F.col(text), max_tokens or None).alias("t")).select(key, F.size("t").alias("dl"), F.explode(counted(F.col("t"))).alias("x"))
-    rows = rows.select(key, "dl", F.col("x.term").alias("term"), F.col("x.tf").alias("tf"))
-    each = docs.select(key, F.size(tokenize(F.col(text), max_tokens or None)).alias("dl"))
-    stats = each.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).withColumns({"blocks": F.ceil(F.col("n") / block).cast("long"), "buckets": F.lit(buckets), "max_tokens": F.lit(max_tokens).cast("int")})
+    rows = document_terms(docs, key, text, max_tokens).filter("term is not null")
+    each = lengths(docs, text, max_tokens)
+    stats = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("dl") / F.sum("n"), F.lit(0.0)).alias("avgdl")).withColumns({"blocks": F.ceil(F.col("n") / block).cast("long"), "buckets": F.lit(buckets), "max_tokens": F.lit(max_tokens).cast("int")})
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
     facts = spark.read.parquet(f"{path}/facts").first()
     avgdl = F.lit(facts["avgdl"])
@@ -131,8 +130,8 @@ def search(spark: SparkSession, path: str, question: str, k: int = 50, first: in
     return ranked(scored(rows.join(reach, "block", "left_semi")), key, k)
 
 
-#: Questions of a batch whose terms are broadcast at once.
-SLICE = 500
+#: Questions of a batch whose terms are broadcast at once, and documents that a task scores at once.
+SLICE, HELD = 500, 256
 
 
 def search_all(docs: DataFrame, key: str, questions: DataFrame, k: int = 50, text: str = "text", counts: DataFrame | None = None, max_tokens: int | None = None) -> DataFrame:
@@ -155,8 +154,7 @@ def search_all(docs: DataFrame, key: str, questions: DataFrame, k: int = 50, tex
     asked = cut(terms.select("question", F.col("x.term").alias("term"), F.col("x.tf").alias("times")).join(idf, "term").select("question", "term", (F.col("times") * F.col("idf")).alias("w")))
     slices = max(1, -(-asked.select("question").distinct().count() // SLICE))
     avgdl = (whole["dl"] or 0) / whole["df"]
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), tokenize(F.col(text), max_tokens or None).alias("t"))
-    rows = rows.select("key", F.size("t").alias("dl"), "t")
+    rows = texts_of(docs.filter(F.col(key).isNotNull()).withColumn("key", F.col(key)), text, "key")
     out = None
     for number in range(slices):
         some = sorted((r["question"], r["term"], r["w"]) for r in asked.filter(F.pmod(F.xxhash64("question"), F.lit(slices)) == number).collect())
@@ -168,7 +166,7 @@ def search_all(docs: DataFrame, key: str, questions: DataFrame, k: int = 50, tex
         some = sorted((of_term[t], place[q], w) for q, t, w in some)
         codes, at, w = (np.array([x[i] for x in some]) for i in range(3))
         given = spark.sparkContext.broadcast((len(names), known, np.searchsorted(codes, np.arange(len(known) + 1)), at, w))
-        found = rows.mapInArrow(lambda batches, given=given: _best(batches, *given.value, avgdl, k), T.StructType([T.StructField("q", T.IntegerType()), rows.schema["key"], T.StructField("score", T.DoubleType())]))
+        found = rows.mapInArrow(lambda batches, given=given: _best(batches, *given.value, avgdl, k, max_tokens), T.StructType([T.StructField("q", T.IntegerType()), rows.schema["key"], T.StructField("score", T.DoubleType())]))
         named = spark.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("q", T.IntegerType()), T.StructField("question", kind)]))
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))
         one = found.withColumn("rank", rank).filter(F.col("rank") <= k).join(named, "q").select("question", "key", "score", "rank")
@@ -176,18 +174,22 @@ def search_all(docs: DataFrame, key: str, questions: DataFrame, k: int = 50, tex
     return out
 
 
-def _best(batches: Iterator[pa.RecordBatch], n: int, known: list[str], first: np.ndarray, asked: np.ndarray, weight: np.ndarray, avgdl: float, k: int) -> Iterator[pa.RecordBatch]:
+def _best(batches: Iterator[pa.RecordBatch], n: int, known: list[str], first: np.ndarray, asked: np.ndarray, weight: np.ndarray, avgdl: float, k: int, max_tokens: int | None = None) -> Iterator[pa.RecordBatch]:
     """The task's k best documents of each of ``n`` questions, equal scores by key.
 
     Term i of ``known`` is asked by the questions ``asked[first[i]:first[i + 1]]``; only such terms are looked at.
     """
     best: dict[int, tuple[np.ndarray, pa.Array]] = {}
-    terms = pa.array(known, pa.string())
-    for batch in (b.slice(i, 512) for b in batches for i in range(0, len(b), 512)):
-        dl, lists = batch.column("dl").to_numpy(), batch.column("t")
-        code = pc.index_in(lists.flatten(), terms)
-        doc = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy())[pc.is_valid(code).to_numpy(zero_copy_only=False)]
-        pair, tf = np.unique(doc * max(1, len(known)) + code.drop_null().to_numpy(), return_counts=True)
+    terms, code_of = Terms(max_tokens), {t: i for i, t in enumerate(known)}
+    for batch in (b.slice(i, HELD) for b in batches for i in range(0, len(b), HELD)):
+        dl, pair, tf = np.zeros(len(batch)), [], []
+        for i, value in enumerate(batch.column("_text")):
+            own = terms.of(value.as_py())
+            dl[i] = len(own)
+            counts = Counter(c for c in map(code_of.get, own) if c is not None)
+            pair += [i * len(known) + c for c in sorted(counts)]
+            tf += [counts[c] for c in sorted(counts)]
+        pair, tf = np.array(pair, np.int64), np.array(tf, np.int64)
         doc, code = pair // max(1, len(known)), pair % max(1, len(known))
         part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / max(avgdl, 1e-300)))
         times = first[code + 1] - first[code]

@@ -59,3 +59,17 @@ def test_edges(spark, tmp_path):
     assert rows_of(inverted_index.search(spark, str(tmp_path / "two"), "needle", 70, key="id"), "id") == rows_of(retrieval.bm25(docs, "id", "needle", 70, max_tokens=5), "id")
     inverted_index.write(docs.limit(0), "id", str(tmp_path / "none"))
     assert inverted_index.search(spark, str(tmp_path / "none"), "x", key="id").count() == 0
+
+
+def test_texts_are_taken_apart_by_tasks(spark, tmp_path, monkeypatch):
+    """Neither the index nor a table of questions splits texts by column expressions."""
+    from logloom.operators import inverted_index
+    docs = spark.createDataFrame([(1, "HTTPServer ran. end"), (2, None), (3, "the end")], "id long, text string")
+    with monkeypatch.context() as m:
+        m.setattr(inverted_index, "tokenize", None)
+        inverted_index.write(docs, "id", str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/stats").first()["n"] == 3
+    held = {(r.term, e.key, e.tf, e.dl) for r in spark.read.parquet(f"{tmp_path}/postings").collect() for e in r.entries}
+    assert held == {("httpserver", 1, 1, 6), ("http", 1, 1, 6), ("server", 1, 1, 6), ("ran.", 1, 1, 6), ("ran", 1, 1, 6), ("end", 1, 1, 6), ("the", 3, 1, 2), ("end", 3, 1, 2)}
+    plan = inverted_index.search_all(docs, "id", spark.createDataFrame([(1, "end")], "question long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
