@@ -95,9 +95,15 @@ def fit(docs: DataFrame, allowed: Column | None = None, per_lang: int = PER_LANG
     langs = sorted({x[0] for x in sample})
     if not langs:
         return {"langs": [], "idf": np.zeros(DIM, np.float32), "centroids": np.zeros((0, DIM), np.float32), "owner": [], "limits": []}
-    counts = np.array([grams(x[2]) for x in sample], np.float32)
-    idf = np.log((len(counts) + 1) / ((counts > 0).sum(0) + 1)).astype(np.float32) + np.float32(0.1)
-    x = unit(np.log1p(counts) * idf)
+    # One array of the driver, filled and then changed in place.
+    x = np.empty((len(sample), DIM), np.float32)
+    for i, (_, _, text) in enumerate(sample):
+        x[i] = grams(text)
+    idf = np.log((len(x) + 1) / (np.count_nonzero(x, axis=0) + 1)).astype(np.float32) + np.float32(0.1)
+    np.log1p(x, out=x)
+    x *= idf
+    for rows in (x[i:i + 256] for i in range(0, len(x), 256)):
+        rows[:] = unit(rows)
     name = np.array([s[0] for s in sample])
     rng, centroids, owner, least = np.random.default_rng(7), [], [], []
     for i, lang in enumerate(langs):
