@@ -218,7 +218,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     try:
         days.merge(spark, f"{out}/events", before, "event_id")
         ingest.build_all(spark, out, 720, 4800, 10, True)
-        ingest.advance(spark, out, rows.filter((n % 100 == 0) | (n % 1000 == 1)), 720, 4800, 10)
+        # Read several times, and few of all events.
+        ingest.advance(spark, out, shared.cut(rows.filter((n % 100 == 0) | (n % 1000 == 1))), 720, 4800, 10)
         named = (F.array_join(c, ",").alias(c) for c in ("event_names", "accounts"))
         return shared.cut(ingest.stored_windows(spark, out).select("ts_start", "ts_end", "source", "principal", "src_ip", "n_events", "n_failures", "risk_score", *named))
     finally:
